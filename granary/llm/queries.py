@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing, secrets
+import public_tokenizers
+
+from granary.llm import mixing, secrets, tokens, toxicity
 from granary.session import table
 
 
@@ -14,5 +16,14 @@ def op4_secrets(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_secrets)}
+def op5_tokens(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_secrets, op5_tokens, op6_toxicity)}
 ORACLE_SQL = {"op3_mixing": mixing.ORACLE}
