@@ -14,7 +14,9 @@ from granary.llm.common import map_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Kneser-Ney order in letters, discount, and labelled documents used of each class (the documented bound).
-ORDER, DISCOUNT, PER_CLASS = 5, 0.75, 4000
+ORDER, DISCOUNT, PER_CLASS = 6, 0.75, 4000
+#: n-grams of full order found in fewer documents than this are left to the shared backoff counts.
+CUT_OFF, TOP = 3, 8
 REMEMBERED = 400_000
 EDGE = "\x02"  # stands before and after a word
 
@@ -82,13 +84,13 @@ class Model:
         return v
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """Mean log-likelihood ratio of the words, the mean of the three largest, and the largest."""
+        """Log-likelihood ratios of the words: the mean, a mean of the largest, and the largest."""
         words = LETTERS.findall(text.lower())
         if not words:
             return 0.0, 0.0, 0.0
-        r = list(map(self.word, words))
-        top = sorted(r)[-3:] if len(r) < 8 else sorted(np.partition(np.array(r), -3)[-3:].tolist())
-        return sum(r) / len(r), sum(top) / 3, top[-1]
+        r = np.fromiter(map(self.word, words), float, len(words))
+        top = np.partition(r, -TOP)[-TOP:] if len(r) > TOP else r
+        return float(r.mean()), float(np.maximum(top, 0).sum() / TOP), float(top.max())
 
     def score(self, text: str) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))
@@ -117,19 +119,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, id_co
     chosen = chosen.withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(4)) == 0)
     words = (
         chosen.filter(~F.col("tune"))
-        .select("toxic", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"))).alias("word"))
+        .select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)")))).alias("word"))
         .groupBy("toxic", "word")
         .agg(F.count("*").alias("n"))
     )
     m = Model()
+    grams = set()
     for gram, n0, n1 in _grams(words).toLocalIterator(prefetchPartitions=True):
+        grams.add(gram)
         ctx = gram[:-1]
+        if n0 + n1 < CUT_OFF:
+            continue
         for c, n in ((0, n0), (1, n1)):
             if n:
                 m.own[c][gram] = n
                 m.total[c][ctx] = m.total[c].get(ctx, 0) + n
                 m.kinds[c][ctx] = m.kinds[c].get(ctx, 0) + 1
-    grams = set(m.own[0]) | set(m.own[1])
     for _ in range(ORDER - 1):
         shorter: dict[str, int] = {}
         for g in grams:
