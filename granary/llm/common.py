@@ -4,26 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 #: A word: a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def words_of(text: str) -> list[str]:
-    """The words of WORD, in order; faster than a regular expression."""
-    if "\x0b" in text or "\x0c" in text or not text.isascii():
-        return [w for w in text.translate(_SPACES).split(" ") if w]
-    return [w for w in text.translate(_SPACES).split(" ") if w] if _odd(text) else text.split()
+def words_of(text: str) -> list[bytes]:
+    """The words of WORD in order, as UTF-8 with A-Z in lower case (bytes know no other letters or spaces)."""
+    return text.encode().lower().split()
 
 
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
 
+    limit = 500_000
 
-def _odd(text: str) -> bool:
-    """str.split() also splits at \\x1c-\\x1f, which are no white space here."""
-    return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser: every input bit changes every output bit."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``size`` words; of fewer words, of the whole sequence; of none, nothing."""
+    n = len(h)
+    if n == 0:
+        return h
+    k = min(n, size)
+    x = np.full(n - k + 1, k, np.uint64)
+    for j in range(k):
+        x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[j : n - k + 1 + j])
+    return np.unique(x)
 
 
 def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: str, chunk: int = 256) -> DataFrame:

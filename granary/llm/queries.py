@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from granary.llm import mixing, secrets, tokens, toxicity
-from granary.session import table
+from granary.llm import html_text, mixing, near_dup, secrets, tokens, toxicity, warc
+from granary.session import scratch, table
+
+
+def op2_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    out = scratch(spark, "warc")
+    warc.write_warc(pages, out)
+    return warc.read_warc(spark, out, html=False).drop("html", "url")
 
 
 def op3_mixing(spark, sf_dir):
@@ -25,5 +32,13 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_secrets, op5_tokens, op6_toxicity)}
-ORACLE_SQL = {"op3_mixing": mixing.ORACLE}
+def op7_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_mixing, op4_secrets, op5_tokens, op6_toxicity, op7_html, op8_near_dup)}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE}
