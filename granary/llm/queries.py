@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from granary.llm import html_text, mixing, near_dup, secrets, tokens, toxicity, warc
+from granary.llm import decontam, fingerprints, html_text, language, mixing, near_dup, secrets, tokens, toxicity, warc
 from granary.session import scratch, table
 
 
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     out = scratch(spark, "warc")
@@ -40,5 +44,19 @@ def op8_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_mixing, op4_secrets, op5_tokens, op6_toxicity, op7_html, op8_near_dup)}
+def op9_language(spark, sf_dir):
+    """Documents: the lang column is the declared language, the source stands for the host."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark, sf_dir):
+    """The same operator over web pages, with the html tag, the address suffix and the host as evidence."""
+    return language.identify_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_mixing, op4_secrets, op5_tokens, op6_toxicity, op7_html, op8_near_dup, op9_language, op10_decontamination, language_of_pages)}
 ORACLE_SQL = {"op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE}
