@@ -103,8 +103,8 @@ def inspect(docs: DataFrame, vocabulary=VOCABULARY, *, key: str = "file_id") ->
     dates = pat.dates(F.col("text"))
     out = found.withColumn("dates", dates).join(kind, key, "left").join(topic, key, "left")
     event = pat.event_date(F.col("dates"), F.col("captured_at"), F.col("created_at"), F.col("name"), F.col("modified_at"))
-    by = who.author(F.col("meta"), F.col("name"), F.col("text"))
-    out = out.withColumn("event", event).withColumn("by", by)
+    by = who.author(F.col("meta"), F.col("name"), F.col("people"))
+    out = out.withColumn("people", who.people(F.col("text"))).withColumn("event", event).withColumn("by", by)
     doctype = F.coalesce("doctype", fallback)
     return out.select(
         key, doctype.alias("doctype"), F.coalesce("doctype_score", F.when(doctype.isNotNull(), MIN_SCORE).otherwise(0.0)).alias("doctype_score"), "topic", F.coalesce("topic_score", F.lit(0.0)).alias("topic_score"), "topic_others",

@@ -72,16 +72,22 @@ def scanned(text: Column) -> Column:
     return F.coalesce(F.substring(text, 1, SCAN), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hits(text: Column, name: Column) -> Column:
-    """Array of (name, n, sample) of the detectors that fire, in order."""
+    """Array of (name, n, sample) of the detectors that fire, in order; samples are only cut for those."""
     body, low = scanned(text), F.lower(F.coalesce(name, F.lit("")))
     out = []
     for d in DETECTORS:
-        subject, p = (low if d.on_name else body), F.lit(java(d.regex, d.flags))
-        n = F.regexp_count(subject, p).cast("long")
-        out.append(F.struct(F.lit(d.name).alias("name"), n.alias("n"), F.substring(F.trim(F.regexp_substr(subject, p)), 1, SAMPLE).alias("sample"), (n >= d.least).alias("fired")))
-    kept = F.filter(F.array(*out), lambda h: h["fired"])
-    return F.transform(kept, lambda h: F.struct(h["name"].alias("name"), h["n"].alias("n"), h["sample"].alias("sample")))
+        p = java(d.regex, d.flags)
+        n = F.regexp_count(low if d.on_name else body, F.lit(p)).cast("long")
+        out.append(F.struct(F.lit(d.name).alias("name"), n.alias("n"), F.lit(p).alias("p"), F.lit(d.least).alias("least"), F.lit(d.on_name).alias("on_name")))
+    kept = F.filter(F.array(*out), lambda h: h["n"] >= h["least"])
+    cut = lambda h: F.substring(F.trim(F.regexp_substr(F.when(h["on_name"], low).otherwise(body), h["p"])), 1, SAMPLE)
+    return F.transform(kept, lambda h: F.struct(h["name"].alias("name"), h["n"].alias("n"), cut(h).alias("sample")))
 
 
 def money_amounts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,9 +141,13 @@ def date_in_name(name: Column) -> Column:
 
 def modal(values: Column) -> Column:
     """The most frequent value of an array, of ties the first seen."""
-    different = F.array_distinct(values)
-    n = F.transform(different, lambda v: F.size(F.filter(values, lambda x: x == v)))
-    return F.when(F.size(values) > 0, F.get(different, (F.array_position(n, F.array_max(n)) - 1).cast("int")))
+
+    def pick(v: Column) -> Column:
+        n = lambda x: F.size(F.filter(v, lambda y: y == x))
+        ranked = F.transform(F.array_distinct(v), lambda x, i: F.struct(n(x).alias("n"), (-i).alias("i"), x.alias("x")))
+        return F.array_max(ranked)["x"]
+
+    return let(values, pick)
 
 
 def event_date(found: Column, captured: Column, created: Column, name: Column, modified: Column) -> Column:

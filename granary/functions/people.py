@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from granary.functions.patterns import java, scanned
+from granary.functions.patterns import java, let, scanned
 
 #: Company endings, authorship phrases, closings, and words that are no names.
 COMPANY = "Inc|Incorporated|LLC|LLP|Ltd|Limited|GmbH|PLC|Corp|Corporation|Company|Holdings|Partners|Group|University|Institute|Foundation|Bank|Trust"
@@ -44,19 +44,21 @@ def people(text: Column) -> Column:
     local = F.regexp_extract_all(scanned(text), F.lit(java(r"\b([\w.+\-]+)@([\w\-]+)\.[\w.\-]{2,}\b")), F.lit(1))
     named = F.transform(F.filter(local, lambda x: x.rlike("[._]")), lambda x: _clean(F.initcap(F.regexp_replace(x, "[._]+", " "))))
     mail = F.transform(F.filter(named, plausible), lambda n: F.struct(n.alias("name"), F.lit("email").alias("source")))
-    all_ = F.concat(sign, by, mail)
-    keys = F.transform(all_, lambda p: F.lower(p["name"]))
-    first = F.filter(all_, lambda p, i: F.array_position(keys, F.lower(p["name"])) == i + 1)
-    return F.slice(first, 1, 12)
+    none = F.array().cast("array<struct<name:string,source:string>>")
+    once = F.aggregate(F.concat(sign, by, mail), none, lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(k["name"]) == F.lower(x["name"])), kept).otherwise(F.array_append(kept, x)))
+    return F.slice(once, 1, 12)
 
 
 def organisations(text: Column) -> Column:
     """Company names, the most frequent first (ties by first appearance), at most 12."""
     p = rf"\b[A-Z][\w&.'\-]*(?:[ ][A-Z][\w&.'\-]*){{0,3}}[ ](?:{COMPANY})\b"
     found = F.filter(F.regexp_extract_all(scanned(text), F.lit(java(p)), F.lit(0)), lambda n: F.length(n) <= 60)
-    different = F.array_distinct(found)
-    ranked = F.array_sort(F.transform(different, lambda n, i: F.struct((-F.size(F.filter(found, lambda x: x == n))).alias("n"), i.alias("i"), n.alias("name"))))
-    return F.slice(F.transform(ranked, lambda x: x["name"]), 1, 12)
+
+    def rank(f: Column) -> Column:
+        each = F.transform(F.array_distinct(f), lambda n, i: F.struct((-F.size(F.filter(f, lambda x: x == n))).alias("n"), i.alias("i"), n.alias("name")))
+        return F.slice(F.transform(F.array_sort(each), lambda x: x["name"]), 1, 12)
+
+    return let(found, rank)
 
 
 def person_or_null(value: Column) -> Column:
@@ -79,9 +81,11 @@ def name_in_filename(filename: Column) -> Column:
     return out
 
 
-def author(meta: Column, filename: Column, text: Column) -> Column:
-    """struct(name, source): the file's own fields, then closing or byline, then the file name, then an address."""
-    p = people(text)
+def author(meta: Column, filename: Column, p: Column) -> Column:
+    """struct(name, source): the file's own fields, then closing or byline, then the file name, then an address.
+
+    ``p`` is a column that holds ``people`` of the text, so that it is found only once.
+    """
     said = F.get(F.filter(p, lambda x: x["source"].isin("signature", "byline")), F.lit(0))
     mail = F.get(F.filter(p, lambda x: x["source"] == "email"), F.lit(0))
     made = lambda n, s: F.when(n.isNotNull(), F.struct(n.alias("name"), F.lit(s).alias("source")))

@@ -485,15 +485,15 @@ def scope_filter(c):
 @query(f"SELECT CASE WHEN file_id % 2 = 0 THEN 'w1' ELSE 'w2' END AS workspace_id, file_id FROM indexed WHERE {SCOPE_SQL} AND file_id % 2 = 0 UNION SELECT 'w2', file_id FROM indexed WHERE root = 'src3'")
 def visible_files(c):
     files = c.indexed.withColumn("library_id", F.when(F.col("root") == "src3", "l3").when(F.col("file_id") % 2 == 0, "l1").otherwise("l2"))
-    tags = files.join(c.asset_tag.filter("source <> 'user'"), "asset_id").select("file_id", "name")
+    tags = files.select("file_id", "asset_id").join(c.asset_tag.filter("source <> 'user'"), "asset_id").select("file_id", "name")
     rows = [("w1", "l1", SCOPE.path_prefixes, SCOPE.include_tags, SCOPE.exclude_tags, SCOPE.media_types), ("w2", "l3", [], [], [], []), ("w2", "l3", ["src3/en"], [], [], [])]
     grants = c.file.sparkSession.createDataFrame(rows, "workspace_id string, library_id string, path_prefixes array<string>, include_tags array<string>, exclude_tags array<string>, media_types array<string>")
     return tenancy.visible(files, tags, grants).select("workspace_id", "file_id")
 
 
-@query("SELECT file_id, tag FROM (SELECT file_id, kind || ':' || name AS tag FROM indexed JOIN asset_tag USING (asset_id) WHERE source <> 'user' UNION SELECT file_id, 'mine:' || file_id % 3 FROM indexed WHERE file_id % 10 = 0 UNION SELECT file_id, 'added:x' FROM indexed WHERE file_id % 15 = 0) EXCEPT SELECT file_id, tag FROM (SELECT file_id, 'topic:topic1' AS tag FROM indexed UNION SELECT file_id, 'added:x' FROM indexed WHERE file_id % 30 = 0)")
+@query("SELECT file_id, tag FROM (SELECT file_id, kind || ':' || asset_tag.name AS tag FROM indexed JOIN asset_tag USING (asset_id) WHERE source <> 'user' UNION SELECT file_id, 'mine:' || file_id % 3 FROM indexed WHERE file_id % 10 = 0 UNION SELECT file_id, 'added:x' FROM indexed WHERE file_id % 15 = 0) EXCEPT SELECT file_id, tag FROM (SELECT file_id, 'topic:topic1' AS tag FROM indexed UNION SELECT file_id, 'added:x' FROM indexed WHERE file_id % 30 = 0)")
 def lens_tags(c):
-    machine = c.indexed.join(c.asset_tag.filter("source <> 'user'"), "asset_id").select("file_id", F.concat_ws(":", "kind", "name").alias("tag"))
+    machine = c.indexed.select("file_id", "asset_id").join(c.asset_tag.filter("source <> 'user'"), "asset_id").select("file_id", F.concat_ws(":", "kind", "name").alias("tag"))
     own = c.indexed.filter("file_id % 10 = 0").select("file_id", F.concat(F.lit("mine:"), (F.col("file_id") % 3).cast("string")).alias("tag"))
     add = c.indexed.filter("file_id % 15 = 0").select("file_id", F.lit("added:x").alias("tag"))
     gone = c.indexed.select("file_id", F.lit("topic:topic1").alias("tag")).union(add.filter("file_id % 30 = 0"))
@@ -518,7 +518,7 @@ def colour_rules(c):
   SELECT file_id, rel_path, asset_id, coalesce(bool_or(kind = 'doctype'), false) AS d, coalesce(bool_or(kind = 'topic'), false) AS t, count(kind) AS n FROM indexed LEFT JOIN (SELECT * FROM asset_tag WHERE NOT (kind = 'topic' AND name IN ('topic1', 'topic2')) AND NOT (kind = 'doctype' AND name = 'es')) USING (asset_id) GROUP BY ALL) WHERE NOT d OR NOT t ORDER BY priority DESC, rel_path LIMIT 120""")
 def review_queue(c):
     t = c.asset_tag.filter("NOT (kind = 'topic' AND name IN ('topic1', 'topic2')) AND NOT (kind = 'doctype' AND name = 'es')")
-    return review.queue(c.indexed, c.indexed.join(t, "asset_id").select("file_id", "kind", "name"))
+    return review.queue(c.indexed, c.indexed.select("file_id", "asset_id").join(t, "asset_id").select("file_id", "kind", "name"))
 
 
 @query("SELECT stem, ext, count(*) AS files, count(DISTINCT parent_rel) AS folders, count(DISTINCT asset_id) AS contents FROM (SELECT 'doc_' || (file_id % 50) AS stem, ext, parent_rel, asset_id FROM indexed) GROUP BY stem, ext HAVING count(*) >= 2 AND count(DISTINCT parent_rel) >= 2 AND count(DISTINCT asset_id) >= 2")
