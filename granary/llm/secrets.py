@@ -39,7 +39,8 @@ LEET = str.maketrans("@4301!5$7+2", "aaeoiissttz")
 #: Rows of a keyboard; neighbours on a row, or across rows at the same place, are adjacent.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _AT = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+_MONTH, _DAY = "(?:1[0-2]|0?[1-9])", "(?:3[01]|[12][0-9]|0?[1-9])"
+DATE = re.compile(rf"(?:19|20)[0-9]{{2}}[-/._]?{_MONTH}[-/._]?{_DAY}|{_DAY}[-/._]?{_MONTH}[-/._]?(?:19|20)[0-9]{{2}}|(?:19|20)[0-9]{{2}}")
 DATE_COST, YEAR_COST = math.log10(366 * 120), math.log10(120)
 
 
