@@ -18,6 +18,15 @@ from granary.functions import identity
 LONG_TEXT, EACH_END, GAP = 800_000, 100_000, "\n[...]\n"
 
 
+def _windows() -> tuple[str, str]:
+    """The C1 controls of Latin-1 and what Windows-1252 has in their place."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs if b)
+
+
+_WINDOWS = _windows()
+
+
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
@@ -46,7 +55,7 @@ def plain_text(spark: SparkSession, path: str, extensions=("txt", "md", "log", "
     utf8 = F.try_validate_utf8(F.decode("content", "UTF-8"))
     bad = F.contains(F.hex("content"), F.lit("00")) & F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(bad, F.decode("content", "UTF-16")).when(valid, utf8).otherwise(F.decode("content", "windows-1252"))
+    text = F.when(bad, F.decode("content", "UTF-16")).when(valid, utf8).otherwise(F.translate(F.decode("content", "ISO-8859-1"), *_WINDOWS))
     cut = F.when(F.col("length") > LONG_TEXT, F.concat(F.substring("text", 1, EACH_END), F.lit(GAP), F.expr(f"right(text, {EACH_END})"))).otherwise(F.col("text"))
     return f.withColumn("text", F.regexp_replace(text, "^﻿", "")).select("path", identity.content_hash(F.col("content")).alias("asset_id"), cut.alias("body"))
 
