@@ -21,7 +21,7 @@ SHINGLE, SIMILAR = 5, 0.75
 COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
 #: Counters of coordinate values for the order of rarity: a fixed size, whatever the corpus.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 16
 #: Most documents compared in one task at once; larger groups are cut into pairs of blocks.
 BLOCK = 4000
 
@@ -60,7 +60,7 @@ def tokens_of(sig: np.ndarray) -> np.ndarray:
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
     x = tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(44)).astype(np.int64)
+    return (x >> np.uint64(48)).astype(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
