@@ -170,12 +170,17 @@ def _blocks(df: DataFrame, key: str, count: str) -> DataFrame:
     return df.withColumn("ij", F.explode(pairs)).select("*", "ij.i", "ij.j").drop("ij")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal groups to four times the usual partitions: their work is CPU time, not bytes, so Spark must not merge small ones."""
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def families(classes: DataFrame) -> DataFrame:
     """(node, label): classes connected by signatures with MATCHES collisions.
 
-    First each posting list is joined with its least member only. Lists whose members are then
-    still in several groups are compared in full, in tasks of at most two blocks, which return
-    no more edges than they have members.
+    First each posting list is joined with its least member only, which settles lists of two.
+    Longer lists whose members are then still in several groups are compared in full, in tasks
+    of at most two blocks, which return no more edges than they have members.
     """
     posts = materialize(postings(classes), "near-dup-postings")
     lists = posts.groupBy("token").agg(F.min("cls").alias("lead"), F.count("*").alias("c")).filter("c > 1")
@@ -186,7 +191,7 @@ def families(classes: DataFrame) -> DataFrame:
     first = materialize(_alike(pairs), "near-dup-stars")
     up = first.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("up"))
     up = materialize(up.join(up.select(F.col("cls").alias("up"), F.col("up").alias("up2")), "up", "left").select("cls", F.coalesce("up2", "up").alias("up")), "near-dup-up")
-    named = posts.join(lists.select("token", "c"), "token").join(up, "cls", "left").withColumn("label", F.coalesce("up", "cls")).drop("up")
+    named = posts.join(lists.filter("c > 2").select("token", "c"), "token").join(up, "cls", "left").withColumn("label", F.coalesce("up", "cls")).drop("up")
     mixed = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("token")
     open_ = _blocks(named.join(mixed, "token").join(side, "cls"), "token", "c")
 
@@ -195,7 +200,7 @@ def families(classes: DataFrame) -> DataFrame:
         u, v = _spanning(pdf["cls"].to_numpy(), pdf["n"].to_numpy(), sig, np.zeros(len(pdf)), pdf["label"].to_numpy())
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    second = open_.groupBy("token", "i", "j").applyInPandas(link, "u long, v long")
+    second = _spread(open_, "token", "i", "j").groupBy("token", "i", "j").applyInPandas(link, "u long, v long")
     return components(first.unionByName(second.distinct()))
 
 
@@ -283,7 +288,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         kept = np.array(kept, np.int64)
         return pd.DataFrame({"u": kept, "v": kept[label]})
 
-    links = _blocks(with_text, "fam", "c").groupBy("fam", "i", "j").applyInPandas(confirm, "u long, v long")
+    links = _spread(_blocks(with_text, "fam", "c"), "fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(confirm, "u long, v long")
     links = materialize(links.filter("u <> v"), "near-dup-links")
     joined = components(links).withColumnRenamed("node", "cls")
     least = joined.join(classes.select("cls", "rep"), "cls").groupBy("label").agg(F.min("rep").alias("least"))
