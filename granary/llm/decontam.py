@@ -16,7 +16,7 @@ TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach, and share of the word triples of question and of answer.
 LEAST_SCORE, LEAST_OVERLAP, GRAM = 0.5, 0.6, 3
-BLOCK_ITEMS, PASSAGE = 8, 128
+BLOCK_ITEMS, PASSAGE = 2, 256
 #: Most text of items in one broadcast index; a larger benchmark is searched in several passes.
 INDEX_CHARS = 32 << 20
 
@@ -75,12 +75,14 @@ class Index:
             own = sum(w.values())
             for t, x in w.items():
                 post[self.term[t]].append((k, x / own))
-        self.post = post
         self.most = np.array([max(x for _, x in p) for p in post] or [0.0])
-        rows = [(t, k // BLOCK_ITEMS, x) for t, p in enumerate(post) for k, x in p]
-        best: dict[tuple[int, int], float] = {}
-        for t, b, x in rows:
-            best[t, b] = max(best.get((t, b), 0.0), x)
+        #: postings of a term in a block
+        self.part: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for t, p in enumerate(post):
+            for k, x in p:
+                self.part.setdefault((t, k // BLOCK_ITEMS), []).append((k, x))
+        best = {at: max(x for _, x in p) for at, p in self.part.items()}
+        self.best = best
         keys = sorted(best)
         self.block = np.array([b for _, b in keys], np.intp)
         self.block_most = np.array([best[k] for k in keys])
@@ -102,12 +104,7 @@ class Index:
 
     def _wand(self, terms: list[int], blk: int, least: float) -> list[tuple[int, float]]:
         """Document-at-a-time WAND over the postings of one block whose bound allows a hit."""
-        lo, hi = blk * BLOCK_ITEMS, (blk + 1) * BLOCK_ITEMS
-        lists = []
-        for t in terms:
-            p = [x for x in self.post[t] if lo <= x[0] < hi] if len(self.post[t]) < 64 else self._slice(t, lo, hi)
-            if p:
-                lists.append([p[0][0], max(x for _, x in p), 0, p])
+        lists = [[p[0][0], self.best[t, blk], 0, p] for t in terms if (p := self.part.get((t, blk)))]
         found = []
         while lists:
             lists.sort(key=lambda x: x[0])
@@ -137,12 +134,6 @@ class Index:
             lists = [x for x in lists if x[0] is not None]
         return found
 
-    def _slice(self, t: int, lo: int, hi: int) -> list[tuple[int, float]]:
-        from bisect import bisect_left
-
-        p = self.post[t]
-        return p[bisect_left(p, (lo, -1.0)) : bisect_left(p, (hi, -1.0))]
-
     def search(self, text: str, least: float = LEAST_SCORE, overlap: float = LEAST_OVERLAP) -> list[tuple[object, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of the items found in a text, best passage of each."""
         if not self.items:
