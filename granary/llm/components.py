@@ -23,7 +23,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     its lineage is cut and a lost executor does not repeat the rounds before. Null ends and
     loops are dropped, except that a loop still names its node.
     """
-    both = edges.filter("u IS NOT NULL AND v IS NOT NULL")
+    # written first: the edges may be dear, and both the nodes and the first round read them
+    both = materialize(edges.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v"), "component-edges")
     nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = materialize(both.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     mark = None
