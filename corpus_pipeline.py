@@ -12,9 +12,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the others (no letters, or like no known language) go."""
-    verdict = language.identify(docs, id_col="doc_id").filter("accepted").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(verdict, "doc_id", "left_semi")
+    """Documents whose language is identified; the others (no letters, or like no known language) go.
+
+    The few rejected ids are written first, so Spark knows their size and need not shuffle the texts
+    where they are small. Rows without id cannot be told apart and stay.
+    """
+    rejected = materialize(language.identify(docs, id_col="doc_id").filter("NOT accepted").select("doc_id").distinct(), "pipeline-rejected")
+    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
