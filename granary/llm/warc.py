@@ -68,11 +68,17 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The inflated gzip members of an archive, one after another."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+    """The inflated gzip members of an archive, one after another; fed in pieces, so that no rest is copied again and again."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + (1 << 14)]
+            if not len(piece):
+                raise ValueError("the archive is cut off")
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def _filesystem(uri: str):
