@@ -283,14 +283,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 kept.append(cls)
                 sets.append(s)
         if not sets:
-            return pd.DataFrame({"u": np.array([], np.int64), "v": np.array([], np.int64)})
+            return pd.DataFrame({"u": np.array([], np.int64), "v": np.array([], np.int64), "whole": np.array([], bool)})
         label = _exact(sets, np.array([signature(s) for s in sets]))
         kept = np.array(kept, np.int64)
-        return pd.DataFrame({"u": kept, "v": kept[label]})
+        return pd.DataFrame({"u": kept, "v": kept[label], "whole": pdf["c"].iloc[0] <= BLOCK})
 
-    links = _spread(_blocks(with_text, "fam", "c"), "fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(confirm, "u long, v long")
+    links = _spread(_blocks(with_text, "fam", "c"), "fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(confirm, "u long, v long, whole boolean")
     links = materialize(links.filter("u <> v"), "near-dup-links")
-    joined = components(links).withColumnRenamed("node", "cls")
+    # families compared in one task are labelled by it; only those cut into blocks need components
+    done = links.filter("whole").select(F.col("u").alias("cls"), F.col("v").alias("label"))
+    joined = done.union(done.select("label", "label")).distinct()
+    cut = links.filter("NOT whole").select("u", "v")
+    if cut.limit(1).count():
+        joined = joined.union(components(cut).select("node", "label"))
     least = joined.join(classes.select("cls", "rep"), "cls").groupBy("label").agg(F.min("rep").alias("least"))
     named = materialize(classes.select("cls", "rep").join(joined, "cls", "left").join(least, "label", "left").select("cls", F.coalesce("least", "rep").alias("component_id")), "near-dup-named")
     out = rows.select("doc_id", "n", "cls").join(named, "cls", "left")
