@@ -15,9 +15,9 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Wider credential contexts, in which a value counts only if it is hard to guess.
+#: Wider credential contexts, in which a value counts only if it is hard to guess. The key may be the end of a longer name (DB_PASS).
 CONTEXT = re.compile(
-    r"""\b(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|bearer|private_?key|client_?key|access_?key|signing_?key)\b["']?\x20*(?:[:=]|\bis\b)\x20*(?:bearer\x20+)?["']?([^\s"'<>,;|]+)""",
+    r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|bearer|private_?key|client_?key|access_?key|signing_?key)\b["']?\x20*(?:[:=]|\bis\b)\x20*(?:bearer\x20+)?["']?([^\s"'<>,;|]+)""",
     re.I | re.A,
 )
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -123,7 +123,7 @@ def find_spans(text: str, strong: float = 10.0) -> tuple[list[tuple[int, int, st
         base = list(spans)
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if b - a >= 8 and not any(s < b and a < e for s, e, _ in base) and guess_cost(m[1]) >= strong:
+            if not any(s < b and a < e for s, e, _ in base) and guess_cost(m[1]) >= strong:
                 spans.append((a, b, "guess"))
     spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return spans, hard
