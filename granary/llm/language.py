@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from granary.llm.common import map_rows
 from granary.session import materialize
 
-#: Hashed letter trigrams; languages and documents of each language that the text model is fitted on (the documented bound).
-BUCKETS, MOST_LANGUAGES, PER_LANGUAGE = 1 << 15, 64, 1500
+#: Hashed letter trigrams; documents of each language that the text model is fitted on (the documented bound); languages counted at once in a task.
+BUCKETS, PER_LANGUAGE, AT_ONCE = 1 << 15, 1500, 64
 #: Neighbouring trigrams are not independent: so much of their log-likelihood counts.
 TEMPER = 1 / 3
 #: Weights of the broader level in the smoothing of hosts by suffixes, and of suffixes by all rows.
@@ -50,49 +50,68 @@ def trigrams(text: str) -> np.ndarray:
 
 @dataclass
 class TextModel:
+    """Log-likelihoods by bucket, sparse: ``languages[lang[k]]`` gains ``gain[k]`` over ``base`` for k from start[bucket] on."""
+
     languages: list[str]
-    table: np.ndarray  # (BUCKETS, languages + 1) log-likelihoods; the last column is the uniform model
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray  # by language, of a trigram that it never showed; the last is the uniform model
 
     def log_likelihoods(self, text: str) -> list[float]:
         h = trigrams(text)
-        total = np.zeros(self.table.shape[1])
-        for at in range(0, len(h), 1 << 16):
-            total += self.table[h[at : at + (1 << 16)]].sum(0, dtype=np.float64)
+        n = np.bincount(h, minlength=BUCKETS)
+        seen = np.flatnonzero(n)
+        size = self.start[seen + 1] - self.start[seen]
+        at = np.arange(size.sum()) + np.repeat(self.start[seen] - (np.cumsum(size) - size), size)
+        total = np.bincount(self.lang[at], self.gain[at] * np.repeat(n[seen], size), minlength=len(self.base)) + len(h) * self.base
         return (TEMPER * total).tolist()
 
 
 def fit_text(rows: DataFrame, *, per_language: int = PER_LANGUAGE) -> TextModel:
-    """Trigram models of the MOST_LANGUAGES most declared languages of (id, text, declared).
+    """Trigram models of all declared languages of (id, text, declared), however rare.
 
     Of each language about ``per_language`` rows with the least hashes are used; only their
-    summed counts, of a fixed size, reach the driver. Rows without declared language or text do not count.
+    summed counts by language and bucket reach the driver. Rows without declared language or text do
+    not count. Half a count for every bucket shrinks rare languages towards the uniform model; a
+    trigram that a language never showed costs at least twice as much as in the uniform model, so
+    that a language with next to no text does not stand for all unknown ones.
     """
-    named = rows.filter("declared IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = named.groupBy("declared").agg(F.count("*").alias("n")).filter("n >= 5").orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in counts)
-    if not languages:
-        return TextModel([], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["declared"], min(1.0, per_language / r["n"]))])
+    spark = rows.sparkSession
+    named = rows.filter("declared IS NOT NULL AND text IS NOT NULL AND text <> ''").filter(~F.col("declared").isin("", UNKNOWN))
+    counts = named.groupBy("declared").agg(F.count("*").alias("n")).collect()
+    names = sorted(r["declared"] for r in counts)
+    shares = spark.createDataFrame([(r["declared"], min(1.0, per_language / r["n"])) for r in counts], "declared string, share double")
     spot = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = named.filter(F.col("declared").isin(languages)).filter(spot < share[F.col("declared")]).select("declared", "text")
-    at = {x: i for i, x in enumerate(languages)}
+    picked = named.join(F.broadcast(shares), "declared").filter(spot < F.col("share")).select("declared", "text")
+    at = {x: i for i, x in enumerate(names)}
+
+    def flat(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, n in total.items():
+            j = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), lang)), pa.array(j), pa.array(n[j])], names=["lang", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(at), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    total[at[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
-        i, j = np.nonzero(total)
-        for s in range(0, len(i), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(i[s : s + 50_000]), pa.array(j[s : s + 50_000]), pa.array(total[i[s : s + 50_000], j[s : s + 50_000]])], names=["lang", "bucket", "n"])
-
-    got = picked.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    c = np.full((BUCKETS, len(languages)), 0.5)
-    c[got["bucket"].to_numpy(np.int64), got["lang"].to_numpy(np.int64)] += got["n"].to_numpy(np.int64)
-    table = np.hstack([np.log(c / c.sum(0)), np.full((BUCKETS, 1), -np.log(BUCKETS))])
-    return TextModel(languages, table.astype(np.float32))
+                    k = at[lang]
+                    if k not in total:
+                        if len(total) >= AT_ONCE:
+                            yield from flat(total)
+                            total = {}
+                        total[k] = np.zeros(BUCKETS, np.int64)
+                    total[k] += np.bincount(trigrams(text), minlength=BUCKETS)
+        yield from flat(total)
+
+    got = picked.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "lang"])
+    lang, bucket, n = (got[c].to_numpy(np.int64) for c in ("lang", "bucket", "n"))
+    kept, lang = np.unique(lang, return_inverse=True)  # languages without a letter have no model
+    whole = np.bincount(lang, n, minlength=len(kept)) + BUCKETS / 2
+    base = np.log(np.minimum(0.5 / whole, 0.5 / BUCKETS))
+    return TextModel([names[k] for k in kept], np.searchsorted(bucket, np.arange(BUCKETS + 1)), lang.astype(np.int32), np.log((n + 0.5) / whole[lang]) - base[lang], np.append(base, -np.log(BUCKETS)))
 
 
 def _argmax(v: Column, names: Sequence[str]) -> Column:
@@ -100,8 +119,10 @@ def _argmax(v: Column, names: Sequence[str]) -> Column:
 
 
 def _counts(df: DataFrame, by: list[str], names: Sequence[str], out: str) -> DataFrame:
-    """Rows of each language by ``by``: one grouped aggregation with partial sums."""
-    return df.groupBy(*by).agg(F.array(*[F.sum((F.col("guess") == n).cast("double")) for n in names]).alias(out))
+    """Rows of each language by ``by``: only the languages that are there are counted, the others are 0."""
+    each = df.groupBy(*by, "guess").agg(F.count("*").cast("double").alias("n"))
+    found = each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("found"))
+    return found.select(*by, F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("found", n), F.lit(0.0))).alias(out))
 
 
 def identify(
@@ -122,7 +143,9 @@ def identify(
     these by all rows; all three come from grouped aggregations over the languages that the text
     alone suggests, as does P(declared | language). A further hypothesis "und" has a uniform text
     model. ``accepted`` is false where "und" wins, the best posterior is below ``least``, or the
-    text has no letter: null, empty and letterless texts are never accepted.
+    text has no letter: null, empty and letterless texts are never accepted. Where nothing can
+    speak for a text, because its declared language has no model or no language is declared at
+    all, it is accepted as it is.
 
     One row per input row. Null or unknown declared languages, hosts and suffixes are values like others.
     """
@@ -144,8 +167,9 @@ def identify(
     for c in ("declared", "host", "suffix"):
         seen = seen.withColumn(c, F.coalesce(c, F.lit("")))
     seen = materialize(seen.withColumn("guess", F.when(F.col("letters"), _argmax(F.col("ll"), names))), "language-text")
-    # three grouped aggregations; the totals are one row, bounded by the number of languages
-    all_ = seen.agg(F.array(*[F.coalesce(F.sum((F.col("guess") == n).cast("double")), F.lit(0.0)) for n in names])).first()[0]
+    # three grouped aggregations; the totals are bounded by the number of languages
+    totals = {r["guess"]: float(r["count"]) for r in seen.groupBy("guess").count().collect()}
+    all_ = [totals.get(n, 0.0) for n in names]
     base = [(x + 1) / (sum(all_) + len(names)) for x in all_]
     base[-1] = min(base[-1], UNKNOWN_PRIOR)
     lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
@@ -162,7 +186,8 @@ def identify(
     out = out.withColumn("post", score).withColumn("best", F.array_max("post"))
     posterior = F.lit(1.0) / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
     out = out.withColumn("language", F.when(F.col("letters"), _argmax(F.col("post"), names)).otherwise(UNKNOWN)).withColumn("posterior", posterior)
-    accepted = F.col("letters") & (F.col("language") != UNKNOWN) & (F.col("posterior") >= least)
+    unmodelled = ~F.col("declared").isin("", *names) if model.languages else F.lit(True)
+    accepted = F.col("letters") & (unmodelled | ((F.col("language") != UNKNOWN) & (F.col("posterior") >= least)))
     return out.select(F.col("id").alias(id_col), "language", F.round("posterior", 6).alias("posterior"), F.coalesce("guess", F.lit(UNKNOWN)).alias("text_language"), "declared", accepted.alias("accepted"))
 
 
