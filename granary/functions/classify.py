@@ -12,30 +12,49 @@ from granary.functions import people as who
 
 #: Least score and share of a verdict, score below which a model would be asked, weights, caps.
 MIN_SCORE, MIN_SHARE, ESCALATE_BELOW = 6.0, 0.34, 14.0
-STRONG, TERM, CUE, EXT, TERM_CAP, MAX_TEXT = 3.0, 1.0, 4.0, 6.0, 4, 120_000
+STRONG, TERM, CUE, EXT, TERM_CAP = 3.0, 1.0, 4.0, 6.0, 4
 
-#: A small vocabulary; callers pass their own in the same form. Axis -> category -> (strong terms, terms, name cues, extensions).
+#: The vocabulary of SURVEY Appendix B; callers may pass their own in the same form. Axis -> category -> (strong terms, terms, name cues, extensions).
 VOCABULARY: Mapping[str, Mapping[str, tuple[Sequence[str], Sequence[str], Sequence[str], Sequence[str]]]] = {
     "doctype": {
-        "invoice": (["invoice number", "bill to", "amount due", "payment terms"], ["invoice", "subtotal", "vat", "due date", "remit"], ["invoice", "inv_"], []),
-        "contract": (["this agreement", "hereinafter", "governing law", "in witness whereof"], ["party", "parties", "clause", "term", "termination"], ["contract", "agreement"], []),
-        "resume": (["curriculum vitae", "work experience", "references available"], ["education", "skills", "experience", "employment"], ["cv", "resume"], []),
-        "meeting-notes": (["action items", "minutes of", "next meeting"], ["attendees", "agenda", "standup", "discussed"], ["minutes", "standup", "meeting"], []),
-        "log": (["stack trace", "exit code"], ["error", "warn", "info", "debug", "timestamp"], ["log"], ["log"]),
-        "letter": (["yours sincerely", "yours faithfully", "dear sir"], ["dear", "regards", "sincerely"], ["letter"], []),
-        "report": (["executive summary", "table of contents"], ["findings", "recommendations", "conclusion", "analysis"], ["report"], []),
-        "spreadsheet": ([], ["total", "sum", "column", "row"], ["sheet"], ["xlsx", "csv", "tsv"]),
-        "photo": ([], [], ["photo", "img"], []), "recording": ([], [], ["recording"], []), "screenshot": ([], [], ["screenshot"], []),
+        "invoice": (["invoice number", "invoice no", "amount due", "total due", "balance due", "remit to", "payment terms", "net 30", "bill to"], ["invoice", "subtotal", "vat", "gst", "purchase order", "po number", "due date", "quantity", "unit price"], ["invoice", "inv-", "inv_", "bill"], []),
+        "receipt": (["thank you for your purchase", "order confirmation", "transaction id", "card ending", "change due", "cashier"], ["receipt", "order number", "merchant", "refund", "subtotal", "tendered", "auth code"], ["receipt", "order"], []),
+        "statement": (["account summary", "closing balance", "opening balance", "statement period", "available credit", "minimum payment"], ["statement", "account number", "deposits", "withdrawals", "interest", "transactions", "sort code", "iban"], ["statement", "stmt"], []),
+        "contract": (["hereinafter", "whereas", "in witness whereof", "governing law", "the parties agree", "shall be deemed", "indemnify", "termination for convenience", "entire agreement"], ["agreement", "contract", "clause", "parties", "liability", "confidentiality", "warranty", "jurisdiction", "effective date", "executed"], ["contract", "agreement", "nda", "msa", "sow", "terms"], []),
+        "report": (["executive summary", "key findings", "recommendations", "table of contents", "appendix", "methodology"], ["report", "analysis", "overview", "summary", "conclusion", "quarter", "annual", "performance", "metrics", "kpi"], ["report", "review", "analysis", "q1", "q2", "q3", "q4"], []),
+        "presentation": (["agenda slide", "thank you questions", "next steps", "our mission", "key takeaways"], ["slide", "agenda", "roadmap", "vision", "takeaway", "appendix"], ["deck", "slides", "presentation", "pitch", "kickoff", "all hands", "allhands", "townhall"], ["key", "odp", "ppt", "pptx"]),
+        "spreadsheet": ([], ["total", "sum", "row", "column", "sheet", "average"], ["sheet", "table", "export", "tracker"], ["csv", "ods", "tsv", "xls", "xlsx"]),
+        "log": (["stack trace", "exception in thread", "connection refused", "segmentation fault", "traceback"], ["error", "warn", "warning", "info", "debug", "trace", "fatal", "exception", "timeout", "retry", "request", "response", "status"], ["log", "logs", "syslog", "stderr", "stdout", "crash", "dump", "trace"], ["log"]),
+        "source-code": (["public static void", "def", "function", "#include", "import", "class", "const", "namespace"], ["var", "let", "null", "true", "false", "async", "await", "self", "params", "endpoint", "return"], [".py", ".js", ".ts", ".java", ".go", ".rs", ".cpp", ".rb", ".cs", ".sh", ".sql"], ["c", "cpp", "cs", "go", "h", "java", "js", "json", "jsx", "ps1", "py", "rb", "rs", "sh", "sql", "toml", "ts", "tsx", "yaml", "yml"]),
+        "resume": (["curriculum vitae", "work experience", "professional experience", "references available", "career objective", "employment history"], ["resume", "education", "skills", "certifications", "achievements", "responsibilities", "bachelor", "master", "graduated"], ["resume", "cv", "curriculum"], []),
+        "letter": (["dear sir", "dear madam", "yours sincerely", "yours faithfully", "kind regards", "to whom it may concern", "best regards"], ["dear", "sincerely", "regards", "enclosed", "writing to"], ["letter", "cover", "memo"], []),
+        "meeting-notes": (["action items", "attendees", "minutes of the meeting", "apologies for absence", "follow up items", "decisions made"], ["meeting", "agenda", "notes", "discussion", "owner", "standup", "retro", "retrospective"], ["notes", "minutes", "meeting", "standup", "retro"], []),
+        "form": (["please complete", "for office use only", "signature date", "tick as appropriate", "check all that apply"], ["form", "applicant", "please print", "required", "surname", "date of birth"], ["form", "application", "questionnaire", "survey"], []),
+        "paper": (["abstract", "et al", "literature review", "we propose", "related work", "future work", "doi"], ["hypothesis", "methodology", "experiment", "dataset", "results", "citation", "references", "journal", "arxiv"], ["paper", "thesis", "dissertation", "arxiv", "preprint"], []),
+        "manual": (["getting started", "troubleshooting", "before you begin", "safety instructions", "step by step"], ["manual", "guide", "instructions", "installation", "setup", "configuration", "requirements", "caution", "chapter"], ["manual", "guide", "handbook", "readme", "howto", "docs"], []),
+        "policy": (["this policy applies", "scope and purpose", "code of conduct", "acceptable use", "compliance with"], ["policy", "procedure", "guideline", "mandatory", "compliance", "governance", "retention"], ["policy", "procedure", "compliance"], []),
+        "proposal": (["statement of work", "scope of work", "deliverables", "proposed approach", "timeline and milestones"], ["proposal", "quotation", "estimate", "tender", "scope", "assumptions", "milestone"], ["proposal", "quote", "rfp", "estimate"], []),
+        "transcript": (["speaker 1", "speaker 2", "inaudible", "crosstalk"], ["transcript", "interview", "recording", "verbatim", "timestamp"], ["transcript", "interview", "recording"], ["srt", "vtt"]),
+        "screenshot": ([], [], ["screenshot", "screen shot", "screen_shot", "snip", "capture"], []),
+        "photo": ([], [], ["photo", "pic", "img"], []),
+        "recording": ([], [], ["recording", "audio", "video"], []),
+        "certificate": (["this certifies that", "hereby certifies", "certificate of"], ["certificate", "certification", "awarded", "valid until", "credential", "diploma"], ["certificate", "cert", "diploma", "licence", "license"], []),
     },
     "topic": {
-        "finance": (["balance sheet", "accounts payable", "bank account"], ["invoice", "payment", "vat", "budget", "currency", "tax"], ["finance", "invoice"], []),
-        "legal": (["governing law", "hereinafter", "intellectual property"], ["agreement", "liability", "clause", "contract", "supplier"], ["legal", "contract"], []),
-        "engineering": (["stack trace", "pull request", "load balancer"], ["server", "deploy", "database", "api", "error", "latency"], ["log", "eng"], []),
-        "hr": (["annual leave", "performance review"], ["employee", "salary", "hiring", "candidate"], ["hr", "cv"], []),
-        "security": (["access token", "api key"], ["password", "credential", "secret", "encryption"], ["credentials"], []),
-        "medical": (["patient id", "clinical trial"], ["diagnosis", "dosage", "symptoms"], ["medical"], []),
-        "research": (["et al", "peer review"], ["study", "hypothesis", "results", "method"], ["paper"], []),
-        "travel": (["boarding pass"], ["flight", "hotel", "itinerary"], ["trip"], []),
+        "finance": (["balance sheet", "income statement", "cash flow", "ebitda", "gross margin", "profit and loss", "accounts payable", "accounts receivable", "fiscal year", "amount due"], ["invoice", "revenue", "expense", "budget", "forecast", "cost", "payment", "tax", "vat", "ledger", "transaction", "interest", "capital", "depreciation", "opex", "capex", "variance", "margin", "valuation", "funding", "payroll"], ["finance", "budget", "invoice", "expense", "payroll", "accounts", "tax"], []),
+        "legal": (["governing law", "hereinafter", "in witness whereof", "intellectual property", "limitation of liability", "force majeure", "dispute resolution"], ["agreement", "contract", "clause", "liability", "warranty", "indemnity", "litigation", "counsel", "statute", "regulation", "jurisdiction", "plaintiff", "defendant", "trademark", "copyright", "patent"], ["legal", "contract", "nda", "agreement", "terms"], []),
+        "hr": (["employment agreement", "performance review", "notice period", "annual leave", "probation period", "onboarding"], ["employee", "candidate", "recruiter", "salary", "benefits", "sick leave", "appraisal", "promotion", "headcount", "hiring", "resignation", "offer letter"], ["hr", "people", "hiring", "recruit", "onboarding", "resume", "cv"], []),
+        "engineering": (["pull request", "unit test", "stack trace", "api endpoint", "database schema", "deployment pipeline", "root cause"], ["server", "client", "api", "database", "query", "latency", "throughput", "deploy", "release", "commit", "branch", "container", "kubernetes", "docker", "repository", "refactor", "architecture", "endpoint", "schema", "cache"], ["eng", "dev", "build", "deploy", "api", "src", "code", "architecture"], []),
+        "marketing": (["brand guidelines", "target audience", "conversion rate", "go to market", "customer journey", "campaign performance"], ["campaign", "brand", "audience", "impressions", "engagement", "ctr", "seo", "newsletter", "creative", "messaging", "positioning", "funnel", "awareness"], ["marketing", "campaign", "brand", "social", "content"], []),
+        "sales": (["pipeline review", "closed won", "closed lost", "renewal date", "deal desk"], ["prospect", "opportunity", "pipeline", "quota", "deal", "discount", "renewal", "churn", "upsell", "crm"], ["sales", "pipeline", "deals", "crm"], []),
+        "research": (["literature review", "we hypothesise", "we hypothesize", "statistically significant", "control group", "peer review"], ["study", "experiment", "hypothesis", "sample", "dataset", "correlation", "variable", "methodology", "survey", "findings", "citation", "journal", "abstract"], ["research", "study", "paper", "thesis", "experiment"], []),
+        "medical": (["patient name", "medical history", "treatment plan", "diagnosis", "prescribed", "icd 10"], ["patient", "clinic", "hospital", "symptoms", "dosage", "prescription", "referral", "consultant", "vaccination", "allergy"], ["medical", "health", "patient", "clinic", "prescription"], []),
+        "education": (["learning outcomes", "course syllabus", "assignment brief", "marking criteria"], ["course", "lecture", "student", "assignment", "exam", "grade", "module", "syllabus", "curriculum", "homework", "tutor", "university", "coursework"], ["course", "lecture", "class", "school", "university", "assignment", "exam"], []),
+        "operations": (["standard operating procedure", "service level agreement", "incident report", "supply chain", "inventory count"], ["workflow", "logistics", "inventory", "supplier", "vendor", "shipment", "warehouse", "capacity", "maintenance", "sop", "sla", "downtime"], ["ops", "operations", "logistics", "inventory", "vendor", "supplier"], []),
+        "security": (["access control", "threat model", "penetration test", "security incident", "multi factor", "least privilege"], ["password", "credential", "token", "encryption", "vulnerability", "exploit", "firewall", "breach", "phishing", "malware", "permission", "mfa", "cve"], ["security", "secrets", "keys", "credentials", "vault"], []),
+        "personal": (["happy birthday", "see you soon", "family photo"], ["family", "birthday", "wedding", "friends", "recipe", "hobby", "shopping", "diary", "journal"], ["personal", "family", "diary", "birthday", "wedding"], []),
+        "travel": (["boarding pass", "flight number", "check in time", "booking reference", "departure gate", "itinerary"], ["flight", "hotel", "booking", "reservation", "passport", "visa", "airport", "departure", "arrival", "baggage", "destination"], ["travel", "trip", "flight", "hotel", "booking", "itinerary", "holiday", "vacation"], []),
+        "design": (["design system", "style guide", "wireframe", "user flow", "colour palette", "color palette"], ["mockup", "prototype", "layout", "typography", "palette", "icon", "spacing", "component", "accessibility"], ["design", "mockup", "wireframe", "figma", "assets"], []),
     },
 }
 
@@ -50,18 +69,24 @@ def lexicon(spark, vocabulary=VOCABULARY) -> DataFrame:
     return spark.createDataFrame(rows, "axis string, category string, place int, kind string, term string, weight double")
 
 
-def lexicon_scores(docs: DataFrame, lex: DataFrame, *, key: str = "file_id", longest: int = 5) -> DataFrame:
+def lexicon_scores(docs: DataFrame, lex: DataFrame, *, key: str = "file_id", longest: int = 5, scan: int | None = None) -> DataFrame:
     """(key, axis, category, place, score) of docs(key, name, ext, text).
 
     Word runs of up to ``longest`` words meet the broadcast vocabulary in one equi-join. Other
-    characters are tokens of their own, so only white space may stand inside a term.
+    characters are tokens of their own, so only white space may stand inside a term; the few
+    terms with other characters are counted as they stand. Whole texts count, or their first ``scan`` characters.
     """
-    toks = F.regexp_extract_all(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, MAX_TEXT)), F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0))
+    low = F.lower(pat.scanned(F.col("text"), scan))
+    toks = F.regexp_extract_all(low, F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0))
     t = docs.select(key, toks.alias("t"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("t", i, n), " "))))
-    terms = lex.filter("kind = 'term'")
-    heads = F.broadcast(terms.select("term", "axis", "category", "place", "weight"))
+    plain = F.col("term").rlike(r"(?U)^[\w\s]*$")
+    terms = lex.filter("kind = 'term'").select("term", "axis", "category", "place", "weight")
+    heads = F.broadcast(terms.filter(plain))
     hit = t.select(key, F.explode(runs).alias("term")).join(heads, "term").groupBy(key, "axis", "category", "place", "term", "weight").agg(F.count("*").alias("n"))
+    odd = docs.select(key, low.alias("low")).crossJoin(F.broadcast(terms.filter(~plain)))
+    n = F.regexp_count("low", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("term"), F.lit(r"\E(?!\w)"))).cast("long")
+    hit = hit.unionByName(odd.withColumn("n", n).filter("n > 0").drop("low"))
     words = hit.select(key, "axis", "category", "place", (F.col("weight") * F.least("n", F.lit(TERM_CAP))).alias("score"))
     cues = docs.select(key, F.lower("name").alias("name")).join(F.broadcast(lex.filter("kind = 'cue'")), F.contains(F.col("name"), F.col("term"))).select(key, "axis", "category", "place", F.col("weight").alias("score"))
     exts = docs.select(key, F.lower("ext").alias("term")).join(F.broadcast(lex.filter("kind = 'ext'")), "term").select(key, "axis", "category", "place", F.col("weight").alias("score"))

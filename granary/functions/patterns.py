@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text that are scanned, and of a sample that are kept.
-SCAN, SAMPLE = 400_000, 60
+#: Fixed value: characters of a sample that are kept.
+SAMPLE = 60
 
 
 class Detector(NamedTuple):
@@ -68,8 +68,9 @@ def java(regex: str, flags: str = "") -> str:
     return f"(?Ud{flags}){regex}"
 
 
-def scanned(text: Column) -> Column:
-    return F.coalesce(F.substring(text, 1, SCAN), F.lit(""))
+def scanned(text: Column, scan: int | None = None) -> Column:
+    """The whole text, or its first ``scan`` characters; null is empty."""
+    return F.coalesce(text if scan is None else F.substring(text, 1, scan), F.lit(""))
 
 
 def let(value: Column, body) -> Column:
@@ -77,9 +78,9 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def hits(text: Column, name: Column) -> Column:
+def hits(text: Column, name: Column, scan: int | None = None) -> Column:
     """Array of (name, n, sample) of the detectors that fire, in order; samples are only cut for those."""
-    body, low = scanned(text), F.lower(F.coalesce(name, F.lit("")))
+    body, low = scanned(text, scan), F.lower(F.coalesce(name, F.lit("")))
     out = []
     for d in DETECTORS:
         p = java(d.regex, d.flags)
@@ -118,9 +119,9 @@ def _stamps(take: str, stamp):
     return lambda m: stamp(*[F.nullif(F.regexp_extract(m, take, i), F.lit("")) for i in (1, 2, 3)])
 
 
-def dates(text: Column) -> Column:
-    """Epoch seconds of the plausible dates in a text, format by format, at most 500."""
-    body = scanned(text)
+def dates(text: Column, scan: int | None = None, most: int | None = None) -> Column:
+    """Epoch seconds of the plausible dates in a text, format by format; all of them, or the first ``most``."""
+    body = scanned(text, scan)
     formats = (
         (r"\b\d{4}-\d{2}-\d{2}\b", r"(\d+)-(\d+)-(\d+)", lambda a, b, c: _noon(a.cast("int"), b.cast("int"), c.cast("int"))),
         (r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"(\d+)/(\d+)/(\d+)", lambda a, b, c: F.coalesce(_noon(c.cast("int"), b.cast("int"), a.cast("int")), _noon(c.cast("int"), a.cast("int"), b.cast("int")))),
@@ -131,7 +132,7 @@ def dates(text: Column) -> Column:
     for find, take, stamp in formats:
         found = F.regexp_extract_all(body, F.lit(java(find)), F.lit(0))
         parts.append(F.filter(F.transform(found, _stamps(take, stamp)), lambda x: x.isNotNull()))
-    return F.slice(F.concat(*parts), 1, 500)
+    return F.concat(*parts) if most is None else F.slice(F.concat(*parts), 1, most)
 
 
 def date_in_name(name: Column) -> Column:
@@ -143,9 +144,12 @@ def modal(values: Column) -> Column:
     """The most frequent value of an array, of ties the first seen."""
 
     def pick(v: Column) -> Column:
-        n = lambda x: F.size(F.filter(v, lambda y: y == x))
-        ranked = F.transform(F.array_distinct(v), lambda x, i: F.struct(n(x).alias("n"), (-i).alias("i"), x.alias("x")))
-        return F.array_max(ranked)["x"]
+        # equal values are neighbours once sorted, so one pass counts them
+        seen = F.array_sort(F.transform(F.filter(v, lambda x: x.isNotNull()), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.get(v, F.lit(-1)).alias("x"))
+        run = lambda s, y: F.when(s["run"]["x"] == y["x"], F.struct((s["run"]["n"] + 1).alias("n"), s["run"]["i"].alias("i"), y["x"].alias("x"))).otherwise(F.struct(F.lit(1).alias("n"), (-y["i"]).alias("i"), y["x"].alias("x")))
+        step = lambda s, y: let(run(s, y), lambda r: F.struct(r.alias("run"), F.greatest(s["best"], r).alias("best")))
+        return F.aggregate(seen, F.struct(none.alias("run"), none.alias("best")), step, lambda s: s["best"]["x"])
 
     return let(values, pick)
 

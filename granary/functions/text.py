@@ -78,9 +78,12 @@ def snippet(text: Column, terms: Sequence[str], width: int = 12) -> Column:
     return F.when(at > 0, F.array_join(cut, " "))
 
 
-def keywords(blocks: DataFrame, *, key: str = "asset_id", body: str = "body", top: int = 12, shortest: int = 4, scan: int = 200_000, least_chars: int = 200) -> DataFrame:
-    """(key, word, n, confidence): the most frequent words of each text, ties by first appearance."""
-    t = F.regexp_extract_all(F.lower(F.substring(body, 1, scan)), F.lit(r"([\p{L}\p{N}_-]+)"))
+def keywords(blocks: DataFrame, *, key: str = "asset_id", body: str = "body", top: int = 12, shortest: int = 4, scan: int | None = None, least_chars: int = 0) -> DataFrame:
+    """(key, word, n, confidence): the most frequent words of each text, ties by first appearance.
+
+    Whole texts count, or the first ``scan`` characters of those with at least ``least_chars``.
+    """
+    t = F.regexp_extract_all(F.lower(body if scan is None else F.substring(body, 1, scan)), F.lit(r"([\p{L}\p{N}_-]+)"))
     words = blocks.filter(F.length(body) >= least_chars).select(key, F.posexplode(t).alias("pos", "word"))
     words = words.filter((F.length("word") >= shortest) & ~F.col("word").rlike(r"^\p{N}") & ~F.col("word").isin(STOPWORDS))
     n = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n >= 2")

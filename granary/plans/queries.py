@@ -204,6 +204,15 @@ def bm25_search(c):
   SELECT asset_id, word, count(*) AS n, min(pos) AS first FROM (SELECT asset_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT asset_id, regexp_extract_all(lower(substr(body, 1, 200000)), '[\p{L}\p{N}_-]+') AS t FROM text_block WHERE length(body) >= 200))
   WHERE length(word) >= 4 AND NOT regexp_matches(word, '^\p{N}') AND word NOT IN (STOP) GROUP BY ALL HAVING count(*) >= 2)) WHERE k <= 12""".replace("STOP", ", ".join(repr(w) for w in tx.STOPWORDS)))
 def keywords_topn(c):
+    """Bounded as in its SQL; ``keywords_whole`` has no bounds."""
+    return tx.keywords(c.text_block, scan=200_000, least_chars=200)
+
+
+@query(r"""SELECT asset_id, word, n, round(n / peak, 3) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY n DESC, first) AS k, max(n) OVER (PARTITION BY asset_id) AS peak FROM (
+  SELECT asset_id, word, count(*) AS n, min(pos) AS first FROM (SELECT asset_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT asset_id, regexp_extract_all(lower(body), '[\p{L}\p{N}_-]+') AS t FROM text_block))
+  WHERE length(word) >= 4 AND NOT regexp_matches(word, '^\p{N}') AND word NOT IN (STOP) GROUP BY ALL HAVING count(*) >= 2)) WHERE k <= 12""".replace("STOP", ", ".join(repr(w) for w in tx.STOPWORDS)))
+def keywords_whole(c):
+    """Keywords of whole texts of any length."""
     return tx.keywords(c.text_block)
 
 
