@@ -194,16 +194,39 @@ class PrefixCounts:
         return self.totals[k] + sum(self.bpe.counts[p] for p in pieces)
 
     def fit(self, budget: int) -> int:
-        """The longest prefix, in code points, up to two pieces past the last that fits, of at most ``budget`` tokens."""
+        """The longest prefix, in code points, of at most ``budget`` tokens.
+
+        It ends in the piece that exceeds the budget, or in the next one where the cut changes how
+        white space or special strings are split. Inside a piece the counts of all its prefixes
+        are known at once; only cuts that may be split otherwise are counted on their own.
+        """
         k = bisect_right(self.totals, budget) - 1
         if k >= len(self.starts):
             return len(self.text)
-        low = self.starts[k]
-        high = self.ends[min(k + 1, len(self.ends) - 1)]
-        for i in range(min(high, low + 400), low, -1):
-            if self.count(i) <= budget:
-                return i
-        return low
+        for j in range(min(k + 1, len(self.starts) - 1), k - 1, -1):
+            s, e = self.starts[j], self.ends[j]
+            piece = self.text[s:e]
+            # a white-space piece after another is one piece with it if the text ends there
+            split = self.kept[j] or (j and piece.isspace() and not self.kept[j - 1] and self.text[s - 1].isspace())
+            low = s if split else min(s + 3, e - 1)  # contractions and a leading space are shorter than four
+            if self.count(e) <= budget:
+                return e
+            if low < e - 1 and not split:
+                room = budget - self.totals[j]
+                if room > 0:
+                    counts = self.bpe.prefix_counts(piece.encode())
+                    size = len(counts) - 1
+                    for i in range(e - 1, low, -1):
+                        size -= len(self.text[i].encode())
+                        if counts[size] <= room:
+                            return i
+                top = low
+            else:
+                top = e - 1
+            for i in range(top, s, -1):
+                if self.count(i) <= budget:
+                    return i
+        return self.starts[k]
 
 
 @lru_cache(maxsize=2)
