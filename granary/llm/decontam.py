@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_rows
+from granary.session import materialize
 
 TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -51,9 +52,11 @@ class Index:
 
     Weights are BM25 contributions divided by the item's score for itself, so one threshold
     holds for all items. Items are ordered by length: those of a block have similar weights.
+    ``whole`` has the number of items, their mean length and the df of terms where ``items`` are
+    only a part of the benchmark.
     """
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], whole: tuple[int, float, dict[str, int]] | None = None):
         parsed = [(i, *split_item(t or "")) for i, t in items]
         parsed = sorted((p for p in parsed if p[1] or p[2]), key=lambda p: (len(p[1]) + len(p[2]), str(p[0])))
         self.items = [Item(i, grams(q), grams(a), len(q) + len(a)) for i, q, a in parsed]
@@ -68,6 +71,8 @@ class Index:
             tf.append(c)
             for w in c:
                 df[w] = df.get(w, 0) + 1
+        if whole:
+            n, mean, df = whole[0], max(1.0, whole[1]), {w: whole[2][w] for w in df}
         self.term = {w: k for k, w in enumerate(sorted(df))}
         post: list[list[tuple[int, float]]] = [[] for _ in df]
         for k, c in enumerate(tf):
@@ -177,9 +182,27 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
     rows = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-size // INDEX_CHARS))
+    held = benchmark.sparkSession.sparkContext.broadcast
+    if passes == 1:
+        yield held(Index([(r[0], r[1]) for r in rows.collect()]))
+        return
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(passes)))
+
+    def start():
+        def step(cols):
+            words = [[w for half in split_item(t) for w in half] for t in cols["text"]]
+            return {"part": cols["part"], "size": list(map(len, words)), "words": [sorted(set(w)) for w in words]}
+
+        return step
+
+    # n, mean length and df are those of all items, whatever part an item is in
+    words = materialize(map_rows(rows.select("part", "text"), start, "part long, size long, words array<string>").filter("size > 0"), "benchmark-words")
+    n, mean = words.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).first()
+    each = words.select("part", F.explode("words").alias("word")).groupBy("part", "word").agg(F.count("*").alias("n"))
+    df = materialize(each.join(each.groupBy("word").agg(F.sum("n").alias("df")), "word").select("part", "word", "df"), "benchmark-df")
     for k in range(passes):
-        part = rows if passes == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()]))
+        own = {r[0]: r[1] for r in df.filter(F.col("part") == k).select("word", "df").collect()}
+        yield held(Index([(r[0], r[1]) for r in rows.filter(F.col("part") == k).select("item", "text").collect()], (n, mean, own)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SCORE, overlap: float = LEAST_OVERLAP) -> DataFrame:
