@@ -15,8 +15,8 @@ from granary.llm.common import map_rows
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Kneser-Ney order in letters, discount, and labelled documents used of each class (the documented bound).
 ORDER, DISCOUNT, PER_CLASS = 6, 0.75, 4000
-#: n-grams of full order found in fewer documents than this are left to the shared backoff counts.
-CUT_OFF, TOP = 3, 8
+#: Words whose ratios count among the largest.
+TOP = 8
 REMEMBERED = 400_000
 EDGE = "\x02"  # stands before and after a word
 
@@ -128,8 +128,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, id_co
     for gram, n0, n1 in _grams(words).toLocalIterator(prefetchPartitions=True):
         grams.add(gram)
         ctx = gram[:-1]
-        if n0 + n1 < CUT_OFF:
-            continue
         for c, n in ((0, n0), (1, n1)):
             if n:
                 m.own[c][gram] = n
