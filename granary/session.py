@@ -35,13 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Only where none is configured (single-machine tests) a temporary folder is made and set.
+    Only a local session (tests) that has none gets a temporary folder; on a cluster a missing
+    setting is an error, because executors do not share a machine-local folder.
     """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         held = java.get() if java.isDefined() else None
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         held = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
@@ -52,12 +55,47 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/granary/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with replicated files instead of executor-local blocks, so a lost
     executor costs a re-read and not a recomputation of everything before it.
     """
-    path = scratch(df.sparkSession, label)
+    return _written(df, scratch(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The intermediate tables of one computation, deleted one by one when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``materialize`` under a name; a table kept under that name before stays until ``drop``."""
+        path = scratch(self.spark, f"{self.label}-{name}")
+        self.paths.setdefault(name, []).append(path)
+        return _written(df, path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, of all names without any."""
+        for n in names or list(self.paths):
+            for path in self.paths.pop(n, []):
+                remove(self.spark, path)
+
+    def drop_older(self, name: str) -> None:
+        """Delete all but the newest table of a name."""
+        *old, last = self.paths[name]
+        self.paths[name] = [last]
+        for path in old:
+            remove(self.spark, path)
