@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +75,79 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: st
 
     target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
     return df.mapInArrow(run, schema)
+
+
+#: Columns that stand for the values of a row: two independent hashes, so that rows need no unique id.
+ROW = ("_row1", "_row2")
+
+
+def row_key(*cols: str) -> dict[str, Column]:
+    """The columns ROW, from the values of ``cols`` together."""
+    at = [F.col(f"`{c}`") for c in cols]
+    return {ROW[0]: F.xxhash64(F.lit(1), *at), ROW[1]: F.xxhash64(F.lit(2), *at, F.lit(3))}
+
+
+#: Bits of the bitmap of ``possibly_in``: 8 MiB, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def possibly_in(keys: DataFrame, key: str = ROW[0]) -> Callable[[str], Column]:
+    """A test whether a hash may be among those of ``keys``; it never denies one that is.
+
+    The hashes are put into a bitmap of a fixed size by a grouped aggregation. Rows that fail the
+    test need no shuffle before an exact join; with very many keys the bitmap fills up, and the
+    exact join then does all the work. Only the hash goes to Python.
+    """
+    bits = keys.select((F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("set")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64).view(np.uint64)
+    held = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        bit = h.to_numpy(np.int64).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        return pd.Series((held.value[(bit >> np.uint64(6)).astype(np.intp)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+
+    return test
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict], schema: str, parts: int) -> DataFrame:
+    """``fn`` of the rows of each group of the long columns ``keys``; groups have to fit into a task.
+
+    The work on small groups is CPU time and not bytes, so they are dealt to a given number of
+    partitions, which Spark does not merge, and sorted there: one task serves many groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, done, rows = [], None, [], 0
+
+        def close():
+            out = pa.RecordBatch.from_pydict(fn(pa.Table.from_batches(own)), schema=target)
+            done.append(out)
+            return out.num_rows
+
+        for b in batches:
+            at = np.stack([b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+            for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if s == e:
+                    continue
+                now = tuple(at[:, s])
+                if own and now != last:
+                    rows += close()
+                    own.clear()
+                own.append(b.slice(s, e - s))
+                last = now
+            if rows > 4096:
+                yield from done
+                done.clear()
+                rows = 0
+        if own:
+            close()
+        yield from done
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import materialize
+from granary.session import Scratch, materialize
 
 
 def _star(edges: DataFrame, near: DataFrame) -> DataFrame:
@@ -24,19 +24,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     loops are dropped, except that a loop still names its node.
     """
     # written first: the edges may be dear, and both the nodes and the first round read them
-    both = materialize(edges.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v"), "component-edges")
+    work = Scratch(edges.sparkSession, "components")
+    both = work.keep(edges.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v"), "edges")
     nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = materialize(both.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
+    now = work.keep(both.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "round")
     mark = None
     for _ in range(rounds):
         around = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(around.filter("v > u"), around).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
+        now = work.keep(small.select("e.u", "e.v").filter("u <> v").distinct(), "round")
+        work.drop_older("round")
         was, mark = mark, now.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003))).first()
         if mark == was:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return nodes.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("label"))
+    out = materialize(nodes.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("label")), "component-labels")
+    work.drop()
+    return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_rows
+from granary.llm.common import ROW, map_rows, possibly_in, row_key
 from granary.session import materialize
 
 #: Hashed letter trigrams; documents of each language that the text model is fitted on (the documented bound); languages counted at once in a task.
@@ -135,6 +135,7 @@ def identify(
     suffix_col: str | None = None,
     model: TextModel | None = None,
     least: float = 0.5,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The most probable language of each row, from all evidence at once.
 
@@ -147,10 +148,12 @@ def identify(
     speak for a text, because its declared language has no model or no language is declared at
     all, it is accepted as it is.
 
-    One row per input row. Null or unknown declared languages, hosts and suffixes are values like others.
+    One row per input row. Null or unknown declared languages, hosts and suffixes are values like
+    others; of equal posteriors the first language by name wins. ``keep`` names columns to carry through.
     """
     get = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.trim(get(declared_col))).alias("declared"), F.lower(get(host_col)).alias("host"), F.lower(get(suffix_col)).alias("suffix"))
+    slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.trim(get(declared_col))).alias("declared"), F.lower(get(host_col)).alias("host"), F.lower(get(suffix_col)).alias("suffix"), *[F.col(k).alias(f"keep{i}") for i, k in enumerate(keep)])
+    kept = [f"keep{i}" for i in range(len(keep))]
     model = model or fit_text(slim)
     names = [*model.languages, UNKNOWN]
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -158,12 +161,13 @@ def identify(
     def start():
         def step(cols):
             ll = [held.value.log_likelihoods(t or "") for t in cols["text"]]
-            return {"id": cols["id"], "declared": cols["declared"], "host": cols["host"], "suffix": cols["suffix"], "ll": ll, "letters": [any(x) for x in ll]}
+            return {c: cols[c] for c in ("id", "declared", "host", "suffix", *kept)} | {"ll": ll, "letters": [any(x) for x in ll]}
 
         return step
 
     kind = slim.schema["id"].dataType.simpleString()
-    seen = map_rows(slim, start, f"id {kind}, declared string, host string, suffix string, ll array<double>, letters boolean")
+    more = "".join(f", {c} {slim.schema[c].dataType.simpleString()}" for c in kept)
+    seen = map_rows(slim, start, f"id {kind}, declared string, host string, suffix string{more}, ll array<double>, letters boolean")
     for c in ("declared", "host", "suffix"):
         seen = seen.withColumn(c, F.coalesce(c, F.lit("")))
     seen = materialize(seen.withColumn("guess", F.when(F.col("letters"), _argmax(F.col("ll"), names))), "language-text")
@@ -178,8 +182,11 @@ def identify(
     hosts = _counts(seen.filter("guess IS NOT NULL"), ["host", "suffix"], names, "n").join(suffixes, "suffix")
     hosts = materialize(hosts.select("host", "suffix", smooth(F.col("n"), F.col("by_suffix"), HOST_PRIOR).alias("prior")), "language-hosts")
     declared = _counts(seen.filter("guess IS NOT NULL"), ["declared"], names, "n")
-    # P(declared | language): add-one over the declared values; an undeclared language says nothing
-    stated = declared.select("declared", F.when(F.col("declared") == "", lit([0.0] * len(names))).otherwise(F.zip_with("n", lit([x + 50 for x in all_]), lambda n, a: F.log((n + 1) / a))).alias("stated"))
+    # P(declared | language) by adding one to each declared value there is, so it sums to 1; no declaration says nothing
+    said = {r["guess"]: float(r["n"]) for r in seen.filter("guess IS NOT NULL AND declared <> ''").groupBy("guess").agg(F.count("*").alias("n")).collect()}
+    values = seen.filter("guess IS NOT NULL AND declared <> ''").agg(F.countDistinct("declared")).first()[0]
+    total = lit([said.get(n, 0.0) + values for n in names])
+    stated = declared.select("declared", F.when(F.col("declared") == "", lit([0.0] * len(names))).otherwise(F.zip_with("n", total, lambda n, a: F.log((n + 1) / a))).alias("stated"))
     out = seen.join(hosts, ["host", "suffix"], "left").join(stated, "declared", "left")
     prior = F.transform(F.coalesce("prior", lit(base)), lambda p: F.log(p))
     score = F.zip_with(F.zip_with("ll", prior, lambda a, b: a + b), F.coalesce("stated", lit([0.0] * len(names))), lambda a, b: a + b)
@@ -188,7 +195,25 @@ def identify(
     out = out.withColumn("language", F.when(F.col("letters"), _argmax(F.col("post"), names)).otherwise(UNKNOWN)).withColumn("posterior", posterior)
     unmodelled = ~F.col("declared").isin("", *names) if model.languages else F.lit(True)
     accepted = F.col("letters") & (unmodelled | ((F.col("language") != UNKNOWN) & (F.col("posterior") >= least)))
-    return out.select(F.col("id").alias(id_col), "language", F.round("posterior", 6).alias("posterior"), F.coalesce("guess", F.lit(UNKNOWN)).alias("text_language"), "declared", accepted.alias("accepted"))
+    result = [F.col("id").alias(id_col), F.col("language"), F.round("posterior", 6).alias("posterior"), F.coalesce("guess", F.lit(UNKNOWN)).alias("text_language"), F.col("declared"), accepted.alias("accepted")]
+    return out.select(*result, *[F.col(k).alias(n) for k, n in zip(kept, keep, strict=True)])
+
+
+def drop_unidentified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", **more) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language ``identify`` accepts.
+
+    The verdict depends on text, declared language and host and is carried by a hash of the
+    three, not by the id: rows with one id, or without id, are judged one by one. The texts are
+    not shuffled unless a bitmap says that a row may be among the rejected ones.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]  # no name clashes with the marks
+    at = dict(zip(docs.columns, own, strict=True))
+    keyed = docs.toDF(*own).withColumns(row_key(at[text_col], at[declared_col], at[host_col]))
+    judged = identify(keyed, id_col=at[id_col], text_col=at[text_col], declared_col=at[declared_col], host_col=at[host_col], keep=ROW, **more)
+    rejected = materialize(judged.filter("NOT accepted").select(*ROW).distinct(), "language-rejected")
+    suspect = possibly_in(rejected)(ROW[0])
+    passed = keyed.filter(suspect).join(rejected, list(ROW), "left_anti").select(*own)
+    return keyed.filter(~suspect).select(*own).unionByName(passed).toDF(*docs.columns)
 
 
 def identify_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **more) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, map_rows, shingles, words_of
+from granary.llm.common import ROW, WordHashes, map_groups, map_rows, possibly_in, row_key, shingles, words_of
 from granary.llm.components import components
-from granary.session import materialize
+from granary.session import Scratch, materialize
 
 SHINGLE, SIMILAR = 5, 0.75
 #: Coordinates of a signature, and how many must collide. A pair at 0.75 misses 32 of 64 with
@@ -22,8 +21,8 @@ COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
 #: Counters of coordinate values for the order of rarity: a fixed size, whatever the corpus.
 BUCKETS = 1 << 16
-#: Most documents compared in one task at once; larger groups are cut into pairs of blocks.
-BLOCK = 4000
+#: Rows of a chunk of a large family, which its leader visits, and of a block of rows that are compared with each other.
+CHUNK, BLOCK = 256, 1000
 
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(1, 1 << 32, COORDINATES, np.uint32) | np.uint32(1)
@@ -64,19 +63,20 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, cls, sig) of every row."""
+    """(doc_id, two hashes of the row, n, cls, sig) of every row."""
 
     def start():
         hashes = WordHashes()
 
         def step(cols):
             sets = [set_of(t, hashes) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "n": [len(s) for s in sets], "cls": [set_class(s) for s in sets], "sig": [signature(s).tobytes() if len(s) else None for s in sets]}
+            out = {c: cols[c] for c in ("doc_id", *ROW)}
+            return out | {"n": [len(s) for s in sets], "cls": [set_class(s) for s in sets], "sig": [signature(s).tobytes() if len(s) else None for s in sets]}
 
         return step
 
-    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return map_rows(rows, start, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, cls long, sig binary")
+    rows = docs.withColumns(row_key(id_col, text_col)).selectExpr(f"`{id_col}` AS doc_id", *ROW, f"`{text_col}` AS text")
+    return map_rows(rows, start, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {ROW[0]} long, {ROW[1]} long, n long, cls long, sig binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -116,6 +116,23 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(post, "token long, cls long")
 
 
+def collide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` collide in MATCHES coordinates.
+
+    The coordinates are merged in three steps; a pair is skipped as soon as those that remain
+    cannot bring its count to MATCHES.
+    """
+    live, count = np.arange(len(b)), np.zeros(len(b), np.int64)
+    for lo, hi in ((0, 40), (40, 52), (52, COORDINATES)):
+        left = a[:, lo:hi] if len(a) == 1 else a[live, lo:hi]
+        count = count + (left == b[live, lo:hi]).sum(1)
+        keep = count + (COORDINATES - hi) >= MATCHES
+        live, count = live[keep], count[keep]
+    out = np.zeros(len(b), bool)
+    out[live] = True
+    return out
+
+
 def _alike(pairs: DataFrame) -> DataFrame:
     """The (u, v) of (u, v, n, sig, n2, sig2) whose sizes allow the similarity and whose signatures collide often enough."""
 
@@ -123,15 +140,15 @@ def _alike(pairs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            hits = (_matrix(b.column(2)) == _matrix(b.column(3))).sum(1) >= MATCHES
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hits)), b.column(1).filter(pa.array(hits))], names=["u", "v"])
+            hits = pa.array(collide(_matrix(b.column(2)), _matrix(b.column(3))))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(hits), b.column(1).filter(hits)], names=["u", "v"])
 
     allowed = pairs.filter(F.lit(100) * F.least("n", "n2") >= F.lit(75) * F.greatest("n", "n2"))
     return allowed.select("u", "v", "sig", "sig2").mapInArrow(keep, "u long, v long")
 
 
 class _Sets:
-    """Union-find over the rows of one group."""
+    """Labels of the rows of one group, joined as links are found."""
 
     def __init__(self, labels: np.ndarray):
         self.label = labels.copy()
@@ -141,17 +158,17 @@ class _Sets:
         self.label[self.label == max(x, y)] = min(x, y)
 
 
-def _spanning(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, left: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges that connect what signatures alike connect; rows of the two blocks are compared across."""
+def _spanning(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect rows of different labels whose signatures collide often enough."""
     order = np.argsort(n, kind="stable")
-    cls, n, sig, left = cls[order], n[order], sig[order], left[order]
+    cls, n, sig = cls[order], n[order], sig[order]
     _, start = np.unique(label[order], return_inverse=True)
     sets, u, v = _Sets(start), [], []
     for a in range(len(cls)):
         end = np.searchsorted(n, n[a] * 100 / 75, side="right")
         cand = np.flatnonzero(sets.label[a + 1 : end] != sets.label[a]) + a + 1
         if len(cand):
-            cand = cand[(sig[cand] == sig[a]).sum(1) >= MATCHES]
+            cand = cand[collide(sig[a : a + 1], sig[cand])]
         for b in cand:
             if sets.label[a] != sets.label[b]:
                 sets.join(a, b)
@@ -160,52 +177,59 @@ def _spanning(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, left: np.ndarray,
     return u, v
 
 
-def _blocks(df: DataFrame, key: str, count: str) -> DataFrame:
-    """Deal each row of a group of more than BLOCK rows to the pairs of blocks (i, j) that hold its block."""
-    nb = F.ceil(F.col(count) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), nb).cast("int")
-    pairs = F.when(nb <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), nb - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
-    )
-    return df.withColumn("ij", F.explode(pairs)).select("*", "ij.i", "ij.j").drop("ij")
+def _parts(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal groups to four times the usual partitions: their work is CPU time, not bytes, so Spark must not merge small ones."""
-    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def _unsettled(df: DataFrame, key: str) -> DataFrame:
+    """Rows (cls, label) of groups with several labels, dealt to (key, i, j) so that each two rows of different labels meet.
+
+    Of two rows with different labels one at least is outside the most frequent label of the
+    group. Only these rows go against the whole group, in blocks of BLOCK rows: a large group
+    that its leader has settled but for a few rows costs work in proportion to its size.
+    """
+    each = df.groupBy(key, "label").agg(F.count("*").alias("m"))
+    groups = each.groupBy(key).agg(F.sum("m").alias("c"), F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    d = df.join(groups, key)
+    nb, nu = (F.ceil(c / BLOCK).cast("int") for c in (F.col("c"), F.col("c") - F.col("main.m")))
+    mine, own = (F.pmod(F.xxhash64("cls"), n).cast("int") for n in (nb, nu))
+    seen = F.transform(F.sequence(F.lit(0), nu - 1), lambda i: F.struct(i.alias("i"), mine.alias("j")))
+    asks = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: F.struct(own.alias("i"), j.alias("j")))
+    at = F.when(F.col("label") == F.col("main.label"), seen).otherwise(F.array_distinct(F.concat(seen, asks)))
+    return d.withColumn("ij", F.explode(at)).select("*", "ij.i", "ij.j").drop("ij", "c", "main", "labels")
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """(node, label): classes connected by signatures with MATCHES collisions.
+def families(classes: DataFrame, work: Scratch) -> DataFrame:
+    """(cls, fam): classes connected by signatures with MATCHES collisions.
 
     First each posting list is joined with its least member only, which settles lists of two.
-    Longer lists whose members are then still in several groups are compared in full, in tasks
-    of at most two blocks, which return no more edges than they have members.
+    Longer lists whose members are then still in several groups are compared in blocks, which
+    return no more edges than they have members.
     """
-    posts = materialize(postings(classes), "near-dup-postings")
-    lists = posts.groupBy("token").agg(F.min("cls").alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    lists = materialize(lists, "near-dup-lists")
+    posts = work.keep(postings(classes), "postings")
+    lists = work.keep(posts.groupBy("token").agg(F.min("cls").alias("lead"), F.count("*").alias("c")).filter("c > 1"), "lists")
     stars = posts.join(lists, "token").filter("cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v")).distinct()
     side = classes.select(F.col("cls"), "n", "sig")
     pairs = stars.join(side.withColumnRenamed("cls", "u"), "u").join(side.toDF("v", "n2", "sig2"), "v")
-    first = materialize(_alike(pairs), "near-dup-stars")
+    first = work.keep(_alike(pairs), "stars")
     up = first.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("up"))
-    up = materialize(up.join(up.select(F.col("cls").alias("up"), F.col("up").alias("up2")), "up", "left").select("cls", F.coalesce("up2", "up").alias("up")), "near-dup-up")
-    named = posts.join(lists.filter("c > 2").select("token", "c"), "token").join(up, "cls", "left").withColumn("label", F.coalesce("up", "cls")).drop("up")
-    mixed = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("token")
-    open_ = _blocks(named.join(mixed, "token").join(side, "cls"), "token", "c")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES)
-        u, v = _spanning(pdf["cls"].to_numpy(), pdf["n"].to_numpy(), sig, np.zeros(len(pdf)), pdf["label"].to_numpy())
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
-
-    second = _spread(open_, "token", "i", "j").groupBy("token", "i", "j").applyInPandas(link, "u long, v long")
-    return components(first.unionByName(second.distinct()))
+    up = work.keep(up.join(up.select(F.col("cls").alias("up"), F.col("up").alias("up2")), "up", "left").select("cls", F.coalesce("up2", "up").alias("up")), "up")
+    named = posts.join(lists.filter("c > 2").select("token"), "token").join(up, "cls", "left").withColumn("label", F.coalesce("up", "cls")).drop("up")
+    open_ = _unsettled(work.keep(named, "named"), "token").join(side, "cls")
+
+    def link(t: pa.Table) -> dict:
+        _, at = np.unique(t["cls"].to_numpy(), return_index=True)
+        u, v = _spanning(*(t[c].to_numpy()[at] for c in ("cls", "n")), _matrix(t["sig"])[at], t["label"].to_numpy()[at])
+        return {"u": u, "v": v}
+
+    second = map_groups(open_.select("token", "i", "j", "cls", "n", "sig", "label"), ["token", "i", "j"], link, "u long, v long", _parts(classes))
+    out = components(first.unionByName(second.distinct())).toDF("cls", "fam")
+    work.drop("postings", "lists", "stars", "up", "named")
+    return out
 
 
-def _exact(sets: list[np.ndarray], sig: np.ndarray) -> np.ndarray:
-    """Labels (least row) of rows connected by 100 * intersection >= 75 * union.
+def _exact(sets: list[np.ndarray], sig: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Labels (least row) of rows connected by 100 * intersection >= 75 * union; rows of equal ``start`` are connected already.
 
     A row is compared with the rows of other components that sizes and signatures allow: few of
     them one by one, the most alike first; many at once by counting the rows that hold each of
@@ -214,7 +238,7 @@ def _exact(sets: list[np.ndarray], sig: np.ndarray) -> np.ndarray:
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     n, sig, ordered = n[order], sig[order], [sets[i] for i in order]
-    found = _Sets(np.arange(len(n)))
+    found = _Sets(np.arange(len(n)) if start is None else np.unique(start[order], return_inverse=True)[1])
     inverted = None
     for a in range(len(n)):
         end = np.searchsorted(n, n[a] * 100 / 75, side="right")
@@ -253,6 +277,63 @@ def _exact(sets: list[np.ndarray], sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def _confirm(t: pa.Table, label: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(cls, least cls of its component) of the classes in ``t`` by their texts."""
+    hashes = WordHashes()
+    cls = t["cls"].to_numpy()
+    cls, at = np.unique(cls, return_index=True)
+    texts = t["text"]
+    sets = [set_of(texts[int(i)].as_py(), hashes) for i in at]
+    start = None if label is None else t[label].to_numpy()[at]
+    return cls, cls[_exact(sets, np.array([signature(s) for s in sets]), start)]
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """All rows with their class, and (cls, label) of the classes that are linked with another one."""
+    rows = work.keep(signatures(docs, id_col, text_col), "signatures")
+    full = rows.filter("n > 0")
+    classes = full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "sig")], F.min(F.struct(*ROW)).alias("who"))
+    classes = work.keep(classes.select("cls", "n", "sig", "who.*"), "classes")
+    fam = families(classes, work)
+    sizes = fam.groupBy("fam").agg(F.count("*").alias("c")).filter("c > 1")
+    member = work.keep(fam.join(sizes, "fam").join(classes.select("cls", *ROW), "cls"), "members")
+    # only the texts of members are shuffled
+    texts = docs.withColumns(row_key(id_col, text_col)).select(*ROW, F.col(text_col).alias("text"))
+    texts = texts.filter(possibly_in(member)(ROW[0])).dropDuplicates(list(ROW))
+    member = work.keep(texts.join(member, list(ROW)).select("fam", "cls", "c", "text"), "texts")
+    work.drop("members", "classes")
+
+    # a family of at most CHUNK classes is compared in one task; a larger one in chunks, each with the leader (the least class)
+    nb = F.ceil(F.col("c") / CHUNK).cast("int")
+    at = F.when(F.col("cls") == F.col("fam"), F.sequence(F.lit(0), nb - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), nb).cast("int")))
+
+    def chunk(t: pa.Table) -> dict:
+        cls, label = _confirm(t)
+        return {"fam": np.full(len(cls), t["fam"][0].as_py()), "cls": cls, "label": label, "whole": np.full(len(cls), t["c"][0].as_py() <= CHUNK)}
+
+    first = map_groups(member.withColumn("k", F.explode(at)), ["fam", "k"], chunk, "fam long, cls long, label long, whole boolean", _parts(docs))
+    first = work.keep(first.filter("label <> cls OR NOT whole"), "chunks")
+    whole = first.filter("whole").select("cls", "label")
+    # classes that the leader did not reach are compared with the rest of their family
+    parted = first.filter("NOT whole").select("fam", "cls", "label").distinct()
+    open_ = _unsettled(parted, "fam").join(member.select("cls", "text"), "cls")
+
+    def rest(t: pa.Table) -> dict:
+        cls, label = _confirm(t, "label")
+        own = dict(zip(t["cls"].to_pylist(), t["label"].to_pylist(), strict=True))
+        pairs = {(own[a], own[b]) for a, b in zip(cls.tolist(), label.tolist(), strict=True) if own[a] != own[b]}
+        return {"u": [a for a, _ in pairs], "v": [b for _, b in pairs]}
+
+    second = work.keep(map_groups(open_.select("fam", "i", "j", "cls", "label", "text"), ["fam", "i", "j"], rest, "u long, v long", _parts(docs)), "rest")
+    parted = parted.select("cls", "label")
+    if second.limit(1).count():
+        more = components(second).toDF("label", "least")
+        parted = parted.join(more, "label", "left").select("cls", F.coalesce("least", "label").alias("label"))
+    joined = work.keep(whole.unionByName(whole.select(F.col("label").alias("cls"), "label")).unionByName(parted).distinct(), "joined")
+    work.drop("texts", "chunks", "rest")
+    return rows, joined
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by 100 * intersection >= 75 * union of their shingle sets.
 
@@ -260,44 +341,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fewer words the whole sequence). Null, empty and blank texts have an empty set and are linked
     with nothing. Documents with equal sets are one class from the start, so exact copies are
     never compared. Classes are grouped by their signatures into families; inside a family links
-    are confirmed on full sets. Repeated ids and null ids are allowed: component_id is the least
-    non-null id of the component. One row per input row; other columns are ignored.
+    are confirmed on full sets: first with a leader, in chunks, then what it did not reach.
+    Repeated ids and null ids are allowed: component_id is the least non-null id of the
+    component. One row per input row; other columns are ignored.
     """
-    rows = materialize(signatures(docs, id_col, text_col), "near-dup-signatures")
-    full = rows.filter("n > 0")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "near-dup-classes")
-    fam = families(classes).withColumnRenamed("node", "cls").withColumnRenamed("label", "fam")
-    fam = materialize(fam, "near-dup-families")
-    sizes = fam.groupBy("fam").agg(F.count("*").alias("c"))
-    member = fam.join(sizes, "fam").filter("c > 1").join(classes.select("cls", "rep"), "cls")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    with_text = member.join(texts, member["rep"].eqNullSafe(texts["doc_id"])).select("fam", "cls", "c", "text")
-
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, seen, kept, sets = WordHashes(), set(), [], []
-        for cls, text in zip(pdf["cls"], pdf["text"], strict=True):
-            s = set_of(text, hashes)
-            if cls not in seen and set_class(s) == cls:  # an id may stand on several texts
-                seen.add(cls)
-                kept.append(cls)
-                sets.append(s)
-        if not sets:
-            return pd.DataFrame({"u": np.array([], np.int64), "v": np.array([], np.int64), "whole": np.array([], bool)})
-        label = _exact(sets, np.array([signature(s) for s in sets]))
-        kept = np.array(kept, np.int64)
-        return pd.DataFrame({"u": kept, "v": kept[label], "whole": pdf["c"].iloc[0] <= BLOCK})
-
-    links = _spread(_blocks(with_text, "fam", "c"), "fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(confirm, "u long, v long, whole boolean")
-    links = materialize(links.filter("u <> v"), "near-dup-links")
-    # families compared in one task are labelled by it; only those cut into blocks need components
-    done = links.filter("whole").select(F.col("u").alias("cls"), F.col("v").alias("label"))
-    joined = done.union(done.select("label", "label")).distinct()
-    cut = links.filter("NOT whole").select("u", "v")
-    if cut.limit(1).count():
-        joined = joined.union(components(cut).select("node", "label"))
-    least = joined.join(classes.select("cls", "rep"), "cls").groupBy("label").agg(F.min("rep").alias("least"))
-    named = materialize(classes.select("cls", "rep").join(joined, "cls", "left").join(least, "label", "left").select("cls", F.coalesce("least", "rep").alias("component_id")), "near-dup-named")
+    work = Scratch(docs.sparkSession, "near-dup")
+    rows, joined = _linked(docs, id_col, text_col, work)
+    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    named = reps.join(joined, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = work.keep(named, "named")
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = materialize(named.join(least, "label").select("cls", "component_id"), "near-dup-components")
     out = rows.select("doc_id", "n", "cls").join(named, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near-dup")
+    work.drop()
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates: one row of each component stays.
+
+    That is the row with the least id (null last); of rows with one id, which may have different
+    texts, the verdict is each row's own. Of repeated rows with the same id and text one stays.
+    Texts without words are linked with nothing and all stay. Rows that go or repeat are found by
+    a bitmap of their hashes first, so the other texts are not shuffled.
+    """
+    work = Scratch(docs.sparkSession, "near-dup-drop")
+    rows, joined = _linked(docs, id_col, text_col, work)
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
+    full = rows.filter("n > 0").groupBy("cls", "doc_id", *ROW).agg(F.count("*").alias("n"))
+    full = full.join(joined, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    full = work.keep(full.select("label", "doc_id", *ROW, "n"), "labels")
+    best = full.groupBy("label").agg(F.min(who).alias("best"))
+    marked = full.join(best, "label").withColumn("gone", who != F.col("best")).filter("gone OR n > 1")
+    marked = materialize(marked.select(*ROW, "gone"), "near-dup-marked")
+    work.drop()
+    own = [f"c{i}" for i in range(len(docs.columns))]  # no name clashes with the marks
+    at = dict(zip(docs.columns, own, strict=True))
+    keyed = docs.toDF(*own).withColumns(row_key(at[id_col], at[text_col]))
+    suspect = possibly_in(marked)(ROW[0])
+    some = keyed.filter(suspect).join(marked, list(ROW), "left")
+    alone = some.filter("gone IS NULL").select(*own)
+    one = some.filter("NOT gone").groupBy(*ROW).agg(F.min(F.struct(*own)).alias("row")).select("row.*")
+    return keyed.filter(~suspect).select(*own).unionByName(alone).unionByName(one).toDF(*docs.columns)

@@ -279,13 +279,41 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want, sets = _brute(docs), _sets(docs)
-    for block in (near_dup.BLOCK, 20):
+    for block, chunk in ((near_dup.BLOCK, near_dup.CHUNK), (near_dup.BLOCK, 10), (10, 7)):
         monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "CHUNK", chunk)
         for r in near_dup.near_duplicates(df).collect():
             assert r["component_id"] == want[r["doc_id"]] and r["n_shingles"] == len(sets[r["doc_id"]])
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_collisions_of_pairs_at_the_threshold():
+    """Signatures lose no pair at exactly 0.75, whatever the size of the union."""
+    rng = np.random.default_rng(75)
+    for size in (4, 20, 100, 400):
+        for _ in range(400):
+            x = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
+            both, own = x[: 3 * size // 4], (size - 3 * size // 4) // 2
+            a, b = np.sort(np.concatenate([both, x[len(both) : len(both) + own]])), np.sort(np.concatenate([both, x[len(both) + own :]]))
+            assert near_dup.collide(near_dup.signature(a)[None, :], near_dup.signature(b)[None, :])[0]
+
+
+def test_collide_counts_all_coordinates():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 3, (1, near_dup.COORDINATES)).astype(np.uint32)
+    b = np.where(rng.random((500, 1)) < rng.random((500, near_dup.COORDINATES)), a, 9).astype(np.uint32)
+    assert (near_dup.collide(a, b) == ((a == b).sum(1) >= near_dup.MATCHES)).all()
+
+
+def test_drop_near_duplicates_by_row(spark):
+    """Repeated ids with different texts, repeated rows and null ids have verdicts of their own."""
+    text = [" ".join(f"{k}w{i}" for i in range(40)) for k in "abc"]
+    rows = [(1, text[0], "x"), (1, text[1], "x"), (2, text[0] + " end", "x"), (3, text[1], "y"), (3, text[2], "z"), (3, text[2], "y"), (None, text[2], "x"), (None, "", "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    got = sorted(near_dup.drop_near_duplicates(docs).collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(1, text[0], "x"), (1, text[1], "x"), (3, text[2], "y"), (None, "", "x"), (None, "", "x")], key=lambda r: str(docs.sparkSession.createDataFrame([r], docs.schema).first()))
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     rows = near_dup.near_duplicates(odd).collect()
     by = {r["doc_id"]: r["component_id"] for r in rows}
@@ -337,6 +365,43 @@ def test_language_fusion(spark, odd, none):
     assert all(out[i]["language"] == r[4] for i, r in enumerate(rows[:300])) and not out[900]["accepted"]
 
 
+def test_language_equals_brute_force(spark):
+    """Likelihoods, declared language, suffix and host priors fused row by row in plain Python."""
+    rng = random.Random(19)
+    kinds = {"de": ["sch", "ung", "keit", "der"], "en": ["the", "ing", "and", "tion"], "fr": ["eau", "ment", "ou", "que"]}
+    rows = [(i, _speech(rng, kinds[rng.choice("de en fr".split())], rng.choice([1, 2, 30])), rng.choice(["de", "en", "fr", "xx", None]), f"h{rng.randint(0, 6)}", rng.choice(["de", "com"])) for i in range(200)] + [(200, "77", "en", "h1", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tld string")
+    model = language.fit_text(df.selectExpr("doc_id AS id", "text", "lang AS declared"))
+    names = [*model.languages, "und"]
+    ll = {r[0]: model.log_likelihoods(r[1]) for r in rows}
+    guess = {i: int(np.argmax(v)) if any(v) else None for i, v in ll.items()}
+    judged = [r for r in rows if guess[r[0]] is not None]
+    n = lambda test: np.array([sum(guess[r[0]] == k and test(r) for r in judged) for k in range(len(names))], float)
+    base = (n(lambda r: True) + 1) / (len(judged) + len(names))
+    base[-1] = min(base[-1], language.UNKNOWN_PRIOR)
+    smooth = lambda c, p, w: (c + w * p) / (c.sum() + w)
+    values = {r[2] for r in judged if r[2]}
+    said = n(lambda r: r[2] is not None) + len(values)
+    assert np.allclose(sum((n(lambda r, d=d: r[2] == d) + 1) / said for d in values), 1)
+    for got in language.identify(df, suffix_col="tld", model=model).collect():
+        i, _, lang, host, tld = rows[got["doc_id"]]
+        if guess[i] is None:
+            assert not got["accepted"] and got["language"] == "und"
+            continue
+        by_suffix = smooth(n(lambda r: r[4] == tld), base, language.SUFFIX_PRIOR)
+        post = np.array(ll[i]) + np.log(smooth(n(lambda r: (r[3], r[4]) == (host, tld)), by_suffix, language.HOST_PRIOR))
+        if lang:
+            post += np.log((n(lambda r: r[2] == lang) + 1) / said)
+        p = np.exp(post - post.max())
+        assert got["language"] == names[int(post.argmax())] and abs(got["posterior"] - 1 / p.sum()) < 1e-5
+
+
+def test_unidentified_rows_go_one_by_one(spark):
+    rows = [(1, _speech(random.Random(k), ["the", "ing", "and", "tion"], 30), "en", "h") for k in range(40)] + [(1, "123", "en", "h"), (None, "###", "en", "h"), (None, "the thing and tion", "en", "h"), (2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r["text"] for r in language.drop_unidentified(docs).collect()) == sorted(r[1] for r in rows[:40] + rows[42:43])
+
+
 # 10
 
 def _items(rng, n):
