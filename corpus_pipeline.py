@@ -6,30 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, language, mixing, near_dup, secrets
-from granary.session import materialize, table
+from granary.session import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the others (no letters, or like no known language) go.
-
-    The few rejected ids are written first, so Spark knows their size and need not shuffle the texts
-    where they are small. Rows without id cannot be told apart and stay.
-    """
-    rejected = materialize(language.identify(docs, id_col="doc_id").filter("NOT accepted").select("doc_id").distinct(), "pipeline-rejected")
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+    """Documents whose language is identified; the others (no letters, or like no known language) go, row by row."""
+    return language.drop_unidentified(docs.select(*COLUMNS))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Repeated rows count once."""
-    kept = near_dup.near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept, "pipeline-kept")
-    if not kept.filter("n > 1 OR doc_id IS NULL").limit(1).count():
-        return docs.select(*COLUMNS).join(kept.select("doc_id"), "doc_id", "left_semi")
-    some = kept.select(F.col("doc_id").alias("k"))
-    out = docs.select(*COLUMNS)
-    return out.join(some, out["doc_id"].eqNullSafe(some["k"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates: the row with the smallest doc_id. Repeated rows count once."""
+    return near_dup.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written as Parquet and read again for the next stage."""
+    work = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = work.keep(stage(spark, docs, sf_dir), "docs")
+        work.drop_older("docs")
     return STAGES[-1][1](spark, docs, sf_dir)
