@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline as p
 from granary.llm import secrets
+from granary.session import materialize
 
 
 def _docs(rng):
@@ -29,7 +30,7 @@ def test_stages(spark, tmp_path):
     for name, stage in p.STAGES[:-1]:
         docs = stage(spark, docs, d)
         assert docs.columns == p.COLUMNS
-        docs = p.materialize(docs, f"test-{name}")
+        docs = materialize(docs, f"test-{name}")
         kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     clean = {i for i, t, _, _ in rows if i < 400}
     assert set(kept["language"]) == clean
