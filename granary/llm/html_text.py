@@ -19,127 +19,221 @@ BLOCKS = frozenset(
 #: What a start tag closes when it stands open (HTML lets these end tags out).
 CLOSES_P = BLOCKS - {"html", "body"}
 SIBLING = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
-#: Words in class, id or role that mark what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscri\w+|signup|comments?|commentlist|disqus|respond|replies|side-?bar|widgets?|related|recommend\w*|menu|nav\w*|breadcrumbs?|footer|footnote-links|masthead|site-?header|page-?header|share|sharing|social|tags|pagination|pager|toolbar|skip|login|search|disclaimer|copyright|alert|toc)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of a class or id that name what is not the article. WEAK ones also stand on articles.
+NOISE = "ad ads adsense banner cookie cookies consent gdpr notice notices popup modal newsletter newsletters signup sidebar sidebars nav navbar navigation breadcrumb breadcrumbs footer masthead siteheader pageheader menu menus pagination pager toolbar disclaimer copyright alert toc".split()
+NOISE_STARTS = ("advert", "sponsor", "promo", "subscri", "recommend")
+COMMENTS = "comment comments commentlist disqus respond replies reply".split()
+WEAK = "related share sharing social tags widget widgets search login skip".split()
+#: Words that turn a name into a state or a variant of the element that bears it (has-comments, share-enabled).
+STATE_BEFORE = frozenset("no has have with without is show hide when not".split())
+STATE_AFTER = frozenset("enabled disabled required visible hidden active open closed on off allowed free less layout template".split())
+_KIND = dict.fromkeys(NOISE, 2) | dict.fromkeys(COMMENTS, 3) | dict.fromkeys(WEAK, 1)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 SPACE = re.compile(r"\s+")
+DIGITS = re.compile(r"&#0*([0-9]{8,});?")
+#: Scans for a tag's end beyond unclosed quotes, after which quotes are read as ordinary characters.
+BROKEN_QUOTES = 16
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "score", "chars", "linked", "commas")
+    """An element: what it holds, whether it is left out, and what its place tells (``block``: the nearest block around it)."""
+
+    __slots__ = ("tag", "parent", "kids", "skip", "hint", "score", "chars", "linked", "commas", "block", "inside")
+
+    def __init__(self, tag: str, parent: Node | None, hint: int = 0):
+        self.tag, self.parent, self.kids, self.score, self.hint = tag, parent, [], 0.0, hint
+        self.chars = self.linked = self.commas = 0
+        self.block = self.inside = None
+        if parent is not None:
+            self.block = parent if parent.tag in BLOCKS or parent.parent is None else parent.block
+            self.inside = parent.inside or parent.tag in ("article", "main")
+        self.skip = tag in DROPPED or hint == 9 or (tag == "header" and not self.inside)
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that the nearest one is found at once."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, []
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.kids, self.score = tag, parent, noise, [], 0.0
+    def push(self, x: Node) -> None:
+        self.places.setdefault(x.tag, []).append(len(self.stack))
+        if x.tag in BLOCKS or x.tag in DROPPED:
+            self.blocks.append(len(self.stack))
+        self.stack.append(x)
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.stack) > place:
+            x = self.stack.pop()
+            self.places[x.tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and strings, with the end tags that HTML lets out put in."""
-    root = at = Node("#root", None)
-    pos, n = 0, len(page)
-    while pos < n:
-        m = TAG.search(page, pos)
+    """A tree of elements and strings, with the end tags that HTML lets out put in, in one pass forward."""
+    root = Node("#root", None)
+    now = _Open(root)
+    pos = text = broken = 0
+    n = len(page)
+    while (at := page.find("<", pos)) >= 0:
+        after = page[at + 1 : at + 2]
+        end_tag = after == "/"
+        m = None if after in ("!", "?") else NAME.match(page, at + 1 + end_tag)
+        if m is None and after not in ("!", "?"):
+            pos = at + 1  # a lone < is text
+            continue
+        if at > text:
+            now.stack[-1].kids.append(page[text:at])
         if m is None:
-            break
-        if m.start() > pos:
-            at.kids.append(page[pos : m.start()])
-        pos = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                at.kids.append(m[0][9:].removesuffix("]]>"))
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                pos = text = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                now.stack[-1].kids.append(page[at + 9 : n if end < 0 else end])
+                pos = text = n if end < 0 else end + 3
+            else:
+                end = page.find(">", at)
+                pos = text = n if end < 0 else end + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            x = at
-            stop = ("table", "td", "th") if tag not in ("table", "html", "body") and tag not in BLOCKS else ()
-            while x is not root and x.tag != tag and x.tag not in stop:
-                x = x.parent
-            if x is not root and x.tag == tag:
-                at = x.parent
+        end = -1
+        if broken < BROKEN_QUOTES:
+            got = QUOTED.match(page, m.end())
+            end = got.end() if got else -1
+            broken += got is None
+        if end < 0:
+            end = page.find(">", m.end()) + 1
+        if end <= 0:
+            pos = text = n  # a tag cut off by the end of the page is no text
+            break
+        attrs, pos, text = page[m.end() : end - 1], end, end
+        tag = m[0].lower()
+        if end_tag:
+            place = now.last((tag,))
+            if place and (tag in BLOCKS or tag in ("table", "html", "body") or place > now.last(("table", "td", "th"))):
+                now.close(place)
             elif tag == "p":
-                at.kids.append(Node("p", at))
+                now.stack[-1].kids.append(Node("p", now.stack[-1]))
             continue
-        if tag in CLOSES_P:
-            x = at
-            while x is not root and x.tag not in BLOCKS and x.tag not in DROPPED:
-                x = x.parent
-            if x.tag == "p":
-                at = x.parent
+        if tag in CLOSES_P and now.blocks and now.stack[now.blocks[-1]].tag == "p":
+            now.close(now.blocks[-1])
         if tag in SIBLING:
             shut, stop = SIBLING[tag]
-            x = at
-            while x is not root and x.tag not in stop:
-                if x.tag in shut.split():
-                    at = x.parent
-                    break
-                x = x.parent
-        node = Node(tag, at, _noise(tag, m[3]) if "=" in m[3] or " " in m[3] else False)
-        at.kids.append(node)
+            place = now.last(shut.split())
+            if place > now.last(stop):
+                now.close(place)
+        node = Node(tag, now.stack[-1], _hint(tag, attrs) if "=" in attrs or " " in attrs else 0)
+        node.parent.kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            node.kids.append(page[pos : end.start() if end else n])
-            pos = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            at = node
-        elif m[3].endswith("/") and tag in BLOCKS:
-            at = node
-    if pos < n:
-        rest = page[pos:]
-        # a tag cut off by the end of the page is no text
-        at.kids.append(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", rest, count=1))
+            got = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, pos)
+            node.kids.append(page[pos : got.start() if got else n])
+            end = page.find(">", got.end()) if got else -1
+            pos = text = n if end < 0 else end + 1
+        elif tag not in VOID and (not attrs.endswith("/") or tag in BLOCKS):
+            now.push(node)
+    if text < n:
+        now.stack[-1].kids.append(page[text:])
     return root
 
 
-def _noise(tag: str, attrs: str) -> bool:
+def _hint(tag: str, attrs: str) -> int:
+    """What class, id, role and visibility say: 9 never shown, 3 comments, 2 other noise, 1 perhaps noise, 0 nothing."""
+    most = 0
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
+            return 9
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and NOISE.search(value):
-            return True
-    return False
-
-
-def _skipped(x: Node) -> bool:
-    return x.noise or x.tag in DROPPED or (x.tag == "header" and not _inside(x, ("article", "main")))
-
-
-def _inside(x: Node, tags: tuple[str, ...]) -> bool:
-    while x.parent is not None:
-        x = x.parent
-        if x.tag in tags:
-            return True
-    return False
+            return 9
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+            for token in value.split():
+                words = [w.lower() for w in WORDS.findall(token)]
+                if not words or words[-1] in STATE_AFTER:
+                    continue
+                for k, w in enumerate(words):
+                    if not k or words[k - 1] not in STATE_BEFORE:
+                        most = max(most, _KIND.get(w, 0), _KIND.get(w + "".join(words[k + 1 : k + 2]), 0), 2 * w.startswith(NOISE_STARTS))
+    return most
+
+
+def _plain(x: Node) -> int:
+    return x.chars - x.linked
+
+
+def _articles(x: Node) -> bool:
+    """Whether a subtree reads like an article: two blocks of 50 characters with few links."""
+    found, stack = 0, [x]
+    while stack and found < 2:
+        y = stack.pop()
+        if isinstance(y, Node) and not y.skip:
+            found += y.tag in BLOCKS and _plain(y) >= 50 and _density(y) < 0.2 and _text_block(y)
+            stack += y.kids
+    return found >= 2
+
+
+def _leave_out(root: Node) -> None:
+    """Decide which elements with a hint are left out.
+
+    Only perhaps noise: if it loses to the rest in plain text, or is mostly links. Noise: always,
+    except that, where nothing else is left on the page, the one that reads like an article stays.
+    Comments always go.
+    """
+    order = _measure(root)
+    hinted = [x for x in order if x.hint]
+    if not hinted:
+        return
+    inside, weak, strong = set(), [], []  # what is inside stronger noise goes or stays with it
+    for x in order:
+        if x.parent is not None and (id(x.parent) in inside or x.parent.hint >= 2):
+            inside.add(id(x))
+        elif x.hint:
+            (strong if x.hint >= 2 else weak).append(x)
+    rest = _plain(root) - sum(map(_plain, strong))
+    gone, left = set(), rest
+    for x in weak:
+        x.skip = _density(x) >= 0.5 or 2 * _plain(x) <= rest
+    for x in order:
+        if x.parent is not None and id(x.parent) in gone:
+            gone.add(id(x))
+        elif x.skip:
+            gone.add(id(x))
+            left -= _plain(x)
+    best = max((x for x in strong if x.hint == 2), key=_plain, default=None)
+    for x in strong:
+        x.skip = not (x is best and left < 25 and _articles(x))
 
 
 def _measure(root: Node) -> list[Node]:
     """Characters, linked characters and commas below every kept node; nodes in page order."""
-    order, stack = [], [(root, False)]
+    order, stack = [], [root]
     while stack:
-        x, done = stack.pop()
-        if not done:
-            order.append(x)
-            stack.append((x, True))
-            stack += [(k, False) for k in reversed(x.kids) if isinstance(k, Node) and not _skipped(k)]
-            continue
+        x = stack.pop()
+        order.append(x)
+        x.score = 0.0
         x.chars = x.linked = x.commas = 0
+        stack += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip]
+    for x in reversed(order):
         for k in x.kids:
             if isinstance(k, str):
                 t = k.strip()
                 x.chars += len(t)
                 x.commas += t.count(",") + t.count("，") + t.count("、")
-            elif not _skipped(k):
-                x.chars += k.chars
-                x.linked += k.linked
-                x.commas += k.commas
         if x.tag == "a":
             x.linked = x.chars
+        if x.parent is not None:
+            up = x.parent
+            up.chars += x.chars
+            up.linked += x.linked
+            up.commas += x.commas
     return order
 
 
@@ -149,7 +243,7 @@ def _density(x: Node) -> float:
 
 def _text_block(x: Node) -> bool:
     """A block that holds text itself, not only other blocks."""
-    return any((isinstance(k, str) and not k.isspace() and k) or (isinstance(k, Node) and k.tag not in BLOCKS and not _skipped(k) and k.chars) for k in x.kids)
+    return any((isinstance(k, str) and not k.isspace() and k) or (isinstance(k, Node) and k.tag not in BLOCKS and not k.skip and k.chars) for k in x.kids)
 
 
 def choose(root: Node) -> list[Node]:
@@ -160,13 +254,12 @@ def choose(root: Node) -> list[Node]:
     density. A sibling stays if it is a text block or has a fifth of the best points, in either
     case with few links. Where the best container lies inside an article or main element, that element is it.
     """
+    _leave_out(root)
     order = _measure(root)
     for x in order:
         if x.tag in BLOCKS and x.tag not in ("html", "body") and x.chars and x.parent is not None and _text_block(x):
             points = (1 + x.commas + min(3.0, x.chars / 100)) * (1 - _density(x))
-            up, share = x.parent, 1.0
-            while up is not None and up.tag not in BLOCKS and up.parent is not None:
-                up = up.parent
+            up, share = x.block, 1.0
             while up is not None and share >= 0.25:
                 up.score += points * share
                 up, share = up.parent, share / 2
@@ -187,7 +280,7 @@ def choose(root: Node) -> list[Node]:
     for k in best.parent.kids:
         if k is best:
             kept.append(k)
-        elif isinstance(k, Node) and not _skipped(k) and k.chars and _density(k) < 0.25:
+        elif isinstance(k, Node) and not k.skip and k.chars and _density(k) < 0.25:
             if best.tag == "article":
                 if k.tag == "article" and k.score * (1 - _density(k)) >= least:
                     kept.append(k)
@@ -202,7 +295,8 @@ def blocks(nodes: list[Node]) -> list[str]:
     now: list[str] = []
 
     def end():
-        text = SPACE.sub(" ", html.unescape("".join(now))).strip()
+        # a reference to a number of eight digits is no character; int() would refuse very long ones
+        text = SPACE.sub(" ", html.unescape(DIGITS.sub("\ufffd", "".join(now)))).strip()
         if text:
             out.append(text)
         now.clear()
@@ -216,7 +310,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             now.append(x)
         elif x.tag == "br" or x.tag == "wbr":
             now.append(" " if x.tag == "br" else "")
-        elif not _skipped(x):
+        elif not x.skip:
             if x.tag in BLOCKS or x.tag == "#root":
                 end()
                 stack.append(None)
