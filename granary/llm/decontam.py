@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_rows
-from granary.session import materialize
+from granary.llm.common import WordHashes, map_rows, shingles
+from granary.session import Scratch
 
 TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach, and share of the word triples of question and of answer.
 LEAST_SCORE, LEAST_OVERLAP, GRAM = 0.5, 0.6, 3
-BLOCK_ITEMS, PASSAGE = 2, 256
-#: Most text of items in one broadcast index; a larger benchmark is searched in several passes.
-INDEX_CHARS = 32 << 20
+#: Items of a block, blocks of a group of blocks, and words of a passage.
+BLOCK_ITEMS, GROUP_BLOCKS, PASSAGE = 64, 64, 256
+#: Most text of items in one broadcast index, about 64 MiB of arrays; a larger benchmark is searched in several passes.
+INDEX_CHARS = 4 << 20
+#: Sums in another order differ by rounding; bounds are compared with so much room.
+ROOM = 1e-9
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -35,146 +39,163 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return q, a
 
 
-def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All indexes of the ranges [start, end), one range after another."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-@dataclass
-class Item:
-    item_id: object
-    question: set
-    answer: set
-    size: int
+def _levels(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different ``keys`` (sorted), where the entries of each begin (and the end), and the greatest value of each."""
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.intp)
+    most = np.maximum.reduceat(values, at) if len(at) else np.zeros(0)
+    return keys[at], np.append(at, len(keys)), most
 
 
 class Index:
-    """Postings by term in item order, with the greatest weight of each term in every block of items.
+    """An inverted index in flat arrays: postings by term and item, their blocks, and groups of blocks.
 
     Weights are BM25 contributions divided by the item's score for itself, so one threshold
     holds for all items. Items are ordered by length: those of a block have similar weights.
-    ``whole`` has the number of items, their mean length and the df of terms where ``items`` are
-    only a part of the benchmark.
+    Every term knows its greatest weight at all, in each group and in each block. ``whole`` has the number
+    of items, their mean and greatest length and the df of terms where ``items`` are only a
+    part of the benchmark.
     """
 
-    def __init__(self, items: list[tuple[object, str]], whole: tuple[int, float, dict[str, int]] | None = None):
+    def __init__(self, items: Sequence[tuple[object, str | None]], whole: tuple[int, float, int, dict[str, int]] | None = None):
         parsed = [(i, *split_item(t or "")) for i, t in items]
         parsed = sorted((p for p in parsed if p[1] or p[2]), key=lambda p: (len(p[1]) + len(p[2]), str(p[0])))
-        self.items = [Item(i, grams(q), grams(a), len(q) + len(a)) for i, q, a in parsed]
-        self.longest = max((x.size for x in self.items), default=0)
-        n, mean = len(parsed), max(1.0, sum(x.size for x in self.items) / max(1, len(parsed)))
-        tf: list[dict[str, int]] = []
-        df: dict[str, int] = {}
-        for _, q, a in parsed:
-            c: dict[str, int] = {}
-            for w in q + a:
-                c[w] = c.get(w, 0) + 1
-            tf.append(c)
-            for w in c:
-                df[w] = df.get(w, 0) + 1
+        sizes = [len(q) + len(a) for _, q, a in parsed]
+        tf = [Counter(q + a) for _, q, a in parsed]
+        df = Counter(w for c in tf for w in c)
+        n, mean, self.longest = len(parsed), sum(sizes) / max(1, len(parsed)), max(sizes, default=0)
         if whole:
-            n, mean, df = whole[0], max(1.0, whole[1]), {w: whole[2][w] for w in df}
-        self.term = {w: k for k, w in enumerate(sorted(df))}
-        post: list[list[tuple[int, float]]] = [[] for _ in df]
+            n, mean, self.longest, known = whole
+            df = {w: known[w] for w in df}
+        mean = max(1.0, mean)
+        self.ids = [i for i, _, _ in parsed]
+        hashes = WordHashes()
+        h = lambda words: hashes.of([w.encode() for w in words])
+        names = list(df)
+        self.words = h(names)
+        order = np.argsort(self.words)
+        self.words = self.words[order]
+        place = {names[k]: r for r, k in enumerate(order.tolist())}
+        term, item, weight = [], [], []
         for k, c in enumerate(tf):
-            w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * self.items[k].size / mean)) for t, f in c.items()}
+            w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[k] / mean)) for t, f in c.items()}
             own = sum(w.values())
-            for t, x in w.items():
-                post[self.term[t]].append((k, x / own))
-        self.most = np.array([max(x for _, x in p) for p in post] or [0.0])
-        #: postings of a term in a block
-        self.part: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for t, p in enumerate(post):
-            for k, x in p:
-                self.part.setdefault((t, k // BLOCK_ITEMS), []).append((k, x))
-        best = {at: max(x for _, x in p) for at, p in self.part.items()}
-        self.best = best
-        keys = sorted(best)
-        self.block = np.array([b for _, b in keys], np.intp)
-        self.block_most = np.array([best[k] for k in keys])
-        self.start = np.searchsorted(np.array([t for t, _ in keys]), np.arange(len(post) + 1)) if keys else np.zeros(1, np.intp)
-        self.blocks = -(-len(self.items) // BLOCK_ITEMS)
-
-    def candidates(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """(item, score) of all items whose score for the different ``terms`` is at least ``least``."""
-        if self.most[terms].sum() < least:
-            return []
-        a, b = self.start[terms], self.start[terms + 1]
-        size = b - a
-        at = np.arange(size.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        bound = np.bincount(self.block[at], self.block_most[at], minlength=self.blocks)
-        found: list[tuple[int, float]] = []
-        for blk in np.flatnonzero(bound >= least - 1e-12):
-            found += self._wand(terms.tolist(), int(blk), least)
-        return found
-
-    def _wand(self, terms: list[int], blk: int, least: float) -> list[tuple[int, float]]:
-        """Document-at-a-time WAND over the postings of one block whose bound allows a hit."""
-        lists = [[p[0][0], self.best[t, blk], 0, p] for t in terms if (p := self.part.get((t, blk)))]
+            term += [place[t] for t in w]
+            item += [k] * len(w)
+            weight += [x / own for x in w.values()]
+        term, item, weight = np.array(term, np.int64), np.array(item, np.int64), np.array(weight, float)
+        order = np.lexsort((item, term))
+        term, self.item, self.weight = term[order], item[order].astype(np.int32), weight[order]
+        self.blocks = -(-len(parsed) // BLOCK_ITEMS)
+        self.groups = -(-self.blocks // GROUP_BLOCKS)
+        keys, self.block_start, self.block_most = _levels(term * max(1, self.blocks) + self.item // BLOCK_ITEMS, self.weight)
+        self.block, of = (keys % max(1, self.blocks)).astype(np.int32), keys // max(1, self.blocks)
+        # of each group of each term: its key (term, group), its first block and its greatest weight
+        self.group, self.group_start, self.group_most = _levels(of * max(1, self.groups) + self.block // GROUP_BLOCKS, self.block_most)
+        _, _, self.most = _levels(self.group // max(1, self.groups), self.group_most)
+        parts = [shingles(h(w), GRAM) for _, q, a in parsed for w in (q, a)]
+        #: word triples of question and answer of each item, and how long they are (short ones are a whole part)
+        self.grams = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.gram_start = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        self.gram_size = np.array([min(GRAM, len(w)) for _, q, a in parsed for w in (q, a)], np.int8)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self.__dict__.values() if isinstance(x, np.ndarray))
+
+    def terms(self, h: np.ndarray) -> np.ndarray:
+        """The terms of word hashes, -1 for words of no item."""
+        if not len(self.words):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, at, -1)
+
+    def candidates(self, terms: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Items whose score for the different ``terms`` is at least ``least``, and their scores.
+
+        Block-max WAND: the lists stand at their next group of blocks; in the order of these, the
+        one with which the sum of greatest weights reaches ``least`` gives the pivot, and lists
+        before it skip to it. The pivot's group is left out if the greatest weights in the group
+        do not reach ``least``; else its blocks are, and the items of those that stay are scored.
+        """
+        most, groups = self.most[terms], self.groups
+        least -= ROOM
+        if most.sum() < least:
+            return np.zeros(0, np.intp), np.zeros(0)
+        base = terms * groups
+        keys, n = self.group, len(self.group)
+        at = np.searchsorted(keys, base)
         found = []
-        while lists:
-            lists.sort(key=lambda x: x[0])
-            total, pivot = 0.0, None
-            for x in lists:
-                total += x[1]
-                if total >= least - 1e-12:
-                    pivot = x[0]
-                    break
-            if pivot is None:
+        while True:
+            where = np.where(at < n, keys[np.minimum(at, n - 1)] - base, groups)
+            where = np.minimum(where, groups)  # the next term's entries mean that this list has ended
+            order = np.argsort(where, kind="stable")
+            pivot = int(np.searchsorted(np.cumsum(most[order]), least))
+            if pivot >= len(order) or (goal := where[order[pivot]]) >= groups:
                 break
-            if lists[0][0] == pivot:
-                score = 0.0
-                for x in lists:
-                    if x[0] != pivot:
-                        break
-                    score += x[3][x[2]][1]
-                if score >= least - 1e-12:
-                    found.append((pivot, score))
-                goal = pivot + 1
-            else:
-                goal = pivot
-            for x in lists:  # lists before the goal skip to it
-                while x[0] is not None and x[0] < goal:
-                    x[2] += 1
-                    x[0] = x[3][x[2]][0] if x[2] < len(x[3]) else None
-            lists = [x for x in lists if x[0] is not None]
-        return found
-
-    def search(self, text: str, least: float = LEAST_SCORE, overlap: float = LEAST_OVERLAP) -> list[tuple[object, float, float, float]]:
+            late = where < goal
+            if late.any():
+                at[late] = np.searchsorted(keys, base[late] + goal)
+                where = np.minimum(np.where(at < n, keys[np.minimum(at, n - 1)] - base, groups), groups)
+            here = at[where == goal]
+            if self.group_most[here].sum() >= least:
+                found.append(self._group(here, int(goal) * GROUP_BLOCKS, least))
+            at[where == goal] += 1
+        if not found:
+            return np.zeros(0, np.intp), np.zeros(0)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _group(self, entries: np.ndarray, first: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the items in the blocks of one group that the greatest weights of blocks allow."""
+        b = _ranges(self.group_start[entries], self.group_start[entries + 1])
+        own = self.block[b] - first
+        live = np.bincount(own, self.block_most[b], minlength=GROUP_BLOCKS) >= least
+        b = b[live[own]]
+        p = _ranges(self.block_start[b], self.block_start[b + 1])
+        score = np.bincount(self.item[p] - first * BLOCK_ITEMS, self.weight[p])
+        hit = np.flatnonzero(score >= least)
+        return hit + first * BLOCK_ITEMS, score[hit]
+
+    def search(self, text: str, hashes: WordHashes, least: float = LEAST_SCORE, overlap: float = LEAST_OVERLAP) -> list[tuple[object, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of the items found in a text, best passage of each."""
-        if not self.items:
+        if not self.ids:
             return []
-        words = TOKEN.findall(text.lower())
-        get = self.term.get
-        ids = np.fromiter((get(w, -1) for w in words), np.intp, len(words))
-        known = np.flatnonzero(ids >= 0)
-        if not len(known) or self.most[ids[known]].sum() < least:
+        h = hashes.of([w.encode() for w in TOKEN.findall(text.lower())])
+        ids = self.terms(h)
+        known = ids[ids >= 0]
+        if not len(known) or self.most[np.unique(known)].sum() < least - ROOM:
             return []
         # every run of words as long as the longest item lies whole in some passage
         width = max(PASSAGE, 2 * self.longest)
         step = width - self.longest + 1
         best: dict[int, tuple[float, float, float]] = {}
-        for s in range(0, max(1, len(words) - self.longest + 1), step):
+        for s in range(0, max(1, len(h) - self.longest + 1), step):
             part = ids[s : s + width]
             terms = np.unique(part[part >= 0])
             if not len(terms):
                 continue
-            hits = self.candidates(terms, least)
-            if hits:
-                have = grams(words[s : s + width])
-                short = {n: grams(words[s : s + width], n) for n in (1, 2)}
-                for k, score in hits:
-                    x = self.items[k]
-                    q, a = (_share(g, have, short) for g in (x.question, x.answer))
-                    if q >= overlap and a >= overlap and (k not in best or best[k][0] < score):
-                        best[k] = (score, q, a)
-        return [(self.items[k].item_id, *v) for k, v in sorted(best.items())]
-
-
-def _share(want: set, have: set, short: dict) -> float:
-    if not want:
-        return 1.0
-    n = len(next(iter(want)))
-    return len(want & (have if n == GRAM else short[n])) / len(want)
+            items, scores = self.candidates(terms, least)
+            have: dict[int, np.ndarray] = {}
+            for k, score in zip(items.tolist(), scores.tolist(), strict=True):
+                q, a = (self._share(2 * k + side, h[s : s + width], have) for side in (0, 1))
+                if q >= overlap and a >= overlap and (k not in best or best[k][0] < score):
+                    best[k] = (score, q, a)
+        return [(self.ids[k], *v) for k, v in sorted(best.items())]
+
+    def _share(self, part: int, h: np.ndarray, have: dict[int, np.ndarray]) -> float:
+        """Share of the word triples of a question or answer that are in a passage."""
+        want = self.grams[self.gram_start[part] : self.gram_start[part + 1]]
+        if not len(want):
+            return 1.0
+        n = int(self.gram_size[part])
+        if n not in have:
+            have[n] = shingles(h, n)
+        return len(np.intersect1d(want, have[n], assume_unique=True)) / len(want)
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
@@ -195,14 +216,16 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
 
         return step
 
-    # n, mean length and df are those of all items, whatever part an item is in
-    words = materialize(map_rows(rows.select("part", "text"), start, "part long, size long, words array<string>").filter("size > 0"), "benchmark-words")
-    n, mean = words.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).first()
+    # n, mean and greatest length and df are those of all items, whatever part an item is in
+    work = Scratch(benchmark.sparkSession, "benchmark")
+    words = work.keep(map_rows(rows.select("part", "text"), start, "part long, size long, words array<string>").filter("size > 0"), "words")
+    n, mean, longest = words.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0)), F.coalesce(F.max("size"), F.lit(0))).first()
     each = words.select("part", F.explode("words").alias("word")).groupBy("part", "word").agg(F.count("*").alias("n"))
-    df = materialize(each.join(each.groupBy("word").agg(F.sum("n").alias("df")), "word").select("part", "word", "df"), "benchmark-df")
+    df = work.keep(each.join(each.groupBy("word").agg(F.sum("n").alias("df")), "word").select("part", "word", "df"), "df")
     for k in range(passes):
         own = {r[0]: r[1] for r in df.filter(F.col("part") == k).select("word", "df").collect()}
-        yield held(Index([(r[0], r[1]) for r in rows.filter(F.col("part") == k).select("item", "text").collect()], (n, mean, own)))
+        yield held(Index([(r[0], r[1]) for r in rows.filter(F.col("part") == k).select("item", "text").collect()], (n, mean, longest, own)))
+    work.drop()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SCORE, overlap: float = LEAST_OVERLAP) -> DataFrame:
@@ -220,10 +243,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     for held in _indexes(benchmark, item_col, item_text_col):
 
         def start(held=held):
+            hashes = WordHashes()
+
             def step(cols):
                 got: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "score", "question_overlap", "answer_overlap")}
                 for i, t in zip(cols["doc_id"], cols["text"], strict=True):
-                    for x in held.value.search(t or "", least, overlap):
+                    for x in held.value.search(t or "", hashes, least, overlap):
                         for c, v in zip(got, (i, *x), strict=True):
                             got[c].append(v)
                 return got
@@ -244,8 +269,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     for held in _indexes(benchmark, item_col, item_text_col):
 
         def start(held=held):
+            hashes = WordHashes()
+
             def step(cols):
-                keep = [not held.value.search(t or "", least, overlap) for t in cols[f"c{at}"]]
+                keep = [not held.value.search(t or "", hashes, least, overlap) for t in cols[f"c{at}"]]
                 return {c: [x for x, k in zip(v, keep, strict=True) if k] for c, v in cols.items()}
 
             return step

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -408,22 +409,38 @@ def _items(rng, n):
     return [(i, " ".join(f"v{rng.randint(0, 400)}" for _ in range(rng.randint(6, 40))) + (". " if i % 2 else "? ") + " ".join(f"a{rng.randint(0, 90)}" for _ in range(rng.randint(1, 9))) + ".") for i in range(n)]
 
 
-def test_wand_retrieves_all_above_threshold():
+@pytest.mark.parametrize(("block", "group"), [(64, 64), (8, 2), (1, 3)])
+def test_wand_retrieves_all_above_threshold(monkeypatch, block, group):
+    """Against exhaustive sums computed from the BM25 formula, with large and small blocks."""
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(decontam, "GROUP_BLOCKS", group)
     rng = random.Random(10)
-    items = _items(rng, 70)
+    items = _items(rng, 170)
     index = decontam.Index(items)
+    bags = {i: Counter(decontam.TOKEN.findall(t.lower())) for i, t in items}
+    df = Counter(w for c in bags.values() for w in c)
+    mean = sum(sum(c.values()) for c in bags.values()) / len(bags)
+
+    def weight(c, w):
+        idf = math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5))
+        return idf * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+
+    share = {i: {w: weight(c, w) for w in c} for i, c in bags.items()}
+    share = {i: {w: x / sum(v.values()) for w, x in v.items()} for i, v in share.items()}
     for _ in range(200):
-        words = [f"v{rng.randint(0, 400)}" for _ in range(60)] + decontam.TOKEN.findall(rng.choice(items)[1])[:12]
-        terms = np.unique([index.term[w] for w in words if w in index.term])
-        full = defaultdict(float)
-        for t in terms:
-            for b in range(index.blocks):
-                for k, x in index.part.get((t, b), ()):
-                    full[k] += x
+        words = {f"v{rng.randint(0, 400)}" for _ in range(60)} | set(decontam.TOKEN.findall(rng.choice(items)[1])[:12])
+        terms = np.unique(index.terms(WordHashes().of([w.encode() for w in words])))
         for least in (0.2, 0.4):
-            want = {k for k, x in full.items() if x >= least}
-            got = dict(index.candidates(terms, least))
-            assert set(got) == want and all(abs(got[k] - full[k]) < 1e-9 for k in want)
+            want = {i: s for i, v in share.items() if (s := sum(x for w, x in v.items() if w in words)) >= least}
+            found, scores = index.candidates(terms[terms >= 0], least)
+            got = {index.ids[k]: x for k, x in zip(found, scores, strict=True)}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_index_takes_few_bytes():
+    items = _items(random.Random(2), 5000)
+    chars = sum(len(t) for _, t in items)
+    assert decontam.Index(items).nbytes < 20 * chars and decontam.INDEX_CHARS * 20 <= 96 << 20
 
 
 def test_leaks_are_found_and_clean_texts_stay(spark, odd, none):
