@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -14,9 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.common import place_in
+from granary.session import Scratch, remove
+
 #: Payloads shorter than this are never revisits.
 SHORTEST = 100
 ROLL_BYTES = 16 << 20
+#: Payload bytes of a shard on average, and most shards (of more bytes the shards get larger and roll more files).
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -32,12 +38,13 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, siz
     else:
         block = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}".encode()
     rid = uuid.UUID(bytes=hashlib.sha256(f"{page_id}|{order}|{digest}".encode()).digest()[:16], version=4)
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{rid}>",
-        f"WARC-Date: {date}",
-        f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', _percent, url or '')}",
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{rid}>", f"WARC-Date: {date}"]
+    if url is not None:
+        safe = re.sub(r"[\x00-\x20\x7f]", _percent, url)
+        lines.append(f"WARC-Target-URI: {safe}")
+        if safe != url or not url:
+            lines.append(f"X-Source-URI: {json.dumps(url)}")  # as it stood in the row
+    lines += [
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
@@ -67,18 +74,20 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The inflated gzip members of an archive, one after another; fed in pieces, so that no rest is copied again and again."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        z, parts = zlib.decompressobj(31), []
-        while not z.eof:
-            piece = view[at : at + (1 << 14)]
-            if not len(piece):
-                raise ValueError("the archive is cut off")
+def members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The inflated gzip members of an archive that comes in pieces, one after another."""
+    z, parts = None, []
+    for piece in pieces:
+        while piece:
+            if z is None:
+                z, parts = zlib.decompressobj(31), []
             parts.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
-        yield b"".join(parts)
+            piece = z.unused_data
+            if z.eof:
+                yield b"".join(parts)
+                z = None
+    if z is not None:
+        raise ValueError("the archive is cut off")
 
 
 def _filesystem(uri: str):
@@ -116,11 +125,9 @@ class _Roller:
             self.out, self.seq = None, self.seq + 1
 
 
-def first_copies(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(digest, first): the smallest id of each payload of at least SHORTEST bytes that occurs more than once."""
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    slim = pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    return slim.filter(F.col("size") >= SHORTEST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+def first_copies(slim: DataFrame) -> DataFrame:
+    """(digest, first): the smallest id of each payload of at least SHORTEST bytes that occurs more than once in (id, digest, size)."""
+    return slim.filter(F.col("size") >= SHORTEST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
 
 
 def write_warc(
@@ -128,26 +135,29 @@ def write_warc(
 ) -> DataFrame:
     """Write one record for each row below ``out`` and return the manifest of committed files.
 
-    Rows are dealt to shards by ranges of the id and sorted within them, so a rerun on the same
-    rows and shards writes the same bytes. Tasks write files under names of their own attempt in
-    ``_temporary``; only attempts that Spark accepts appear in the manifest, and the commit
-    renames just those (a rename that was done before is skipped, so it may be repeated).
+    Rows are dealt to shards by ranges of the id and sorted within them; the number of shards
+    follows from the bytes of all payloads, so a rerun on the same rows writes the same bytes.
+    Tasks write files under names of their own attempt in ``_temporary``; only attempts that
+    Spark accepts appear in the manifest, and the commit renames just those (a rename that was
+    done before is skipped, so it may be repeated). Files that an earlier write left below
+    ``out`` are replaced or stand in no manifest.
 
     Of rows with equal payloads of at least 100 bytes the one with the smallest id is the
     response (of repeated rows with that id one, by url), the others are revisits. Null html is an
     empty payload; null ids come last and are never referred to. An empty table gives no files.
     """
     spark = pages.sparkSession
-    n = int(shards or spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = pages.select(F.percentile_approx(F.col(id_col), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted({c for c in cuts if c is not None})  # fewer than the shards
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    shard = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("id"))))
+    work = Scratch(spark, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    slim = work.keep(pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "digests")
+    total = slim.agg(F.sum("size")).first()[0] or 0
+    n = int(shards or min(MOST_SHARDS, max(1, -(-total // SHARD_BYTES))))
+    cuts = slim.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or []
+    cuts = sorted({c for c in cuts if c is not None})[: n - 1]  # fewer than the shards
+    shard = F.coalesce(place_in(cuts, right=True)(F.col("id")), F.lit(len(cuts)))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    copies = first_copies(pages, id_col, html_col).select("digest", "first")
     # only rows that repeat another payload get a decision; it travels beside the payloads, which are shuffled once
-    repeats = pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("digest")).distinct().join(copies, "digest")
+    repeats = slim.select("id", "digest").distinct().join(first_copies(slim), "digest")
     decided = repeats.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
     both = rows.withColumn("first", F.lit(None).cast(pages.schema[id_col].dataType)).unionByName(decided)
     kind = pages.schema[id_col].dataType.simpleString()
@@ -186,12 +196,13 @@ def write_warc(
         types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    dealt = both.withColumn("shard", shard.cast("int")).repartition(n, "shard").sortWithinPartitions(
+    dealt = both.withColumn("shard", shard.cast("int")).repartitionById(n, "shard").sortWithinPartitions(
         "shard", F.col("id").asc_nulls_last(), F.col("payload").isNotNull(), "digest", "url"
     )
     dealt.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{out}/_manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{out}/_manifest")
     commit(manifest, out)
+    work.drop()
     return manifest
 
 
@@ -204,24 +215,27 @@ def commit(manifest: DataFrame, out: str) -> None:
             for temp, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = fs.get_file_info([f"{path}/{temp}", f"{path}/{name}"])
                 if a.type.name == "File":
+                    if b.type.name == "File":  # of an earlier write; not every file system replaces it by a rename
+                        fs.delete_file(b.path)
                     fs.move(a.path, b.path)
                 elif b.type.name != "File":
                     raise FileNotFoundError(f"neither {temp} nor {name} exists")
             yield batch
 
     manifest.select("temp", "name").mapInArrow(rename, "temp string, name string").write.format("noop").mode("overwrite").save()
+    remove(manifest.sparkSession, f"{out}/_temporary")  # what lost attempts wrote
 
 
 READ = "page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, html string"
 
 
 def read_warc(spark: SparkSession, out: str, *, id_type: str = "bigint", html: bool = True) -> DataFrame:
-    """The records of the committed archives below ``out``; digests are computed anew and compared.
+    """The records of the archives that the manifest below ``out`` names; digests are computed anew and compared.
 
-    Only files with final names are read, each by one task; their size is bounded by the roll
-    size. The html of a revisit is null.
+    Other files are not read. Each archive is streamed by one task, whatever its size; its records
+    and its SHA-256 must be those of the manifest. The html of a revisit is null, an absent url too.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(out).select("content")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/_manifest").select("name", "records", "sha256")
     cast = int if id_type in ("bigint", "int", "smallint", "tinyint") else str
 
     def rows(batches):
@@ -229,27 +243,45 @@ def read_warc(spark: SparkSession, out: str, *, id_type: str = "bigint", html: b
 
         kind = pa.int64() if id_type == "bigint" else to_arrow_type(_parse_type(id_type))
         types = [kind, pa.string(), pa.int64(), pa.string(), pa.string(), kind, pa.string()]
+        fs, path = _filesystem(out)
+        full = lambda got: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=NAMES)
         for batch in batches:
-            for i in range(batch.num_rows):
-                got = []
-                for m in members(batch.column(0)[i].as_py()):
-                    f, block = parse(m)
-                    page = cast(f["X-Page-ID"]) if f["X-Page-ID"] else None
-                    digest, size, revisit = f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"]), f["WARC-Type"] == "revisit"
-                    body = None
-                    if not revisit:
-                        body = block.partition(b"\r\n\r\n")[2]
-                        if hashlib.sha256(body).hexdigest() != digest or len(body) != size:
-                            raise ValueError(f"damaged payload of page {page}")
-                    got.append((page, f["WARC-Target-URI"], size, digest, f["WARC-Type"], cast(f["X-Refers-To-Page"]) if revisit else None, body.decode() if html and body is not None else None))
-                    if len(got) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=NAMES)
-                        got = []
+            for name, records, sha256 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got, size, count, seen = [], 0, 0, hashlib.sha256()
+
+                def pieces(name=name, seen=seen):
+                    with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
+                        while piece := f.read(1 << 14):
+                            seen.update(piece)
+                            yield piece
+
+                for m in members(pieces()):
+                    got.append(_row(m, cast, html))
+                    size, count = size + len(m), count + 1
+                    if len(got) == 512 or size > 8 << 20:
+                        yield full(got)
+                        got, size = [], 0
+                if count != records or seen.hexdigest() != sha256:
+                    raise ValueError(f"{name} is not the archive of the manifest")
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=NAMES)
+                    yield full(got)
 
     NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
-    return files.mapInArrow(rows, READ.format(kind=id_type))
+    files = manifest.count()
+    return manifest.repartition(max(1, min(files, 4 * spark.sparkContext.defaultParallelism)), "name").mapInArrow(rows, READ.format(kind=id_type))
+
+
+def _row(member: bytes, cast, html: bool) -> tuple:
+    f, block = parse(member)
+    page = cast(f["X-Page-ID"]) if f["X-Page-ID"] else None
+    digest, size, revisit = f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"]), f["WARC-Type"] == "revisit"
+    body = None
+    if not revisit:
+        body = block.partition(b"\r\n\r\n")[2]
+        if hashlib.sha256(body).hexdigest() != digest or len(body) != size:
+            raise ValueError(f"damaged payload of page {page}")
+    url = json.loads(f["X-Source-URI"]) if "X-Source-URI" in f else f.get("WARC-Target-URI")
+    return page, url, size, digest, f["WARC-Type"], cast(f["X-Refers-To-Page"]) if revisit else None, body.decode() if html and body is not None else None
 
 
 def _parse_type(name: str):
