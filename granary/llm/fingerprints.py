@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, mixed, words_of
+from granary.llm.common import WordHashes, mixed, place_in, words_of
 
 #: Samples of a fingerprint, and rows of the tables of variates from which a term's hash picks.
 SAMPLES, TABLE_ROWS = 64, 1 << 14
@@ -20,7 +20,12 @@ EMPTY = "0" * (4 * SAMPLES)
 
 @lru_cache(maxsize=1)
 def _variates() -> tuple[np.ndarray, ...]:
-    """r, ln c and b of consistent weighted sampling: r and c are Gamma(2, 1), b is uniform."""
+    """r, ln c and b of consistent weighted sampling: r and c are Gamma(2, 1), b is uniform.
+
+    A term's hash picks one row for r and b and another for c. Two terms share all three with a
+    probability of 2**-28; that some terms of a long text share r and b alone, with a c of their
+    own, leaves each sample's winner unbiased and only correlates such terms a little.
+    """
     rng = np.random.default_rng(20_100_717)
     r = rng.gamma(2.0, 1.0, (TABLE_ROWS, SAMPLES)).astype(np.float32)
     lnc = np.log(rng.gamma(2.0, 1.0, (TABLE_ROWS, SAMPLES))).astype(np.float32)
@@ -92,7 +97,7 @@ def fingerprint_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     The next document is that with the next smaller id (null ids last, rows with one id by the
     hash of the text); after the last comes the first. Rows are dealt by ranges of the id, so one
-    shuffle of the texts gives every task its documents in order; the first document of a range
+    shuffle of the texts gives every task one range in order; the first document of a range
     also goes to the end of the range before it. Null texts are empty; one row per input row.
     """
     spark = docs.sparkSession
@@ -104,14 +109,13 @@ def fingerprint_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     part = F.lit(0)
     at = F.array(F.struct(part.alias("part"), F.lit(False).alias("guest")))
     if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        part = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("id"))))
+        part = F.coalesce(place_in(cuts, right=False)(F.col("id")), F.lit(0))
         own = F.struct(part.alias("part"), F.lit(False).alias("guest"))
         other = F.struct(((part + 1) % len(cuts)).cast("int").alias("part"), F.lit(True).alias("guest"))
         at = F.when(F.col("id").isin(cuts), F.array(own, other)).otherwise(F.array(own))
     kind = docs.schema[id_col].dataType.simpleString()
     order = [F.col("at.part"), F.col("at.guest"), F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    dealt = rows.withColumn("at", F.explode(at)).repartition(n, "at.part").sortWithinPartitions(*order)
+    dealt = rows.withColumn("at", F.explode(at)).repartitionById(max(1, len(cuts)), "at.part").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
