@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_rows
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: Kneser-Ney order in letters, discount, and labelled documents used of each class (the documented bound).
 ORDER, DISCOUNT, PER_CLASS = 6, 0.75, 4000
 #: Words whose ratios count among the largest.
 TOP = 8
-REMEMBERED = 400_000
+REMEMBERED, GRAMS_REMEMBERED = 400_000, 600_000
 EDGE = "\x02"  # stands before and after a word
 
 
@@ -40,10 +40,11 @@ class Model:
 
     def __post_init__(self):
         self._low: dict[str, float] = {}
+        self._gram: dict[str, float] = {}
         self._word: dict[str, float] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_low", "_word")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_low", "_gram", "_word")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -63,20 +64,25 @@ class Model:
                 self._low[gram] = p
         return p
 
+    def probability(self, gram: str, toxic: int) -> float:
+        """P(last letter | the others, class): discounted counts, and the shared backoff with what the discount frees."""
+        ctx, low = gram[:-1], self.low(gram[1:])
+        n = self.total[toxic].get(ctx, 0)
+        return (max(self.own[toxic].get(gram, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[toxic][ctx] * low) / n if n else low
+
     def word(self, w: str) -> float:
         """log p(word | toxic) - log p(word | ordinary)."""
         v = self._word.get(w)
         if v is None:
-            s, v = EDGE * (ORDER - 1) + w + EDGE, 0.0
+            s, v, known = EDGE * (ORDER - 1) + w + EDGE, 0.0, self._gram
             for i in range(len(w) + 1):
                 g = s[i : i + ORDER]
-                ctx = g[:-1]
-                a, b = self.total[1].get(ctx, 0), self.total[0].get(ctx, 0)
-                if a or b:
-                    low = self.low(g[1:])
-                    p = (max(self.own[1].get(g, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[1][ctx] * low) / a if a else low
-                    q = (max(self.own[0].get(g, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[0][ctx] * low) / b if b else low
-                    v += math.log(p / q)
+                x = known.get(g)
+                if x is None:
+                    x = math.log(self.probability(g, 1) / self.probability(g, 0))
+                    if len(known) < GRAMS_REMEMBERED:
+                        known[g] = x
+                v += x
             if len(self._word) >= REMEMBERED:
                 self._word.clear()
             if len(w) < 64:
@@ -84,7 +90,10 @@ class Model:
         return v
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """Log-likelihood ratios of the words: the mean, a mean of the largest, and the largest."""
+        """Log-likelihood ratios: length-normalised over the whole text, over its TOP words, and over its most toxic word.
+
+        The first alone misses a toxic expression in a long text, which all other words dilute.
+        """
         words = LETTERS.findall(text.lower())
         if not words:
             return 0.0, 0.0, 0.0
@@ -109,17 +118,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, id_co
     """Fit on at most ``per_class`` labelled documents of each class, chosen by hash of the id.
 
     Three quarters of them give the n-gram counts, the rest the weights of the three features.
-    Only n-gram counts of this bounded sample reach the driver. Labels that are null, or whose
-    document is missing, are left out; without both classes every score is 0.5 or below.
+    Only n-gram counts of this bounded sample reach the driver; every occurrence of a word counts.
+    Labels that are null, or whose document is missing, and ids with both labels are left out;
+    without both classes every score is 0.5 or below.
     """
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id"))
+    usable = usable.agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     pick = usable.filter("toxic = 1").orderBy(order, "doc_id").limit(per_class).unionByName(usable.filter("toxic = 0").orderBy(order, "doc_id").limit(per_class))
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id", "toxic"])
     chosen = chosen.withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(4)) == 0)
     words = (
         chosen.filter(~F.col("tune"))
-        .select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)")))).alias("word"))
+        .select("toxic", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"))).alias("word"))
         .groupBy("toxic", "word")
         .agg(F.count("*").alias("n"))
     )
