@@ -113,6 +113,21 @@ def possibly_in(keys: DataFrame, key: str = ROW[0]) -> Callable[[str], Column]:
     return test
 
 
+#: Tasks that the rows of one key are dealt to.
+SALTS = 8
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key`` and is repeated SALTS times.
+
+    Rows of a frequent key on the left are dealt to SALTS tasks by the hash of their column
+    ``by``, which is the same in every attempt of a task.
+    """
+    many = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    salt = F.pmod(F.xxhash64(F.col(by), F.lit("salt")), F.lit(SALTS)).cast("int")
+    return left.withColumn("_salt", salt).join(many, [key, "_salt"], how).drop("_salt")
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict], schema: str, parts: int) -> DataFrame:
     """``fn`` of the rows of each group of the long columns ``keys``; groups have to fit into a task.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ROW, WordHashes, map_groups, map_rows, possibly_in, row_key, shingles, words_of
+from granary.llm.common import ROW, WordHashes, map_groups, map_rows, possibly_in, row_key, salted_join, shingles, words_of
 from granary.llm.components import components
 from granary.session import Scratch, materialize
 
@@ -347,14 +347,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     work = Scratch(docs.sparkSession, "near-dup")
     rows, joined = _linked(docs, id_col, text_col, work)
-    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(joined, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    # a class of one document that is linked with nothing needs no join
+    named = reps.join(joined, "cls", "left").filter("c > 1 OR label IS NOT NULL").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     named = work.keep(named, "named")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = materialize(named.join(least, "label").select("cls", "component_id"), "near-dup-components")
-    out = rows.select("doc_id", "n", "cls").join(named, "cls", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near-dup")
+    named = work.keep(salted_join(named, least, "label", "cls").select("cls", "component_id", F.lit(True).alias("found")), "components")
+    out = salted_join(rows.filter("n > 0").select("doc_id", "n", "cls", ROW[0]), named, "cls", ROW[0], "left")
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = materialize(out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "near-dup")
     work.drop()
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -373,8 +375,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     full = rows.filter("n > 0").groupBy("cls", "doc_id", *ROW).agg(F.count("*").alias("n"))
     full = full.join(joined, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     full = work.keep(full.select("label", "doc_id", *ROW, "n"), "labels")
-    best = full.groupBy("label").agg(F.min(who).alias("best"))
-    marked = full.join(best, "label").withColumn("gone", who != F.col("best")).filter("gone OR n > 1")
+    best = full.groupBy("label").agg(F.min(who).alias("best"), F.sum("n").alias("all")).filter("all > 1").drop("all")
+    marked = salted_join(full, best, "label", ROW[0]).withColumn("gone", who != F.col("best")).filter("gone OR n > 1")
     marked = materialize(marked.select(*ROW, "gone"), "near-dup-marked")
     work.drop()
     own = [f"c{i}" for i in range(len(docs.columns))]  # no name clashes with the marks
