@@ -159,3 +159,48 @@ def closed_vocabulary(answer, names: Sequence[str], synonyms: Mapping[str, str]
         out = out.when(a == k.lower().replace(" ", "-"), v)
     short = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.startswith(n, F.substring(a, 1, 5)))
     return out.when((F.length(a) >= 5) & (F.size(short) == 1), F.get(short, F.lit(0)))
+
+
+#: How much of a model's answer is taken.
+MOST_EXTRA, MOST_OBJECTS, OBJECT_CHARS, DESCRIPTION_CHARS = 3, 8, 60, 300
+
+
+def merge_answer(verdicts: DataFrame, answers: DataFrame, *, key: str = "file_id", source: str = "model") -> DataFrame:
+    """Verdicts after a model's answers (key, doctype, topics array, objects array, description), matched to the vocabulary already.
+
+    An answer fills gaps and replaces what scored too low, never a sure rule: the doctype below
+    MIN_SCORE, the topic below ESCALATE_BELOW. Further topics and objects are added if they are
+    new. Verdicts without an answer stay as they are.
+    """
+    a = answers.select(key, F.lit(True).alias("_asked"), F.col("doctype").alias("_doctype"), F.filter(F.coalesce("topics", F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("_topics"), F.coalesce("objects", F.array().cast("array<string>")).alias("_objects"), F.col("description").alias("_said"))
+    v = verdicts.join(a, key, "left")
+    asked = F.coalesce("_asked", F.lit(False))
+    new_kind = asked & F.col("_doctype").isNotNull() & (F.col("doctype").isNull() | (F.col("doctype_score") < MIN_SCORE))
+    first = F.get("_topics", F.lit(0))
+    new_topic = asked & first.isNotNull() & (F.col("topic").isNull() | (F.col("topic_score") < ESCALATE_BELOW))
+    v = v.withColumns({"doctype": F.when(new_kind, F.col("_doctype")).otherwise(F.col("doctype")), "doctype_score": F.when(new_kind, F.greatest("doctype_score", F.lit(MIN_SCORE))).otherwise(F.col("doctype_score"))})
+    v = v.withColumns({"_topic": F.when(new_topic, first).otherwise(F.col("topic")), "topic_score": F.when(new_topic, F.greatest("topic_score", F.lit(MIN_SCORE))).otherwise(F.col("topic_score"))})
+    none = F.array().cast("array<string>")
+    extra = F.filter(F.slice("_topics", 2, MOST_EXTRA), lambda t: ~t.eqNullSafe(F.col("_topic")))
+    seen = F.transform(F.coalesce("entities", none), lambda e: F.lower(e))
+    clean = F.transform(F.slice("_objects", 1, MOST_OBJECTS), lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, OBJECT_CHARS))
+    found = F.filter(clean, lambda x: (x != "") & ~F.array_contains(seen, F.lower(x)))
+    once = F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: F.lower(y) == F.lower(x)))
+    said = F.concat(F.substring(F.trim("_said"), 1, DESCRIPTION_CHARS), F.lit(" (model)"))
+    return v.withColumns({
+        "topic": F.col("_topic"), "topic_others": F.when(asked, F.array_distinct(F.concat(F.coalesce("topic_others", none), extra))).otherwise(F.col("topic_others")), "entities": F.when(asked, F.concat(F.coalesce("entities", none), once)).otherwise(F.col("entities")),
+        "reasoning": F.when(asked & (F.coalesce(F.trim("_said"), F.lit("")) != ""), said).otherwise(F.col("reasoning")), "escalate": asked | F.col("escalate"), "decided_by": F.when(asked, F.lit(source)).otherwise(F.lit("rules")),
+    }).drop("_asked", "_doctype", "_topics", "_topic", "_objects", "_said")
+
+
+def evidence(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Files (asset_id, rel_path, …) with what a verdict reads: their texts in one, and the last two folders.
+
+    A document's own text comes before what was read off pictures or written by a model.
+    """
+    late = F.col("source").rlike("^(ai_|image_ocr|pdf_ocr)")
+    text = blocks.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct(late.alias("late"), F.coalesce("ord", F.lit(0)).alias("ord"), "source", "body"))).alias("parts"))
+    text = text.select("asset_id", F.array_join(F.transform("parts", lambda x: x["body"]), "\n").alias("text"))
+    folders = F.split(F.regexp_replace("rel_path", r"/?[^/]*$", ""), "/")
+    last = F.array_join(F.slice(folders, F.greatest(F.size(folders) - 1, F.lit(1)), 2), "/")
+    return files.join(text, "asset_id", "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("rel_path", last)

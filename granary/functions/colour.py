@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The D65 white point, hue bounds of the buckets, and the chroma below which a colour is neutral.
@@ -94,3 +94,27 @@ def resolution(width: Column, height: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 64-bit perceptual hashes."""
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def near_hashes(rows: DataFrame, key: str, h: str, most: int = 7) -> DataFrame:
+    """(a, b, distance) of rows whose 64-bit hashes differ in at most ``most`` bits (up to 7: of eight bytes one is equal).
+
+    Equal hashes are one class, which is compared once and expanded only into the pairs that are asked for;
+    classes meet under an equal byte, and a pair only at the first of its equal bytes.
+    """
+    if not 0 <= most <= 7:
+        raise ValueError("at most 7 bits")
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
+    own = rows.select(F.col(key).alias("id"), F.col(h).alias("h"))
+    classes = own.select("h").distinct()
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), byte(F.col("h"), k).alias("v")) for k in range(8)])).alias("p")
+    x = classes.select("h", at).select("h", "p.k", "p.v")
+    y = x.toDF("h2", "k", "v")
+    first = F.lit(8)
+    for k in reversed(range(8)):
+        first = F.when(byte(F.col("h"), k) == byte(F.col("h2"), k), k).otherwise(first)
+    met = x.join(y, ["k", "v"]).filter((F.col("h") < F.col("h2")) & (hamming(F.col("h"), F.col("h2")) <= most) & (F.col("k") == first)).select("h", "h2")
+    met = met.unionByName(classes.select("h", F.col("h").alias("h2")))
+    pairs = met.join(own.toDF("a", "h"), "h").join(own.toDF("b", "h2"), "h2")
+    a, b = F.least("a", "b"), F.greatest("a", "b")
+    return pairs.filter((F.col("h") != F.col("h2")) | (F.col("a") < F.col("b"))).select(a.alias("a"), b.alias("b"), hamming(F.col("h"), F.col("h2")).alias("distance"))

@@ -13,15 +13,36 @@ EXTENSIONS = {
     "document": "pdf docx pptx xlsx doc ppt xls odt odp ods rtf txt md log csv tsv epub".split(),
 }
 #: Folders that are never read.
-SKIPPED = """$recycle.bin|system volume information|$windows.~ws|$windows.~bt|.git|.svn|.hg|node_modules|__pycache__|.venv|venv
-.cache|.thumbnails|.ds_store|@eadir|.trash|.trashes|appdata|application data""".replace("\n", "|").split("|")
-#: First bytes (hex) of file types, in the order in which they are tried.
+SKIPPED = (
+    "$recycle.bin", "system volume information", "$windows.~ws", "$windows.~bt", ".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv",
+    ".cache", ".thumbnails", ".ds_store", "@eadir", ".trash", ".trashes", "appdata", "application data",
+)
+#: First bytes of file types, in the order in which they are tried.
 MAGIC = (
-    ("89504e470d0a1a0a", "image/png"), ("ffd8ff", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("424d", "image/bmp"), ("49492a00", "image/tiff"), ("4d4d002a", "image/tiff"),
-    ("255044462d", "application/pdf"), ("1a45dfa3", "video/x-matroska"), ("664c6143", "audio/flac"), ("4f676753", "audio/ogg"), ("494433", "audio/mpeg"), ("fffb", "audio/mpeg"), ("d0cf11e0a1b11ae1", "application/x-ole-storage"), ("7b5c727466", "application/rtf"),
+    (b"\xff\xd8\xff", "image/jpeg"),
+    (b"\x89PNG\r\n\x1a\n", "image/png"),
+    (b"GIF87a", "image/gif"),
+    (b"GIF89a", "image/gif"),
+    (b"BM", "image/bmp"),
+    (b"II*\x00", "image/tiff"),
+    (b"MM\x00*", "image/tiff"),
+    (b"%PDF-", "application/pdf"),
+    (b"\x1a\x45\xdf\xa3", "video/x-matroska"),
+    (b"OggS", "audio/ogg"),
+    (b"fLaC", "audio/flac"),
+    (b"ID3", "audio/mpeg"),
+    (b"\xff\xfb", "audio/mpeg"),
+    (b"\xff\xf3", "audio/mpeg"),
+    (b"\xff\xf2", "audio/mpeg"),
+    (b"{\\rtf", "application/rtf"),
+    (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "application/x-ole-storage"),
 )
-BRANDS = {"heic": "image/heic", "heix": "image/heic", "mif1": "image/heif", "avif": "image/avif", "M4A ": "audio/mp4", "qt  ": "video/quicktime"}
-OFFICE = {"word/": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "ppt/": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "xl/": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
+#: Brands of ISO media (others are MP4), and kinds of RIFF files.
+BRANDS = dict.fromkeys(("heic", "heix", "hevc", "heim", "heis", "mif1", "msf1"), "image/heic") | dict.fromkeys(("avif", "avis"), "image/avif") | {"M4A ": "audio/mp4", "M4B ": "audio/mp4", "qt  ": "video/quicktime"}
+RIFF = {"WEBP": "image/webp", "WAVE": "audio/x-wav", "AVI ": "video/x-msvideo"}
+#: What the first bytes of a ZIP name, and how far they are searched.
+OFFICE = {"word/": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "ppt/": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "xl/": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "mimetypeapplication/epub": "application/epub+zip", "mimetypeapplication/vnd.oasis": "application/vnd.oasis.opendocument.text"}
+ZIP_HEAD = 8192
 #: How complete files end (hex), and within how many last bytes.
 ENDS = {"image/png": ("49454e44", 16), "image/jpeg": ("ffd9", 32), "image/gif": ("3b", 4), "application/pdf": ("2525454f46", 2048)}
 
@@ -41,7 +62,7 @@ def media_type(ext: Column) -> Column:
 def indexable(path: Column) -> Column:
     """Whether a path has a known extension and no hidden or skipped folder."""
     parts = F.split(F.lower(path), "/")
-    bad = F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | p.isin(SKIPPED))
+    bad = F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | p.isin(list(SKIPPED)))
     return extension(path).isin([x for v in EXTENSIONS.values() for x in v]) & ~bad
 
 
@@ -52,21 +73,22 @@ def content_hash(content: Column) -> Column:
 def sniff(content: Column, ext: Column) -> Column:
     """MIME type by the first bytes; containers by their brand or members; else by the extension."""
     head = lambda a, n: F.substring(content, a, n)
+    starts = lambda at, mark: head(at, len(mark)) == F.lit(bytearray(mark))
+    within = lambda n: F.decode(head(1, n), "ISO-8859-1")
     out = F
     for magic, mime in MAGIC:
-        out = out.when(F.hex(head(1, len(magic) // 2)) == magic.upper(), mime)
+        if mime == "video/x-matroska":
+            out = out.when(starts(1, magic) & F.contains(within(64), F.lit("webm")), "video/webm")
+        out = out.when(starts(1, magic), mime)
     brand = F.decode(head(9, 4), "ISO-8859-1")
-    ftyp = F.hex(head(5, 4)) == "66747970"
     for b, mime in BRANDS.items():
-        out = out.when(ftyp & (brand == b), mime)
-    out = out.when(ftyp, "video/mp4")
-    for tag, mime in (("WAVE", "audio/wav"), ("AVI ", "video/x-msvideo"), ("WEBP", "image/webp")):
-        out = out.when((F.hex(head(1, 4)) == "52494646") & (brand == tag), mime)
-    zipped = F.hex(head(1, 4)) == "504B0304"
-    names = F.decode(content, "ISO-8859-1")
+        out = out.when(starts(5, b"ftyp") & (brand == b), mime)
+    out = out.when(starts(5, b"ftyp"), "video/mp4")
+    for kind, mime in RIFF.items():
+        out = out.when(starts(1, b"RIFF") & (brand == kind), mime)
     for member, mime in OFFICE.items():
-        out = out.when(zipped & F.contains(names, F.lit(member)), mime)
-    out = out.when(zipped, "application/zip")
+        out = out.when(starts(1, b"PK") & F.contains(within(ZIP_HEAD), F.lit(member)), mime)
+    out = out.when(starts(1, b"PK"), "application/zip")
     text = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "tsv": "text/tab-separated-values", "log": "text/plain"}
     for e, mime in text.items():
         out = out.when(ext == e, mime)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -78,11 +79,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def hits(text: Column, name: Column, scan: int | None = None) -> Column:
+def hits(text: Column, name: Column, scan: int | None = None, detectors: Sequence[Detector] = DETECTORS) -> Column:
     """Array of (name, n, sample) of the detectors that fire, in order; samples are only cut for those."""
     body, low = scanned(text, scan), F.lower(F.coalesce(name, F.lit("")))
     out = []
-    for d in DETECTORS:
+    for d in detectors:
         p = java(d.regex, d.flags)
         n = F.regexp_count(low if d.on_name else body, F.lit(p)).cast("long")
         out.append(F.struct(F.lit(d.name).alias("name"), n.alias("n"), F.lit(p).alias("p"), F.lit(d.least).alias("least"), F.lit(d.on_name).alias("on_name")))

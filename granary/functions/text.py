@@ -45,6 +45,12 @@ def has_all_terms(text: Column, terms: Sequence[str]) -> Column:
     return out
 
 
+def prefix_search(blocks: DataFrame, prefix: str, key: str = "asset_id", body: str = "body") -> DataFrame:
+    """(key, n): documents with tokens that begin with a prefix, and how many."""
+    n = F.size(F.filter(tokens(F.col(body)), lambda t: F.startswith(t, folded(F.lit(prefix)))))
+    return blocks.select(key, n.cast("long").alias("n")).filter("n > 0")
+
+
 def inverted_index(blocks: DataFrame, key: str = "asset_id", body: str = "body") -> DataFrame:
     """(term, key, tf, len): postings with term frequencies and document lengths."""
     t = blocks.select(F.col(key), tokens(F.col(body)).alias("t"))

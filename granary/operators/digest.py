@@ -29,6 +29,28 @@ def span(items: DataFrame, at: str = "event_at") -> DataFrame:
     return items.agg(F.count("*").alias("n"), F.min(at).alias("earliest"), F.max(at).alias("latest"), F.count_if(F.col(at).isNull()).alias("undated"))
 
 
+#: The kinds of tags that a digest of files counts.
+DIGEST_KINDS = ("doctype", "topic", "author", "entity", "date", "pattern")
+
+
+def digest_files(files: DataFrame, tags: DataFrame) -> DataFrame:
+    """(axis, value, n) over the files of a selection: tags by kind, media types, and folders by their first two segments.
+
+    files(file_id, parent_rel, media_type), tags(file_id, kind, name). All axes are counted in one grouping.
+    """
+    folder = F.array_join(F.slice(F.filter(F.split("parent_rel", "/"), lambda x: x != ""), 1, 2), "/")
+    own = files.select(F.explode(F.array(F.struct(F.lit("media").alias("axis"), F.col("media_type").alias("value")), F.struct(F.lit("folder").alias("axis"), F.nullif(folder, F.lit("")).alias("value")))).alias("x")).select("x.axis", "x.value")
+    by = tags.filter(F.col("kind").isin(*DIGEST_KINDS)).join(files.select("file_id"), "file_id", "left_semi").select("file_id", F.col("kind").alias("axis"), F.col("name").alias("value")).distinct()
+    return own.filter("value IS NOT NULL").unionByName(by.select("axis", "value")).groupBy("axis", "value").agg(F.count("*").alias("n"))
+
+
+def digest_totals(files: DataFrame, tags: DataFrame) -> DataFrame:
+    """One row: files, bytes, first and last change (a time of 0 is none), and how many bear no date tag."""
+    dated = tags.filter("kind = 'date'").select("file_id").distinct().withColumn("dated", F.lit(True))
+    at = F.when(F.col("mtime_ns") != 0, F.col("mtime_ns"))
+    return files.join(dated, "file_id", "left").agg(F.count("*").alias("count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.min(at).alias("earliest"), F.max(at).alias("latest"), F.count_if(F.col("dated").isNull()).alias("undated"))
+
+
 def money_totals(items: DataFrame, money: str = "money") -> DataFrame:
     """Per currency: contents that name it, the sum of their greatest amounts, and the greatest of all."""
     m = items.select(F.explode(F.map_entries(money)).alias("e"))

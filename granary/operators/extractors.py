@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions import classify, text
 from granary.operators import reconcile
+from granary.sources import media, readers
 
 
 @dataclass(frozen=True)
@@ -25,18 +27,81 @@ class Extractor:
     order: int = 0
 
 
+def _needs(*columns: str):
+    """A run that finds nothing where the contents come without the columns it reads."""
+
+    def wrap(run):
+        def checked(df: DataFrame) -> DataFrame:
+            return run(df) if set(columns) <= set(df.columns) else df.select("asset_id").filter("false")
+
+        return checked
+
+    return wrap
+
+
+def _rows(df: DataFrame, *extensions: str) -> DataFrame:
+    return df.filter(F.lower("ext").isin(*extensions)).select(F.col("name").alias("path"), "asset_id", F.lower("ext").alias("ext"), "content")
+
+
+def _errors(got: DataFrame) -> DataFrame:
+    return got.withColumn("error", F.when(F.col("status") != "ok", F.col("status"))).drop("status", "path")
+
+
+@_needs("name", "ext", "content")
+def doc_text(df: DataFrame) -> DataFrame:
+    """(asset_id, source, ord, body) of text files."""
+    return readers.plain_text_of(_rows(df, *readers.TEXTS)).select("asset_id", F.lit("doc_text").alias("source"), F.lit(0).alias("ord"), "body")
+
+
+def _office(ext: str):
+    @_needs("name", "ext", "content")
+    def run(df: DataFrame) -> DataFrame:
+        return _errors(readers.office_text_of(_rows(df, ext))).withColumn("source", F.lit(f"doc_{ext}"))
+
+    return run
+
+
+@_needs("text_block")
+def keywords_of(df: DataFrame) -> DataFrame:
+    """Keywords of the texts of contents (column text_block)."""
+    return text.keywords(df.filter("text_block IS NOT NULL").select("asset_id", F.col("text_block").alias("body")))
+
+
+@_needs("name", "ext", "content")
+def image_exif(df: DataFrame) -> DataFrame:
+    return _errors(media.photos_of(_rows(df, "jpg", "jpeg")))
+
+
+@_needs("name", "ext", "content")
+def image_color(df: DataFrame) -> DataFrame:
+    return _errors(media.pictures_of(_rows(df, "png")))
+
+
+@_needs("name", "ext", "content")
+def audio_tags(df: DataFrame) -> DataFrame:
+    return _errors(media.audio_tags_of(_rows(df, "mp3")))
+
+
+@_needs("name", "ext", "media_type", "text_block")
+def agent_inspect(df: DataFrame) -> DataFrame:
+    """Verdicts over the texts of contents (column text_block)."""
+    none = F.lit(None).cast("long")
+    docs = df.select("asset_id", "name", "ext", "media_type", F.coalesce("text_block", F.lit("")).alias("text"), F.create_map().cast("map<string,string>").alias("meta"), none.alias("captured_at"), none.alias("created_at"), none.alias("modified_at"))
+    return classify.inspect(docs, key="asset_id").drop("hits")
+
+
 ALL = ("image", "video", "audio", "document", "other")
 #: The known extractors; those that need libraries or models which are not here have no ``run`` and are skipped.
 KNOWN = (
-    Extractor("doc.text", ("document",)), Extractor("doc.pdf", ("document",)), Extractor("doc.docx", ("document",)), Extractor("doc.pptx", ("document",)), Extractor("doc.pdf_ocr", ("document",), tier="ml"),
-    Extractor("text.keywords", ("document", "image", "audio", "video"), order=50), Extractor("image.exif", ("image",)), Extractor("image.color", ("image",)), Extractor("image.thumb", ("image",)), Extractor("image.ocr", ("image",), tier="ml"),
-    Extractor("video.probe", ("video",)), Extractor("video.thumb", ("video",)), Extractor("audio.tags", ("audio",)), Extractor("agent.inspect", ALL, order=60), Extractor("agent.classify", ("document", "image"), tier="ml", order=60),
+    Extractor("doc.text", ("document",), doc_text), Extractor("doc.pdf", ("document",)), Extractor("doc.docx", ("document",), _office("docx")), Extractor("doc.pptx", ("document",), _office("pptx")), Extractor("doc.pdf_ocr", ("document",), tier="ml"),
+    Extractor("text.keywords", ("document", "image", "audio", "video"), keywords_of, order=50), Extractor("image.exif", ("image",), image_exif), Extractor("image.color", ("image",), image_color), Extractor("image.thumb", ("image",)), Extractor("image.ocr", ("image",), tier="ml"),
+    Extractor("video.probe", ("video",)), Extractor("video.thumb", ("video",)), Extractor("audio.tags", ("audio",), audio_tags), Extractor("agent.inspect", ALL, agent_inspect, order=60), Extractor("agent.classify", ("document", "image"), tier="ml", order=60),
     Extractor("ai.vision", ("image",), tier="ml"), Extractor("ai.document", ("document",), tier="ml"),
 )
 
 
 def registry(runs: Mapping[str, Callable[[DataFrame], DataFrame]], known: tuple[Extractor, ...] = KNOWN) -> list[Extractor]:
-    """The known extractors with the given functions, in order of tier, place and name."""
+    """The known extractors, with the given functions in place of their own, in order of tier, place and name."""
     out = [Extractor(e.name, e.media_types, runs.get(e.name, e.run), e.version, e.tier, e.order) for e in known]
     return sorted(out, key=lambda e: (("cheap", "ml").index(e.tier), e.order, e.name))
 

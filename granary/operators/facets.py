@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +70,15 @@ def detail_tags(c: Catalog, most: int = 60) -> DataFrame:
     return g.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
-def per_content(files: DataFrame, events: DataFrame | None = None, most: int = 400) -> DataFrame:
-    """One row for each content of a selection: its least name and path, latest events first."""
+def per_content(files: DataFrame, events: DataFrame | None = None, most: int | None = 400) -> DataFrame:
+    """One row for each content of a selection: its least name and path, latest events first; ``most`` (or no bound) rows."""
     g = files.groupBy("asset_id").agg(F.min("name").alias("name"), F.min("rel_path").alias("rel_path"), F.min("media_type").alias("media_type"), F.min("size_bytes").alias("size_bytes"), F.count("*").alias("copies"))
     if events is not None:
         g = g.join(events.select("asset_id", "event_at"), "asset_id", "left")
     else:
         g = g.withColumn("event_at", F.lit(None).cast("long"))
-    return g.orderBy(F.desc_nulls_last("event_at"), "name", "asset_id").limit(most)
+    g = g.orderBy(F.desc_nulls_last("event_at"), "name", "asset_id")
+    return g if most is None else g.limit(most)
 
 
 def workspace_summary(c: Catalog, files: DataFrame) -> DataFrame:
@@ -88,9 +92,35 @@ def libraries(c: Catalog) -> DataFrame:
     return c.file.groupBy("root").agg(F.count("*").alias("files"), F.count_if(s == "indexed").alias("indexed"), F.count_if(s == "missing").alias("missing"), F.count_if(s == "error").alias("failed"), F.sum(F.when(s == "indexed", F.col("size_bytes")).otherwise(0)).alias("bytes"))
 
 
-def gaps(c: Catalog) -> DataFrame:
-    """Indexed files without doctype, without topic, and without either."""
-    t = c.asset_tag.filter("kind IN ('pattern', 'custom')").groupBy("asset_id").agg(F.collect_set("kind").alias("kinds"))
+def gaps(c: Catalog, tags: DataFrame | None = None) -> DataFrame:
+    """Indexed files without doctype, without topic, and with either gap."""
+    t = (c.asset_tag if tags is None else tags).filter("kind IN ('doctype', 'topic')").groupBy("asset_id").agg(F.collect_set("kind").alias("kinds"))
     f = c.indexed.join(t, "asset_id", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
     no = lambda k: ~F.array_contains("kinds", k)
-    return f.agg(F.count_if(no("pattern")).alias("no_pattern"), F.count_if(no("custom")).alias("no_custom"), F.count_if(no("pattern") & no("custom")).alias("neither"))
+    return f.agg(F.count_if(no("doctype")).alias("no_doctype"), F.count_if(no("topic")).alias("no_topic"), F.count_if(no("doctype") | no("topic")).alias("gaps"))
+
+
+#: How much of a content's texts its details show.
+MOST_TEXTS, TEXT_CHARS = 8, 1200
+
+
+def details(c: Catalog, metas: Mapping[str, DataFrame] | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Everything that is shown of each content, one row each.
+
+    Colours by rank, up to 60 tags (those of people first), the first texts, extractor runs, the
+    paths of indexed copies, and one struct for each metadata table (asset_id, …) in ``metas``. What a content lacks is null.
+    """
+    ordered = lambda *cols: F.transform(F.array_sort(F.collect_list(F.struct(*cols))), lambda x: x)
+    colours = c.color.groupBy("asset_id").agg(ordered("rank", "hex", "bucket", "proportion").alias("colours"))
+    tags = detail_tags(c).withColumn("order", F.struct((~F.col("by_user")).alias("own"), (-F.col("confidence")).alias("less"), "kind", "name"))
+    tags = tags.groupBy("asset_id").agg(ordered("order", "kind", "name", "confidence", "by_user", "sources").alias("tags"))
+    w = Window.partitionBy("asset_id").orderBy("source", "ord")
+    texts = c.text_block.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= MOST_TEXTS)
+    texts = texts.groupBy("asset_id").agg(ordered("k", "source", "ord", F.substring("body", 1, TEXT_CHARS).alias("body")).alias("texts"))
+    copies = c.indexed.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("rel_path", "root"))).alias("copies"))
+    parts = [colours, tags, texts, copies]
+    if runs is not None:
+        parts.append(runs.groupBy("asset_id").agg(ordered("extractor", "version", "status").alias("runs")))
+    for name, meta in (metas or {}).items():
+        parts.append(meta.select("asset_id", F.struct(*[x for x in meta.columns if x != "asset_id"]).alias(name)))
+    return reduce(lambda a, b: a.join(b, "asset_id", "left"), parts, c.asset)

@@ -5,11 +5,21 @@ Parquet tables know no MERGE, so each step is a function from old rows and a del
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Errors that may be retried, attempts, and priorities (lower comes first).
-RETRYABLE = ("locked", "timeout", "io", "worker_died", "resource")
+#: The states of a file and those that may follow each.
+STATES = {
+    "queued": ("queued", "indexed", "error", "missing"),
+    "indexed": ("queued", "missing", "error", "indexed"),
+    "error": ("queued", "missing", "error"),
+    "missing": ("queued", "indexed", "missing", "error"),
+}
+#: Why a file failed; of these the errors that may be retried, attempts, and priorities (lower comes first).
+ERRORS = ("unreadable", "corrupt", "unsupported", "encrypted", "timeout", "worker_crash", "too_large", "mutated", "dependency", "internal")
+RETRYABLE = ("unreadable", "timeout", "worker_crash", "dependency", "mutated")
 MAX_ATTEMPTS = 3
 RECENT, NORMAL, RETRY, HUGE = 80, 100, 200, 300
 HUGE_BYTES, RECENT_SECONDS = 2 << 30, 30 * 86400
@@ -75,6 +85,21 @@ def priority(size: str = "size_bytes", mtime_ns: str = "mtime_ns", *, now: int):
     return F.when(F.col(size) >= HUGE_BYTES, HUGE).when(F.col(mtime_ns) / 1e9 > now - RECENT_SECONDS, RECENT).otherwise(NORMAL)
 
 
+def legal(before: Column, after: Column) -> Column:
+    """Whether a file in one state may turn to another; false for unknown states."""
+    out = F.lit(False)
+    for state, following in STATES.items():
+        out = out | ((before == state) & after.isin(*following))
+    return F.coalesce(out, F.lit(False))
+
+
+def transition(files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files after changes (root, rel_path, to) that are legal, and the changes that are not."""
+    j = files.join(changes.select(*KEY, "to"), KEY, "left")
+    ok = legal(F.col("state"), F.col("to"))
+    return j.withColumn("state", F.when(ok, F.col("to")).otherwise(F.col("state"))).drop("to"), j.filter(F.col("to").isNotNull() & ~ok).select(*KEY, "state", "to")
+
+
 def route_failures(files: DataFrame, failures: DataFrame) -> DataFrame:
     """Files after failed attempts (root, rel_path, error): retryable ones queue again, up to three attempts."""
     j = files.join(failures.select(*KEY, "error"), KEY, "left")
@@ -109,6 +134,14 @@ def claim(files: DataFrame, n: int) -> DataFrame:
     return files.filter("state = 'queued'").withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k").orderBy("priority", *KEY).limit(n)
 
 
+def gathered(claimed: DataFrame, blocks: DataFrame, runs: DataFrame, hints: DataFrame) -> DataFrame:
+    """Claimed files with what their work needs: texts in order, the versions already run, and the hints of their content."""
+    text = blocks.groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "ord", "body"))), lambda x: x["body"]), "\n").alias("text"))
+    done = runs.filter("status IN ('ok', 'unsupported', 'error')").groupBy("asset_id", "extractor").agg(F.max("version").alias("version")).groupBy("asset_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("extractor", "version")))).alias("done"))
+    hint = hints.groupBy("asset_id").agg(F.array_sort(F.collect_set("hint")).alias("hints"))
+    return claimed.join(text, "asset_id", "left").join(done, "asset_id", "left").join(hint, "asset_id", "left")
+
+
 def merge_tags(old: DataFrame, new: DataFrame) -> DataFrame:
     """Tag facts by content, tag and source; the greater confidence and count stay."""
     key = ["asset_id", "kind", "name", "source"]
@@ -127,6 +160,17 @@ def replace_blocks(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     return old.join(new.select(*by).distinct(), by, "left_anti").unionByName(new)
 
 
+#: The tables that extractors may write, and the key of each.
+SINKS = {t: ["asset_id"] for t in ("image_meta", "video_meta", "audio_meta", "doc_meta", "geo", "finding")} | {"thumbnail": ["asset_id", "kind"], "text_block": ["asset_id", "source", "ord"], "color": ["asset_id", "rank"]}
+
+
+def sink(tables: Mapping[str, DataFrame], rows: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after an extractor's rows, merged by the key of each table; other tables are an error."""
+    if unknown := set(rows) - set(SINKS):
+        raise ValueError(f"no rows may go to {sorted(unknown)}")
+    return dict(tables) | {t: merge_rows(tables[t], r, SINKS[t]) if t in tables else r for t, r in rows.items()}
+
+
 def intern_tags(tags: DataFrame, facts: DataFrame) -> DataFrame:
     """The tag table with the tags that facts bring, named for display."""
     fresh = facts.select("kind", "name").distinct().join(tags.select("kind", "name"), ["kind", "name"], "left_anti")
@@ -158,6 +202,12 @@ def unset_tag(asset_tag: DataFrame, contents: DataFrame, kind: str, name: str) -
     return asset_tag.join(gone, ["asset_id", "kind", "name", "source"], "left_anti")
 
 
+def pruned(tags: DataFrame, asset_tag: DataFrame) -> DataFrame:
+    """The tag table without people's own tags that no content bears any more."""
+    used = asset_tag.select("kind", "name").distinct()
+    return tags.filter("kind <> 'custom'").unionByName(tags.filter("kind = 'custom'").join(used, ["kind", "name"], "left_semi"))
+
+
 def forget(files: DataFrame, by_asset: dict[str, DataFrame], root: str, keep_metadata: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
     """A catalogue without one root: its files go, and what hangs only on them unless it is kept."""
     rest = files.filter(F.col("root") != root)

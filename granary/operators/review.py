@@ -23,6 +23,6 @@ def queue(files: DataFrame, tags: DataFrame, most: int = 120) -> DataFrame:
 
 
 def repeats(files: DataFrame, least_folders: int = 2) -> DataFrame:
-    """Names that, without marks of versions and copies, stand in several folders with different contents."""
+    """Names that, without marks of versions and copies, stand in several folders, and how many contents they have."""
     g = files.withColumn("stem", name_stem(F.col("name"))).groupBy("stem", "ext").agg(F.count("*").alias("files"), F.countDistinct("parent_rel").alias("folders"), F.countDistinct("asset_id").alias("contents"))
-    return g.filter((F.col("files") >= 2) & (F.col("folders") >= least_folders) & (F.col("contents") >= 2))
+    return g.filter((F.col("files") >= 2) & (F.col("folders") >= least_folders))

@@ -116,6 +116,36 @@ def selection(c: Catalog, spec: FilterSpec, base: DataFrame | None = None) -> Da
     return matching(c, out, spec.q) if spec.q else out
 
 
+def matching_lens(files: DataFrame, lens: DataFrame, *, album: DataFrame | None = None, media_type: str | None = None, q: str | None = None, tags: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The visible files of a workspace that fulfil a query over its lens (file_id, kind, name).
+
+    An album is a table of file ids (an empty one lets nothing through); ``q`` is part of the name in
+    any case; names of one kind of tag are alternatives, and every kind that has names must hold.
+    """
+    out = files
+    if album is not None:
+        out = out.join(album.select("file_id").distinct(), "file_id", "left_semi")
+    if media_type:
+        out = out.filter(F.col("media_type") == media_type)
+    if q:
+        out = out.filter(F.contains(F.lower("name"), F.lit(q.lower())))
+    for kind, names in (tags or {}).items():
+        if names:
+            out = out.join(lens.filter((F.col("kind") == kind) & F.col("name").isin(list(names))).select("file_id"), "file_id", "left_semi")
+    return out
+
+
+def not_ai(source: Column) -> Column:
+    """Whether a text block is not a model's: ``_`` in the pattern stands for any character."""
+    return ~source.like("ai_%")
+
+
+def media_split(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pictures and videos, and all other files."""
+    shown = F.col("media_type").isin("image", "video")
+    return files.filter(shown), files.filter(~F.coalesce(shown, F.lit(False)))
+
+
 def keyset_page(c: Catalog, spec: FilterSpec, size: int = PAGE) -> DataFrame:
     """Files after the cursor in id order, one more than a page so that the caller knows whether another follows."""
     out = selection(c, spec)
@@ -152,6 +182,16 @@ def in_scope(c: Catalog, files: DataFrame, scope: Scope) -> DataFrame:
     return out
 
 
+def describe_scope(scope: Scope) -> str:
+    """A grant in words, such as "2 folders + 3 topics + image/video + excluding 1"."""
+    n = len(scope.path_prefixes)
+    parts = [f"{n} folder{'' if n == 1 else 's'}"] if n else []
+    parts += [f"{len(scope.include_tags)} topics"] if scope.include_tags else []
+    parts += ["/".join(scope.media_types)] if scope.media_types else []
+    parts += [f"excluding {len(scope.exclude_tags)}"] if scope.exclude_tags else []
+    return " + ".join(parts) or "the whole library"
+
+
 def _any(conditions: Iterable[Column]) -> Column:
     out = F.lit(False)
     for x in conditions:
@@ -175,6 +215,10 @@ class ColourRule:
             "media": lambda: F.col("media_type") == v, "ext": lambda: F.lower("ext") == v.lower().lstrip("."), "name": lambda: F.contains(F.lower("name"), F.lit(v.lower())), "untagged": lambda: F.size("tags") == 0,
         }[self.by]()
 
+    def describe(self) -> str:
+        """The rule in words."""
+        return {"kind": f"any {self.value}", "path": f"path:{self.value}", "media": f"type:{self.value}", "ext": f"ext:{self.value}", "name": f'name contains "{self.value}"', "untagged": "untagged"}.get(self.by, self.value)
+
     @classmethod
     def parse(cls, text: str) -> ColourRule:
         """From shorthand such as ``ext:pdf=#ff0000`` or ``untagged=#ccc``."""
@@ -192,3 +236,10 @@ def coloured(c: Catalog, files: DataFrame, rules: Sequence[ColourRule], default:
         if r.enabled:
             colour = colour.when(r.test(), r.colour)
     return out.withColumn("colour", F.lit(default) if colour is F else colour.otherwise(default)).drop("tags")
+
+
+def used_rules(coloured_files: DataFrame, rules: Sequence[ColourRule]) -> list[ColourRule]:
+    """The enabled rules whose colour some file has; only the colours of the rules reach the driver."""
+    own = [r.colour for r in rules if r.enabled]
+    present = {r["colour"] for r in coloured_files.filter(F.col("colour").isin(own)).select("colour").distinct().collect()}
+    return [r for r in rules if r.enabled and r.colour in present]

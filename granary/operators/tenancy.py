@@ -26,7 +26,7 @@ def visible(files: DataFrame, tags: DataFrame, grants: DataFrame) -> DataFrame:
     arrays; an empty array restricts nothing and an excluded tag wins.
     """
     own = tags.groupBy("file_id").agg(F.collect_set("name").alias("names"))
-    j = files.join(F.broadcast(grants), "library_id").join(own, "file_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    j = files.join(grants, "library_id").join(own, "file_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     free = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
     ok = (free("path_prefixes") | F.exists("path_prefixes", lambda p: F.startswith(F.col("rel_path"), p))) & (free("media_types") | F.array_contains("media_types", F.col("media_type")))
     ok = ok & (free("include_tags") | F.arrays_overlap("include_tags", "names")) & ~F.coalesce(F.arrays_overlap("exclude_tags", "names"), F.lit(False))
@@ -80,3 +80,31 @@ def encode_overlay(removals, additions, albums, version: int = 1) -> str:
             out.append("!".join([k, *[f"f{b36(a)}-{b36(b)}" for a, b in rows]]))
     out += ["!".join(["a", name, *[b36(i) for i in ids[:MOST_IN_ALBUM]]]) for name, ids in albums[:MOST_ALBUMS]]
     return "|".join(out)
+
+
+def get_file(shown: DataFrame, file_id) -> DataFrame:
+    """One file by id among those a workspace sees: a guessed id of another library gives no row."""
+    return shown.filter(F.col("file_id") == file_id)
+
+
+def count_for_grants(files: DataFrame, tags: DataFrame, grants: DataFrame, key: str = "grant_id") -> DataFrame:
+    """(key, n): how many files of its library each grant lets through."""
+    each = visible(files, tags, grants.drop("workspace_id").withColumnRenamed(key, "workspace_id"))
+    n = each.groupBy(F.col("workspace_id").alias(key)).agg(F.count("*").alias("n"))
+    return grants.select(key).distinct().join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: The tint of a media type where a file has none of its own.
+MEDIA_TINT = {"document": "#6b5d3f", "other": "#4a4a5e"}
+
+
+def file_view(files: DataFrame, lens: DataFrame, tints: DataFrame | None = None, media_tint=MEDIA_TINT) -> DataFrame:
+    """Files as they are shown: their lens tags, their first doctype (else the media type) as label, and a tint.
+
+    lens(file_id, kind, name, display), tints(file_id, tint).
+    """
+    t = lens.groupBy("file_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "name"))).alias("tags"), F.min(F.when(F.col("kind") == "doctype", F.struct("name", F.coalesce("display", "name").alias("display")))).alias("doctype"))
+    out = files.join(t, "file_id", "left")
+    out = out.join(tints, "file_id", "left") if tints is not None else out.withColumn("tint", F.lit(None).cast("string"))
+    by_media = F.create_map(*[F.lit(x) for kv in media_tint.items() for x in kv])
+    return out.select(*files.columns, F.coalesce("doctype.display", "media_type").alias("label"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("tint", F.try_element_at(by_media, F.col("media_type"))).alias("tint"))

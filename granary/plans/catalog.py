@@ -5,12 +5,13 @@ Content is identified by a hash of its bytes (``asset``); a ``file`` is a path t
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import table
+from granary.session import materialize, table
 
 #: Schemas of the stored tables, declared and never inferred.
 SCHEMAS = {
@@ -60,10 +61,32 @@ class Catalog:
             f(self).createOrReplaceTempView(f"{prefix}{n}")
 
 
-def library(c: Catalog) -> DataFrame:
-    """Files with the metadata of their content; metadata tables join one to one and never add rows."""
+#: What the library view takes of each metadata table of contents.
+METAS = {"image_meta": ("width", "height", "captured_at"), "video_meta": ("width", "height", "captured_at", "duration_s"), "audio_meta": ("duration_s",), "doc_meta": ("page_count",), "geo": ("lat", "lon", "locality", "country_code"), "thumbnail": ("cache_key",)}
+
+
+def library(c: Catalog, roots: DataFrame | None = None, metas: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Files with their root, their content and its metadata; metadata tables join one to one and never add rows.
+
+    ``roots`` (root, label) is an inner join; ``metas`` has tables by the names in METAS, and of
+    thumbnails only those of the grid count. Columns of tables that are not given are null.
+    """
     a = c.asset.select("asset_id", "mime", "media_type", "pipeline_state")
-    return c.file.join(a, "asset_id", "left")
+    out = c.file.drop("media_type").join(a, "asset_id", "left")
+    if roots is not None:
+        out = out.join(roots, "root")
+    for name, cols in METAS.items():
+        t = (metas or {}).get(name)
+        if t is None:
+            out = out.withColumns({f"_{name}_{x}": F.lit(None) for x in cols})
+        else:
+            t = t.filter("kind = 'grid'") if name == "thumbnail" else t
+            out = out.join(t.select("asset_id", *[F.col(x).alias(f"_{name}_{x}") for x in cols]), "asset_id", "left")
+    first = lambda col, *tables: F.coalesce(*[F.col(f"_{t}_{col}") for t in tables]).alias(col)
+    kept = [x for x in out.columns if not x.startswith("_")]
+    return out.select(
+        *kept, *[first(x, "image_meta", "video_meta") for x in ("width", "height", "captured_at")], first("duration_s", "video_meta", "audio_meta"), first("page_count", "doc_meta"), F.col("_thumbnail_cache_key").alias("thumb_key"), *[first(x, "geo") for x in METAS["geo"]]
+    )
 
 
 def tag_facet_view(c: Catalog) -> DataFrame:
@@ -90,38 +113,95 @@ def band(size: str = "size_bytes"):
     return out
 
 
-def from_documents(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Project ``documents`` and ``labels`` onto the catalogue: one file per row, one content per text."""
-    d = table(spark, sf_dir, "documents")
-    ext = F.get(F.array(*[F.lit(x) for x in ("txt", "pdf", "docx", "md", "jpg", "mp3")]), (F.col("doc_id") % 6).cast("int"))
-    scale = F.get(F.array(F.lit(1), F.lit(64), F.lit(4096)), (F.col("doc_id") % 3).cast("int"))
-    media = F.when(F.col("doc_id") % 6 == 4, "image").when(F.col("doc_id") % 6 == 5, "audio").otherwise("document")
-    state = F.when(F.col("doc_id") % 13 == 0, "missing").when(F.col("doc_id") % 17 == 0, "error").when(F.col("doc_id") % 19 == 0, "queued").otherwise("indexed")
-    base = d.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("asset_id"), ext.alias("ext"), media.alias("media_type"), state.alias("state"), (F.col("n_chars") * scale).alias("size_bytes"))
-    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("ext"))
-    file = base.select(
-        F.col("doc_id").alias("file_id"), F.col("source").alias("root"), F.concat_ws("/", "source", "lang", name).alias("rel_path"), F.concat_ws("/", "source", "lang").alias("parent_rel"), name.alias("name"), "ext", "size_bytes", ((F.lit(1_700_000_000) + F.col("doc_id") * 3600) * 1_000_000_000).alias("mtime_ns"), "asset_id", "media_type", "state"
-    )
-    asset = base.groupBy("asset_id").agg(F.min("size_bytes").alias("size_bytes"), F.min("media_type").alias("media_type")).withColumns({"mime": F.lit(None).cast("string"), "pipeline_state": F.lit("complete")})
-    url, mail = F.regexp_count("text", F.lit("https?://")) > 0, F.regexp_count("text", F.lit("[a-z0-9]+@[a-z0-9]+\\.[a-z]+")) > 0
-    t = lambda k, n: F.struct(F.lit(k).alias("kind"), n.cast("string").alias("name"))
-    tags = d.select(
-        F.md5(F.col("text").cast("binary")).alias("asset_id"),
-        F.explode(
-            F.array(
-                t("doctype", F.col("lang")), t("topic", F.concat(F.lit("topic"), (F.col("n_chars") % 12).cast("string"))), t("author", F.concat(F.lit("author"), (F.col("n_chars") % 9).cast("string"))), t("date", 2010 + F.col("n_chars") % 8), t("entity", F.col("source")),
-                t("pattern", F.when(url, F.lit("url"))), t("pattern", F.when(mail, F.lit("email-address"))),
+class Projected(Catalog):
+    """A catalogue over ``documents`` and ``labels``: one file per row, one content per text.
+
+    Every table is projected when it is first read, written once for a session and folder, and
+    read from there by all later queries, so the texts are hashed and searched once and not in
+    every branch of every plan. Input tables are taken as fixed while the session lasts.
+    """
+
+    _written: dict[tuple[str, str, str], DataFrame] = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _once(self, name: str, make) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in self._written:
+            self._written[key] = materialize(make(), f"catalog-{name}")
+        return self._written[key]
+
+    @property
+    def _base(self) -> DataFrame:
+        """The rows of documents without texts, and what is read off the texts."""
+
+        def make():
+            d = table(self.spark, self.sf_dir, "documents", spread=True)
+            return d.select(
+                "doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("asset_id"), (F.regexp_count("text", F.lit("https?://")) > 0).alias("url"), (F.regexp_count("text", F.lit("[a-z0-9]+@[a-z0-9]+\\.[a-z]+")) > 0).alias("mail")
             )
-        ).alias("t"),
-    ).select("asset_id", "t.kind", "t.name", F.lit("agent").alias("source"))
-    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    custom = d.join(toxic, "doc_id", "left_semi").select(F.md5(F.col("text").cast("binary")).alias("asset_id"), F.lit("custom").alias("kind"), F.lit("toxic").alias("name"), F.lit("user").alias("source"))
-    asset_tag = tags.filter("name IS NOT NULL").unionByName(custom).distinct().withColumn("confidence", F.when(F.col("source") == "user", 1.0).otherwise(0.7))
-    block = d.select(F.md5(F.col("text").cast("binary")).alias("asset_id"), F.lit("text").alias("source"), F.lit(0).alias("ord"), F.col("text").alias("body")).dropDuplicates(["asset_id"])
-    shade = F.get(F.array(*[F.lit(x) for x in ("red", "orange", "yellow", "green", "teal", "blue", "purple", "black")]), (F.conv(F.substring("hex", 1, 1), 16, 10).cast("int") / 2).cast("int"))
-    share = F.get(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.15), F.lit(0.05)), F.col("rank"))
-    color = base.select("asset_id").distinct().select("asset_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("rank")).withColumn("hex", F.expr("substring(asset_id, 1 + 6 * rank, 6)")).select("asset_id", "rank", "hex", share.alias("proportion"), shade.alias("bucket"))
-    return Catalog(file, asset, asset_tag, block, color)
+
+        return self._once("base", make)
+
+    @property
+    def file(self) -> DataFrame:
+        d = self._base
+        ext = F.get(F.array(*[F.lit(x) for x in ("txt", "pdf", "docx", "md", "jpg", "mp3")]), (F.col("doc_id") % 6).cast("int"))
+        scale = F.get(F.array(F.lit(1), F.lit(64), F.lit(4096)), (F.col("doc_id") % 3).cast("int"))
+        media = F.when(F.col("doc_id") % 6 == 4, "image").when(F.col("doc_id") % 6 == 5, "audio").otherwise("document")
+        state = F.when(F.col("doc_id") % 13 == 0, "missing").when(F.col("doc_id") % 17 == 0, "error").when(F.col("doc_id") % 19 == 0, "queued").otherwise("indexed")
+        name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("ext"))
+        return d.withColumn("ext", ext).select(
+            F.col("doc_id").alias("file_id"), F.col("source").alias("root"), F.concat_ws("/", "source", "lang", name).alias("rel_path"), F.concat_ws("/", "source", "lang").alias("parent_rel"), name.alias("name"), "ext", (F.col("n_chars") * scale).alias("size_bytes"), ((F.lit(1_700_000_000) + F.col("doc_id") * 3600) * 1_000_000_000).alias("mtime_ns"), "asset_id", media.alias("media_type"), state.alias("state")
+        )
+
+    @property
+    def asset(self) -> DataFrame:
+        return self._once("asset", lambda: self.file.groupBy("asset_id").agg(F.min("size_bytes").alias("size_bytes"), F.min("media_type").alias("media_type")).withColumns({"mime": F.lit(None).cast("string"), "pipeline_state": F.lit("complete")}))
+
+    @property
+    def asset_tag(self) -> DataFrame:
+        def make():
+            d = self._base
+            t = lambda k, n: F.struct(F.lit(k).alias("kind"), n.cast("string").alias("name"))
+            tags = d.select(
+                "asset_id",
+                F.explode(
+                    F.array(
+                        t("doctype", F.col("lang")), t("topic", F.concat(F.lit("topic"), (F.col("n_chars") % 12).cast("string"))), t("author", F.concat(F.lit("author"), (F.col("n_chars") % 9).cast("string"))), t("date", 2010 + F.col("n_chars") % 8), t("entity", F.col("source")),
+                        t("pattern", F.when(F.col("url"), F.lit("url"))), t("pattern", F.when(F.col("mail"), F.lit("email-address"))),
+                    )
+                ).alias("t"),
+            ).select("asset_id", "t.kind", "t.name", F.lit("agent").alias("source"))
+            toxic = table(self.spark, self.sf_dir, "labels").filter("toxic = 1").select("doc_id")
+            custom = d.join(toxic, "doc_id", "left_semi").select("asset_id", F.lit("custom").alias("kind"), F.lit("toxic").alias("name"), F.lit("user").alias("source"))
+            return tags.filter("name IS NOT NULL").unionByName(custom).distinct().withColumn("confidence", F.when(F.col("source") == "user", 1.0).otherwise(0.7))
+
+        return self._once("asset_tag", make)
+
+    @property
+    def text_block(self) -> DataFrame:
+        def make():
+            d = table(self.spark, self.sf_dir, "documents")
+            return d.select(F.md5(F.col("text").cast("binary")).alias("asset_id"), F.lit("text").alias("source"), F.lit(0).alias("ord"), F.col("text").alias("body")).repartition(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), "asset_id").dropDuplicates(["asset_id"])
+
+        return self._once("text_block", make)
+
+    @property
+    def color(self) -> DataFrame:
+        def make():
+            shade = F.get(F.array(*[F.lit(x) for x in ("red", "orange", "yellow", "green", "teal", "blue", "purple", "black")]), (F.conv(F.substring("hex", 1, 1), 16, 10).cast("int") / 2).cast("int"))
+            share = F.get(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.15), F.lit(0.05)), F.col("rank"))
+            each = self._base.select("asset_id").distinct().select("asset_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("rank"))
+            return each.withColumn("hex", F.expr("substring(asset_id, 1 + 6 * rank, 6)")).select("asset_id", "rank", "hex", share.alias("proportion"), shade.alias("bucket"))
+
+        return self._once("color", make)
+
+
+def from_documents(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalogue over the shipped tables of a folder."""
+    return Projected(spark, sf_dir)
 
 
 #: The same projection as common table expressions for the SQL that the results are compared with.

@@ -27,9 +27,15 @@ def get_spark(app: str = "granary", cores: str = "*", **conf: str) -> SparkSessi
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the shipped parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
+    """One of the shipped parquet tables.
+
+    ``spread`` is for work that costs far more than a shuffle of its input: a table with fewer
+    splits than there are cores (one row group, say) is dealt to all of them. Tables of many splits are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

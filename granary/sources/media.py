@@ -145,6 +145,12 @@ def id3(data: bytes) -> dict:
 def _read(spark: SparkSession, path: str, extensions: tuple[str, ...], step: Callable[[bytes], dict], schema: str) -> DataFrame:
     """(path, asset_id, fields, status): one row per file; a damaged file is a row with an error."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(identity.extension(F.col("path")).isin(list(extensions)))
+    return _of(f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "content"), step, schema)
+
+
+def _of(rows: DataFrame, step: Callable[[bytes], dict], schema: str) -> DataFrame:
+    """The same of rows (path, asset_id, content)."""
+    spark = rows.sparkSession
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     full = f"path string, asset_id string, {schema}, status string"
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -161,18 +167,28 @@ def _read(spark: SparkSession, path: str, extensions: tuple[str, ...], step: Cal
                     got, status = {}, f"error: {type(e).__name__}"
                 yield pa.RecordBatch.from_pydict({"path": [path_], "asset_id": [asset], **{n: [got.get(n)] for n in names}, "status": [status]}, schema=target)
 
-    return f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "content").mapInArrow(run, full)
+    return rows.select("path", "asset_id", "content").mapInArrow(run, full)
 
 
 def pictures(spark: SparkSession, path: str) -> DataFrame:
     """Size, palette and perceptual hash of PNG files."""
+    return _read(spark, path, ("png",), *_PICTURE)
+
+
+def pictures_of(rows: DataFrame) -> DataFrame:
+    return _of(rows, *_PICTURE)
 
+
+def _picture():
     def step(data: bytes) -> dict:
         px = png_pixels(data)
         p = palette(px)
         return {"height": px.shape[0], "width": px.shape[1], "dhash": dhash(px), "hexes": [h for h, _ in p], "shares": [s for _, s in p]}
 
-    return _read(spark, path, ("png",), step, "width int, height int, dhash long, hexes array<string>, shares array<double>")
+    return step, "width int, height int, dhash long, hexes array<string>, shares array<double>"
+
+
+_PICTURE = _picture()
 
 
 def colours(found: DataFrame) -> DataFrame:
@@ -183,10 +199,25 @@ def colours(found: DataFrame) -> DataFrame:
 
 def photos(spark: SparkSession, path: str) -> DataFrame:
     """Camera, capture time (epoch seconds), place and geohash of JPEG files."""
-    got = _read(spark, path, ("jpg", "jpeg"), exif, "camera string, taken string, lat double, lon double")
+    return _placed(_read(spark, path, ("jpg", "jpeg"), exif, _EXIF))
+
+
+def photos_of(rows: DataFrame) -> DataFrame:
+    return _placed(_of(rows, exif, _EXIF))
+
+
+_EXIF = "camera string, taken string, lat double, lon double"
+_ID3 = "title string, artist string, album_artist string, album string, genre string"
+
+
+def _placed(got: DataFrame) -> DataFrame:
     at = F.unix_timestamp(F.try_to_timestamp("taken", F.lit("yyyy:MM:dd HH:mm:ss")))
     return got.withColumn("captured_at", at).withColumn("geohash", colour.geohash(F.col("lat"), F.col("lon"))).drop("taken")
 
 
 def audio_tags(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, ("mp3",), id3, "title string, artist string, album_artist string, album string, genre string")
+    return _read(spark, path, ("mp3",), id3, _ID3)
+
+
+def audio_tags_of(rows: DataFrame) -> DataFrame:
+    return _of(rows, id3, _ID3)

@@ -49,15 +49,24 @@ def identify(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "mime", identity.media_type(F.col("ext")).alias("media_type"), identity.truncated(F.col("content"), F.col("mime")).alias("truncated"), F.col("length").alias("size_bytes"))
 
 
-def plain_text(spark: SparkSession, path: str, extensions=("txt", "md", "log", "csv", "tsv")) -> DataFrame:
-    """(path, asset_id, body): UTF-8, UTF-16 with a mark, else Windows-1252; very long texts keep both ends."""
+#: Extensions of files that are read as text.
+TEXTS = ("txt", "md", "log", "csv", "tsv")
+
+
+def plain_text(spark: SparkSession, path: str, extensions=TEXTS) -> DataFrame:
+    """(path, asset_id, body) of the text files below a folder."""
     f = _binary(spark, path).filter(identity.extension(F.col("path")).isin(list(extensions)))
+    return plain_text_of(f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "content"))
+
+
+def plain_text_of(f: DataFrame) -> DataFrame:
+    """``f`` with the text of its ``content`` as ``body``: UTF-8, UTF-16 with a mark, else Windows-1252; very long texts keep both ends."""
     utf8 = F.try_validate_utf8(F.decode("content", "UTF-8"))
     bad = F.contains(F.hex("content"), F.lit("00")) & F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(bad, F.decode("content", "UTF-16")).when(valid, utf8).otherwise(F.translate(F.decode("content", "ISO-8859-1"), *_WINDOWS))
-    cut = F.when(F.col("length") > LONG_TEXT, F.concat(F.substring("text", 1, EACH_END), F.lit(GAP), F.expr(f"right(text, {EACH_END})"))).otherwise(F.col("text"))
-    return f.withColumn("text", F.regexp_replace(text, "^﻿", "")).select("path", identity.content_hash(F.col("content")).alias("asset_id"), cut.alias("body"))
+    cut = F.when(F.octet_length("content") > LONG_TEXT, F.concat(F.substring("text", 1, EACH_END), F.lit(GAP), F.expr(f"right(text, {EACH_END})"))).otherwise(F.col("text"))
+    return f.withColumn("text", F.regexp_replace(text, "^﻿", "")).withColumn("body", cut).drop("text", "content")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -70,12 +79,14 @@ def docx_text(data: bytes) -> tuple[list[str], dict[str, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
         text = lambda p: "".join(t.text or "" for t in p.iter(f"{_W}t"))
+        ends = [ElementTree.fromstring(z.read(n)) for n in sorted(z.namelist()) if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n)]
         out = []
         for x in body if body is not None else ():
             if x.tag == f"{_W}p":
                 out.append(text(x))
             elif x.tag == f"{_W}tbl":
                 out += [" | ".join(" ".join(text(p) for p in c.iter(f"{_W}p")) for c in r.iter(f"{_W}tc")) for r in x.iter(f"{_W}tr")]
+        out += [text(p) for x in ends for p in x.iter(f"{_W}p")]  # headers and footers come last
         return [b for b in out if b.strip()], _core(z)
 
 
@@ -101,7 +112,11 @@ def _core(z: zipfile.ZipFile) -> dict[str, str]:
 def office_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, asset_id, ord, body, author, title, status) of DOCX and PPTX files; damaged ones give one row with an error."""
     f = _binary(spark, path).withColumn("ext", identity.extension(F.col("path"))).filter("ext IN ('docx', 'pptx')")
-    rows = f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "ext", "content")
+    return office_text_of(f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "ext", "content"))
+
+
+def office_text_of(rows: DataFrame) -> DataFrame:
+    """The same of rows (path, asset_id, ext, content)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,6 +132,23 @@ def office_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(read, "path string, asset_id string, ord int, body string, author string, title string, status string")
 
 
+def write_files(rows: DataFrame, out: str) -> None:
+    """Write each row (path, content) as one file below the shared folder ``out``; tasks that run twice write the same file."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(out if "://" in out or out.startswith("/") else re.sub(r"^(\w+):/*", r"\1:///", out))
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                where.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with where.open_output_stream(f"{base}/{path}", compression=None) as f:
+                    f.write(content)
+            yield b.select(["path"])
+
+    rows.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def json_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of a JSON catalogue (one array per file)."""
     return spark.read.schema(schema).option("multiLine", "true").json(path)
