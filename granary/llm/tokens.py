@@ -171,6 +171,13 @@ class PrefixCounts:
                 self.kept.append(special)
                 self.totals.append(self.totals[-1] + (1 if special else bpe.counts[text[s:e]]))
         self.ends = [*self.starts[1:], len(text)]
+        self._inside: dict[int, list[int]] = {}
+
+    def inside(self, k: int) -> list[int]:
+        """Tokens of every byte prefix of piece ``k``, computed once."""
+        if k not in self._inside:
+            self._inside[k] = self.bpe.prefix_counts(self.text[self.starts[k] : self.ends[k]].encode())
+        return self._inside[k]
 
     def count(self, chars: int) -> int:
         """Tokens of the first ``chars`` code points, as if they were the whole text."""
@@ -191,6 +198,8 @@ class PrefixCounts:
         s = self.starts[k]
         part = self.text[s:chars]
         pieces = PIECES.findall(part)
+        if len(pieces) == 1 and not self.kept[k] and chars <= self.ends[k]:  # the cut piece is a prefix of the whole one
+            return self.totals[k] + self.inside(k)[len(part.encode())]
         return self.totals[k] + sum(self.bpe.counts[p] for p in pieces)
 
     def fit(self, budget: int) -> int:
@@ -214,7 +223,7 @@ class PrefixCounts:
             if low < e - 1 and not split:
                 room = budget - self.totals[j]
                 if room > 0:
-                    counts = self.bpe.prefix_counts(piece.encode())
+                    counts = self.inside(j)
                     size = len(counts) - 1
                     for i in range(e - 1, low, -1):
                         size -= len(self.text[i].encode())
