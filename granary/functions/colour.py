@@ -26,6 +26,16 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
 
 
+def lab_to_rgb(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """sRGB channels 0..255 of a CIELAB colour; what sRGB cannot show is cut to its bounds."""
+    fy = (l + 16) / 116
+    f = lambda t: F.when(F.pow(t, 3) > 0.008856, F.pow(t, 3)).otherwise((t - 16 / 116) / 7.787)
+    x, y, z = (f(t) * w / 100 for t, w in zip((fy + a / 500, fy, fy - b / 200), WHITE, strict=True))
+    linear = (x * 3.2406 - y * 1.5372 - z * 0.4986, x * -0.9689 + y * 1.8758 + z * 0.0415, x * 0.0557 - y * 0.2040 + z * 1.0570)
+    s = lambda c: F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), 1 / 2.4) - 0.055).otherwise(12.92 * c)
+    return tuple(F.round(F.least(F.greatest(s(c), F.lit(0.0)), F.lit(1.0)) * 255).cast("int") for c in linear)
+
+
 def hue(r: Column, g: Column, b: Column) -> Column:
     """Hue of HSV in degrees; 0 for grey."""
     hi, lo = F.greatest(r, g, b), F.least(r, g, b)

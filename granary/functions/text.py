@@ -73,6 +73,13 @@ def bm25(blocks: DataFrame, query: Sequence[str], *, key: str = "asset_id", body
     return scored.groupBy(key).agg(F.sum(part).alias("score"), F.count("*").alias("found")).filter(F.col("found") == len(set(query))).drop("found")
 
 
+def search_files(files: DataFrame, blocks: DataFrame, query: Sequence[str]) -> DataFrame:
+    """Files (asset_id, …) whose content holds every query term, with its score and a snippet; a content's copies are all found."""
+    hits = bm25(blocks, query)
+    shown = blocks.join(hits, "asset_id").select("asset_id", "score", snippet(F.col("body"), query).alias("snippet"))
+    return files.join(shown, "asset_id")
+
+
 def snippet(text: Column, terms: Sequence[str], width: int = 12) -> Column:
     """``width`` words around the first term found, with found terms in brackets."""
     words = F.split(F.trim(text), r"\s+")

@@ -141,6 +141,14 @@ def prefix_hits(c):
     return tx.prefix_search(c.text_block, "Thé")
 
 
+@query(f"""SELECT file_id, score FROM indexed JOIN (SELECT asset_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 4) AS score FROM (
+  SELECT h.*, count(*) OVER (PARTITION BY term) AS df, s.n, s.mean FROM (SELECT asset_id, len, term, count(*) AS tf FROM (SELECT asset_id, len({TOKENS}) AS len, unnest({TOKENS}) AS term FROM text_block) WHERE term IN ('the', 'en') GROUP BY ALL) h,
+  (SELECT count(*) AS n, avg(len({TOKENS})) AS mean FROM text_block) s) GROUP BY asset_id HAVING count(*) = 2) USING (asset_id)""")
+def search_files(c):
+    """The indexed files whose text holds all words of a search, with the score of their content."""
+    return tx.search_files(c.indexed, c.text_block, ["the", "en"]).select("file_id", F.round("score", 4).alias("score"))
+
+
 # --- digests and gaps
 
 GAP_TAGS = "(SELECT * FROM asset_tag WHERE NOT (kind = 'topic' AND name IN ('topic1', 'topic2')) AND NOT (kind = 'doctype' AND name = 'es'))"
@@ -233,8 +241,8 @@ def _docx(text: pd.Series) -> pd.Series:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-            z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:body></w:document>")
-            z.writestr("word/footer1.xml", f"<w:ftr {w}><w:p><w:r><w:t>the end</w:t></w:r></w:p></w:ftr>")
+            z.writestr(zipfile.ZipInfo("word/document.xml"), f"<w:document {w}><w:body><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:body></w:document>")
+            z.writestr(zipfile.ZipInfo("word/footer1.xml"), f"<w:ftr {w}><w:p><w:r><w:t>the end</w:t></w:r></w:p></w:ftr>")
         return out.getvalue()
 
     return text.map(one)

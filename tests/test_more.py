@@ -169,3 +169,11 @@ def test_scratch_tables_are_deleted_and_small_tables_spread(spark, tmp_path):
     assert readers.plain_text(spark, f"{tmp_path}/out").first()["body"] == "hi"
     remove(spark, f"{tmp_path}/out")
     assert not (tmp_path / "out").exists()
+
+
+def test_lab_and_back(spark):
+    rows = [(0, 0, 0), (255, 255, 255), (200, 30, 60), (12, 200, 99), (1, 2, 250), (128, 128, 128)]
+    df = spark.createDataFrame(rows, "r int, g int, b int")
+    r, g, b = colour.lab_to_rgb(*colour.lab(F.col("r"), F.col("g"), F.col("b")))
+    got = df.select("r", "g", "b", r.alias("r2"), g.alias("g2"), b.alias("b2")).collect()
+    assert all(max(abs(x["r"] - x["r2"]), abs(x["g"] - x["g2"]), abs(x["b"] - x["b2"])) <= 1 for x in got)
