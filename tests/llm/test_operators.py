@@ -447,7 +447,7 @@ def test_wand_retrieves_all_above_threshold(monkeypatch, block, group):
     share = {i: {w: x / sum(v.values()) for w, x in v.items()} for i, v in share.items()}
     for _ in range(200):
         words = {f"v{rng.randint(0, 400)}" for _ in range(60)} | set(decontam.TOKEN.findall(rng.choice(items)[1])[:12])
-        terms = np.unique(index.terms(WordHashes().of([w.encode() for w in words])))
+        terms = np.unique(index.terms(sorted(words)))
         for least in (0.2, 0.4):
             want = {i: s for i, v in share.items() if (s := sum(x for w, x in v.items() if w in words)) >= least}
             found, scores = index.candidates(terms[terms >= 0], least)
@@ -458,7 +458,7 @@ def test_wand_retrieves_all_above_threshold(monkeypatch, block, group):
 def test_index_takes_few_bytes():
     items = _items(random.Random(2), 5000)
     chars = sum(len(t) for _, t in items)
-    assert decontam.Index(items).nbytes < 20 * chars and decontam.INDEX_CHARS * 20 <= 96 << 20
+    assert decontam.Index(items).nbytes < 24 * chars and decontam.INDEX_CHARS * 24 <= 96 << 20
 
 
 def test_leaks_are_found_and_clean_texts_stay(spark, odd, none):
