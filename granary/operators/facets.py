@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.plans.catalog import Catalog, band, tag_facet_view
+from granary.plans.catalog import Catalog, band, duplicate_groups, tag_facet_view
 
 #: How many tags of a kind are shown.
 TOP, TOP_OTHER = 40, 16
@@ -92,6 +92,23 @@ def libraries(c: Catalog) -> DataFrame:
     return c.file.groupBy("root").agg(F.count("*").alias("files"), F.count_if(s == "indexed").alias("indexed"), F.count_if(s == "missing").alias("missing"), F.count_if(s == "error").alias("failed"), F.sum(F.when(s == "indexed", F.col("size_bytes")).otherwise(0)).alias("bytes"))
 
 
+def library_totals(c: Catalog) -> DataFrame:
+    """(root, files, contents, bytes, tags): what each library holds; tags count once, people's own too."""
+    f = c.file.groupBy("root").agg(F.count("*").alias("files"), F.countDistinct("asset_id").alias("contents"), F.sum("size_bytes").alias("bytes"))
+    t = c.file.select("root", "asset_id").distinct().join(c.asset_tag.select("asset_id", "kind", "name").distinct(), "asset_id").groupBy("root").agg(F.countDistinct("kind", "name").alias("tags"))
+    return f.join(t, "root", "left").withColumn("tags", F.coalesce("tags", F.lit(0)))
+
+
+def status(c: Catalog, audit: DataFrame) -> DataFrame:
+    """One row: files by state and contents by media type as maps, contents, duplicates, and files that changed while they were read."""
+    by = lambda df, k: df.groupBy(k).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "n")))).alias(f"by_{k}"))
+    parts = [
+        by(c.file, "state"), by(c.asset, "media_type"), c.asset.agg(F.count("*").alias("assets")), reclaimable(duplicate_groups(c)).select(F.col("groups").alias("duplicate_groups"), F.col("bytes").alias("reclaimable_bytes")),
+        audit.agg(F.count_if(F.col("verdict") == "mutated").alias("mutations")), unclassified(c).select(F.col("n").alias("unclassified")),
+    ]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+
+
 def gaps(c: Catalog, tags: DataFrame | None = None) -> DataFrame:
     """Indexed files without doctype, without topic, and with either gap."""
     t = (c.asset_tag if tags is None else tags).filter("kind IN ('doctype', 'topic')").groupBy("asset_id").agg(F.collect_set("kind").alias("kinds"))

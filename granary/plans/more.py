@@ -174,6 +174,19 @@ def digest_of_selection(c):
     return digest.digest_totals(c.indexed, tags)
 
 
+@query("SELECT root, count(*) AS files, count(DISTINCT asset_id) AS contents, CAST(sum(size_bytes) AS BIGINT) AS bytes, any_value(tags) AS tags FROM file JOIN (SELECT root, count(DISTINCT (kind, t.name)) AS tags FROM file JOIN asset_tag t USING (asset_id) GROUP BY root) USING (root) GROUP BY root")
+def library_totals(c):
+    return facets.library_totals(c)
+
+
+@query("""SELECT (SELECT string_agg(state || '=' || n, ',' ORDER BY state) FROM (SELECT state, count(*) AS n FROM file GROUP BY state)) AS states, (SELECT string_agg(media_type || '=' || n, ',' ORDER BY media_type) FROM (SELECT media_type, count(*) AS n FROM (SELECT asset_id, min(media_type) AS media_type FROM file GROUP BY asset_id) GROUP BY media_type)) AS media,
+  (SELECT count(DISTINCT asset_id) FROM file) AS assets, (SELECT count(*) FROM (SELECT asset_id FROM indexed GROUP BY asset_id HAVING count(*) > 1)) AS duplicate_groups, (SELECT count(*) FROM file WHERE file_id % 7 = 0) AS mutations""")
+def status_report(c):
+    audit = c.file.select(F.when(F.col("file_id") % 7 == 0, "mutated").otherwise("unchanged").alias("verdict"))
+    said = lambda col: F.array_join(F.transform(F.map_entries(col), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return facets.status(c, audit).select(said("by_state").alias("states"), said("by_media_type").alias("media"), "assets", "duplicate_groups", "mutations")
+
+
 # --- tag graphs
 
 FILE_NODES = NODES.replace("count(DISTINCT asset_id) AS n FROM asset_tag WHERE asset_id IN (SELECT asset_id FROM indexed) AND", "count(DISTINCT file_id) AS n FROM (SELECT file_id, t.kind, t.name FROM indexed JOIN asset_tag t USING (asset_id)) WHERE")

@@ -154,12 +154,29 @@ def json_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def synthetic_workspaces(spark: SparkSession, n: int, libraries: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``n`` workspaces with members, and their grants on ``libraries``: one library each whole, one restricted to a folder, the same for the same seed."""
+    h = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt), F.lit(seed)), F.lit(m)).cast("int")
+    w = spark.range(n)
+    role = F.get(F.array(*[F.lit(x) for x in ("viewer", "editor", "owner")]), h("role", 3))
+    members = w.select(F.format_string("w%d", "id").alias("workspace_id"), F.format_string("u%d", h("user", 10 * n)).alias("user_id"), role.alias("role"))
+    none = F.array().cast("array<string>")
+    first, second = h("lib", libraries), F.pmod(h("lib", libraries) + 1, F.lit(libraries))
+    grant = lambda lib, prefixes: F.struct(F.format_string("l%d", lib).alias("library_id"), prefixes.alias("path_prefixes"), none.alias("include_tags"), none.alias("exclude_tags"), none.alias("media_types"))
+    folder = F.array(F.format_string("folder%d/", h("dir", 40)))
+    grants = w.select(F.format_string("w%d", "id").alias("workspace_id"), F.explode(F.array(grant(first, none), grant(second, folder))).alias("g")).select("workspace_id", "g.*", F.lit("viewer").alias("access"))
+    return members, grants
+
+
 def synthetic(spark: SparkSession, n: int, seed: int = 7, tags: int = 200) -> DataFrame:
-    """``n`` files with Zipf-distributed tags, the same for the same seed on any number of partitions."""
+    """``n`` files with Zipf-distributed tags, the same for the same seed on any number of partitions.
+
+    ``doctype`` depends on the extension and ``topic`` on the folder, each for most files only.
+    """
     h = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt), F.lit(seed)), F.lit(m))
     u = h("u", 1 << 30) / F.lit(float(1 << 30))
     ext = F.get(F.array(*[F.lit(x) for x in ("pdf", "docx", "jpg", "png", "mp4", "txt")]), h("ext", 6).cast("int"))
     zipf = lambda k: F.floor(F.pow(F.lit(float(tags)), h(f"t{k}", 1 << 30) / F.lit(float(1 << 30)))).cast("long")
     folder = F.concat(F.lit("folder"), h("dir", 40).cast("string"))
     name = F.concat(F.lit("file_"), F.col("id").cast("string"), F.lit("."), ext)
-    return spark.range(n).select(F.col("id").alias("file_id"), name.alias("name"), F.concat_ws("/", folder, name).alias("rel_path"), folder.alias("parent_rel"), ext.alias("ext"), F.floor(F.exp(F.lit(6.0) + u * 14)).cast("long").alias("size_bytes"), F.array_distinct(F.array(*[zipf(k) for k in range(4)])).alias("tags"))
+    return spark.range(n).select(F.col("id").alias("file_id"), name.alias("name"), F.concat_ws("/", folder, name).alias("rel_path"), folder.alias("parent_rel"), ext.alias("ext"), F.floor(F.exp(F.lit(6.0) + u * 14)).cast("long").alias("size_bytes"), F.array_distinct(F.array(*[zipf(k) for k in range(4)])).alias("tags"), F.when(h("typed", 5) > 0, F.when(ext.isin("jpg", "png"), "photo").when(ext == "mp4", "recording").otherwise(F.get(F.array(F.lit("invoice"), F.lit("letter"), F.lit("report")), h("kind", 3).cast("int")))).alias("doctype"), F.when(h("known", 10) > 1, F.concat(F.lit("topic"), (h("dir", 40) % 8).cast("string"))).alias("topic"))

@@ -177,3 +177,13 @@ def test_lab_and_back(spark):
     r, g, b = colour.lab_to_rgb(*colour.lab(F.col("r"), F.col("g"), F.col("b")))
     got = df.select("r", "g", "b", r.alias("r2"), g.alias("g2"), b.alias("b2")).collect()
     assert all(max(abs(x["r"] - x["r2"]), abs(x["g"] - x["g2"]), abs(x["b"] - x["b2"])) <= 1 for x in got)
+
+
+def test_synthetic_catalogue_has_conditional_tags_and_grants(spark):
+    f = readers.synthetic(spark, 400)
+    assert f.filter("doctype = 'photo' AND ext NOT IN ('jpg', 'png')").count() == 0 and 0 < f.filter("topic IS NULL").count() < 200
+    assert f.groupBy("parent_rel").agg(F.countDistinct("topic").alias("n")).filter("n > 1").count() == 0
+    members, grants = readers.synthetic_workspaces(spark, 5)
+    assert members.count() == 5 and grants.count() == 10 and grants.collect() == readers.synthetic_workspaces(spark, 5)[1].collect()
+    shown = tenancy.visible(f.withColumn("library_id", F.lit("l1")).withColumn("media_type", F.lit("document")), spark.createDataFrame([], "file_id long, name string"), grants)
+    assert shown.count() > 0
