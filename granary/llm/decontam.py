@@ -20,7 +20,7 @@ K1, B = 1.2, 0.75
 LEAST_SCORE, LEAST_OVERLAP, GRAM = 0.5, 0.6, 3
 #: Items of a block, blocks of a group of blocks, and words of a passage.
 BLOCK_ITEMS, GROUP_BLOCKS, PASSAGE = 64, 64, 256
-#: Most text of items in one broadcast index, about 64 MiB of arrays; a larger benchmark is searched in several passes.
+#: Most text of items in one broadcast index, at most about 96 MiB in memory; a larger benchmark is searched in several passes.
 INDEX_CHARS = 4 << 20
 #: Sums in another order differ by rounding; bounds are compared with so much room.
 ROOM = 1e-9
@@ -76,11 +76,7 @@ class Index:
         self.ids = [i for i, _, _ in parsed]
         hashes = WordHashes()
         h = lambda words: hashes.of([w.encode() for w in words])
-        names = list(df)
-        self.words = h(names)
-        order = np.argsort(self.words)
-        self.words = self.words[order]
-        place = {names[k]: r for r, k in enumerate(order.tolist())}
+        self.place = place = {w: k for k, w in enumerate(sorted(df))}
         term, item, weight = [], [], []
         for k, c in enumerate(tf):
             w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[k] / mean)) for t, f in c.items()}
@@ -106,14 +102,13 @@ class Index:
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in self.__dict__.values() if isinstance(x, np.ndarray))
+        """Bytes of the arrays, and about as many as the dictionary of the words takes."""
+        return sum(x.nbytes for x in self.__dict__.values() if isinstance(x, np.ndarray)) + sum(120 + len(w) for w in self.place)
 
-    def terms(self, h: np.ndarray) -> np.ndarray:
-        """The terms of word hashes, -1 for words of no item."""
-        if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
+    def terms(self, words: list[str]) -> np.ndarray:
+        """The terms of words, -1 for words of no item."""
+        get = self.place.get
+        return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
 
     def candidates(self, terms: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Items whose score for the different ``terms`` is at least ``least``, and their scores.
@@ -127,6 +122,8 @@ class Index:
         least -= ROOM
         if most.sum() < least:
             return np.zeros(0, np.intp), np.zeros(0)
+        if groups == 1:  # every list has this one group, under the number of its term
+            return self._group(terms, 0, least)
         base = terms * groups
         keys, n = self.group, len(self.group)
         at = np.searchsorted(keys, base)
@@ -165,24 +162,23 @@ class Index:
         """(item id, score, question overlap, answer overlap) of the items found in a text, best passage of each."""
         if not self.ids:
             return []
-        h = hashes.of([w.encode() for w in TOKEN.findall(text.lower())])
-        ids = self.terms(h)
-        known = ids[ids >= 0]
-        if not len(known) or self.most[np.unique(known)].sum() < least - ROOM:
-            return []
+        words = TOKEN.findall(text.lower())
+        ids = self.terms(words)
         # every run of words as long as the longest item lies whole in some passage
         width = max(PASSAGE, 2 * self.longest)
         step = width - self.longest + 1
         best: dict[int, tuple[float, float, float]] = {}
-        for s in range(0, max(1, len(h) - self.longest + 1), step):
+        for s in range(0, max(1, len(words) - self.longest + 1), step):
             part = ids[s : s + width]
-            terms = np.unique(part[part >= 0])
-            if not len(terms):
+            part = np.sort(part[part >= 0])
+            if not len(part):
+                continue
+            items, scores = self.candidates(part[np.append(True, part[1:] != part[:-1])], least)
+            if not len(items):
                 continue
-            items, scores = self.candidates(terms, least)
-            have: dict[int, np.ndarray] = {}
+            h, have = hashes.of([w.encode() for w in words[s : s + width]]), {}
             for k, score in zip(items.tolist(), scores.tolist(), strict=True):
-                q, a = (self._share(2 * k + side, h[s : s + width], have) for side in (0, 1))
+                q, a = (self._share(2 * k + side, h, have) for side in (0, 1))
                 if q >= overlap and a >= overlap and (k not in best or best[k][0] < score):
                     best[k] = (score, q, a)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]

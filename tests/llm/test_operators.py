@@ -298,7 +298,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want, sets = _brute(docs), _sets(docs)
-    for block, chunk in ((near_dup.BLOCK, near_dup.CHUNK), (near_dup.BLOCK, 10), (10, 7)):
+    for block, chunk in ((near_dup.BLOCK, near_dup.CHUNK), (10, 7)):
         monkeypatch.setattr(near_dup, "BLOCK", block)
         monkeypatch.setattr(near_dup, "CHUNK", chunk)
         for r in near_dup.near_duplicates(df).collect():
