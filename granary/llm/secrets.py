@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_rows
+from granary.session import Scratch
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -62,15 +63,25 @@ def _alphabet(c: str) -> float:
 
 
 def rank_words(docs: DataFrame, *, text_col: str = "text", most: int = CORPUS_WORDS) -> dict[str, int]:
-    """Guess ranks: the password words, then the ``most`` most frequent words of a-z in ``docs``.
+    """Guess ranks: the password words, then at most ``most`` of the most frequent words of a-z in ``docs``.
 
-    The words of all texts are counted in one grouped aggregation; only the table of fixed size
-    reaches the driver. Null and empty texts have no words. Ties are ordered by the word.
+    The words of all texts are counted in one grouped aggregation. How many words have each
+    count gives the count above which at most ``most`` words lie; only these reach the driver
+    (words that tie with the next one are left out together). Null and empty texts have no words.
     """
+    work = Scratch(docs.sparkSession, "words")
     words = F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(f"(?<![a-z])([a-z]{{3,{LONGEST_WORD}}})(?![a-z])"))
-    top = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
+    counted = work.keep(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "counts")
+    above, cut = 0, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        above += r["words"]
+        if above > most:
+            cut = r["n"]
+            break
+    top = sorted(counted.filter(F.col("n") > cut).collect(), key=lambda r: (-r["n"], r["w"]))
+    work.drop()
     out = dict(RANK)
-    for r in top.collect():
+    for r in top:
         out.setdefault(r["w"], len(out) + 1)
     return out
 
