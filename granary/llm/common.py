@@ -6,7 +6,6 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,7 +23,7 @@ def words_of(text: str) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -105,10 +104,10 @@ def possibly_in(keys: DataFrame, key: str = ROW[0]) -> Callable[[str], Column]:
     bitmap[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64).view(np.uint64)
     held = keys.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        bit = h.to_numpy(np.int64).view(np.uint64) & np.uint64(FILTER_BITS - 1)
-        return pd.Series((held.value[(bit >> np.uint64(6)).astype(np.intp)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        bit = h.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        return pa.array((held.value[(bit >> np.uint64(6)).astype(np.intp)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
 
     return test
 
@@ -177,8 +176,8 @@ def place_in(cuts: list, *, right: bool) -> Callable[[Column], Column]:
     held = sorted(cuts)
     side = bisect_right if right else bisect_left
 
-    @F.pandas_udf("int")
-    def place(v: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or x != x else side(held, x) for x in v.tolist()], dtype="Int32")
+    @F.arrow_udf("int")
+    def place(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else side(held, x) for x in v.to_pylist()], pa.int32())
 
     return place
