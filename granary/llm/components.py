@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import salted_join
 from granary.session import Scratch, materialize
 
 
 def _star(edges: DataFrame, near: DataFrame) -> DataFrame:
-    """Each edge (u, v) of ``edges`` becomes (v, m), with m the least of u and its neighbours in ``near``."""
+    """Each edge (u, v) of ``edges`` with m, the least of u and its neighbours in ``near``; the edges of a node with many are salted."""
     least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    return salted_join(edges, least, "u", "v")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,7 +34,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         around = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(around.filter("v > u"), around).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small = salted_join(large, least, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = work.keep(small.select("e.u", "e.v").filter("u <> v").distinct(), "round")
         work.drop_older("round")
         was, mark = mark, now.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003))).first()
