@@ -213,7 +213,8 @@ def families(classes: DataFrame, work: Scratch) -> DataFrame:
     pairs = stars.join(side.withColumnRenamed("cls", "u"), "u").join(side.toDF("v", "n2", "sig2"), "v")
     first = work.keep(_alike(pairs), "stars")
     up = first.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("up"))
-    up = work.keep(up.join(up.select(F.col("cls").alias("up"), F.col("up").alias("up2")), "up", "left").select("cls", F.coalesce("up2", "up").alias("up")), "up")
+    up = salted_join(up, up.select(F.col("cls").alias("up"), F.col("up").alias("up2")), "up", "cls", "left")
+    up = work.keep(up.select("cls", F.coalesce("up2", "up").alias("up")), "up")
     named = posts.join(lists.filter("c > 2").select("token"), "token").join(up, "cls", "left").withColumn("label", F.coalesce("up", "cls")).drop("up")
     open_ = _unsettled(work.keep(named, "named"), "token").join(side, "cls")
 
