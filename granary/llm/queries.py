@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from granary.llm import decontam, fingerprints, html_text, language, mixing, near_dup, secrets, tokens, toxicity, warc
+from granary.llm import decontam, fingerprints, html_text, language, mixing, near_dup, secrets, spelling, tokens, toxicity, url_rules, warc, whitening
 from granary.session import scratch, table
 
 
@@ -58,5 +58,17 @@ def op10_decontamination(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_mixing, op4_secrets, op5_tokens, op6_toxicity, op7_html, op8_near_dup, op9_language, op10_decontamination, language_of_pages)}
-ORACLE_SQL = {"op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE}
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents", spread=True))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_rules(spark, sf_dir):
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, url_rules.LISTED + url_rules.PATTERNS))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_mixing, op4_secrets, op5_tokens, op6_toxicity, op7_html, op8_near_dup, op9_language, op10_decontamination, op11_spelling, op12_whitening, op13_url_rules, language_of_pages)}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op13_url_rules": url_rules.ORACLE}
