@@ -16,6 +16,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address header hr center details summary hgroup fieldset legend".split()
 )
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: What a start tag closes when it stands open (HTML lets these end tags out).
 CLOSES_P = BLOCKS - {"html", "body"}
 SIBLING = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
@@ -42,11 +43,11 @@ BROKEN_QUOTES = 16
 class Node:
     """An element: what it holds, whether it is left out, and what its place tells (``block``: the nearest block around it)."""
 
-    __slots__ = ("tag", "parent", "kids", "skip", "hint", "score", "chars", "linked", "commas", "block", "inside")
+    __slots__ = ("tag", "parent", "kids", "skip", "hint", "score", "chars", "linked", "commas", "block", "inside", "good", "found")
 
     def __init__(self, tag: str, parent: Node | None, hint: int = 0):
         self.tag, self.parent, self.kids, self.score, self.hint = tag, parent, [], 0.0, hint
-        self.chars = self.linked = self.commas = 0
+        self.chars = self.linked = self.commas = self.good = self.found = 0
         self.block = self.inside = None
         if parent is not None:
             self.block = parent if parent.tag in BLOCKS or parent.parent is None else parent.block
@@ -169,23 +170,18 @@ def _plain(x: Node) -> int:
     return x.chars - x.linked
 
 
-def _articles(x: Node) -> bool:
-    """Whether a subtree reads like an article: two blocks of 50 characters with few links."""
-    found, stack = 0, [x]
-    while stack and found < 2:
-        y = stack.pop()
-        if isinstance(y, Node) and not y.skip:
-            found += y.tag in BLOCKS and _plain(y) >= 50 and _density(y) < 0.2 and _text_block(y)
-            stack += y.kids
-    return found >= 2
+def _reads_like_article(x: Node) -> bool:
+    """Two blocks of 50 characters with few links, or one long text."""
+    return x.good >= 2 or (x.good == 1 and _plain(x) >= 200)
 
 
 def _leave_out(root: Node) -> None:
-    """Decide which elements with a hint are left out.
+    """Decide which elements with a hint are left out: names are evidence, and the text decides.
 
-    Only perhaps noise: if it loses to the rest in plain text, or is mostly links. Noise: always,
-    except that, where nothing else is left on the page, the one that reads like an article stays.
-    Comments always go.
+    Perhaps noise: goes if it loses to the rest in plain text, or is mostly links. Noise: goes,
+    unless it reads like an article, has few links, and the page without it has less than a third of its text and
+    no other article or main element; then all such elements with a fifth of the greatest's text
+    stay. Comments always go.
     """
     order = _measure(root)
     hinted = [x for x in order if x.hint]
@@ -207,9 +203,18 @@ def _leave_out(root: Node) -> None:
         elif x.skip:
             gone.add(id(x))
             left -= _plain(x)
-    best = max((x for x in strong if x.hint == 2), key=_plain, default=None)
+    ids = {id(x) for x in strong}
+    for x in order:
+        x.found = x.good * (id(x) in ids)
+    for x in reversed(order):
+        if x.parent is not None:
+            x.parent.found += x.found
+    named = any(x.tag in ("article", "main") and id(x) not in inside and id(x) not in gone and x.good > x.found for x in order)
+    like = [] if named else [x for x in strong if x.hint == 2 and _density(x) < 0.25 and _reads_like_article(x)]
+    most = max(map(_plain, like), default=0)
+    stay = {id(x) for x in like if most > 3 * left and 5 * _plain(x) >= most}
     for x in strong:
-        x.skip = not (x is best and left < 25 and _articles(x))
+        x.skip = id(x) not in stay
 
 
 def _measure(root: Node) -> list[Node]:
@@ -219,7 +224,7 @@ def _measure(root: Node) -> list[Node]:
         x = stack.pop()
         order.append(x)
         x.score = 0.0
-        x.chars = x.linked = x.commas = 0
+        x.chars = x.linked = x.commas = x.good = 0
         stack += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip]
     for x in reversed(order):
         for k in x.kids:
@@ -229,8 +234,10 @@ def _measure(root: Node) -> list[Node]:
                 x.commas += t.count(",") + t.count("，") + t.count("、")
         if x.tag == "a":
             x.linked = x.chars
+        x.good += x.tag in BLOCKS and _plain(x) >= 50 and _density(x) < 0.2 and _text_block(x)
         if x.parent is not None:
             up = x.parent
+            up.good += x.good
             up.chars += x.chars
             up.linked += x.linked
             up.commas += x.commas
@@ -246,13 +253,18 @@ def _text_block(x: Node) -> bool:
     return any((isinstance(k, str) and not k.isspace() and k) or (isinstance(k, Node) and k.tag not in BLOCKS and not k.skip and k.chars) for k in x.kids)
 
 
-def choose(root: Node) -> list[Node]:
-    """The best container and the siblings kept beside it.
+def choose(root: Node) -> list[Node | str]:
+    """The best container with all that belongs to it.
 
-    Each text block gives 1 point, its commas and up to 3 points for its length to its parent
-    and half of that to the grandparent; a container's points are discounted by its link
-    density. A sibling stays if it is a text block or has a fifth of the best points, in either
-    case with few links. Where the best container lies inside an article or main element, that element is it.
+    Each text block gives 1 point, its commas and up to 3 points for its length to its parent,
+    half of that to the grandparent and a quarter to the next; a container's points are
+    discounted by its link density. Where the best container lies inside an article or main
+    element, that element is it, with sibling articles of a fifth of its points. Otherwise
+    an article may be spread over several containers: those with a fifth of the best points that
+    read like an article are its parts, and their lowest common ancestor, or a higher one below
+    body that has more such text, gives its children: the ones with parts, paragraphs and headings, what has
+    text with few links, and what stands between; so do the ancestor's own siblings. Without further parts the ancestor is the
+    best container, whose children are looked at where its text stands in containers in it.
     """
     _leave_out(root)
     order = _measure(root)
@@ -266,6 +278,7 @@ def choose(root: Node) -> list[Node]:
     best = max(order, key=lambda x: x.score * (1 - _density(x)), default=root)
     if best.score <= 0:
         return [root]
+    least = 0.2 * best.score * (1 - _density(best))
     x = best
     while x is not None:
         if x.tag in ("article", "main"):
@@ -273,23 +286,82 @@ def choose(root: Node) -> list[Node]:
             if x.tag == "article":
                 break
         x = x.parent
-    if best.parent is None or best.tag in ("main", "body", "html"):
+    if best.parent is None or best.tag == "main":
         return [best]
-    least = 0.2 * best.score
-    kept = []
-    for k in best.parent.kids:
-        if k is best:
+    if best.tag == "article":
+        return [k for k in best.parent.kids if k is best or (isinstance(k, Node) and not k.skip and k.tag == "article" and k.chars and _density(k) < 0.25 and k.score * (1 - _density(k)) >= least)]
+    return _spread(order, best, least)
+
+
+def _spread(order: list[Node], best: Node, least: float) -> list[Node | str]:
+    """The children of the lowest element that holds ``best`` and all other parts of the article."""
+    above = set()
+    x = best
+    while x is not None:
+        above.add(id(x))
+        x = x.parent
+    below = {id(best)}
+    for x in order:  # parents before children
+        if x.parent is not None and id(x.parent) in below:
+            below.add(id(x))
+        x.found = int(id(x) not in above and id(x) not in below and x.score * (1 - _density(x)) >= least and _density(x) < 0.25 and _reads_like_article(x))
+    total = sum(x.found for x in order)
+    for x in reversed(order):
+        if x.parent is not None:
+            x.parent.found += x.found
+    top = best
+    while top.found < total:
+        top = top.parent
+    # below body, text with few links beside the article belongs to it, however short it is
+    high = top
+    while high.parent is not None and high.parent.tag not in ("body", "html") and high.parent.parent is not None:
+        high = high.parent
+    while top.good < high.good:
+        top = top.parent
+    parts = above
+    if top is best:
+        own = sum(k.good for k in best.kids if isinstance(k, Node) and not k.skip and k.tag in PARAGRAPHS)
+        if best.tag not in ("body", "html") and 2 * own >= best.good:
+            return _children(best.parent, above, least)
+        parts = {id(k) for k in best.kids if isinstance(k, Node) and k.good and _density(k) < 0.25}  # its text is that of containers in it
+    inside = _children(top, parts, least)
+    if top.parent is None or top.tag in ("body", "html"):
+        return inside
+    return [y for k in _children(top.parent, above, least) for y in (inside if k is top else [k])]
+
+
+def _children(top: Node, parts: set[int], least: float) -> list[Node | str]:
+    """The children of ``top`` that belong to an article: its parts, what stands between them, and other text with few links."""
+    must = [i for i, k in enumerate(top.kids) if isinstance(k, Node) and not k.skip and (k.found or id(k) in parts)]
+    if not must:
+        return [top]
+    kept, run = [], []
+
+    def end():
+        # text that stands bare between elements, with the inline elements in it
+        chars = sum(len(k.strip()) if isinstance(k, str) else k.chars for k in run)
+        linked = sum(k.linked for k in run if isinstance(k, Node))
+        if chars - linked >= 40 and linked < 0.25 * chars:
+            kept.extend(run)
+        run.clear()
+
+    needed = set(must)
+    for i, k in enumerate(top.kids):
+        if isinstance(k, str) or (k.tag not in BLOCKS and not k.skip and i not in needed and not k.good):
+            run.append(k)
+            continue
+        end()
+        if k.skip or not k.chars:
+            continue
+        inner = must[0] < i < must[-1]
+        own = k.tag in PARAGRAPHS or k.good or k.score * (1 - _density(k)) >= least
+        if i in needed or (_density(k) < (0.5 if inner else 0.25) and (own or inner)):
             kept.append(k)
-        elif isinstance(k, Node) and not k.skip and k.chars and _density(k) < 0.25:
-            if best.tag == "article":
-                if k.tag == "article" and k.score * (1 - _density(k)) >= least:
-                    kept.append(k)
-            elif k.tag in ("p", "h1", "h2", "blockquote", "pre") or (k.score * (1 - _density(k)) >= least and k.tag in ("div", "section", "article", "td")):
-                kept.append(k)
+    end()
     return kept
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """The texts of blocks in page order; white space is one space, character references are decoded."""
     out: list[str] = []
     now: list[str] = []
