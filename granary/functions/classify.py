@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import patterns as pat
@@ -14,7 +14,7 @@ from granary.functions import people as who
 MIN_SCORE, MIN_SHARE, ESCALATE_BELOW = 6.0, 0.34, 14.0
 STRONG, TERM, CUE, EXT, TERM_CAP = 3.0, 1.0, 4.0, 6.0, 4
 
-#: The vocabulary of SURVEY Appendix B; callers may pass their own in the same form. Axis -> category -> (strong terms, terms, name cues, extensions).
+#: The built-in vocabulary; callers may pass their own in the same form. Axis -> category -> (strong terms, terms, name cues, extensions).
 VOCABULARY: Mapping[str, Mapping[str, tuple[Sequence[str], Sequence[str], Sequence[str], Sequence[str]]]] = {
     "doctype": {
         "invoice": (["invoice number", "invoice no", "amount due", "total due", "balance due", "remit to", "payment terms", "net 30", "bill to"], ["invoice", "subtotal", "vat", "gst", "purchase order", "po number", "due date", "quantity", "unit price"], ["invoice", "inv-", "inv_", "bill"], []),
@@ -22,10 +22,10 @@ VOCABULARY: Mapping[str, Mapping[str, tuple[Sequence[str], Sequence[str], Sequen
         "statement": (["account summary", "closing balance", "opening balance", "statement period", "available credit", "minimum payment"], ["statement", "account number", "deposits", "withdrawals", "interest", "transactions", "sort code", "iban"], ["statement", "stmt"], []),
         "contract": (["hereinafter", "whereas", "in witness whereof", "governing law", "the parties agree", "shall be deemed", "indemnify", "termination for convenience", "entire agreement"], ["agreement", "contract", "clause", "parties", "liability", "confidentiality", "warranty", "jurisdiction", "effective date", "executed"], ["contract", "agreement", "nda", "msa", "sow", "terms"], []),
         "report": (["executive summary", "key findings", "recommendations", "table of contents", "appendix", "methodology"], ["report", "analysis", "overview", "summary", "conclusion", "quarter", "annual", "performance", "metrics", "kpi"], ["report", "review", "analysis", "q1", "q2", "q3", "q4"], []),
-        "presentation": (["agenda slide", "thank you questions", "next steps", "our mission", "key takeaways"], ["slide", "agenda", "roadmap", "vision", "takeaway", "appendix"], ["deck", "slides", "presentation", "pitch", "kickoff", "all hands", "allhands", "townhall"], ["key", "odp", "ppt", "pptx"]),
-        "spreadsheet": ([], ["total", "sum", "row", "column", "sheet", "average"], ["sheet", "table", "export", "tracker"], ["csv", "ods", "tsv", "xls", "xlsx"]),
+        "presentation": (["agenda slide", "thank you questions", "next steps", "our mission", "key takeaways"], ["slide", "agenda", "roadmap", "vision", "takeaway", "appendix"], ["deck", "slides", "presentation", "pitch", "kickoff", "all hands", "allhands", "townhall"], ["pptx", "ppt", "key", "odp"]),
+        "spreadsheet": ([], ["total", "sum", "row", "column", "sheet", "average"], ["sheet", "table", "export", "tracker"], ["xlsx", "xls", "csv", "tsv", "ods"]),
         "log": (["stack trace", "exception in thread", "connection refused", "segmentation fault", "traceback"], ["error", "warn", "warning", "info", "debug", "trace", "fatal", "exception", "timeout", "retry", "request", "response", "status"], ["log", "logs", "syslog", "stderr", "stdout", "crash", "dump", "trace"], ["log"]),
-        "source-code": (["public static void", "def", "function", "#include", "import", "class", "const", "namespace"], ["var", "let", "null", "true", "false", "async", "await", "self", "params", "endpoint", "return"], [".py", ".js", ".ts", ".java", ".go", ".rs", ".cpp", ".rb", ".cs", ".sh", ".sql"], ["c", "cpp", "cs", "go", "h", "java", "js", "json", "jsx", "ps1", "py", "rb", "rs", "sh", "sql", "toml", "ts", "tsx", "yaml", "yml"]),
+        "source-code": (["public static void", "def", "function", "#include", "import", "class", "const", "namespace"], ["var", "let", "null", "true", "false", "async", "await", "self", "params", "endpoint", "return"], [".py", ".js", ".ts", ".java", ".go", ".rs", ".cpp", ".rb", ".cs", ".sh", ".sql"], ["py", "js", "ts", "tsx", "jsx", "java", "go", "rs", "c", "h", "cpp", "rb", "cs", "sh", "ps1", "sql", "json", "yaml", "yml", "toml"]),
         "resume": (["curriculum vitae", "work experience", "professional experience", "references available", "career objective", "employment history"], ["resume", "education", "skills", "certifications", "achievements", "responsibilities", "bachelor", "master", "graduated"], ["resume", "cv", "curriculum"], []),
         "letter": (["dear sir", "dear madam", "yours sincerely", "yours faithfully", "kind regards", "to whom it may concern", "best regards"], ["dear", "sincerely", "regards", "enclosed", "writing to"], ["letter", "cover", "memo"], []),
         "meeting-notes": (["action items", "attendees", "minutes of the meeting", "apologies for absence", "follow up items", "decisions made"], ["meeting", "agenda", "notes", "discussion", "owner", "standup", "retro", "retrospective"], ["notes", "minutes", "meeting", "standup", "retro"], []),
@@ -59,6 +59,34 @@ VOCABULARY: Mapping[str, Mapping[str, tuple[Sequence[str], Sequence[str], Sequen
 }
 
 
+#: Names that are shown otherwise than with spaces and a capital, and tag confidences by the source of an author.
+DISPLAYS = {"resume": "CV / Resume", "hr": "People & HR"}
+AUTHOR_CONFIDENCE = {"metadata": 0.95, "id3": 0.95, "signature": 0.8, "byline": 0.8, "filename": 0.6, "email": 0.5}
+#: Confidences of other tags, how many of each a verdict gives, and the length of its reasoning.
+TOPIC_TOO, YEAR, PATTERN, ENTITY, PERSON = 0.4, 0.9, 1.0, 0.7, 0.6
+MORE_TOPICS, YEARS, ENTITIES, REASONS, REASONING = 3, 6, 8, 3, 500
+
+
+def display(name) -> Column:
+    """A category as it is shown."""
+    shown = F.concat(F.upper(F.left(name, F.lit(1))), F.replace(F.substr(name, F.lit(2)), F.lit("-"), F.lit(" ")))
+    for k, v in DISPLAYS.items():
+        shown = F.when(name == k, v).otherwise(shown)
+    return shown
+
+
+def reasoning(doctype: Column, topic: Column, hits: Column, author_source: Column, kind: Column) -> Column:
+    """One line: the verdict on both axes, what the three most frequent patterns found (ties in order of the detectors), where the author is from."""
+    a, b = display(doctype), F.lower(display(topic))
+    head = F.coalesce(F.concat(a, F.lit(" ("), b, F.lit(")")), a, b, F.lit("no confident classification"))
+    notes = F.create_map(*[F.lit(x) for kv in pat.NOTES.items() for x in kv])
+    ranked = F.array_sort(F.transform(hits, lambda h, i: F.struct((-h["n"]).alias("n"), i.alias("i"), F.try_element_at(notes, h["name"]).alias("note"))))
+    said = F.slice(F.transform(F.filter(ranked, lambda x: x["note"].isNotNull()), lambda x: x["note"]), 1, REASONS)
+    by = F.when(author_source.isNotNull(), F.array(F.concat(F.lit("author from "), author_source))).otherwise(F.array().cast("array<string>"))
+    why = F.array_join(F.concat(said, by), "; ")
+    return F.left(F.concat(head, F.lit(" -- "), F.when(why != "", why).otherwise(F.concat(F.coalesce(kind, F.lit("")), F.lit(" with no distinctive content")))), F.lit(REASONING))
+
+
 def lexicon(spark, vocabulary=VOCABULARY) -> DataFrame:
     """(axis, category, place, kind, term, weight): bounded by the vocabulary that the caller gives."""
     rows = []
@@ -72,18 +100,24 @@ def lexicon(spark, vocabulary=VOCABULARY) -> DataFrame:
 def lexicon_scores(docs: DataFrame, lex: DataFrame, *, key: str = "file_id", longest: int = 5, scan: int | None = None) -> DataFrame:
     """(key, axis, category, place, score) of docs(key, name, ext, text).
 
-    Word runs of up to ``longest`` words meet the broadcast vocabulary in one equi-join. Other
+    A word meets the broadcast vocabulary as the head of terms, and only where it is one are the
+    words behind it put together, up to ``longest``, and compared. Other
     characters are tokens of their own, so only white space may stand inside a term; the few
     terms with other characters are counted as they stand. Whole texts count, or their first ``scan`` characters.
     """
     low = F.lower(pat.scanned(F.col("text"), scan))
     toks = F.regexp_extract_all(low, F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0))
+    w = [f"w{i}" for i in range(1, longest + 1)]
     t = docs.select(key, toks.alias("t"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("t", i, n), " "))))
+    ahead = F.arrays_zip(F.col("t").alias("w1"), *[F.slice("t", i, F.size("t")).alias(f"w{i}") for i in range(2, longest + 1)])
+    runs = t.select(key, F.inline(ahead)).toDF(key, *w).filter(F.col("w1").isNotNull())
     plain = F.col("term").rlike(r"(?U)^[\w\s]*$")
     terms = lex.filter("kind = 'term'").select("term", "axis", "category", "place", "weight")
-    heads = F.broadcast(terms.filter(plain))
-    hit = t.select(key, F.explode(runs).alias("term")).join(heads, "term").groupBy(key, "axis", "category", "place", "term", "weight").agg(F.count("*").alias("n"))
+    words = F.split("term", r"\s+")
+    heads = F.broadcast(terms.filter(plain).withColumn("n", F.size(words)).withColumn("w1", F.get(words, F.lit(0))))
+    whole = F.element_at(F.array(*[F.concat_ws(" ", *w[:n]) for n in range(1, longest + 1)]), F.least("n", F.lit(longest)))
+    found = runs.join(heads, "w1").filter((F.col("n") <= longest) & (F.get(F.array(*w), F.col("n") - 1).isNotNull()) & (whole == F.col("term")))
+    hit = found.groupBy(key, "axis", "category", "place", "term", "weight").agg(F.count("*").alias("n"))
     odd = docs.select(key, low.alias("low")).crossJoin(F.broadcast(terms.filter(~plain)))
     n = F.regexp_count("low", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("term"), F.lit(r"\E(?!\w)"))).cast("long")
     hit = hit.unionByName(odd.withColumn("n", n).filter("n > 0").drop("low"))
@@ -135,19 +169,23 @@ def inspect(docs: DataFrame, vocabulary=VOCABULARY, *, key: str = "file_id") ->
         key, doctype.alias("doctype"), F.coalesce("doctype_score", F.when(doctype.isNotNull(), MIN_SCORE).otherwise(0.0)).alias("doctype_score"), "topic", F.coalesce("topic_score", F.lit(0.0)).alias("topic_score"), "topic_others",
         F.col("by.name").alias("author"), F.col("by.source").alias("author_source"), F.col("event.at").alias("event_at"), F.col("event.source").alias("event_source"), pat.years(F.col("dates"), F.col("event.at")).alias("years"),
         who.organisations(F.col("text")).alias("entities"), F.transform("hits", lambda h: h["name"]).alias("patterns"), "hits", (doctype.isNull() | (F.coalesce("topic_score", F.lit(0.0)) < ESCALATE_BELOW)).alias("escalate"),
-        F.array_join(F.transform(F.slice(F.reverse(F.array_sort(F.transform("hits", lambda h: F.struct(h["n"], h["name"])))), 1, 3), lambda h: h["name"]), "; ").alias("reasoning"),
+        reasoning(doctype, F.col("topic"), F.col("hits"), F.col("by.source"), F.coalesce(F.nullif(F.lower("ext"), F.lit("")), "media_type")).alias("reasoning"), F.transform("people", lambda p: p["name"]).alias("people"),
     )
 
 
 def findings_to_tags(found: DataFrame, *, key: str = "file_id") -> DataFrame:
-    """(key, kind, name, confidence) that a verdict gives."""
+    """(key, kind, name, confidence) that a verdict gives: its labels, further topics, author, years, patterns, organisations and people."""
     sure = lambda c: F.round(F.least(F.lit(1.0), F.lit(0.4) + F.col(c) / 60), 3)
     t = lambda kind, name, conf: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"), conf.alias("confidence"))
-    each = lambda kind, col, n, conf: F.transform(F.slice(col, 1, n), lambda x: t(kind, x, F.lit(conf)))
-    by = F.create_map(*[F.lit(x) for x in ("metadata", 0.95, "id3", 0.9, "signature", 0.85, "byline", 0.8, "filename", 0.6, "email", 0.5)])[F.col("author_source")]
     none = F.array().cast("array<string>")
-    one = F.array(t("doctype", F.col("doctype"), sure("doctype_score")), t("topic", F.col("topic"), sure("topic_score")), t("author", F.col("author"), by))
-    many = F.concat(one, each("topic", F.coalesce("topic_others", none), 3, 0.4), each("pattern", F.col("patterns"), 100, 1.0), each("date", F.transform("years", lambda y: y.cast("string")), 6, 0.8), each("entity", F.col("entities"), 8, 0.7))
+    each = lambda kind, names, n, conf: F.transform(F.slice(F.coalesce(names, none), 1, n), lambda x: t(kind, x, F.lit(conf)))
+    by = F.create_map(*[F.lit(x) for kv in AUTHOR_CONFIDENCE.items() for x in kv])
+    one = F.array(t("doctype", F.col("doctype"), sure("doctype_score")), t("topic", F.col("topic"), sure("topic_score")), t("author", F.col("author"), F.coalesce(F.try_element_at(by, F.col("author_source")), F.lit(0.5))))
+    # the first eight count before the author is left out, who has a tag already
+    others = F.filter(each("entity", F.col("people"), ENTITIES, PERSON), lambda x: ~F.coalesce(x["name"] == F.col("author"), F.lit(False)))
+    many = F.concat(
+        one, each("topic", F.col("topic_others"), MORE_TOPICS, TOPIC_TOO), each("date", F.transform("years", lambda y: y.cast("string")), YEARS, YEAR), F.transform(F.coalesce("patterns", none), lambda x: t("pattern", x, F.lit(PATTERN))), each("entity", F.col("entities"), ENTITIES, ENTITY), others
+    )
     return found.select(key, F.explode(many).alias("t")).filter("t.name IS NOT NULL").select(key, "t.kind", "t.name", "t.confidence")
 
 

@@ -107,23 +107,28 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def near_hashes(rows: DataFrame, key: str, h: str, most: int = 7) -> DataFrame:
-    """(a, b, distance) of rows whose 64-bit hashes differ in at most ``most`` bits (up to 7: of eight bytes one is equal).
+    """(a, b, distance) of rows whose 64-bit hashes differ in at most ``most`` bits (up to 7).
 
-    Equal hashes are one class, which is compared once and expanded only into the pairs that are asked for;
-    classes meet under an equal byte, and a pair only at the first of its equal bytes.
+    Multi-index probing: seven flips leave one of four 16-bit bands with at most one flip, so each
+    hash is posted under its four bands and looked up under the 17 values of each band at
+    distance 0 or 1. That forms N² · 68 / 65,536 candidates of evenly spread hashes. Equal hashes are one class, which is
+    compared once and expanded only into the pairs that are asked for; a pair of classes is formed
+    only at the first of its bands with at most one flip.
     """
     if not 0 <= most <= 7:
         raise ValueError("at most 7 bits")
-    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
+    band = lambda c, k: F.shiftrightunsigned(c, 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
     own = rows.select(F.col(key).alias("id"), F.col(h).alias("h"))
     classes = own.select("h").distinct()
-    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), byte(F.col("h"), k).alias("v")) for k in range(8)])).alias("p")
-    x = classes.select("h", at).select("h", "p.k", "p.v")
-    y = x.toDF("h2", "k", "v")
-    first = F.lit(8)
-    for k in reversed(range(8)):
-        first = F.when(byte(F.col("h"), k) == byte(F.col("h2"), k), k).otherwise(first)
-    met = x.join(y, ["k", "v"]).filter((F.col("h") < F.col("h2")) & (hamming(F.col("h"), F.col("h2")) <= most) & (F.col("k") == first)).select("h", "h2")
+    posts = classes.select(F.col("h").alias("h2"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), band(F.col("h"), k).alias("v")) for k in range(4)])).alias("p")).select("h2", "p.k", "p.v")
+    flips = F.array(*[F.lit(m) for m in (0, *(1 << i for i in range(16)))])
+    near = lambda k: F.transform(flips, lambda m: F.struct(F.lit(k).alias("k"), band(F.col("h"), k).bitwiseXOR(m).alias("v")))
+    probes = F.flatten(F.array(*[near(k) for k in range(4)]))
+    x = classes.select("h", F.explode(probes).alias("p")).select("h", "p.k", "p.v")
+    first = F.lit(4)
+    for k in reversed(range(4)):
+        first = F.when(F.bit_count(band(F.col("h"), k).bitwiseXOR(band(F.col("h2"), k))) <= 1, k).otherwise(first)
+    met = x.join(posts, ["k", "v"]).filter((F.col("h") < F.col("h2")) & (hamming(F.col("h"), F.col("h2")) <= most) & (F.col("k") == first)).select("h", "h2")
     met = met.unionByName(classes.select("h", F.col("h").alias("h2")))
     pairs = met.join(own.toDF("a", "h"), "h").join(own.toDF("b", "h2"), "h2")
     a, b = F.least("a", "b"), F.greatest("a", "b")

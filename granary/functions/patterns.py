@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import cache
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +62,41 @@ DETECTORS = (
     Detector("sequence-name", "i", r"^(?:img|dsc|dcim|p|photo|vid|mov)[ _\-]?\d{3,}", on_name=True),
     Detector("version-name", "i", r"\b(?:v\d+(?:\.\d+)*|final|draft|rev\d+|copy|\(\d+\))\b", on_name=True),
 )
+#: What each detector found, as it is said in a verdict's reasoning.
+NOTES = {
+    "money": "currency figures appear in the text",
+    "invoice-number": "an invoice reference field",
+    "amount-due": "a payable total",
+    "tax-id": "a tax registration number",
+    "iban": "something shaped like an IBAN",
+    "accounting-period": "a fiscal quarter or year",
+    "log-line": "lines that start with a timestamp",
+    "severity-level": "uppercase severity keywords",
+    "stack-trace": "a stack trace",
+    "source-code": "declarations in a programming language",
+    "sql": "SQL statements",
+    "url": "web links",
+    "email-address": "email addresses",
+    "phone-number": "telephone numbers",
+    "ip-address": "IP addresses",
+    "signature-block": "a closing signature",
+    "salutation": "an opening salutation",
+    "action-items": "tracked actions",
+    "attendees": "an attendee list",
+    "legalese": "contractual boilerplate",
+    "clause-numbering": "hierarchically numbered clauses",
+    "citation": "academic citations",
+    "table-row": "rows of tabular data",
+    "blank-field": "blanks waiting to be filled in",
+    "percentage": "percentage figures",
+    "credentials": "text shaped like a credential -- worth reviewing",
+    "national-id": "something shaped like a national insurance or social security number",
+    "date-of-birth": "a date of birth field",
+    "medical-terms": "clinical vocabulary",
+    "screenshot-name": "the filename says screenshot",
+    "sequence-name": "a camera's own filename",
+    "version-name": "a version or draft marker in the filename",
+}
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 MONTHS = "january february march april may june july august september october november december".split()
 
@@ -79,17 +116,80 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Alternatives up to which a set of characters counts as literals.
+FEW = 8
+
+
+def _needs(parsed) -> frozenset[tuple[str, bool]]:
+    """Of a parsed pattern: alternatives (literal, digit), of which every match holds one: the literal, and a digit if so said."""
+    best, digit, run = frozenset({("", False)}), False, ""
+
+    def worth(found):
+        # the alternative that says least counts, then how many there are
+        return min(len(x) + 0.5 * d for x, d in found), -len(found)
+
+    def offer(found):
+        nonlocal best
+        best = max(best, frozenset(found), key=worth)
+
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            run += chr(arg)
+            offer({(run, False)})
+            continue
+        if kind == "MAX_REPEAT" and arg[0] and [str(o) for o, _ in arg[2]] == ["LITERAL"]:
+            offer({(run + chr(arg[2][0][1]) * arg[0], False)})
+        run = ""
+        if kind == "IN":
+            if all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= FEW:
+                offer({(chr(a), False) for _, a in arg})
+            digit = digit or [(str(o), str(a)) for o, a in arg] == [("CATEGORY", "CATEGORY_DIGIT")]
+        elif kind == "SUBPATTERN" or (kind in ("MAX_REPEAT", "MIN_REPEAT") and arg[0]):
+            found = _needs(arg[-1])
+            digit = digit or all(d for _, d in found)
+            offer(found)
+        elif kind == "BRANCH":
+            each = frozenset().union(*map(_needs, arg[1]))
+            digit = digit or all(d for _, d in each)
+            offer(each)
+    return frozenset((x, d or digit) for x, d in best)
+
+
+@cache
+def needs(d: Detector) -> tuple[tuple[str, bool], ...]:
+    """What a text needs before a detector is run on it: any of these alternatives."""
+    flags = re.IGNORECASE * ("i" in d.flags)
+    return tuple(sorted({(x.lower() if flags else x, digit) for x, digit in _needs(re._parser.parse(d.regex, flags))}))
+
+
 def hits(text: Column, name: Column, scan: int | None = None, detectors: Sequence[Detector] = DETECTORS) -> Column:
-    """Array of (name, n, sample) of the detectors that fire, in order; samples are only cut for those."""
-    body, low = scanned(text, scan), F.lower(F.coalesce(name, F.lit("")))
-    out = []
-    for d in detectors:
-        p = java(d.regex, d.flags)
-        n = F.regexp_count(low if d.on_name else body, F.lit(p)).cast("long")
-        out.append(F.struct(F.lit(d.name).alias("name"), n.alias("n"), F.lit(p).alias("p"), F.lit(d.least).alias("least"), F.lit(d.on_name).alias("on_name")))
-    kept = F.filter(F.array(*out), lambda h: h["n"] >= h["least"])
-    cut = lambda h: F.substring(F.trim(F.regexp_substr(F.when(h["on_name"], low).otherwise(body), h["p"])), 1, SAMPLE)
-    return F.transform(kept, lambda h: F.struct(h["name"].alias("name"), h["n"].alias("n"), cut(h).alias("sample")))
+    """Array of (name, n, sample) of the detectors that fire, in order; samples are only cut for those.
+
+    A pattern only runs on texts that hold one of the literals, and a digit if any, that its every match has.
+    """
+    low = F.lower(F.coalesce(name, F.lit("")))
+    body = scanned(text, scan)
+    # letters that match i and s in any case, beside those that lower() maps to them
+    plain = F.replace(F.replace(F.lower(F.replace(body, F.lit("\u0130"), F.lit("i"))), F.lit("\u0131"), F.lit("i")), F.lit("\u017f"), F.lit("s"))
+
+    def count(d: Detector, v: Column) -> Column:
+        p = F.lit(java(d.regex, d.flags))
+        if d.on_name:
+            return F.regexp_count(low, p)
+        may = F.lit(False)
+        for x, digit in needs(d):
+            held = F.contains(v["plain"] if "i" in d.flags else v["body"], F.lit(x)) if x else F.lit(True)
+            may = may | (v["digit"] & held if digit else held)
+        return F.when(may, F.regexp_count(v["body"], p)).otherwise(0)
+
+    def found(v: Column) -> Column:
+        out = [F.struct(F.lit(d.name).alias("name"), count(d, v).cast("long").alias("n"), F.lit(java(d.regex, d.flags)).alias("p"), F.lit(d.least).alias("least"), F.lit(d.on_name).alias("on_name")) for d in detectors]
+        kept = F.filter(F.array(*out), lambda h: h["n"] >= h["least"])
+        cut = lambda h: F.substring(F.trim(F.regexp_substr(F.when(h["on_name"], low).otherwise(v["body"]), h["p"])), 1, SAMPLE)
+        return F.transform(kept, lambda h: F.struct(h["name"].alias("name"), h["n"].alias("n"), cut(h).alias("sample")))
+
+    return let(F.struct(body.alias("body"), plain.alias("plain"), body.rlike(r"\p{Nd}").alias("digit")), found)
 
 
 def money_amounts(rows: DataFrame, key: str, text: str) -> DataFrame:

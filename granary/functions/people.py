@@ -10,15 +10,15 @@ from granary.functions.patterns import java, let, scanned
 #: Company endings, authorship phrases, closings, and words that are no names.
 COMPANY = "Inc|Incorporated|LLC|LLP|Ltd|Limited|GmbH|PLC|Corp|Corporation|Company|Holdings|Partners|Group|University|Institute|Foundation|Bank|Trust"
 COMPANY_MORE = "associates|solutions|services|technologies|systems"
-BYLINE = "author|authored by|prepared by|written by|submitted by|created by|reported by|presented by"
-CLOSING = "sincerely|yours faithfully|yours sincerely|best regards|kind regards|regards|many thanks|thanks"
 NO_NAME = """the this that these those page total subject date from to cc bcc re fwd dear sincerely regards thanks note please invoice receipt report summary
 confidential draft final copyright all rights reserved company customer client project chapter section appendix figure table""".split()
 #: Programs and placeholders that stand in author fields.
 SOFTWARE = r"microsoft|adobe|acrobat|word|excel|powerpoint|libreoffice|openoffice|google|docs|pages|keynote|latex|pdflatex|tex|ghostscript|quartz|pdfium|skia|chrome|canva|figma|scanner|scansnap|epson|canon|hp\b|printer|distiller|writer|producer|unknown|admin|user|owner|none|python|reportlab|openpyxl|xlsxwriter|pandoc|wkhtmltopdf|weasyprint|imagemagick|ffmpeg|pillow|jasper|itext|fpdf|tcpdf|prince|chromium"
 PLACEHOLDER = r"^\(.*\)$|^(?:anonymous|unspecified|untitled|not set|n/?a|null|nil|tbd|default|test|sample|example|author|creator|me|self)$"
 
-_NAME = r"([A-Z][\w.'\-]+(?:[ \t]+[A-Z][\w.'\-]+){0,2})"
+#: A name after a closing, and a name after a phrase of authorship.
+SIGNATURE = r"(?:sincerely|yours faithfully|yours sincerely|best regards|kind regards|regards|many thanks|thanks)\s*,?\s*\n+\s*([A-Z][\w.'\-]+(?:[ \t]+[A-Z][\w.'\-]+){0,2})"
+BYLINE = r"(?:\b(?:author|authored by|prepared by|written by|submitted by|created by|reported by|presented by)|(?:^|\n)\s*from)\s*[:\-]?\s*([A-Z][\w.'\-]+(?:[ \t]+[A-Z][\w.'\-]+){0,2})"
 
 
 def _clean(name: Column) -> Column:
@@ -37,26 +37,27 @@ def _found(text: Column, regex: str, source: str, flags: str = "i") -> Column:
     return F.transform(F.filter(F.transform(names, _clean), plausible), lambda n: F.struct(n.alias("name"), F.lit(source).alias("source")))
 
 
-def people(text: Column) -> Column:
-    """Array of (name, source), best evidence first, each name once: closings, bylines, then addresses."""
-    sign = _found(text, rf"(?:{CLOSING})\s*,?\s*\n+\s*{_NAME}", "signature")
-    by = _found(text, rf"(?:\b(?:{BYLINE})|(?:^|\n)\s*from)\s*[:\-]?\s*{_NAME}", "byline")
+def people(text: Column, most: int | None = None) -> Column:
+    """Array of (name, source), best evidence first, each name once: closings, bylines, then addresses; all, or the first ``most``."""
+    sign = _found(text, SIGNATURE, "signature")
+    by = _found(text, BYLINE, "byline")
     local = F.regexp_extract_all(scanned(text), F.lit(java(r"\b([\w.+\-]+)@([\w\-]+)\.[\w.\-]{2,}\b")), F.lit(1))
     named = F.transform(F.filter(local, lambda x: x.rlike("[._]")), lambda x: _clean(F.initcap(F.regexp_replace(x, "[._]+", " "))))
     mail = F.transform(F.filter(named, plausible), lambda n: F.struct(n.alias("name"), F.lit("email").alias("source")))
     none = F.array().cast("array<struct<name:string,source:string>>")
     once = F.aggregate(F.concat(sign, by, mail), none, lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(k["name"]) == F.lower(x["name"])), kept).otherwise(F.array_append(kept, x)))
-    return F.slice(once, 1, 12)
+    return once if most is None else F.slice(once, 1, most)
 
 
-def organisations(text: Column) -> Column:
-    """Company names, the most frequent first (ties by first appearance), at most 12."""
+def organisations(text: Column, most: int | None = None) -> Column:
+    """Company names, the most frequent first (ties by first appearance): all of them, or the first ``most``."""
     p = rf"\b[A-Z][\w&.'\-]*(?:[ ][A-Z][\w&.'\-]*){{0,3}}[ ](?:{COMPANY})\b"
     found = F.filter(F.regexp_extract_all(scanned(text), F.lit(java(p)), F.lit(0)), lambda n: F.length(n) <= 60)
 
     def rank(f: Column) -> Column:
         each = F.transform(F.array_distinct(f), lambda n, i: F.struct((-F.size(F.filter(f, lambda x: x == n))).alias("n"), i.alias("i"), n.alias("name")))
-        return F.slice(F.transform(F.array_sort(each), lambda x: x["name"]), 1, 12)
+        names = F.transform(F.array_sort(each), lambda x: x["name"])
+        return names if most is None else F.slice(names, 1, most)
 
     return let(found, rank)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import classify, text
 from granary.operators import reconcile
+from granary.session import materialize
 from granary.sources import media, readers
 
 
@@ -28,13 +29,11 @@ class Extractor:
 
 
 def _needs(*columns: str):
-    """A run that finds nothing where the contents come without the columns it reads."""
+    """Note the columns that a run reads; where the contents come without them it is skipped and stays pending."""
 
     def wrap(run):
-        def checked(df: DataFrame) -> DataFrame:
-            return run(df) if set(columns) <= set(df.columns) else df.select("asset_id").filter("false")
-
-        return checked
+        run.needs = frozenset(columns)
+        return run
 
     return wrap
 
@@ -125,13 +124,12 @@ def run_all(assets: DataFrame, ledger: DataFrame, extractors: list[Extractor], *
             continue
         mine = assets.join(todo.filter(F.col("extractor") == e.name).select("asset_id"), "asset_id", "left_semi")
         entry = lambda status, e=e: [F.lit(e.name).alias("extractor"), F.lit(e.version).alias("version"), status.alias("status")]
-        if e.run is None:
+        if e.run is None or not getattr(e.run, "needs", frozenset()) <= set(assets.columns):
             entries.append(mine.select("asset_id", *entry(F.lit("skipped"))))
             continue
         if e.tier == "ml" and budget is not None:
             mine = mine.orderBy("asset_id").limit(budget)
-        got = e.run(mine)
-        rows[e.name] = got
+        got = rows[e.name] = materialize(e.run(mine), f"rows-{e.name.replace('.', '-')}")  # read by the caller and for the ledger
         error = F.max(F.col("error")) if "error" in got.columns else F.max(F.lit(None).cast("string"))
         done = got.groupBy("asset_id").agg(error.alias("_error")).withColumn("_done", F.lit(True))
         status = F.when(F.col("_error").isNotNull(), "error").when(F.col("_done"), "ok").otherwise("unsupported")

@@ -138,14 +138,19 @@ BLOCK = 2000
 def _pairs_of_tags(v: DataFrame, least: float) -> DataFrame:
     """Vectors (cls, tags, norm) under each pair of their tags (h1, h2), rarest first, that may be the two rarest of a likely pair.
 
-    The rarest shared tag of two vectors with cosine ``least`` is one from which on the rest of
-    the vector has at least ``least`` of its norm, for the other vector cannot add more than its own norm.
+    If two tags are the two rarest that a vector shares, the shared weight is at most theirs
+    and that of all tags after them (``most``). As it is no more than that for the other vector either, nor
+    than the other's whole norm, the cosine can only reach ``least`` if ``most`` is at least ``least``
+    squared of the vector's own squared norm: keys beyond that prefix of the vector are not posted.
     """
     n = F.size("tags")
-    rest = lambda i: F.aggregate(F.slice("tags", i + 1, n), F.lit(0.0), lambda s, t: s + t["idf"] * t["idf"])
-    first = F.filter(F.sequence(F.lit(0), n - 2), lambda i: rest(i) >= F.lit(least * least * (1 - 1e-9)) * F.col("norm") * F.col("norm"))
-    keys = F.flatten(F.transform(first, lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(F.get("tags", i)["h"].alias("h1"), F.get("tags", j)["h"].alias("h2")))))
-    return v.filter(n >= 2).withColumn("key", F.explode(keys)).select("key.h1", "key.h2", "cls", "tags", "norm")
+    square = lambda t: t["idf"] * t["idf"]
+    v = v.withColumn("rest", F.transform("tags", lambda _, i: F.aggregate(F.slice("tags", i + 1, n), F.lit(0.0), lambda s, t: s + square(t))))
+    tag = lambda i: F.get("tags", i)
+    key = lambda i, j: F.struct(tag(i)["h"].alias("h1"), tag(j)["h"].alias("h2"), (square(tag(i)) + F.get("rest", j)).alias("most"))
+    keys = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: key(i, j))))
+    likely = F.filter(keys, lambda x: x["most"] >= F.lit(least * least * (1 - 1e-9)) * F.col("norm") * F.col("norm"))
+    return v.filter(n >= 2).withColumn("key", F.explode(likely)).select("key.h1", "key.h2", "key.most", "cls", F.col("tags.h").alias("hs"), F.transform("tags", square).alias("ws"), "norm")
 
 
 def nearest(asset_tag: DataFrame, *, cap: float = DF_CAP, shared: int = MIN_SHARED, least: float = MIN_COSINE, k: int = NEIGHBOURS) -> DataFrame:
@@ -154,7 +159,8 @@ def nearest(asset_tag: DataFrame, *, cap: float = DF_CAP, shared: int = MIN_SHAR
     Frequent tags are dropped. Contents with the same tags are one vector, of which only the
     k + 1 least ids can be anyone's neighbour, so the join is between different vectors. As
     neighbours share two tags, vectors are joined on pairs of tags, and a pair of vectors is only formed
-    under its two rarest shared tags: once, and never by one frequent tag. Long lists are
+    under its two rarest shared tags: once, and never by one frequent tag. Only the prefix of a vector that can still
+    reach ``least`` is posted, and a pair whose bounds cannot is dropped before its tags are compared. Long lists are
     compared block by block. ``shared`` is at least 2.
     """
     if shared < 2:
@@ -175,16 +181,23 @@ def nearest(asset_tag: DataFrame, *, cap: float = DF_CAP, shared: int = MIN_SHAR
     nb = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cls"), nb).cast("int")
     ij = F.explode(F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.struct(F.least(mine, x).alias("i"), F.greatest(mine, x).alias("j"))))
-    dealt = keyed.withColumn("ij", ij).select("h1", "h2", "ij.i", "ij.j", "cls", "tags", "norm", mine.alias("blk"))
-    other = dealt.select("h1", "h2", "i", "j", F.col("cls").alias("cls2"), F.col("tags").alias("tags2"), F.col("norm").alias("norm2"), F.col("blk").alias("blk2"))
-    met = dealt.join(other, ["h1", "h2", "i", "j"]).filter("cls < cls2").filter("blk <> blk2 OR i = j")
-    met = met.withColumn("both", F.array_intersect("tags.h", "tags2.h"))  # rarest first, as both arrays are
+    dealt = keyed.withColumn("ij", ij).select("h1", "h2", "ij.i", "ij.j", "most", "cls", "hs", "ws", "norm", mine.alias("blk"))
+    other = dealt.select("h1", "h2", "i", "j", *[F.col(x).alias(f"{x}2") for x in ("most", "cls", "hs", "norm", "blk")])
+    reach = F.least("most", "most2") >= F.lit(least * (1 - 1e-9)) * F.col("norm") * F.col("norm2")  # what both still share can be enough
+    met = dealt.join(other, ["h1", "h2", "i", "j"]).filter("cls < cls2").filter("blk <> blk2 OR i = j").filter(reach)
+    # generated, so that the shared tags (rarest first, as both arrays are) are computed once for each pair
+    met = met.withColumn("both", F.explode(F.array(F.array_intersect("hs", "hs2"))))
     met = met.filter((F.get("both", F.lit(0)) == F.col("h1")) & (F.get("both", F.lit(1)) == F.col("h2")) & (F.size("both") >= shared))
-    sim = F.aggregate(F.filter("tags", lambda x: F.array_contains("both", x["h"])), F.lit(0.0), lambda s, x: s + x["idf"] * x["idf"]) / (F.col("norm") * F.col("norm2"))
-    met = materialize(met.select("cls", "cls2", sim.alias("sim"), F.size("both").cast("long").alias("shared")).filter(F.col("sim") >= least), "knn-pairs")
+    dot = F.aggregate(F.zip_with("hs", "ws", lambda h, x: F.when(F.array_contains("both", h), x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    met = met.select("cls", "cls2", (dot / (F.col("norm") * F.col("norm2"))).alias("sim"), F.size("both").cast("long").alias("shared"))
+    met = materialize(met.filter(F.col("sim") >= least), "knn-pairs")
     ends = met.select("cls", F.col("cls2").alias("of"), "sim", "shared").unionByName(met.select(F.col("cls2").alias("cls"), F.col("cls").alias("of"), "sim", "shared"))
     n = F.size("tags").cast("long")
     own = v.filter(n >= shared).select("cls", F.lit(1.0).alias("sim"), n.alias("shared"), F.explode("ids").alias("other"))
+    # the nearest k + 1 contents are among those of the k + 1 nearest classes, of equally near ones those with the least ids
+    ends = ends.join(v.select(F.col("cls").alias("of"), F.get("ids", F.lit(0)).alias("first")), "of")
+    nearer = Window.partitionBy("cls").orderBy(F.desc(F.round("sim", 9)), "first")
+    ends = ends.withColumn("place", F.row_number().over(nearer)).filter(F.col("place") <= k + 1)
     near = ends.join(v.select(F.col("cls").alias("of"), "ids"), "of").select("cls", "sim", "shared", F.explode("ids").alias("other")).unionByName(own)
     order = Window.partitionBy("cls").orderBy(F.desc(F.round("sim", 9)), "other")
     near = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)

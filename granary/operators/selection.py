@@ -89,11 +89,13 @@ def tagged(c: Catalog, names: Iterable[str], kind: str | None = None) -> DataFra
 def matching(c: Catalog, files: DataFrame, q: str) -> DataFrame:
     """Files whose name or a tag contains ``q``, or whose text holds all its terms: three indexes, one OR.
 
-    Each index gives a set of ids that is semi-joined, so no file is counted twice.
+    Each index gives a set of ids that is semi-joined, so no file is counted twice. Texts are read only
+    in a catalogue without a stored text index.
     """
     like = F.contains(F.lower("name"), F.lit(q.lower()))
     by_tag = c.asset_tag.filter(like).select("asset_id")
-    by_text = c.text_block.filter(has_all_terms(F.col("body"), terms(q))).select("asset_id")
+    index = getattr(c, "text_index", None)
+    by_text = index.holding(terms(q)).select(F.col("key").alias("asset_id")) if index else c.text_block.filter(has_all_terms(F.col("body"), terms(q))).select("asset_id")
     content = by_tag.union(by_text).distinct().withColumn("_hit", F.lit(True))
     return files.join(content, "asset_id", "left").filter(like | F.col("_hit")).drop("_hit")
 

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import materialize, table
+from granary.operators.text_index import TextIndex
+from granary.session import materialize, scratch, table
 
 #: Schemas of the stored tables, declared and never inferred.
 SCHEMAS = {
@@ -48,6 +49,8 @@ class Catalog:
     asset_tag: DataFrame
     text_block: DataFrame
     color: DataFrame
+    #: The stored index over ``text_block``, if there is one; searches without it scan the texts.
+    text_index: TextIndex | None = None
 
     @property
     def indexed(self) -> DataFrame:
@@ -121,7 +124,7 @@ class Projected(Catalog):
     every branch of every plan. Input tables are taken as fixed while the session lasts.
     """
 
-    _written: dict[tuple[str, str, str], DataFrame] = {}
+    _written: dict[tuple[str, str, str], DataFrame | TextIndex] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -188,6 +191,15 @@ class Projected(Catalog):
 
         return self._once("text_block", make)
 
+    @property
+    def text_index(self) -> TextIndex:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "text_index")
+        if key not in self._written:
+            index = TextIndex(self.spark, scratch(self.spark, "catalog-text-index"))
+            index.add(self.text_block)
+            self._written[key] = index
+        return self._written[key]
+
     @property
     def color(self) -> DataFrame:
         def make():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import classify, identity
 from granary.functions import text as tx
-from granary.operators import digest, extractors, facets, graph, reconcile, tenancy
+from granary.operators import digest, extractors, facets, graph, reconcile, tenancy, text_index
 from granary.operators import selection as sel
 from granary.operators.selection import ColourRule, Scope
 from granary.plans import catalog as cat
@@ -138,7 +138,34 @@ def text_without_models(c):
 
 @query(f"SELECT asset_id, CAST(len(list_filter({TOKENS}, lambda x: starts_with(x, 'the'))) AS BIGINT) AS n FROM text_block WHERE len(list_filter({TOKENS}, lambda x: starts_with(x, 'the'))) > 0")
 def prefix_hits(c):
-    return tx.prefix_search(c.text_block, "Thé")
+    """From the stored index: only the terms with the prefix are read."""
+    return c.text_index.prefix("Thé").select(F.col("key").alias("asset_id"), "n")
+
+
+WORDS_AT = r"list_transform(list_filter(list_transform(regexp_split_to_array(trim(body, ' '), '[ \t\n\v\f\r]+'), lambda w, i: {{'i': i, 'hit': len(list_intersect(regexp_extract_all(strip_accents(lower(w)), '[\p{{L}}\p{{N}}]+'), ['{}', '{}'])) > 0}}), lambda x: x.hit), lambda x: x.i)".format
+SNIPPET = f"""WITH t AS (SELECT asset_id, body, {TOKENS} AS t FROM text_block), h AS (SELECT asset_id, regexp_split_to_array(trim(body, ' '), '[ \t\n\v\f\r]+') AS w, {WORDS_AT('then', 'and')} AS hit FROM t WHERE list_contains(t, 'then') AND list_contains(t, 'and'))
+ SELECT asset_id, array_to_string(list_transform(range(greatest(hit[1] - 6, 1), least(greatest(hit[1] - 6, 1) + 12, len(w) + 1)), lambda i: CASE WHEN list_contains(hit, i) THEN '[' || w[i] || ']' ELSE w[i] END), ' ') AS snippet FROM h"""
+
+
+@query(", " + SNIPPET.removeprefix("WITH "))
+def search_snippets(c):
+    """Twelve words around the first word found, by the positions that the index holds; found words in brackets."""
+    return text_index.snippets(c.text_index.bm25(["then", "and"]), c.text_block).select(F.col("key").alias("asset_id"), "snippet")
+
+
+@query(f"""SELECT asset_id, word AS term, CAST(count(*) AS BIGINT) AS tf, len FROM (SELECT asset_id, unnest({TOKENS}) AS word, CAST(len({TOKENS}) AS BIGINT) AS len FROM
+  (SELECT asset_id, CASE WHEN asset_id < '2' THEN replace(body, 'e', 'i') || ' twice twice' ELSE body END AS body FROM text_block WHERE asset_id NOT LIKE 'f%' OR asset_id LIKE 'fe%')) GROUP BY ALL""")
+def text_index_segments(c):
+    """The index loaded in two segments, some contents deleted, some of them added again, some texts replaced, then merged."""
+    index = text_index.TextIndex(c.spark, scratch(c.spark, "text-index"))
+    at = F.col("asset_id")
+    index.add(c.text_block.filter(at < "8"))
+    index.add(c.text_block.filter(at >= "8"))
+    index.delete(c.text_block.filter(at.startswith("f")).select("asset_id"))
+    index.add(c.text_block.filter(at.startswith("fe")))
+    index.add(c.text_block.filter(at < "2").withColumn("body", F.concat(F.replace("body", F.lit("e"), F.lit("i")), F.lit(" twice twice"))))
+    index.merge()
+    return index.postings().select(F.col("key").alias("asset_id"), "term", "tf", "len")
 
 
 @query(f"""SELECT file_id, score FROM indexed JOIN (SELECT asset_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 4) AS score FROM (
@@ -146,7 +173,8 @@ def prefix_hits(c):
   (SELECT count(*) AS n, avg(len({TOKENS})) AS mean FROM text_block) s) GROUP BY asset_id HAVING count(*) = 2) USING (asset_id)""")
 def search_files(c):
     """The indexed files whose text holds all words of a search, with the score of their content."""
-    return tx.search_files(c.indexed, c.text_block, ["the", "en"]).select("file_id", F.round("score", 4).alias("score"))
+    found = c.text_index.bm25(["the", "en"]).select(F.col("key").alias("asset_id"), "score")
+    return c.indexed.join(found, "asset_id").select("file_id", F.round("score", 4).alias("score"))
 
 
 # --- digests and gaps

@@ -202,6 +202,15 @@ def inverted_index(c):
   SELECT h.*, count(*) OVER (PARTITION BY term) AS df, s.n, s.mean FROM (SELECT asset_id, len, term, count(*) AS tf FROM (SELECT asset_id, len({TOKENS}) AS len, unnest({TOKENS}) AS term FROM text_block) WHERE term IN ('then', 'other', 'and') GROUP BY ALL) h,
   (SELECT count(*) AS n, avg(len({TOKENS})) AS mean FROM text_block) s) GROUP BY asset_id HAVING count(*) = 2""".replace("'then', 'other', 'and'", "'then', 'and'"))
 def bm25_search(c):
+    """From the stored index: no text is read."""
+    return c.text_index.bm25(["then", "and"]).select(F.col("key").alias("asset_id"), F.round("score", 4).alias("score"))
+
+
+@query(f"""SELECT asset_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 4) AS score FROM (
+  SELECT h.*, count(*) OVER (PARTITION BY term) AS df, s.n, s.mean FROM (SELECT asset_id, len, term, count(*) AS tf FROM (SELECT asset_id, len({TOKENS}) AS len, unnest({TOKENS}) AS term FROM text_block) WHERE term IN ('then', 'and') GROUP BY ALL) h,
+  (SELECT count(*) AS n, avg(len({TOKENS})) AS mean FROM text_block) s) GROUP BY asset_id HAVING count(*) = 2""")
+def bm25_scan(c):
+    """The same without an index: one scan of the texts."""
     return tx.bm25(c.text_block, ["then", "and"]).select("asset_id", F.round("score", 4).alias("score"))
 
 
@@ -291,14 +300,17 @@ _q = lambda x: "'" + str(x).replace("'", "''") + "'"
 _values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(_q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
 
-@query(rf"""WITH d AS (SELECT doc_id AS file_id, lower(text || ' ' || [{', '.join(map(_q, SAID))}][1 + doc_id % 4]) AS low, 'doc_' || doc_id || '.txt' AS name FROM documents),
+LEXICON_SQL = rf"""WITH d AS (SELECT doc_id AS file_id, lower(text || ' ' || [@SAID@][1 + doc_id % @N@]) AS low, 'doc_' || doc_id || '.txt' AS name FROM documents),
  w AS (SELECT file_id, regexp_extract_all(low, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]+') AS t FROM d),
  g AS (SELECT file_id, unnest(flatten([list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' ')) for n in range(1, 6)])) AS term FROM w),
  h AS (SELECT file_id, term, count(*) AS n FROM g WHERE term IN ({', '.join(map(_q, _TERMS))}) GROUP BY ALL),
  s AS (SELECT file_id, axis, category, weight * least(n, {classify.TERM_CAP}) AS score FROM h JOIN {_values(_LEX)} v(axis, category, term, weight) USING (term)
    UNION ALL SELECT file_id, axis, category, {classify.CUE} FROM d JOIN {_values(_CUES)} v(axis, category, term) ON contains(name, term)
    UNION ALL SELECT file_id, axis, category, {classify.EXT} FROM d JOIN {_values(_EXTS)} v(axis, category, term) ON term = 'txt')
- SELECT file_id, axis, category, CAST(sum(score) AS DOUBLE) AS score FROM s GROUP BY ALL""", catalogue=False)
+ SELECT file_id, axis, category, CAST(sum(score) AS DOUBLE) AS score FROM s GROUP BY ALL"""
+
+
+@query(LEXICON_SQL.replace("@SAID@", ", ".join(map(_q, SAID))).replace("@N@", "4"), catalogue=False)
 def lexicon_scores(spark, sf_dir):
     """Vocabulary hits over whole documents, to each of which a sentence of the vocabulary's kind is added."""
     e = _evidence(spark, sf_dir)
@@ -306,6 +318,54 @@ def lexicon_scores(spark, sf_dir):
     return classify.lexicon_scores(e.withColumn("text", F.concat_ws(" ", "text", said)), classify.lexicon(spark)).drop("place")
 
 
+#: A sentence of the strong terms of every category, so that each has its documents.
+SAID_ALL = [", ".join(t for t in v[0] if t.replace(" ", "").isalnum()) + ". " + "; ".join(v[1][:3]) for cats in classify.VOCABULARY.values() for v in cats.values()]
+
+
+@query(LEXICON_SQL.replace("@SAID@", ", ".join(map(_q, SAID_ALL))).replace("@N@", str(len(SAID_ALL))), catalogue=False)
+def lexicon_categories(spark, sf_dir):
+    """Vocabulary hits where each document also says a sentence of one of all categories in turn."""
+    e = _evidence(spark, sf_dir)
+    said = F.get(F.array(*[F.lit(x) for x in SAID_ALL]), (F.col("file_id") % len(SAID_ALL)).cast("int"))
+    return classify.lexicon_scores(e.withColumn("text", F.concat_ws(" ", "text", said)), classify.lexicon(spark)).drop("place")
+
+
+FOUND = """f AS (SELECT c_custkey AS k, ['invoice', 'log', NULL][1 + c_custkey % 3] AS doctype, (c_custkey % 50) * 1.5 AS ds, ['finance', NULL, 'hr', 'legal'][1 + c_custkey % 4] AS topic, (c_custkey % 37) * 2.5 AS ts,
+  CASE WHEN c_custkey % 5 > 0 THEN 'P' || (c_custkey % 12) END AS author, ['metadata', 'id3', 'signature', 'byline', 'filename', 'email', 'elsewhere'][1 + c_custkey % 7] AS source, c_custkey % 4 AS n1, c_custkey % 3 AS n2 FROM customer)"""
+
+
+@query(f"""WITH {FOUND} SELECT k, kind, name, confidence::DOUBLE AS confidence FROM (
+  SELECT k, 'doctype' AS kind, doctype AS name, round(least(1.0, 0.4 + ds / 60), 3) AS confidence FROM f UNION ALL SELECT k, 'topic', topic, round(least(1.0, 0.4 + ts / 60), 3) FROM f
+  UNION ALL SELECT k, 'author', author, CASE source WHEN 'metadata' THEN 0.95 WHEN 'id3' THEN 0.95 WHEN 'signature' THEN 0.8 WHEN 'byline' THEN 0.8 WHEN 'filename' THEN 0.6 ELSE 0.5 END FROM f
+  UNION ALL SELECT k, 'topic', unnest(['a', 'b', 'c']), 0.4 FROM f UNION ALL SELECT k, 'date', unnest(['2015', '2016', '2017', '2018', '2019', '2020']), 0.9 FROM f UNION ALL SELECT k, 'pattern', unnest(['money', 'url']), 1.0 FROM f
+  UNION ALL SELECT k, 'entity', 'Org' || unnest(range(8)), 0.7 FROM f UNION ALL SELECT k, 'entity', p, 0.6 FROM (SELECT k, author, 'P' || unnest(range(8)) AS p FROM f) WHERE p IS DISTINCT FROM author) WHERE name IS NOT NULL""", catalogue=False)
+def finding_tags(spark, sf_dir):
+    """The tags of verdicts with their confidences: people are entities, but not the author; further topics, years and names have their limits."""
+    f = _findings(spark, sf_dir)
+    each = lambda prefix, n: F.array(*[F.lit(f"{prefix}{i}") for i in range(n)])
+    return classify.findings_to_tags(f.withColumns({"topic_others": F.array(*map(F.lit, "abcd")), "years": F.sequence(F.lit(2015), F.lit(2022)), "patterns": F.array(F.lit("money"), F.lit("url")), "entities": each("Org", 10), "people": each("P", 9)}), key="k")
+
+
+def _findings(spark, sf_dir):
+    """Verdicts read off the customers."""
+    k = F.col("c_custkey")
+    of = lambda *names: F.get(F.array(*[F.lit(x) for x in names]), (k % len(names)).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("k"), of("invoice", "log", None).alias("doctype"), ((k % 50) * 1.5).alias("doctype_score"), of("finance", None, "hr", "legal").alias("topic"), ((k % 37) * 2.5).alias("topic_score"), F.when(k % 5 > 0, F.concat(F.lit("P"), k % 12)).alias("author"),
+        of("metadata", "id3", "signature", "byline", "filename", "email", "elsewhere").alias("author_source"), F.array(F.struct(F.lit("url").alias("name"), (k % 4).alias("n")), F.struct(F.lit("nothing").alias("name"), F.lit(9).cast("long").alias("n")), F.struct(F.lit("money").alias("name"), (k % 3).alias("n"))).alias("hits"),
+    )
+
+
+@query(f"""WITH {FOUND}, g AS (SELECT *, CASE doctype WHEN 'invoice' THEN 'Invoice' WHEN 'log' THEN 'Log' END AS a, CASE topic WHEN 'finance' THEN 'finance' WHEN 'hr' THEN 'people & hr' WHEN 'legal' THEN 'legal' END AS b,
+  list_filter([CASE WHEN n1 >= n2 AND n1 > 0 THEN 'web links' END, CASE WHEN n2 > 0 THEN 'currency figures appear in the text' END, CASE WHEN n1 < n2 AND n1 > 0 THEN 'web links' END, CASE WHEN author IS NOT NULL THEN 'author from ' || source END], lambda x: x IS NOT NULL) AS why FROM f)
+  SELECT k, coalesce(a || ' (' || b || ')', a, b, 'no confident classification') || ' -- ' || CASE WHEN len(why) > 0 THEN array_to_string(why, '; ') ELSE 'txt with no distinctive content' END AS reasoning FROM g""", catalogue=False)
+def verdict_reasons(spark, sf_dir):
+    """The line that says why: both labels, what the most frequent patterns found, and where the author is from."""
+    hits = F.filter("hits", lambda h: h["n"] > 0)
+    source = F.when(F.col("author").isNotNull(), F.col("author_source"))
+    return _findings(spark, sf_dir).select("k", classify.reasoning(F.col("doctype"), F.col("topic"), hits, source, F.lit("txt")).alias("reasoning"))
+
+
 @query(catalogue=False)
 def inspect_documents(spark, sf_dir):
     """Verdicts over whole documents; the office texts of the tests pin the values."""

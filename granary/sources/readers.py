@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import identity
 
-#: Texts above the first size are cut to so many characters of both ends.
+#: A bound in bytes that callers may set, the characters of both ends that are kept beyond it, what stands between.
 LONG_TEXT, EACH_END, GAP = 800_000, 100_000, "\n[...]\n"
 
 
@@ -53,19 +53,19 @@ def identify(spark: SparkSession, path: str) -> DataFrame:
 TEXTS = ("txt", "md", "log", "csv", "tsv")
 
 
-def plain_text(spark: SparkSession, path: str, extensions=TEXTS) -> DataFrame:
-    """(path, asset_id, body) of the text files below a folder."""
+def plain_text(spark: SparkSession, path: str, extensions=TEXTS, *, most: int | None = None) -> DataFrame:
+    """(path, asset_id, body) of the text files below a folder, whole or with both ends of those above ``most`` bytes."""
     f = _binary(spark, path).filter(identity.extension(F.col("path")).isin(list(extensions)))
-    return plain_text_of(f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "content"))
+    return plain_text_of(f.select("path", identity.content_hash(F.col("content")).alias("asset_id"), "content"), most=most)
 
 
-def plain_text_of(f: DataFrame) -> DataFrame:
-    """``f`` with the text of its ``content`` as ``body``: UTF-8, UTF-16 with a mark, else Windows-1252; very long texts keep both ends."""
+def plain_text_of(f: DataFrame, *, most: int | None = None) -> DataFrame:
+    """``f`` with the text of its ``content`` as ``body``: UTF-16 with a mark, UTF-8, else Windows-1252; whole, or both ends of those above ``most`` bytes."""
     utf8 = F.try_validate_utf8(F.decode("content", "UTF-8"))
-    bad = F.contains(F.hex("content"), F.lit("00")) & F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    marked = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(bad, F.decode("content", "UTF-16")).when(valid, utf8).otherwise(F.translate(F.decode("content", "ISO-8859-1"), *_WINDOWS))
-    cut = F.when(F.octet_length("content") > LONG_TEXT, F.concat(F.substring("text", 1, EACH_END), F.lit(GAP), F.expr(f"right(text, {EACH_END})"))).otherwise(F.col("text"))
+    text = F.when(marked, F.decode("content", "UTF-16")).when(valid, utf8).otherwise(F.translate(F.decode("content", "ISO-8859-1"), *_WINDOWS))
+    cut = F.col("text") if most is None else F.when(F.octet_length("content") > most, F.concat(F.substring("text", 1, EACH_END), F.lit(GAP), F.expr(f"right(text, {EACH_END})"))).otherwise(F.col("text"))
     return f.withColumn("text", F.regexp_replace(text, "^﻿", "")).withColumn("body", cut).drop("text", "content")
 
 

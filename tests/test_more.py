@@ -144,12 +144,14 @@ def test_workspace_views(spark):
     assert tuple(totals) == (3, 6, 1, 2, 1)
 
 
-def test_extractors_without_their_columns_find_nothing(spark):
+def test_extractors_without_their_columns_are_skipped_and_stay_pending(spark):
     assets = spark.createDataFrame([("a", "document")], "asset_id string, media_type string")
     none = spark.createDataFrame([], "asset_id string, extractor string, version int, status string")
     _, ledger = extractors.run_all(assets, none, [e for e in extractors.registry({}) if e.tier == "cheap"])
     got = {r["extractor"]: r["status"] for r in ledger.collect()}
-    assert got["doc.text"] == got["doc.docx"] == got["agent.inspect"] == "unsupported" and got["doc.pdf"] == "skipped"
+    assert got["doc.text"] == got["doc.docx"] == got["agent.inspect"] == got["doc.pdf"] == "skipped"
+    left = {r["extractor"] for r in extractors.pending(assets, ledger, extractors.registry({})).collect()}
+    assert {"doc.text", "text.keywords", "agent.inspect"} <= left
 
 
 def test_scratch_tables_are_deleted_and_small_tables_spread(spark, tmp_path):

@@ -32,7 +32,10 @@ def test_listing_and_identity(spark, tmp_path):
 def test_plain_text_encodings(spark, tmp_path):
     for n, b in (("u8", "é".encode()), ("u16", "é".encode("utf-16")), ("cp", "é€".encode("cp1252")), ("long", b"x" * 900_000)):
         (tmp_path / f"{n}.txt").write_bytes(b)
-    got = {r["path"].rsplit("/", 1)[1]: r["body"] for r in readers.plain_text(spark, str(tmp_path)).collect()}
+    (tmp_path / "han.txt").write_bytes("中文字".encode("utf-16"))
+    whole = {r["path"].rsplit("/", 1)[1]: r["body"] for r in readers.plain_text(spark, str(tmp_path)).collect()}
+    assert whole["long.txt"] == "x" * 900_000 and whole["han.txt"] == "中文字"
+    got = {r["path"].rsplit("/", 1)[1]: r["body"] for r in readers.plain_text(spark, str(tmp_path), most=readers.LONG_TEXT).collect()}
     assert got["u8.txt"] == "é" and got["u16.txt"] == "é" and got["cp.txt"] == "é€" and len(got["long.txt"]) == 200_000 + len(readers.GAP)
 
 
