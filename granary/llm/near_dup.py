@@ -181,7 +181,7 @@ def _parts(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _unsettled(df: DataFrame, key: str) -> DataFrame:
+def _unsettled(df: DataFrame, key: str, work: Scratch) -> DataFrame:
     """Rows (cls, label) of groups with several labels, dealt to (key, i, j) so that each two rows of different labels meet.
 
     Of two rows with different labels one at least is outside the most frequent label of the
@@ -190,7 +190,7 @@ def _unsettled(df: DataFrame, key: str) -> DataFrame:
     """
     each = df.groupBy(key, "label").agg(F.count("*").alias("m"))
     groups = each.groupBy(key).agg(F.sum("m").alias("c"), F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    d = df.join(groups, key)
+    d = df.join(work.keep(groups, "unsettled"), key)  # a written table: Spark splits a skewed partition only where both sides are plain shuffles
     nb, nu = (F.ceil(c / BLOCK).cast("int") for c in (F.col("c"), F.col("c") - F.col("main.m")))
     mine, own = (F.pmod(F.xxhash64("cls"), n).cast("int") for n in (nb, nu))
     seen = F.transform(F.sequence(F.lit(0), nu - 1), lambda i: F.struct(i.alias("i"), mine.alias("j")))
@@ -216,7 +216,7 @@ def families(classes: DataFrame, work: Scratch) -> DataFrame:
     up = salted_join(up, up.select(F.col("cls").alias("up"), F.col("up").alias("up2")), "up", "cls", "left")
     up = work.keep(up.select("cls", F.coalesce("up2", "up").alias("up")), "up")
     named = posts.join(lists.filter("c > 2").select("token"), "token").join(up, "cls", "left").withColumn("label", F.coalesce("up", "cls")).drop("up")
-    open_ = _unsettled(work.keep(named, "named"), "token").join(side, "cls")
+    open_ = _unsettled(work.keep(named, "named"), "token", work).join(side, "cls")
 
     def link(t: pa.Table) -> dict:
         _, at = np.unique(t["cls"].to_numpy(), return_index=True)
@@ -225,7 +225,7 @@ def families(classes: DataFrame, work: Scratch) -> DataFrame:
 
     second = map_groups(open_.select("token", "i", "j", "cls", "n", "sig", "label"), ["token", "i", "j"], link, "u long, v long", _parts(classes))
     out = components(first.unionByName(second.distinct())).toDF("cls", "fam")
-    work.drop("postings", "lists", "stars", "up", "named")
+    work.drop("postings", "lists", "stars", "up", "named", "unsettled")
     return out
 
 
@@ -296,13 +296,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, work: Scratch) -> tuple
     classes = full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "sig")], F.min(F.struct(*ROW)).alias("who"))
     classes = work.keep(classes.select("cls", "n", "sig", "who.*"), "classes")
     fam = families(classes, work)
-    sizes = fam.groupBy("fam").agg(F.count("*").alias("c")).filter("c > 1")
+    fam = work.keep(fam, "families")
+    sizes = work.keep(fam.groupBy("fam").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
     member = work.keep(fam.join(sizes, "fam").join(classes.select("cls", *ROW), "cls"), "members")
     # only the texts of members are shuffled
     texts = docs.withColumns(row_key(id_col, text_col)).select(*ROW, F.col(text_col).alias("text"))
     texts = texts.filter(possibly_in(member)(ROW[0])).dropDuplicates(list(ROW))
     member = work.keep(texts.join(member, list(ROW)).select("fam", "cls", "c", "text"), "texts")
-    work.drop("members", "classes")
+    work.drop("members", "classes", "families", "sizes")
 
     # a family of at most CHUNK classes is compared in one task; a larger one in chunks, each with the leader (the least class)
     nb = F.ceil(F.col("c") / CHUNK).cast("int")
@@ -317,7 +318,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, work: Scratch) -> tuple
     whole = first.filter("whole").select("cls", "label")
     # classes that the leader did not reach are compared with the rest of their family
     parted = first.filter("NOT whole").select("fam", "cls", "label").distinct()
-    open_ = _unsettled(parted, "fam").join(member.select("cls", "text"), "cls")
+    open_ = _unsettled(parted, "fam", work).join(member.select("cls", "text"), "cls")
 
     def rest(t: pa.Table) -> dict:
         cls, label = _confirm(t, "label")
@@ -331,7 +332,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, work: Scratch) -> tuple
         more = components(second).toDF("label", "least")
         parted = parted.join(more, "label", "left").select("cls", F.coalesce("least", "label").alias("label"))
     joined = work.keep(whole.unionByName(whole.select(F.col("label").alias("cls"), "label")).unionByName(parted).distinct(), "joined")
-    work.drop("texts", "chunks", "rest")
+    work.drop("texts", "chunks", "rest", "unsettled")
     return rows, joined
 
 
