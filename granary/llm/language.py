@@ -20,6 +20,8 @@ TEMPER = 1 / 3
 #: Weights of the broader level in the smoothing of hosts by suffixes, and of suffixes by all rows.
 HOST_PRIOR, SUFFIX_PRIOR = 10.0, 20.0
 UNKNOWN = "und"
+#: Declared languages that have a model each, and the name of the model that all others share.
+MOST_LANGUAGES, OTHER = 255, "other"
 UNKNOWN_PRIOR = 1e-3
 
 
@@ -68,9 +70,16 @@ class TextModel:
         return (TEMPER * total).tolist()
 
 
-def fit_text(rows: DataFrame, *, per_language: int = PER_LANGUAGE) -> TextModel:
+def base_language(declared: Column) -> Column:
+    """A declared value in lower case without region or script (en-US is en)."""
+    return F.regexp_replace(F.lower(F.trim(declared)), r"[-_].*$", "")
+
+
+def fit_text(rows: DataFrame, *, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> TextModel:
     """Trigram models of all declared languages of (id, text, declared), however rare.
 
+    The ``most`` most frequent ones (ties: the first by name) have a model each; all others share the model OTHER,
+    so that rows, models and what reaches the driver stay bounded whatever stands in the data.
     Of each language about ``per_language`` rows with the least hashes are used; only their
     summed counts by language and bucket reach the driver. Rows without declared language or text do
     not count. Half a count for every bucket shrinks rare languages towards the uniform model; a
@@ -79,9 +88,14 @@ def fit_text(rows: DataFrame, *, per_language: int = PER_LANGUAGE) -> TextModel:
     """
     spark = rows.sparkSession
     named = rows.filter("declared IS NOT NULL AND text IS NOT NULL AND text <> ''").filter(~F.col("declared").isin("", UNKNOWN))
-    counts = named.groupBy("declared").agg(F.count("*").alias("n")).collect()
-    names = sorted(r["declared"] for r in counts)
-    shares = spark.createDataFrame([(r["declared"], min(1.0, per_language / r["n"])) for r in counts], "declared string, share double")
+    every = named.groupBy("declared").agg(F.count("*").alias("n"))
+    counts = {r["declared"]: r["n"] for r in every.filter(F.col("declared") != OTHER).orderBy(F.desc("n"), "declared").limit(most).collect()}
+    rest = every.filter(~F.col("declared").isin(list(counts))).agg(F.sum("n")).first()[0]
+    if rest:
+        named = named.withColumn("declared", F.when(F.col("declared").isin(list(counts)), F.col("declared")).otherwise(OTHER))
+        counts[OTHER] = rest
+    names = sorted(counts)
+    shares = spark.createDataFrame([(d, min(1.0, per_language / n)) for d, n in counts.items()], "declared string, share double")
     spot = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = named.join(F.broadcast(shares), "declared").filter(spot < F.col("share")).select("declared", "text")
     at = {x: i for i, x in enumerate(names)}
@@ -148,15 +162,21 @@ def identify(
     speak for a text, because its declared language has no model or no language is declared at
     all, it is accepted as it is.
 
+    Declared values count without region (en-US is en). Those that are too rare for a model of
+    their own (see ``fit_text``) share one, as evidence too; where it wins, the language is what the row declares, or "other".
+
     One row per input row. Null or unknown declared languages, hosts and suffixes are values like
     others; of equal posteriors the first language by name wins. ``keep`` names columns to carry through.
     """
     get = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.trim(get(declared_col))).alias("declared"), F.lower(get(host_col)).alias("host"), F.lower(get(suffix_col)).alias("suffix"), *[F.col(k).alias(f"keep{i}") for i, k in enumerate(keep)])
+    slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), base_language(get(declared_col)).alias("declared"), F.lower(get(host_col)).alias("host"), F.lower(get(suffix_col)).alias("suffix"), *[F.col(k).alias(f"keep{i}") for i, k in enumerate(keep)])
     kept = [f"keep{i}" for i in range(len(keep))]
     model = model or fit_text(slim)
     names = [*model.languages, UNKNOWN]
     held = rows.sparkSession.sparkContext.broadcast(model)
+    said_as = F.col("declared")  # as evidence, the values without a model of their own are one, if there is a model of them
+    if OTHER in model.languages:
+        said_as = F.when(said_as.isin("", *names), said_as).otherwise(OTHER)
 
     def start():
         def step(cols):
@@ -170,7 +190,7 @@ def identify(
     seen = map_rows(slim, start, f"id {kind}, declared string, host string, suffix string{more}, ll array<double>, letters boolean")
     for c in ("declared", "host", "suffix"):
         seen = seen.withColumn(c, F.coalesce(c, F.lit("")))
-    seen = materialize(seen.withColumn("guess", F.when(F.col("letters"), _argmax(F.col("ll"), names))), "language-text")
+    seen = materialize(seen.withColumn("evidence", said_as).withColumn("guess", F.when(F.col("letters"), _argmax(F.col("ll"), names))), "language-text")
     # three grouped aggregations; the totals are bounded by the number of languages
     totals = {r["guess"]: float(r["count"]) for r in seen.groupBy("guess").count().collect()}
     all_ = [totals.get(n, 0.0) for n in names]
@@ -181,21 +201,22 @@ def identify(
     suffixes = _counts(seen.filter("guess IS NOT NULL"), ["suffix"], names, "n").select("suffix", smooth(F.col("n"), lit(base), SUFFIX_PRIOR).alias("by_suffix"))
     hosts = _counts(seen.filter("guess IS NOT NULL"), ["host", "suffix"], names, "n").join(suffixes, "suffix")
     hosts = materialize(hosts.select("host", "suffix", smooth(F.col("n"), F.col("by_suffix"), HOST_PRIOR).alias("prior")), "language-hosts")
-    declared = _counts(seen.filter("guess IS NOT NULL"), ["declared"], names, "n")
+    declared = _counts(seen.filter("guess IS NOT NULL"), ["evidence"], names, "n")
     # P(declared | language) by adding one to each declared value there is, so it sums to 1; no declaration says nothing
-    said = {r["guess"]: float(r["n"]) for r in seen.filter("guess IS NOT NULL AND declared <> ''").groupBy("guess").agg(F.count("*").alias("n")).collect()}
-    values = seen.filter("guess IS NOT NULL AND declared <> ''").agg(F.countDistinct("declared")).first()[0]
+    said = {r["guess"]: float(r["n"]) for r in seen.filter("guess IS NOT NULL AND evidence <> ''").groupBy("guess").agg(F.count("*").alias("n")).collect()}
+    values = seen.filter("guess IS NOT NULL AND evidence <> ''").agg(F.countDistinct("evidence")).first()[0]
     total = lit([said.get(n, 0.0) + values for n in names])
-    stated = declared.select("declared", F.when(F.col("declared") == "", lit([0.0] * len(names))).otherwise(F.zip_with("n", total, lambda n, a: F.log((n + 1) / a))).alias("stated"))
-    out = seen.join(hosts, ["host", "suffix"], "left").join(stated, "declared", "left")
+    stated = declared.select("evidence", F.when(F.col("evidence") == "", lit([0.0] * len(names))).otherwise(F.zip_with("n", total, lambda n, a: F.log((n + 1) / a))).alias("stated"))
+    out = seen.join(hosts, ["host", "suffix"], "left").join(stated, "evidence", "left")
     prior = F.transform(F.coalesce("prior", lit(base)), lambda p: F.log(p))
     score = F.zip_with(F.zip_with("ll", prior, lambda a, b: a + b), F.coalesce("stated", lit([0.0] * len(names))), lambda a, b: a + b)
     out = out.withColumn("post", score).withColumn("best", F.array_max("post"))
     posterior = F.lit(1.0) / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
     out = out.withColumn("language", F.when(F.col("letters"), _argmax(F.col("post"), names)).otherwise(UNKNOWN)).withColumn("posterior", posterior)
-    unmodelled = ~F.col("declared").isin("", *names) if model.languages else F.lit(True)
+    own_name = F.when((F.col("language") == OTHER) & ~F.col("declared").isin("", *names), F.col("declared")).otherwise(F.col("language"))
+    unmodelled = ~F.col("evidence").isin("", *names) if model.languages else F.lit(True)
     accepted = F.col("letters") & (unmodelled | ((F.col("language") != UNKNOWN) & (F.col("posterior") >= least)))
-    result = [F.col("id").alias(id_col), F.col("language"), F.round("posterior", 6).alias("posterior"), F.coalesce("guess", F.lit(UNKNOWN)).alias("text_language"), F.col("declared"), accepted.alias("accepted")]
+    result = [F.col("id").alias(id_col), own_name.alias("language"), F.round("posterior", 6).alias("posterior"), F.coalesce("guess", F.lit(UNKNOWN)).alias("text_language"), F.col("declared"), accepted.alias("accepted")]
     return out.select(*result, *[F.col(k).alias(n) for k, n in zip(kept, keep, strict=True)])
 
 

@@ -40,3 +40,19 @@ def test_no_or_unknown_declared_language(spark):
     model = language.fit_text(spark.createDataFrame([(i, _said(rng, ["the", "ing"]), "en") for i in range(50)], "id long, text string, declared string"))
     greek = spark.createDataFrame([(1, _said(rng, "αβγδεηικ"), "el", "h"), (2, _said(rng, "αβγδεηικ"), None, "h"), (3, "77", "el", "h")], SCHEMA)
     assert {r["doc_id"]: r["accepted"] for r in language.identify(greek, model=model).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_languages_beyond_the_bound_share_a_model(spark):
+    rng = random.Random(4)
+    rows, k = [], 0
+    for i, (name, letters) in enumerate((("en", ["the", "ing", "and"]), ("de-AT", ["sch", "ung", "ein"]), ("el", "αβγδεηικλμν"), ("bg", "бвгдежзиклм"), ("ka", "აბგდევზთიკლ"))):
+        for _ in range(60 - 10 * i):
+            rows.append((k, _said(rng, letters), name, f"h{i}"))
+            k += 1
+    rows += [(900, _said(rng, "αβγδεηικλμν"), "other", "h9"), (901, "12 3", "bg", "h9"), (902, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit_text(df.select(df.doc_id.alias("id"), "text", language.base_language(df.lang).alias("declared")), most=2)
+    assert model.languages == ["de", "en", "other"]
+    got = {r["doc_id"]: r for r in language.identify(df, model=model).collect()}
+    assert all(got[i]["language"] == name.split("-")[0] and got[i]["accepted"] for i, _, name, _ in rows[:k])
+    assert got[900]["language"] == "other" and got[900]["accepted"] and not got[901]["accepted"] and not got[902]["accepted"]
