@@ -18,9 +18,9 @@ TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach, and share of the word triples of question and of answer.
 LEAST_SCORE, LEAST_OVERLAP, GRAM = 0.5, 0.6, 3
-#: Items of a block, most blocks of a group of blocks, and words of a passage; so many groups a small benchmark has, if it has as many blocks.
+#: Most items of a block (a small benchmark has smaller ones), blocks of a group of blocks, and words of a passage.
 BLOCK_ITEMS, GROUP_BLOCKS, PASSAGE = 64, 64, 256
-LEAST_GROUPS = 4
+LEAST_ITEMS = 16
 #: Most text of items in one broadcast index, at most about 96 MiB in memory; a larger benchmark is searched in several passes.
 INDEX_CHARS = 4 << 20
 #: Sums in another order differ by rounding; bounds are compared with so much room.
@@ -88,14 +88,14 @@ class Index:
         term, item, weight = np.array(term, np.int64), np.array(item, np.int64), np.array(weight, float)
         order = np.lexsort((item, term))
         term, self.item, self.weight = term[order], item[order].astype(np.int32), weight[order]
-        self.blocks = -(-len(parsed) // BLOCK_ITEMS)
-        #: blocks of a group: so many that there are several groups, up to GROUP_BLOCKS
-        self.per = max(1, min(GROUP_BLOCKS, self.blocks // LEAST_GROUPS))
-        self.groups = -(-self.blocks // self.per)
-        keys, self.block_start, self.block_most = _levels(term * max(1, self.blocks) + self.item // BLOCK_ITEMS, self.weight)
+        #: items of a block: so few that a benchmark of one group has as many blocks as a group may have
+        self.size = min(BLOCK_ITEMS, max(LEAST_ITEMS, len(parsed) // GROUP_BLOCKS))
+        self.blocks = -(-len(parsed) // self.size)
+        self.groups = -(-self.blocks // GROUP_BLOCKS)
+        keys, self.block_start, self.block_most = _levels(term * max(1, self.blocks) + self.item // self.size, self.weight)
         self.block, of = (keys % max(1, self.blocks)).astype(np.int32), keys // max(1, self.blocks)
         # of each group of each term: its key (term, group), its first block and its greatest weight
-        self.group, self.group_start, self.group_most = _levels(of * max(1, self.groups) + self.block // self.per, self.block_most)
+        self.group, self.group_start, self.group_most = _levels(of * max(1, self.groups) + self.block // GROUP_BLOCKS, self.block_most)
         _, _, self.most = _levels(self.group // max(1, self.groups), self.group_most)
         parts = [shingles(h(w), GRAM) for _, q, a in parsed for w in (q, a)]
         #: word triples of question and answer of each item, and how long they are (short ones are a whole part)
@@ -119,7 +119,8 @@ class Index:
         Block-max WAND: the lists stand at their next group of blocks; in the order of these, the
         one with which the sum of greatest weights reaches ``least`` gives the pivot, and lists
         before it skip to it. The pivot's group is left out if the greatest weights in the group
-        do not reach ``least``; else its blocks are, and the items of those that stay are scored.
+        do not reach ``least``; else its blocks are, and the items of those that stay are scored. With
+        one group its block bounds are taken at once: pivots between so few blocks cost more than they skip.
         """
         most, groups = self.most[terms], self.groups
         least -= ROOM
@@ -144,7 +145,7 @@ class Index:
                 where = np.minimum(np.where(at < n, keys[np.minimum(at, n - 1)] - base, groups), groups)
             here = at[where == goal]
             if self.group_most[here].sum() >= least:
-                found.append(self._group(here, int(goal) * self.per, least))
+                found.append(self._group(here, int(goal) * GROUP_BLOCKS, least))
             at[where == goal] += 1
         if not found:
             return np.zeros(0, np.intp), np.zeros(0)
@@ -154,12 +155,12 @@ class Index:
         """Scores of the items in the blocks of one group that the greatest weights of blocks allow."""
         b = _ranges(self.group_start[entries], self.group_start[entries + 1])
         own = self.block[b] - first
-        live = np.bincount(own, self.block_most[b], minlength=self.per) >= least
+        live = np.bincount(own, self.block_most[b], minlength=GROUP_BLOCKS) >= least
         b = b[live[own]]
         p = _ranges(self.block_start[b], self.block_start[b + 1])
-        score = np.bincount(self.item[p] - first * BLOCK_ITEMS, self.weight[p])
+        score = np.bincount(self.item[p] - first * self.size, self.weight[p])
         hit = np.flatnonzero(score >= least)
-        return hit + first * BLOCK_ITEMS, score[hit]
+        return hit + first * self.size, score[hit]
 
     def search(self, text: str, hashes: WordHashes, least: float = LEAST_SCORE, overlap: float = LEAST_OVERLAP) -> list[tuple[object, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of the items found in a text, best passage of each."""

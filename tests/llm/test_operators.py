@@ -484,8 +484,3 @@ def test_index_in_several_passes(spark, monkeypatch):
     one = found()
     monkeypatch.setattr(decontam, "INDEX_CHARS", 900)
     assert found() == one and {(d, i) for d, i, _ in one} >= {(i, i) for i, _ in items}
-
-
-def test_the_shipped_benchmark_has_several_groups(spark):
-    index = decontam.Index([tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text").collect()])
-    assert index.groups >= decontam.LEAST_GROUPS
