@@ -5,11 +5,13 @@ Parquet tables know no MERGE, so each step is a function from old rows and a del
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import materialize
+
 #: The states of a file and those that may follow each.
 STATES = {
     "queued": ("queued", "indexed", "error", "missing"),
@@ -177,6 +179,24 @@ def intern_tags(tags: DataFrame, facts: DataFrame) -> DataFrame:
     return tags.unionByName(fresh.withColumn("display", F.initcap(F.regexp_replace("name", "[-_]", " "))))
 
 
+def with_ids(known: DataFrame, fresh: DataFrame, key: Sequence[str], id_col: str = "id") -> DataFrame:
+    """``known`` (key, id) with the keys of ``fresh`` that it lacks, numbered on from its greatest id in order of the key.
+
+    A number is the place of a key among all new ones: counts of sorted ranges, of which each task
+    has one, give the offsets, so the same keys get the same numbers however they are dealt, and a
+    load that is repeated adds none.
+    """
+    key = list(key)
+    last = known.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    new = fresh.select(*key).distinct().join(known.select(*key), key, "left_anti")
+    new = materialize(new.repartitionByRange(*key).withColumn("_part", F.spark_partition_id()), "new-keys")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    offsets = new.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*key))
+    numbered = new.join(F.broadcast(offsets), "_part").select(*key, (F.lit(last) + F.col("_off") + place).cast("long").alias(id_col))
+    return known.select(*key, F.col(id_col).cast("long").alias(id_col)).unionByName(numbered)
+
+
 def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
     """The last row of each key: ledgers and cached summaries."""
     w = Window.partitionBy(*key).orderBy(F.desc(by))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from granary.functions.text import has_all_terms
@@ -156,6 +157,24 @@ def keyset_page(c: Catalog, spec: FilterSpec, size: int = PAGE) -> DataFrame:
     return out.orderBy("file_id").limit(size + 1)
 
 
+class Page(NamedTuple):
+    """The files of a page, how many the whole selection has, and the cursor of the next page, if there is one."""
+
+    items: list[Row]
+    total: int
+    next: int | None
+
+
+def page(c: Catalog, spec: FilterSpec, columns: Sequence[str] = ("file_id", "name"), size: int = PAGE) -> Page:
+    """A page with the total of its selection, from one pass: the rows are counted on their way to the page."""
+    seen = Observation()
+    out = selection(c, spec).observe(seen, F.count(F.lit(1)).alias("total"))
+    if spec.cursor is not None:
+        out = out.filter(F.col("file_id") > spec.cursor)
+    rows = out.select("file_id", *[x for x in columns if x != "file_id"]).orderBy("file_id").limit(size + 1).collect()  # one page
+    return Page(rows[:size], seen.get["total"], rows[size - 1]["file_id"] if len(rows) > size else None)
+
+
 @dataclass
 class Scope:
     """What a grant lets through; an empty scope lets everything through."""

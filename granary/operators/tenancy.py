@@ -25,12 +25,23 @@ def visible(files: DataFrame, tags: DataFrame, grants: DataFrame) -> DataFrame:
     grants(workspace_id, library_id, path_prefixes, include_tags, exclude_tags, media_types) with
     arrays; an empty array restricts nothing and an excluded tag wins.
     """
-    own = tags.groupBy("file_id").agg(F.collect_set("name").alias("names"))
-    j = files.join(grants, "library_id").join(own, "file_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    # no file meets a grant but by a prefix of its path: of each file as many prefixes are looked up as
+    # the grants of its library have lengths, however many grants there are
     free = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
-    ok = (free("path_prefixes") | F.exists("path_prefixes", lambda p: F.startswith(F.col("rel_path"), p))) & (free("media_types") | F.array_contains("media_types", F.col("media_type")))
-    ok = ok & (free("include_tags") | F.arrays_overlap("include_tags", "names")) & ~F.coalesce(F.arrays_overlap("exclude_tags", "names"), F.lit(False))
-    return j.filter(ok).select("workspace_id", *files.columns).dropDuplicates(["workspace_id", "file_id"])
+    parts = ["path_prefixes", "include_tags", "exclude_tags", "media_types"]
+    g = grants.dropDuplicates(["workspace_id", "library_id", *parts]).withColumn("_g", F.sha2(F.to_json(F.struct("workspace_id", "library_id", *parts), {"ignoreNullFields": "false"}), 256))
+    looked = g.select("_g", "workspace_id", "library_id", "media_types", (~free("include_tags")).alias("_some"), F.explode(F.when(free("path_prefixes"), F.array(F.lit(""))).otherwise(F.col("path_prefixes"))).alias("_prefix"))
+    lengths = looked.groupBy("library_id").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    path = F.coalesce("rel_path", F.lit(""))
+    f = files.join(lengths, "library_id").select("file_id", "library_id", "media_type", path.alias("_path"), F.explode(F.filter("_lengths", lambda n: n <= F.length(path))).alias("_n"))
+    f = f.withColumn("_prefix", F.left("_path", F.col("_n"))).drop("_path", "_n")
+    met = f.join(looked, ["library_id", "_prefix"]).filter(free("media_types") | F.array_contains("media_types", F.col("media_type"))).select("file_id", "_g", "workspace_id", "_some").distinct()
+    named = met.join(tags.select("file_id", "name").distinct(), "file_id")
+    each = lambda c: g.select("_g", F.explode(c).alias("name"))
+    gone = named.join(each("exclude_tags"), ["_g", "name"], "left_semi").select("file_id", "_g")
+    held = met.filter("NOT _some").select("file_id", "_g", "workspace_id").unionByName(named.filter("_some").join(each("include_tags"), ["_g", "name"], "left_semi").select("file_id", "_g", "workspace_id"))
+    shown = held.join(gone, ["file_id", "_g"], "left_anti").select("workspace_id", "file_id").distinct()
+    return shown.join(files, "file_id").select("workspace_id", *files.columns)
 
 
 def lens(machine: DataFrame, own: DataFrame, additions: DataFrame, removals: DataFrame) -> DataFrame:

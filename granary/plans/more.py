@@ -348,3 +348,52 @@ def bucket_calls(spark, sf_dir):
     out = scratch(spark, "bucket")
     calls.writeStream.outputMode("append").option("checkpointLocation", scratch(spark, "bucket-log")).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
     return spark.read.schema(calls.schema).parquet(out).groupBy("key").agg(F.count("*").alias("calls"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
+
+
+# --- pages, surrogate ids, grants by the thousand, sinks
+
+@query("SELECT file_id, name, CAST((SELECT count(*) FROM s) AS BIGINT) AS total, CAST((SELECT max(file_id) FROM p) AS BIGINT) AS next FROM p".replace("FROM p", "FROM (SELECT file_id, name FROM s WHERE file_id > 200 ORDER BY file_id LIMIT 120)").replace("FROM s", "FROM (SELECT * FROM indexed WHERE asset_id IN (SELECT asset_id FROM asset_tag WHERE kind = 'doctype' AND name = 'en'))"))
+def library_page_total(c):
+    """A page of a selection with the total of all its files and the cursor of the next page, from one pass."""
+    p = sel.page(c, sel.FilterSpec(tags={"doctype": ["en"]}, cursor=200))
+    rows = [(r["file_id"], r["name"], p.total, p.next) for r in p.items]
+    return c.file.sparkSession.createDataFrame(rows, "file_id long, name string, total long, next long")
+
+
+@query(""", k AS (SELECT DISTINCT kind, name FROM asset_tag), a AS (SELECT *, row_number() OVER (ORDER BY kind, name) AS id FROM k WHERE kind IN ('author', 'entity'))
+  SELECT * FROM a UNION ALL SELECT *, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY kind, name) FROM k WHERE kind NOT IN ('author', 'entity')""")
+def tag_ids(c):
+    """Ids of tags after two loads: the second numbers on, and a third, of the same tags, changes nothing."""
+    none = c.file.sparkSession.createDataFrame([], "kind string, name string, id long")
+    first = reconcile.with_ids(none, c.asset_tag.filter("kind IN ('author', 'entity')"), ["kind", "name"])
+    second = reconcile.with_ids(first, c.asset_tag, ["kind", "name"])
+    return reconcile.with_ids(second, c.asset_tag, ["kind", "name"])
+
+
+@query("""SELECT DISTINCT 'w' || g % 7 AS workspace_id, file_id FROM indexed JOIN (SELECT unnest(range(600)) AS g) ON root = 'src' || g % 20 AND starts_with(rel_path, 'src' || g % 20 || '/' || ['en', 'de/doc_1', '', 'fr/doc_'][1 + g % 4])
+  WHERE (g % 3 > 0 OR media_type = 'document') AND (g % 5 > 0 OR asset_id IN (SELECT asset_id FROM asset_tag WHERE source <> 'user' AND name IN ('topic1', 'author3', '2012'))) AND NOT (g % 2 = 0 AND asset_id IN (SELECT asset_id FROM asset_tag WHERE source <> 'user' AND name IN ('topic4', 'url')))""")
+def granted_files(c):
+    """What 600 grants of seven workspaces show: paths meet their prefixes by an equi-join, exclusions by an anti-join."""
+    spark = c.file.sparkSession
+    g = F.col("id")
+    root = F.concat(F.lit("src"), (g % 20).cast("string"))
+    none = F.array().cast("array<string>")
+    grants = spark.range(600).select(
+        F.concat(F.lit("w"), (g % 7).cast("string")).alias("workspace_id"), root.alias("library_id"), F.array(F.concat(root, F.lit("/"), F.get(F.array(*map(F.lit, ("en", "de/doc_1", "", "fr/doc_"))), (g % 4).cast("int")))).alias("path_prefixes"),
+        F.when(g % 5 == 0, F.array(*map(F.lit, ("topic1", "author3", "2012")))).otherwise(none).alias("include_tags"), F.when(g % 2 == 0, F.array(*map(F.lit, ("topic4", "url")))).otherwise(none).alias("exclude_tags"), F.when(g % 3 == 0, F.array(F.lit("document"))).otherwise(none).alias("media_types"),
+    )
+    files = c.indexed.withColumn("library_id", F.col("root"))
+    tags = files.select("file_id", "asset_id").join(c.asset_tag.filter("source <> 'user'"), "asset_id").select("file_id", "name")
+    return tenancy.visible(files, tags, grants).select("workspace_id", "file_id")
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'no customer' WHEN o_totalprice >= 200000 THEN 'too dear' END AS error FROM orders""", catalogue=False)
+def quarantined_orders(spark, sf_dir):
+    """Orders through a stream whose sink puts rows that break a rule aside; the stream runs twice and each row comes once."""
+    out = scratch(spark, "quarantine")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("customer"), F.col("o_totalprice").cast("double").alias("price"))
+    o.repartition(4).write.parquet(f"{out}/in")
+    step = streams.quarantined({"no customer": F.col("customer").isNotNull(), "too dear": F.col("price") < 200_000}, f"{out}/sink")
+    for _ in range(2):
+        streams.ingest(spark, f"{out}/in", "id long, customer long, price double", f"{out}/state", step, files_per_trigger=1)
+    return streams.committed(spark, f"{out}/sink").select("id", F.lit(None).cast("string").alias("error")).unionByName(streams.committed(spark, f"{out}/sink", "errors").select("id", "error"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.session import exists
+
 
 def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, step: Callable[[DataFrame, int], None], *, files_per_trigger: int = 1000):
     """Run ``step`` on every batch of new Parquet files until none is left; a restart goes on where it stopped."""
@@ -18,6 +20,34 @@ def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, step:
     return query
 
 
+def quarantined(rules: Mapping[str, Column], out: str) -> Callable[[DataFrame, int], None]:
+    """A step for ``ingest`` that writes the rows that pass all rules, and those that fail one with its name, once each.
+
+    Below ``out``, a batch has its own folders of ``rows`` and ``errors``, which a repeated attempt
+    overwrites, and a mark in ``commits``, written last. A batch with a mark is skipped, so a
+    stream that is killed anywhere and starts again adds each row once; one bad row does not hold up the others.
+    A rule that gives null is broken.
+    """
+    error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()], F.lit(None).cast("string"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if exists(spark, f"{out}/commits/batch={number}/_SUCCESS"):
+            return
+        judged = batch.withColumn("error", error)
+        judged.filter("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        judged.filter("error IS NOT NULL").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        spark.range(1).write.mode("overwrite").parquet(f"{out}/commits/batch={number}")
+
+    return step
+
+
+def committed(spark: SparkSession, out: str, what: str = "rows") -> DataFrame:
+    """The ``rows`` or ``errors`` of the committed batches below ``out``, with the number of their batch."""
+    done = spark.read.schema("id long, batch long").parquet(f"{out}/commits").select("batch").distinct()
+    return spark.read.parquet(f"{out}/{what}").join(F.broadcast(done), "batch", "left_semi")  # one row a batch
+
+
 def _time(events: DataFrame, ts: str) -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp"))
 
