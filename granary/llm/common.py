@@ -56,17 +56,6 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(x)
 
 
-#: Rows of the batches that Spark and Python exchange; the default of ten thousand long texts fills executors outside the heap.
-BATCH_ROWS = 1000
-
-
-def bounded_batches(df: DataFrame) -> None:
-    """Have the session exchange batches of at most BATCH_ROWS rows."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-
-
 def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: str, chunk: int = 256) -> DataFrame:
     """Arrow-batched map: ``fn()`` runs once per task and gives a function from columns to columns.
 
@@ -85,7 +74,6 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict], dict]], schema: st
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
-    bounded_batches(df)
     return df.mapInArrow(run, schema)
 
 
