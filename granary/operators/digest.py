@@ -18,10 +18,9 @@ def axes(items: DataFrame, columns: list[str]) -> DataFrame:
 
 def axes_grouping_sets(items: DataFrame, columns: list[str]) -> DataFrame:
     """The same by GROUPING SETS, for axes that share a selection query."""
-    items.createOrReplaceTempView("_digest_items")
     sets = ", ".join(f"({c})" for c in columns)
     axis = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in columns) + " END"
-    return items.sparkSession.sql(f"SELECT {axis} AS axis, coalesce({', '.join(f'cast({c} AS string)' for c in columns)}) AS value, count(*) AS n FROM _digest_items GROUP BY GROUPING SETS ({sets})").filter("value IS NOT NULL")
+    return items.sparkSession.sql(f"SELECT {axis} AS axis, coalesce({', '.join(f'cast({c} AS string)' for c in columns)}) AS value, count(*) AS n FROM {{items}} GROUP BY GROUPING SETS ({sets})", items=items).filter("value IS NOT NULL")
 
 
 def span(items: DataFrame, at: str = "event_at") -> DataFrame:

@@ -136,6 +136,24 @@ def claim(files: DataFrame, n: int) -> DataFrame:
     return files.filter("state = 'queued'").withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k").orderBy("priority", *KEY).limit(n)
 
 
+def lease(files: DataFrame, owner: str, n: int, *, now: int, lease_s: int = 600, stage: Column | None = None) -> DataFrame:
+    """Files after ``owner`` took the next ``n`` queued ones (of a stage) that nobody holds for ``lease_s`` seconds.
+
+    A lease that ended before ``now`` holds nothing. Only the least ``n`` keys travel: each task brings its own n best.
+    """
+    free = (F.col("state") == "queued") & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") < now))
+    taken = files.filter(free if stage is None else free & stage).select("priority", *KEY).orderBy("priority", *KEY).limit(n)
+    j = files.join(taken.select(*KEY).withColumn("_taken", F.lit(True)), KEY, "left")
+    return j.withColumns({"lease_owner": F.when(F.col("_taken"), owner).otherwise(F.col("lease_owner")), "lease_expires_at": F.when(F.col("_taken"), F.lit(now + lease_s).cast("long")).otherwise(F.col("lease_expires_at"))}).select(*files.columns)
+
+
+def tasks(files: DataFrame, owner: str, *, now: int) -> DataFrame:
+    """What a worker has to do under its live leases: of the copies of a content only the first (files without content each count)."""
+    mine = files.filter((F.col("lease_owner") == owner) & (F.col("state") == "queued") & (F.col("lease_expires_at") >= now))
+    w = Window.partitionBy(F.coalesce("asset_id", F.concat_ws("/", *KEY))).orderBy("priority", *KEY)
+    return mine.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+
+
 def gathered(claimed: DataFrame, blocks: DataFrame, runs: DataFrame, hints: DataFrame) -> DataFrame:
     """Claimed files with what their work needs: texts in order, the versions already run, and the hints of their content."""
     text = blocks.groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "ord", "body"))), lambda x: x["body"]), "\n").alias("text"))

@@ -109,7 +109,8 @@ def file_views(c):
     return tenancy.file_view(c.indexed, lens).select("file_id", "label", F.size("tags").cast("long").alias("n"))
 
 
-@query("SELECT '#f00' AS colour, 'topic1' AS rule UNION ALL SELECT '#0f0', 'path:src2' ORDER BY colour")
+@query("""SELECT DISTINCT colour, rule FROM (SELECT CASE WHEN asset_id IN (SELECT asset_id FROM asset_tag WHERE name = 'topic1') THEN '#f00' WHEN starts_with(rel_path, 'src2') THEN '#0f0' WHEN ext = 'zip' THEN '#00f' END AS colour FROM indexed)
+  JOIN (SELECT unnest(['#f00', '#0f0', '#00f']) AS colour, unnest(['topic1', 'path:src2', 'ext:zip']) AS rule) USING (colour)""")
 def rules_in_use(c):
     """The legend of a colouring: rules without a file, and switched-off ones, are left out."""
     rules = [ColourRule("tag", "topic1", "#f00"), ColourRule("path", "src2", "#0f0"), ColourRule("ext", "zip", "#00f"), ColourRule("media", "audio", "#fff", enabled=False)]
@@ -350,6 +351,53 @@ def bucket_calls(spark, sf_dir):
     return spark.read.schema(calls.schema).parquet(out).groupBy("key").agg(F.count("*").alias("calls"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+  r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, CAST(2 AS DOUBLE) AS tokens, CAST(0 AS DOUBLE) AS last, 0 AS ok FROM e
+    UNION ALL SELECT key, k, CASE WHEN t >= 1 THEN t - 1 ELSE t END, "at", CASE WHEN t >= 1 THEN 1 ELSE 0 END FROM (
+      SELECT e.key, e.k, e."at", least(CAST(2 AS DOUBLE), r.tokens + greatest(CAST(0 AS DOUBLE), e."at" - r.last) * (CAST(1 AS DOUBLE) / 64800)) AS t FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1))
+  SELECT key, CAST(count(*) AS BIGINT) AS calls, CAST(sum(ok) AS BIGINT) AS allowed FROM r WHERE k > 0 GROUP BY key""", catalogue=False)
+def bucket_refusals(spark, sf_dir):
+    """The events as a stream through a bucket of two tokens that gains one in 18 hours, so that calls are refused."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    calls = streams.token_bucket(e.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")), rate=1 / 64800, size=2.0)
+    return _streamed(spark, calls, "bucket").groupBy("key").agg(F.count("*").alias("calls"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
+
+
+def _streamed(spark, stream, label):
+    """What a stream over tables gives until its input ends."""
+    out = scratch(spark, label)
+    stream.writeStream.outputMode("append").option("checkpointLocation", scratch(spark, f"{label}-log")).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS file, event_id AS id, epoch_us(ts) // 1000 AS "at", 'w' || (event_id % 3) AS worker, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'queue' ELSE 'claim' END AS what FROM events),
+  w AS (SELECT max("at") - 3600000 AS mark FROM e), o AS (SELECT e.*, row_number() OVER (PARTITION BY file ORDER BY "at", id) AS k FROM e, w WHERE "at" < mark),
+  r AS (SELECT DISTINCT file, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS "at", CAST(NULL AS VARCHAR) AS worker, CAST(NULL AS VARCHAR) AS outcome, 'new' AS status, CAST(NULL AS VARCHAR) AS owner, CAST(0 AS BIGINT) AS until, false AS ran_out, CAST(NULL AS VARCHAR) AS was, CAST(0 AS BIGINT) AS ended FROM o
+    UNION ALL SELECT file, k, id, "at", worker, outcome,
+      CASE outcome WHEN 'queued' THEN 'queued' WHEN 'released' THEN 'queued' WHEN 'claimed' THEN 'leased' WHEN 'completed' THEN 'done' ELSE st END, CASE WHEN outcome = 'claimed' THEN worker WHEN st = 'leased' AND outcome NOT IN ('released', 'completed') THEN owner END, CASE WHEN outcome = 'claimed' THEN "at" + 43200000 ELSE until END, ran_out, owner, until
+    FROM (SELECT *, CASE WHEN what = 'queue' THEN CASE WHEN st = 'leased' THEN 'held' ELSE 'queued' END WHEN what = 'claim' THEN CASE WHEN st = 'queued' THEN 'claimed' ELSE 'refused' END
+        WHEN st = 'leased' AND owner = worker THEN CASE WHEN what = 'fail' THEN 'released' ELSE 'completed' END ELSE 'late' END AS outcome
+      FROM (SELECT o.file, o.k, o.id, o."at", o.worker, o.what, r.owner, r.until, r.status = 'leased' AND r.until < o."at" AS ran_out, CASE WHEN r.status = 'leased' AND r.until < o."at" THEN 'queued' ELSE r.status END AS st FROM r JOIN o ON o.file = r.file AND o.k = r.k + 1)))
+  SELECT file, id, "at" AS at_ms, worker, outcome FROM r WHERE k > 0 UNION ALL SELECT file, NULL, ended, was, 'expired' FROM r WHERE ran_out
+  UNION ALL SELECT file, NULL, until, owner, 'expired' FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k DESC) AS back FROM r), w WHERE back = 1 AND status = 'leased' AND until < mark""", catalogue=False)
+def lease_outcomes(spark, sf_dir):
+    """The events as a log of queues, claims and results on files, with leases of twelve hours that run out when their worker is lost."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    what = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "signup", "queue").otherwise("claim")
+    log = e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("worker"), what.alias("what"))
+    return _streamed(spark, streams.leases(log, lease_ms=12 * 3_600_000), "leases").withColumnRenamed("at", "at_ms")
+
+
+@query("""SELECT file_id, CASE WHEN k <= 20 THEN 'w1' WHEN held THEN 'gone' WHEN k IS NOT NULL AND k <= 45 THEN 'w2' END AS owner FROM (SELECT file_id, state = 'queued' AND file_id % 5 = 0 AS held FROM file)
+  LEFT JOIN (SELECT file_id, row_number() OVER (ORDER BY file_id % 3, root, rel_path) AS k FROM file WHERE state = 'queued' AND file_id % 5 <> 0) USING (file_id)""")
+def leased_files(c):
+    """Two workers take queued files one after the other; what a third one holds yet is left to it."""
+    held = (F.col("state") == "queued") & (F.col("file_id") % 5 == 0)
+    f = c.file.withColumns({"priority": F.col("file_id") % 3, "lease_owner": F.when(held, "gone"), "lease_expires_at": F.when(held, F.lit(100)).cast("long")})
+    two = reconcile.lease(reconcile.lease(f, "w1", 20, now=90), "w2", 25, now=100)
+    return two.select("file_id", F.col("lease_owner").alias("owner"))
+
+
 # --- pages, surrogate ids, grants by the thousand, sinks
 
 @query("SELECT file_id, name, CAST((SELECT count(*) FROM s) AS BIGINT) AS total, CAST((SELECT max(file_id) FROM p) AS BIGINT) AS next FROM p".replace("FROM p", "FROM (SELECT file_id, name FROM s WHERE file_id > 200 ORDER BY file_id LIMIT 120)").replace("FROM s", "FROM (SELECT * FROM indexed WHERE asset_id IN (SELECT asset_id FROM asset_tag WHERE kind = 'doctype' AND name = 'en'))"))

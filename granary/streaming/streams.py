@@ -1,4 +1,4 @@
-"""Streams: incremental ingestion, event windows, sessions, and token buckets with state."""
+"""Streams: incremental ingestion, event windows, sessions, and token buckets and leases with state."""
 
 from __future__ import annotations
 
@@ -109,6 +109,79 @@ def token_bucket(requests: DataFrame, *, rate: float = 0.5, size: float = 5.0, d
     return requests.groupBy("key").applyInPandasWithState(run, BUCKET, "tokens double, last double, day long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: What a file's lease remembers between batches: its state, who holds it and until when, and events not judged yet.
+LEASE_STATE = "status string, owner string, until long, ids array<long>, ats array<long>, workers array<string>, whats array<string>"
+LEASES = "file string, id long, at long, worker string, outcome string"
+
+
+def take_event(status: str, owner: str | None, until: int, event: tuple, lease_ms: int) -> tuple[str, str | None, int, str]:
+    """The state of a file after (at, id, worker, what), and what came of the event; an expired lease is queued before.
+
+    Whoever claims a queued file holds it for ``lease_ms``. Results count only from the holder.
+    """
+    at, _, worker, what = event
+    if what == "queue":
+        return (status, owner, until, "held") if status == "leased" else ("queued", None, 0, "queued")
+    if what == "claim":
+        return ("leased", worker, at + lease_ms, "claimed") if status == "queued" and worker is not None else (status, owner, until, "refused")
+    if status != "leased" or owner != worker:
+        return status, owner, until, "late"
+    return ("queued", None, 0, "released") if what == "fail" else ("done", None, 0, "completed")
+
+
+def leases(events: DataFrame, *, lease_ms: int = 600_000, late: str = "1 hour") -> DataFrame:
+    """The outcome of each event on files' leases, and a row ``expired`` for each lease that ran out.
+
+    events(file string, id long, ts timestamp, worker string, what string), what one of queue,
+    claim, fail and done. Outcomes: queued, held (queued while leased), claimed, refused, released,
+    completed, late (from a worker that does not hold the lease), expired (id null, at the end of the
+    lease, by its holder). A file nobody queued cannot be claimed, and a null worker claims nothing. A lease holds up to and with its last
+    millisecond. Events wait in the state until the watermark has passed them and are then taken
+    by time and id, so outcomes do not depend on how events fall into batches; what comes later than
+    ``late`` is dropped by the watermark. A worker that is lost sends nothing: a timer on the watermark
+    ends its lease. Rows without file, ts or what are left out; other values of what are an error.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, owner, until, *held = state.get if state.exists else ("new", None, 0, [], [], [], [])
+        ids, ats, workers, whats = held
+        waiting = list(zip(ats, ids, workers, whats, strict=True))
+        for pdf in parts:
+            waiting += [(int(a), int(i), None if w is None else str(w), str(x)) for a, i, w, x in zip(pdf["at"], pdf["id"], pdf["worker"], pdf["what"], strict=True)]
+        mark, rows = state.getCurrentWatermarkMs(), []
+        waiting.sort(key=lambda e: (e[0], e[1]))
+        ripe = [e for e in waiting if e[0] < mark]
+
+        def expire(now: int) -> None:
+            nonlocal status, owner, until
+            if status == "leased" and until < now:
+                rows.append((key[0], None, until, owner, "expired"))
+                status, owner, until = "queued", None, 0
+
+        for e in ripe:
+            expire(e[0])
+            status, owner, until, outcome = take_event(status, owner, until, e, lease_ms)
+            rows.append((key[0], e[1], e[0], e[2], outcome))
+        expire(mark)
+        waiting = waiting[len(ripe):]
+        columns = [list(x) for x in zip(*waiting, strict=True)] or [[], [], [], []]
+        state.update((status, owner, until, columns[1], columns[0], columns[2], columns[3]))
+        timers = [waiting[0][0]] if waiting else []
+        if status == "leased":
+            timers.append(until)
+        if timers:
+            state.setTimeoutTimestamp(max(min(timers), mark + 1))
+        if rows:
+            out = pd.DataFrame(rows, columns=["file", "id", "at", "worker", "outcome"])
+            yield out.astype({"id": "Int64", "at": "int64"})
+
+    known = F.col("what").isin("queue", "claim", "fail", "done")
+    e = events.filter("file IS NOT NULL AND ts IS NOT NULL AND what IS NOT NULL").withWatermark("ts", late)
+    what = F.when(known, F.col("what")).otherwise(F.raise_error(F.concat(F.lit("unknown event: "), F.col("what"))))
+    e = e.select("file", "id", "ts", F.unix_millis("ts").alias("at"), "worker", what.alias("what"))
+    return e.groupBy("file").applyInPandasWithState(run, LEASES, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def budgets(requests: DataFrame, daily: int) -> DataFrame:
     """Requests of each key and UTC day against a cap."""
     return requests.groupBy("key", F.floor(F.col("at") / 86400).alias("day")).agg(F.count("*").alias("used")).withColumn("left", F.greatest(F.lit(0), F.lit(daily) - F.col("used")))
