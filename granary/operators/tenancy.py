@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Caps of one overlay.
@@ -93,6 +93,71 @@ def encode_overlay(removals, additions, albums, version: int = 1) -> str:
     return "|".join(out)
 
 
+#: The version of the wire form, the parts of an overlay, and the name of an album without one.
+WIRE_VERSION, UNNAMED = "1", "Untitled album"
+
+
+def _unescaped(c: Column) -> Column:
+    """A percent-encoded text, or the text itself where an escape is broken; a plus sign is no blank."""
+    out = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(out, F.lit("\ufffd")), c).otherwise(F.coalesce(out, c))
+
+
+def decode_overlays(overlays: DataFrame, *, key: str = "workspace_id", wire: str = "wire", escaped: bool = True) -> dict[str, DataFrame]:
+    """The overlays of many workspaces, one a row, as tables: removals, additions and albums.
+
+    The wire form is ``1|r!file-tag!…|t!file-tag!…|a!id~name~file.file!…``: ids of files are texts, of tags
+    numbers in base 36, names percent-encoded; ``escaped`` undoes an encoding of the whole text first.
+    removals and additions(key, file_id string, tag_id long), albums(key, album_id, name, file_ids array<string>).
+    Another version, a null or an empty text gives no rows; a section of an unknown kind and an item without
+    both ids are passed over. Caps count items by their place in a section, bad ones too. Rows are told apart by ``pos``,
+    (section, place) in the wire. One row of ``overlays`` is one task's work at most: its caps bound it.
+    """
+    o = overlays.select(F.col(key), F.split(_unescaped(F.col(wire)) if escaped else F.col(wire), "\\|").alias("_parts")).filter(F.get("_parts", F.lit(0)) == WIRE_VERSION)
+    o = o.select(key, F.posexplode("_parts").alias("_section", "_part")).filter("_section > 0")
+    items = F.filter(F.split(F.substring("_part", 2, 1 << 30), "!"), lambda x: x != "")
+    most = F.when(F.col("_kind") == "r", MOST_REMOVALS).when(F.col("_kind") == "t", MOST_ADDITIONS).when(F.col("_kind") == "a", MOST_ALBUMS)
+    o = o.select(key, "_section", F.left("_part", F.lit(1)).alias("_kind"), items.alias("_items")).filter("_kind IN ('r', 't', 'a')")
+    o = o.select(key, "_section", "_kind", F.posexplode(F.slice("_items", F.lit(1), most)).alias("_place", "_item"))
+    pos = F.struct(F.col("_section").alias("section"), F.col("_place").alias("place")).alias("pos")
+    # the tag is what follows the last hyphen, as far as its digits go
+    file, tag = F.regexp_extract("_item", "(?s)^(.+)-[^-]*$", 1), F.regexp_extract("_item", "-([0-9A-Za-z]+)[^-]*$", 1)
+    pairs = o.filter("_kind <> 'a'").select(key, "_kind", pos, file.alias("file_id"), F.conv(F.nullif(tag, F.lit("")), 36, 10).try_cast("long").alias("tag_id")).filter("file_id <> '' AND tag_id IS NOT NULL")
+    field = F.split("_item", "~")
+    files = F.slice(F.filter(F.split(F.coalesce(F.get(field, F.lit(2)), F.lit("")), "\\."), lambda x: x != ""), 1, MOST_IN_ALBUM)
+    name = F.coalesce(F.nullif(_unescaped(F.coalesce(F.get(field, F.lit(1)), F.lit(""))), F.lit("")), F.lit(UNNAMED))
+    albums = o.filter("_kind = 'a'").select(key, pos, F.get(field, F.lit(0)).alias("album_id"), name.alias("name"), files.alias("file_ids")).filter("album_id <> ''")
+    return {"removals": pairs.filter("_kind = 'r'").drop("_kind"), "additions": pairs.filter("_kind = 't'").drop("_kind"), "albums": albums}
+
+
+def encode_overlays(removals: DataFrame, additions: DataFrame, albums: DataFrame, *, key: str = "workspace_id") -> DataFrame:
+    """(key, wire) of the workspaces that have any rows; rows and albums in order of ``pos``, or of their ids without it.
+
+    Everything in a name but letters, digits and ``.-*_`` is percent-encoded, so no name can break the form.
+    Only as many rows as the caps let through are gathered, whatever a workspace has.
+    """
+    def section(kind: str, rows: DataFrame, most: int, item: Column, ids: list[str]) -> DataFrame:
+        order = ["pos"] if "pos" in rows.columns else ids
+        first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_k") <= most)
+        return first.groupBy(key).agg(F.concat(F.lit(f"{kind}!"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", item.alias("_item")))), lambda x: x["_item"]), "!")).alias(f"_{kind}"))
+
+    pair = F.concat("file_id", F.lit("-"), F.lower(F.conv(F.col("tag_id").cast("string"), 10, 36)))
+    name = F.replace(F.url_encode("name"), F.lit("+"), F.lit("%20"))
+    album = F.concat_ws("~", "album_id", name, F.array_join(F.slice("file_ids", 1, MOST_IN_ALBUM), "."))
+    parts = [section("r", removals, MOST_REMOVALS, pair, ["file_id", "tag_id"]), section("t", additions, MOST_ADDITIONS, pair, ["file_id", "tag_id"]), section("a", albums, MOST_ALBUMS, album, ["album_id"])]
+    out = parts[0].join(parts[1], key, "full_outer").join(parts[2], key, "full_outer")
+    return out.select(key, F.concat_ws("|", F.lit(WIRE_VERSION), "_r", "_t", "_a").alias("wire"))
+
+
+def scopes_described(grants: DataFrame) -> DataFrame:
+    """``grants`` with ``words``: each scope as a person reads it, such as "2 folders + 3 topics + image/video + excluding 1"."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    said = lambda c, words: F.when(n(c) > 0, words)
+    folders = F.concat(n("path_prefixes").cast("string"), F.when(n("path_prefixes") == 1, " folder").otherwise(" folders"))
+    words = F.concat_ws(" + ", said("path_prefixes", folders), said("include_tags", F.concat(n("include_tags").cast("string"), F.lit(" topics"))), said("media_types", F.array_join("media_types", "/")), said("exclude_tags", F.concat(F.lit("excluding "), n("exclude_tags").cast("string"))))
+    return grants.withColumn("words", F.coalesce(F.nullif(words, F.lit("")), F.lit("the whole library")))
+
+
 def get_file(shown: DataFrame, file_id) -> DataFrame:
     """One file by id among those a workspace sees: a guessed id of another library gives no row."""
     return shown.filter(F.col("file_id") == file_id)

@@ -124,6 +124,33 @@ def scopes_in_words(spark, sf_dir):
     return spark.createDataFrame([(a, sel.describe_scope(Scope()))], "a string, b string")
 
 
+@query("""SELECT root, concat_ws(' + ', CASE WHEN f > 0 THEN f || CASE f WHEN 1 THEN ' folder' ELSE ' folders' END END, CASE WHEN t > 0 THEN t || ' topics' END, CASE WHEN m <> '' THEN m END, CASE WHEN x > 0 THEN 'excluding ' || x END) AS words
+  FROM (SELECT root, count(DISTINCT CASE WHEN size_bytes > 1000000 THEN parent_rel END) AS f, coalesce(string_agg(DISTINCT media_type, '/' ORDER BY media_type), '') AS m FROM indexed GROUP BY root)
+  JOIN (SELECT root, count(DISTINCT CASE WHEN kind = 'topic' THEN t.name END) AS t, count(DISTINCT CASE WHEN kind = 'custom' THEN t.name END) AS x FROM indexed JOIN asset_tag t USING (asset_id) GROUP BY root) USING (root)""")
+def scopes_described(c):
+    """A grant for each root, with the folders, topics and types that it has, in words."""
+    f = c.indexed.groupBy("root").agg(F.collect_set(F.when(F.col("size_bytes") > 1_000_000, F.col("parent_rel"))).alias("path_prefixes"), F.array_sort(F.collect_set("media_type")).alias("media_types"))
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("name")))
+    t = c.indexed.select("root", "asset_id").join(c.asset_tag, "asset_id").groupBy("root").agg(of("topic").alias("include_tags"), of("custom").alias("exclude_tags"))
+    return tenancy.scopes_described(f.join(t, "root")).select("root", "words")
+
+
+@query("""SELECT 'r' AS part, w, CAST(count(*) AS BIGINT) AS n, CAST(sum(doc_id * 31 + n_chars) AS BIGINT) AS total FROM (SELECT doc_id // 500 AS w, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS k FROM documents) WHERE k <= 400 GROUP BY w
+  UNION ALL SELECT 't', w, count(*), CAST(sum(doc_id * 31 + n_chars * 7) AS BIGINT) FROM (SELECT doc_id // 500 AS w, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 1) WHERE k <= 200 GROUP BY w
+  UNION ALL SELECT 'a', w, count(*), CAST(sum(least(n, 250) * 31 + length(name)) AS BIGINT) FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY album) AS k FROM (SELECT doc_id // 500 AS w, source || ' & ' || lang || '!' AS name, source || lang AS album, count(*) AS n FROM documents GROUP BY ALL)) WHERE k <= 20 GROUP BY w""", catalogue=False)
+def overlays_decoded(spark, sf_dir):
+    """Corrections and albums of workspaces of 500 documents each, encoded to one text a workspace and decoded again."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang", F.floor(F.col("doc_id") / 500).alias("workspace_id"))
+    row = lambda tag: ["workspace_id", F.concat(F.lit("f"), "doc_id").alias("file_id"), tag.cast("long").alias("tag_id"), F.col("doc_id").alias("pos")]
+    albums = d.groupBy("workspace_id", F.concat("source", "lang").alias("album_id"), F.concat("source", F.lit(" & "), "lang", F.lit("!")).alias("name")).agg(F.array_sort(F.collect_list(F.concat(F.lit("f"), "doc_id"))).alias("file_ids"))
+    wire = tenancy.encode_overlays(d.select(*row(F.col("n_chars"))), d.filter("doc_id % 2 = 1").select(*row(F.col("n_chars") * 7)), albums)
+    got = tenancy.decode_overlays(wire, escaped=False)
+    pairs = lambda t: F.sum(F.expr("CAST(substr(file_id, 2) AS LONG)") * 31 + F.col("tag_id"))
+    parts = [got[t].groupBy("workspace_id").agg(F.count("*").alias("n"), pairs(t).alias("total")).withColumn("part", F.lit(p)) for t, p in (("removals", "r"), ("additions", "t"))]
+    parts.append(got["albums"].groupBy("workspace_id").agg(F.count("*").alias("n"), F.sum(F.size("file_ids") * 31 + F.length("name")).alias("total")).withColumn("part", F.lit("a")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("part", F.col("workspace_id").alias("w"), "n", "total")
+
+
 @query("SELECT shown, count(*) AS n FROM (SELECT CASE WHEN media_type IN ('image', 'video') THEN 'media' ELSE 'other' END AS shown FROM indexed) GROUP BY shown")
 def media_or_not(c):
     a, b = sel.media_split(c.indexed)
