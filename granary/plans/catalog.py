@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.text_index import TextIndex
-from granary.session import materialize, scratch, table
+from granary.session import materialize, scratch, stamp, table
 
 #: Schemas of the stored tables, declared and never inferred.
 SCHEMAS = {
@@ -121,16 +121,17 @@ class Projected(Catalog):
 
     Every table is projected when it is first read, written once for a session and folder, and
     read from there by all later queries, so the texts are hashed and searched once and not in
-    every branch of every plan. Input tables are taken as fixed while the session lasts.
+    every branch of every plan. Input tables that are rewritten are projected anew by the next catalogue of the folder.
     """
 
-    _written: dict[tuple[str, str, str], DataFrame | TextIndex] = {}
+    _written: dict[tuple, DataFrame | TextIndex] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._of = (spark.sparkContext.applicationId, sf_dir, *[stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")])
 
     def _once(self, name: str, make) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (*self._of, name)
         if key not in self._written:
             self._written[key] = materialize(make(), f"catalog-{name}")
         return self._written[key]
@@ -193,7 +194,7 @@ class Projected(Catalog):
 
     @property
     def text_index(self) -> TextIndex:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, "text_index")
+        key = (*self._of, "text_index")
         if key not in self._written:
             index = TextIndex(self.spark, scratch(self.spark, "catalog-text-index"))
             index.add(self.text_block)

@@ -73,6 +73,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, ...]:
+    """What changes when a table is rewritten or grows: the time of its file or folder, its bytes, and how many files it has."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(at)
+    return fs.getFileStatus(at).getModificationTime(), held.getLength(), held.getFileCount()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
