@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,23 +88,25 @@ BUCKET = "key string, at double, allowed boolean, left double"
 def token_bucket(requests: DataFrame, *, rate: float = 0.5, size: float = 5.0, daily: int | None = None) -> DataFrame:
     """Limit requests(key string, at double) of each key; state per key survives restarts of a stream.
 
-    ``daily`` caps the requests of a UTC day besides.
+    ``daily`` caps the requests of a UTC day besides. A batch's requests of a key are taken by time,
+    however many Arrow batches Spark hands them over in: their times are put together and sorted first.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last, day, used = state.get if state.exists else (size, 0.0, -1, 0)
-        for pdf in parts:
-            rows = []
-            for at in pdf["at"].sort_values(kind="stable"):
-                if int(at // 86400) != day:
-                    day, used = int(at // 86400), 0
-                ok, tokens = take_tokens(tokens, last, at, rate=rate, size=size)
-                if ok and daily is not None and used >= daily:
-                    ok, tokens = False, tokens + 1
-                used += ok
-                last = at
-                rows.append((key[0], at, ok, tokens))
-            yield pd.DataFrame(rows, columns=["key", "at", "allowed", "left"])
+        times = np.sort(np.concatenate([pdf["at"].to_numpy() for pdf in parts]))
+        oks, lefts = [], []
+        for at in times.tolist():
+            if int(at // 86400) != day:
+                day, used = int(at // 86400), 0
+            ok, tokens = take_tokens(tokens, last, at, rate=rate, size=size)
+            if ok and daily is not None and used >= daily:
+                ok, tokens = False, tokens + 1
+            used += ok
+            last = at
+            oks.append(ok)
+            lefts.append(tokens)
+        yield pd.DataFrame({"key": key[0], "at": times, "allowed": oks, "left": lefts})
         state.update((tokens, last, day, used))
 
     return requests.groupBy("key").applyInPandasWithState(run, BUCKET, "tokens double, last double, day long, used long", "append", GroupStateTimeout.NoTimeout)

@@ -96,6 +96,27 @@ def test_token_bucket_keeps_state(spark, tmp_path):
     assert got["b", 0.0] and len(seen) == 7
 
 
+def test_token_bucket_takes_a_key_by_time_over_arrow_batches(spark, tmp_path):
+    times = [(i * 7919 % 600) * 1800.0 for i in range(600)]  # out of order
+    spark.createDataFrame([(k, at) for at in times for k in "ab"], "key string, at double").coalesce(1).write.parquet(str(tmp_path / "r"))
+    calls = streams.token_bucket(spark.readStream.schema("key string, at double").parquet(str(tmp_path / "r")), rate=1 / 3600, size=2.0, daily=5)
+    seen: list = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        calls.writeStream.foreachBatch(lambda df, _: seen.extend(tuple(r)[:3] for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tokens, last, day, used, want = 2.0, 0.0, -1, 0, []
+    for at in sorted(times):
+        day, used = (day, used) if at // 86400 == day else (at // 86400, 0)
+        ok, left = streams.take_tokens(tokens, last, at, rate=1 / 3600, size=2.0)
+        capped = ok and used >= 5
+        tokens, last, used = left + capped, at, used + (ok and not capped)
+        want.append((at, ok and not capped))
+    for k in "ab":
+        assert sorted((at, ok) for key, at, ok in seen if key == k) == want
+
+
 def test_entry_names():
     import __spark_entry__ as e
 
