@@ -2,10 +2,10 @@
 
 A folder holds one sub-folder for each segment:
 
-* ``postings/bucket=…``: term, key, tf, len, words (the numbers of the words it stands in), sorted by
-  term. The bucket is a hash of a term's first two letters, so a term and all terms with one
-  prefix lie in one folder, where Parquet's statistics skip the row groups of other terms. Frequent
-  terms span several files.
+* ``postings/bucket=…``: term, key, tf, len, words (the numbers of the words it stands in). The bucket is a
+  hash of a term's first two letters, so a term and all terms with one prefix lie in one folder. Each
+  task writes the postings of its share of the texts as a file in each bucket, sorted by term, so that Parquet's
+  statistics skip the pages of other terms; only texts are shuffled, never postings.
 * ``docs``: key and len of the segment's documents.
 * ``gone``: keys that the segment takes out of older segments, with the length they had.
 * ``meta``: one row with totals, written last; a segment without it was not committed and is not read.
@@ -15,8 +15,11 @@ Searches read postings and totals only, never a text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,10 @@ from granary.session import remove
 
 #: Letters of a term that choose its bucket, and the shortest prefix that is found in one bucket.
 LEAD = 2
-BUCKETS = 64
+BUCKETS = 32
+#: Bytes of text that a task turns into postings and sorts, and keys taken out of older segments that are broadcast at most.
+SHARE = 16 << 20
+MOST_GONE = 1_000_000
 
 _META = "segment long, keys long, tokens long, gone_keys long, gone_tokens long, replaces array<long>"
 
@@ -35,11 +41,25 @@ def _bucket(term: Column) -> Column:
 
 
 def postings_of(blocks: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
-    """(term, key, tf, len, words): a row for each term of each block, with the numbers of the words, from 0, that hold it."""
-    # lengths stand below the generators, which would else have them computed once for each word
-    t = blocks.select(F.col(key).alias("key"), F.size(tokens(F.col(body))).cast("long").alias("len"), F.split(F.trim(body), r"\s+").alias("ws"))
-    t = t.select("key", "len", F.posexplode("ws").alias("word", "w")).select("key", "len", "word", F.explode(tokens(F.col("w"))).alias("term"))
-    return t.groupBy("term", "key", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("word")).alias("words"))
+    """(term, key, tf, len, words): a row for each term of each block, with the numbers of the words, from 0, that hold it.
+
+    A block is one row, so its terms are grouped where it stands, without a shuffle.
+    """
+    ws = F.split(folded(F.trim(body)), r"\s+")
+    runs = lambda w: F.regexp_extract_all(w, F.lit(r"([\p{L}\p{N}]+)"))
+    found = F.flatten(F.transform(ws, lambda w, i: F.transform(runs(w), lambda t: F.struct(t.alias("term"), i.alias("word")))))
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(1)
+            flat = at.flatten()
+            t = pa.table({"doc": pc.list_parent_indices(at), "term": flat.field("term"), "word": flat.field("word")})
+            g = t.group_by(["doc", "term"], use_threads=False).aggregate([("word", "list")])  # in order of the words
+            doc, words = g["doc"].combine_chunks(), g["word_list"].combine_chunks()
+            tf, size = pc.list_value_length(words).cast(pa.int64()), pc.list_value_length(at).cast(pa.int64())
+            yield from pa.table([g["term"], b.column(0).take(doc), tf, size.take(doc), words], names=["term", "key", "tf", "len", "words"]).to_batches(max_chunksize=100_000)
+
+    return blocks.select(F.col(key).alias("key"), found.alias("at")).mapInArrow(group, "term string, key string, tf long, len long, words array<int>")
 
 
 class TextIndex:
@@ -86,16 +106,23 @@ class TextIndex:
         return out
 
     def _write_postings(self, postings: DataFrame, n: int) -> None:
-        # a range over term and key: a frequent term is dealt to several tasks and files
-        dealt = postings.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
+        dealt = postings.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "key")
         dealt.write.partitionBy("bucket").parquet(f"{self.path}/{n}/postings")
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Texts in shares whose postings a task sorts in memory."""
+        held = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(max(math.ceil(held / SHARE), min(cores, math.ceil(held / (1 << 20))), 1), "key")
+
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows of keys that no later segment takes out."""
         with_gone = [n for n, m in self.segments().items() if m["gone_keys"]]
         if not with_gone:
             return rows
         gone = self._read("gone", with_gone).groupBy("key").agg(F.max("segment").alias("_until"))
+        if sum(self.segments()[n]["gone_keys"] for n in with_gone) <= MOST_GONE:
+            gone = F.broadcast(gone)  # a checked size; more keys are shuffled with the rows
         return rows.join(gone, "key", "left").filter(F.col("_until").isNull() | (F.col("segment") >= F.col("_until"))).drop("_until")
 
     # --- changes
@@ -105,7 +132,7 @@ class TextIndex:
         known = list(self.segments())
         n = self._next()
         rows = blocks.select(F.col(key).cast("string").alias("key"), F.coalesce(body, F.lit("")).alias("body"))
-        self._write_postings(postings_of(rows), n)
+        self._write_postings(postings_of(self._dealt(rows)), n)
         rows.select("key", F.size(tokens(F.col("body"))).cast("long").alias("len")).write.parquet(f"{self.path}/{n}/docs")
         new = self._read("docs", [n]).select("key")
         self._live(self._read("docs", known)).join(new, "key", "left_semi").select("key", "len").write.parquet(f"{self.path}/{n}/gone")

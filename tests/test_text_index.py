@@ -80,6 +80,16 @@ def test_searches_read_one_bucket_and_no_text(spark, index):
     assert read
 
 
+def test_postings_are_not_shuffled(spark, index):
+    blocks = _blocks(spark, {"a": "one two one", "b": None, "c": " ", "d": "Two"}).withColumnRenamed("asset_id", "key")
+    got = postings_of(blocks)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [("one", "a", 2, 3, [0, 2]), ("two", "a", 1, 3, [1]), ("two", "d", 1, 1, [0])]
+    index.add(_blocks(spark, {f"k{i}": f"common word{i}" for i in range(40)}))
+    files = index.postings(["common"]).inputFiles()
+    assert files and index.holding(["common"]).count() == 40
+
+
 def test_snippets_mark_the_words_of_the_index(spark, index):
     texts = {"a": "Zero one two Thén, four five six seven then nine ten eleven twelve thirteen fourteen", "b": "then", "c": "no"}
     index.add(_blocks(spark, texts))
