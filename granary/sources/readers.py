@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import identity
+from granary.session import materialize
 
 #: A bound in bytes that callers may set, the characters of both ends that are kept beyond it, what stands between.
 LONG_TEXT, EACH_END, GAP = 800_000, 100_000, "\n[...]\n"
@@ -27,18 +29,102 @@ def _windows() -> tuple[str, str]:
 _WINDOWS = _windows()
 
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def _filesystem(path: str):
+    """The file system of a folder and its path there; none where Spark's readers alone know the scheme."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else re.sub(r"^(\w+):/*", r"\1:///", path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ImportError):
+        return None
+
+
+#: Files and bytes that a task holds at once, and files that a task reads.
+AT_ONCE, BYTES_AT_ONCE, FILES_OF_A_TASK = 1000, 8 << 20, 2000
+
+_FOUND = "path string, folder boolean, modified long, length long"
+
+
+def _shown(path: str) -> bool:
+    """Whether Spark's readers see a name: none that begins with a point or an underscore."""
+    name = path.rpartition("/")[2]
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def _walked(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modified, length) of the files below a folder, listed by tasks, a level of folders at a time.
+
+    Neither names nor states of files come to the driver, which only asks whether a level has folders.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, _ = _filesystem(path)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                held = where.get_file_info(fs.FileSelector(folder))
+                for i in range(0, len(held), 10 * AT_ONCE):
+                    rows = [(f.path, f.type == fs.FileType.Directory, (f.mtime_ns or 0) // 1000, f.size or 0) for f in held[i:i + 10 * AT_ONCE] if _shown(f.path)]
+                    columns = list(zip(*rows, strict=True)) or [()] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["path", "folder", "modified", "length"])
+
+    level, files = spark.createDataFrame([(_filesystem(path)[1].rstrip("/") or "/",)], "path string"), []
+    while not level.isEmpty():
+        found = materialize(level.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(look, _FOUND), "listed")
+        files.append(found.filter("NOT folder AND length > 0"))
+        level = found.filter("folder").select("path")
+    return reduce(DataFrame.unionByName, files).drop("folder")
+
+
+def _binary(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """(path, modificationTime, length, content) of the files below a folder, as Spark's binaryFile has them.
+
+    Spark's reader keeps the state of every file on the driver, so tasks list the folders and open the files
+    themselves; it only serves schemes that Arrow does not know.
+    """
+    held = _filesystem(path)
+    if held is None:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    scheme, host = re.match(r"(?:(\w+):)?(?://([^/]*))?", path).groups()
+    prefix = "file:" if scheme in (None, "file") else f"{scheme}://{host or ''}" if held[1].startswith("/") else f"{scheme}://"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = _filesystem(path)
+
+        def out(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "modified", "length", "content"])
+
+        rows, size = [], 0
+        for b in batches:
+            for at, modified, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = None
+                if content:
+                    with where.open_input_stream(at, compression=None) as f:
+                        data = f.read()
+                rows.append((prefix + at, modified, length, data))
+                size += len(data or b"")
+                if len(rows) >= AT_ONCE or size >= BYTES_AT_ONCE:
+                    yield out(rows)
+                    rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    files = _walked(spark, path).select("path", "modified", "length")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-files.count() // FILES_OF_A_TASK)) if content else None
+    files = files.repartition(tasks, "path") if tasks else files
+    got = files.mapInArrow(read, "path string, modified long, length long, content binary")
+    return got.select("path", F.timestamp_micros("modified").alias("modificationTime"), "length", "content")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(root, rel_path, parent_rel, name, ext, size_bytes, mtime_ns) of the indexable files below a folder.
 
-    The content column is pruned, so no file is opened. Empty, hidden and unknown files are left out.
+    No file is opened. Empty, hidden and unknown files are left out.
     """
     root = path.rstrip("/")
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^.*?" + re.escape(re.sub(r"^\w+:/*", "/", root)) + "/", "")
-    f = _binary(spark, path).select(F.lit(root).alias("root"), rel.alias("rel_path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    rel = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^\w+:/*", "/", root)) + "/", "")
+    f = _binary(spark, path, content=False).select(F.lit(root).alias("root"), rel.alias("rel_path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
     name = F.regexp_extract("rel_path", r"[^/]*$", 0)
     return f.filter((F.col("size_bytes") > 0) & identity.indexable(F.col("rel_path"))).select("root", "rel_path", F.regexp_replace("rel_path", r"/?[^/]*$", "").alias("parent_rel"), name.alias("name"), identity.extension(name).alias("ext"), "size_bytes", "mtime_ns")
 
@@ -136,12 +222,14 @@ def write_files(rows: DataFrame, out: str) -> None:
     """Write each row (path, content) as one file below the shared folder ``out``; tasks that run twice write the same file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        where, base = fs.FileSystem.from_uri(out if "://" in out or out.startswith("/") else re.sub(r"^(\w+):/*", r"\1:///", out))
+        where, base = _filesystem(out)
+        made = set()
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                where.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                folder = f"{base}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    where.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with where.open_output_stream(f"{base}/{path}", compression=None) as f:
                     f.write(content)
             yield b.select(["path"])

@@ -29,6 +29,23 @@ def test_listing_and_identity(spark, tmp_path):
     assert text["a.txt"] == "hello"
 
 
+def test_folders_are_listed_by_tasks_as_sparks_reader_does(spark, tmp_path):
+    root = tmp_path / "l%b é"
+    for n in ("a.txt", "d 1/ü+%41.txt", "d 1/e/f#g.txt", "_h/x.txt", ".k/x.txt", "d 1/_y.txt", "d 1/p=1/_z=1.txt"):
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text(n)
+    (root / "empty.txt").write_text("")
+    for path in (str(root), f"file://{tmp_path}/plain"):
+        (tmp_path / "plain").mkdir(exist_ok=True)
+        (tmp_path / "plain" / "b.txt").write_text("b")
+        want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        got = readers._binary(spark, path)
+        rows = lambda df: {(r["path"], r["length"], bytes(r["content"]), int(r["modificationTime"].timestamp())) for r in df.collect()}
+        assert rows(got) == rows(want) and got.count() > 0
+        assert {r["rel_path"] for r in readers.listing(spark, path).collect()} == ({"a.txt", "d 1/ü+%41.txt", "d 1/e/f#g.txt", "d 1/p=1/_z=1.txt"} if "plain" not in path else {"b.txt"})
+        assert not got.inputFiles() or all("listed-" in f for f in got.inputFiles())  # no file of the folder is known to the driver
+
+
 def test_plain_text_encodings(spark, tmp_path):
     for n, b in (("u8", "é".encode()), ("u16", "é".encode("utf-16")), ("cp", "é€".encode("cp1252")), ("long", b"x" * 900_000)):
         (tmp_path / f"{n}.txt").write_bytes(b)
