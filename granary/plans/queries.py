@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import classify, colour, patterns, people
 from granary.functions import text as tx
-from granary.operators import digest, facets, graph, reconcile, review, tenancy
+from granary.operators import digest, facets, graph, reconcile, review, tenancy, text_index
 from granary.operators import selection as sel
 from granary.operators.selection import ColourRule, FilterSpec, Scope
 from granary.plans import catalog as cat
@@ -183,7 +183,8 @@ def v_library(c):
 # --- text
 
 def inverted_index_postings(c):
-    return _long(tx.inverted_index(c.text_block), "len").select("asset_id", "term", "tf", "len")
+    """Postings grouped where their text stands; no word is shuffled."""
+    return text_index.postings_of(c.text_block, "asset_id").select(F.col("key").alias("asset_id"), "term", "tf", "len")
 
 
 @query(f"SELECT asset_id, word AS term, CAST(count(*) AS BIGINT) AS tf, len FROM (SELECT asset_id, unnest({TOKENS}) AS word, CAST(len({TOKENS}) AS BIGINT) AS len FROM text_block) GROUP BY ALL HAVING count(*) >= 20")
