@@ -320,7 +320,7 @@ def _docx(text: pd.Series) -> pd.Series:
 def _contents(spark, sf_dir):
     """Three files of each customer: its comment-like line as text, the same as DOCX, and a damaged DOCX."""
     docx = F.pandas_udf(_docx, "binary")
-    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.concat_ws(" ", F.lit("invoice number"), F.col("c_custkey").cast("string"), F.lit("amount due for"), "c_name").alias("line"))
+    cust = table(spark, sf_dir, "customer", spread=True).select(F.col("c_custkey").cast("string").alias("k"), F.concat_ws(" ", F.lit("invoice number"), F.col("c_custkey").cast("string"), F.lit("amount due for"), "c_name").alias("line"))
     each = F.explode(F.array(F.struct(F.lit("txt").alias("ext"), F.col("line").cast("binary").alias("content")), F.struct(F.lit("docx").alias("ext"), docx("line").alias("content")), F.struct(F.lit("pptx").alias("ext"), F.lit(b"PK damaged").alias("content")))).alias("x")
     return cust.select("k", "line", each).select("k", "line", "x.ext", "x.content")
 

@@ -189,3 +189,9 @@ def test_synthetic_catalogue_has_conditional_tags_and_grants(spark):
     assert members.count() == 5 and grants.count() == 10 and grants.collect() == readers.synthetic_workspaces(spark, 5)[1].collect()
     shown = tenancy.visible(f.withColumn("library_id", F.lit("l1")).withColumn("media_type", F.lit("document")), spark.createDataFrame([], "file_id long, name string"), grants)
     assert shown.count() > 0
+
+
+def test_contents_of_customers_are_made_on_all_cores(spark):
+    from granary.plans import more
+
+    assert more._contents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
