@@ -6,7 +6,7 @@ A folder holds one sub-folder for each segment:
   hash of a term's first two letters, so a term and all terms with one prefix lie in one folder. Each
   task writes the postings of its share of the texts as a file in each bucket, sorted by term, so that Parquet's
   statistics skip the pages of other terms; only texts are shuffled, never postings.
-* ``docs``: key and len of the segment's documents.
+* ``postings/bucket=-1``: a row without a term for each document, with its key and len, written in the same pass.
 * ``gone``: keys that the segment takes out of older segments, with the length they had.
 * ``meta``: one row with totals, written last; a segment without it was not committed and is not read.
 
@@ -18,12 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import folded, tokens
+from granary.functions.text import folded
 from granary.session import remove
 
 #: Letters of a term that choose its bucket, and the shortest prefix that is found in one bucket.
@@ -32,34 +33,57 @@ BUCKETS = 32
 #: Bytes of text that a task turns into postings and sorts, and keys taken out of older segments that are broadcast at most.
 SHARE = 16 << 20
 MOST_GONE = 1_000_000
+#: Tokens whose postings a merge sorts in one task, about those of a share; texts that are split at once.
+SHARE_TOKENS = SHARE // 6
+TEXTS = 1000
+#: Stands for the characters between two terms of a word.
+MARK = "\x01"
 
 _META = "segment long, keys long, tokens long, gone_keys long, gone_tokens long, replaces array<long>"
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(F.left(term, F.lit(LEAD))), F.lit(BUCKETS)).cast("int")
-
-
-def postings_of(blocks: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
+    """The folder of a term; rows without one, which stand for documents, have a folder of their own."""
+    return F.when(term.isNull(), -1).otherwise(F.pmod(F.xxhash64(F.left(term, F.lit(LEAD))), F.lit(BUCKETS))).cast("int")
+
+
+def _grouped(key: pa.Array, text: pa.Array, docs: bool) -> Iterator[pa.Table]:
+    """The postings of some texts, whose words are parted by blanks and the terms of a word by marks."""
+    words = pc.split_pattern(text, " ")
+    runs = pc.split_pattern(words.flatten(), MARK)
+    some = pc.not_equal(runs.flatten(), "")
+    term = runs.flatten().filter(some).dictionary_encode()
+    code, word = term.indices.to_numpy(), pc.list_parent_indices(runs).filter(some).to_numpy()
+    doc = pc.list_parent_indices(words).to_numpy()[word]
+    size = np.bincount(doc, minlength=len(key))
+    group = doc.astype("int64") * len(term.dictionary) + code
+    order = np.argsort(group, kind="stable")  # in order of the words
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    ends = np.append(first, len(order))
+    at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((word - words.offsets.to_numpy()[doc])[order], pa.int32()))
+    names, one = ["term", "key", "tf", "len", "words"], order[first]
+    yield pa.table([term.dictionary.take(pa.array(code[one])), key.take(pa.array(doc[one])), pa.array(np.diff(ends), pa.int64()), pa.array(size[doc[one]], pa.int64()), at], names=names)
+    if docs:
+        n, none = len(key), pa.array(np.zeros(len(key) + 1), pa.int32())
+        yield pa.table([pa.nulls(n, pa.string()), key, pa.array(np.zeros(n), pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(none, pa.array([], pa.int32()))], names=names)
+
+
+def postings_of(blocks: DataFrame, key: str = "key", body: str = "body", *, docs: bool = False) -> DataFrame:
     """(term, key, tf, len, words): a row for each term of each block, with the numbers of the words, from 0, that hold it.
 
-    A block is one row, so its terms are grouped where it stands, without a shuffle.
+    A block is one row, so its terms are grouped where it stands, without a shuffle. The text is folded and its letters
+    are told from other characters on the JVM, once for a whole text; Arrow splits it. ``docs`` adds a row without a term for each block.
     """
-    ws = F.split(folded(F.trim(body)), r"\s+")
-    runs = lambda w: F.regexp_extract_all(w, F.lit(r"([\p{L}\p{N}]+)"))
-    found = F.flatten(F.transform(ws, lambda w, i: F.transform(runs(w), lambda t: F.struct(t.alias("term"), i.alias("word")))))
+    marked = F.regexp_replace(folded(F.trim(F.coalesce(body, F.lit("")))), r"[^\p{L}\p{N}\s]+", MARK)
+    parted = F.regexp_replace(marked, r"\s+", " ")
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(1)
-            flat = at.flatten()
-            t = pa.table({"doc": pc.list_parent_indices(at), "term": flat.field("term"), "word": flat.field("word")})
-            g = t.group_by(["doc", "term"], use_threads=False).aggregate([("word", "list")])  # in order of the words
-            doc, words = g["doc"].combine_chunks(), g["word_list"].combine_chunks()
-            tf, size = pc.list_value_length(words).cast(pa.int64()), pc.list_value_length(at).cast(pa.int64())
-            yield from pa.table([g["term"], b.column(0).take(doc), tf, size.take(doc), words], names=["term", "key", "tf", "len", "words"]).to_batches(max_chunksize=100_000)
+            for i in range(0, b.num_rows, TEXTS):
+                for t in _grouped(b.column(0).slice(i, TEXTS), b.column(1).slice(i, TEXTS), docs):
+                    yield from t.to_batches(max_chunksize=100_000)
 
-    return blocks.select(F.col(key).alias("key"), found.alias("at")).mapInArrow(group, "term string, key string, tf long, len long, words array<int>")
+    return blocks.select(F.col(key).cast("string").alias("key"), parted.alias("parted")).mapInArrow(group, "term string, key string, tf long, len long, words array<int>")
 
 
 class TextIndex:
@@ -98,22 +122,26 @@ class TextIndex:
         self._meta = None
 
     def _read(self, what: str, segments: Sequence[int]) -> DataFrame:
-        schema = {"docs": "key string, len long", "gone": "key string, len long", "postings": "term string, key string, tf long, len long, words array<int>, bucket int"}[what]
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{n}/{what}").withColumn("segment", F.lit(n).cast("long")) for n in segments]
+        schema = {"gone": "key string, len long"}.get(what, "term string, key string, tf long, len long, words array<int>, bucket int")
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{n}/{'gone' if what == 'gone' else 'postings'}").withColumn("segment", F.lit(n).cast("long")) for n in segments]
         out = parts[0] if parts else self.spark.createDataFrame([], schema + ", segment long")
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
+        if what == "docs":
+            return out.filter("bucket = -1").select("key", "len", "segment")
+        return out.filter("bucket >= 0") if what == "postings" else out
 
     def _write_postings(self, postings: DataFrame, n: int) -> None:
-        dealt = postings.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "key")
+        dealt = postings.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term")
         dealt.write.partitionBy("bucket").parquet(f"{self.path}/{n}/postings")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         """Texts in shares whose postings a task sorts in memory."""
         held = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(max(math.ceil(held / SHARE), min(cores, math.ceil(held / (1 << 20))), 1), "key")
+        return rows.repartition(self._shares(held, SHARE), "key")
+
+    def _shares(self, held: int, share: int) -> int:
+        return max(math.ceil(held / share), min(self.spark.sparkContext.defaultParallelism, math.ceil(16 * held / share)), 1)
 
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows of keys that no later segment takes out."""
@@ -132,8 +160,7 @@ class TextIndex:
         known = list(self.segments())
         n = self._next()
         rows = blocks.select(F.col(key).cast("string").alias("key"), F.coalesce(body, F.lit("")).alias("body"))
-        self._write_postings(postings_of(self._dealt(rows)), n)
-        rows.select("key", F.size(tokens(F.col("body"))).cast("long").alias("len")).write.parquet(f"{self.path}/{n}/docs")
+        self._write_postings(postings_of(self._dealt(rows), docs=True), n)
         new = self._read("docs", [n]).select("key")
         self._live(self._read("docs", known)).join(new, "key", "left_semi").select("key", "len").write.parquet(f"{self.path}/{n}/gone")
         self._commit(n)
@@ -143,8 +170,6 @@ class TextIndex:
         known = list(self.segments())
         n = self._next()
         wanted = keys.select(F.col(key).cast("string").alias("key"))
-        none = self._read("docs", []).select("key", "len")
-        none.write.parquet(f"{self.path}/{n}/docs")
         self._write_postings(postings_of(self.spark.createDataFrame([], "key string, body string")), n)
         self._live(self._read("docs", known)).join(wanted, "key", "left_semi").select("key", "len").write.parquet(f"{self.path}/{n}/gone")
         self._commit(n)
@@ -155,9 +180,10 @@ class TextIndex:
         if len(known) < 2:
             return
         n = self._next()
-        self._write_postings(self._live(self._read("postings", known)).drop("segment", "bucket"), n)
-        self._live(self._read("docs", known)).select("key", "len").write.parquet(f"{self.path}/{n}/docs")
-        self._read("docs", []).select("key", "len").write.parquet(f"{self.path}/{n}/gone")
+        # files of a segment are read many to a task, so that there are as many new ones as in a segment of as many texts
+        shares = self._shares(sum(self.segments()[x]["tokens"] for x in known), SHARE_TOKENS)
+        self._write_postings(self._live(self._read("all", known)).drop("segment", "bucket").coalesce(shares), n)
+        self._read("gone", []).select("key", "len").write.parquet(f"{self.path}/{n}/gone")
         self._commit(n, known)
         for old in known:
             remove(self.spark, f"{self.path}/{old}/meta")  # first, so that a half deleted segment is never read

@@ -90,6 +90,23 @@ def test_postings_are_not_shuffled(spark, index):
     assert files and index.holding(["common"]).count() == 40
 
 
+def test_a_merged_index_has_no_more_files_than_one_segment(spark, index):
+    texts = {f"k{i}": "\n a\x01b  c-d\x0be " + " ".join(f"{chr(97 + j % 26)}{chr(97 + i % 26)}{j}" for j in range(50)) for i in range(60)} | {"none": None}
+    for part in range(3):
+        index.add(_blocks(spark, {k: v for i, (k, v) in enumerate(texts.items()) if i % 3 == part}))
+    index.merge()
+    assert _held(index) == _brute(texts) and index.totals()[0] == 61
+    assert len(index.postings().inputFiles()) <= 33  # one in each bucket, and the documents'
+
+
+def test_a_text_is_split_in_one_pass_for_postings_and_documents(spark, index):
+    plan = postings_of(_blocks(spark, {"a": "one two"}), "asset_id")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    index.add(_blocks(spark, {"a": "one two one", "b": " "}))
+    assert {(r["key"], r["len"]) for r in index._read("docs", [1]).collect()} == {("a", 3), ("b", 0)}
+    assert not index._fs(index.path)[0].exists(index._fs(f"{index.path}/1/docs")[1])  # no second pass wrote them
+
+
 def test_snippets_mark_the_words_of_the_index(spark, index):
     texts = {"a": "Zero one two Thén, four five six seven then nine ten eleven twelve thirteen fourteen", "b": "then", "c": "no"}
     index.add(_blocks(spark, texts))
