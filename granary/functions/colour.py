@@ -11,8 +11,13 @@ HUES = ((12, "red"), (42, "orange"), (72, "yellow"), (165, "green"), (200, "teal
 NEUTRAL = 12.0
 
 
-def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """CIELAB of sRGB channels 0..255."""
+def _let(body, **values: Column) -> Column:
+    """``body`` of a struct of values that are computed once for a row, however often the body names them."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
+def lab_struct(r: Column, g: Column, b: Column) -> Column:
+    """(l, a, b): CIELAB of sRGB channels 0..255."""
     def linear(c):
         c = c / 255.0
         return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, 2.4))
@@ -20,10 +25,27 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     def f(t):
         return F.when(t > 0.008856, F.pow(t, 1 / 3)).otherwise(7.787 * t + 16 / 116)
 
-    r, g, b = linear(r), linear(g), linear(b)
-    x, y, z = (r * 0.4124 + g * 0.3576 + b * 0.1805) * 100, (r * 0.2126 + g * 0.7152 + b * 0.0722) * 100, (r * 0.0193 + g * 0.1192 + b * 0.9505) * 100
-    fx, fy, fz = f(x / WHITE[0]), f(y / WHITE[1]), f(z / WHITE[2])
-    return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
+    def whole(v):
+        return _let(xyz, r=linear(v["r"]), g=linear(v["g"]), b=linear(v["b"]))
+
+    def xyz(v):
+        r, g, b = v["r"], v["g"], v["b"]
+        x, y, z = (r * 0.4124 + g * 0.3576 + b * 0.1805) * 100, (r * 0.2126 + g * 0.7152 + b * 0.0722) * 100, (r * 0.0193 + g * 0.1192 + b * 0.9505) * 100
+        return _let(cubes, x=x / WHITE[0], y=y / WHITE[1], z=z / WHITE[2])
+
+    def cubes(v):
+        return _let(axes, x=f(v["x"]), y=f(v["y"]), z=f(v["z"]))
+
+    def axes(v):
+        return F.struct((116 * v["y"] - 16).alias("l"), (500 * (v["x"] - v["y"])).alias("a"), (200 * (v["y"] - v["z"])).alias("b"))
+
+    return _let(whole, r=r, g=g, b=b)
+
+
+def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """CIELAB of sRGB channels 0..255 as three columns; ``lab_struct`` computes them once."""
+    v = lab_struct(r, g, b)
+    return v["l"], v["a"], v["b"]
 
 
 def lab_to_rgb(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -46,13 +68,18 @@ def hue(r: Column, g: Column, b: Column) -> Column:
 
 def bucket(r: Column, g: Column, b: Column) -> Column:
     """The name of one of twelve colour groups of an sRGB colour."""
-    l, a, bb = lab(r, g, b)
-    chroma, h = F.hypot(a, bb), hue(r.cast("double"), g.cast("double"), b.cast("double"))
-    out = F.when((chroma < NEUTRAL) & (l < 22), "black").when((chroma < NEUTRAL) & (l > 85), "white").when(chroma < NEUTRAL, "gray").when(l < 12, "black")
-    out = out.when((h >= 12) & (h < 55) & (l < 60) & (chroma < 60), "brown")
-    for limit, name in HUES:
-        out = out.when((h < limit) & (l > 70) & (chroma < 45), "pink").when(h < limit, name) if name == "red" else out.when(h < limit, name)
-    return out.otherwise("red")
+    def measures(v):
+        return _let(lambda m: _let(name, l=m["lab"]["l"], chroma=F.hypot(m["lab"]["a"], m["lab"]["b"]), h=m["h"]), lab=lab_struct(v["r"], v["g"], v["b"]), h=hue(v["r"].cast("double"), v["g"].cast("double"), v["b"].cast("double")))
+
+    def name(v):
+        l, chroma, h = v["l"], v["chroma"], v["h"]
+        out = F.when((chroma < NEUTRAL) & (l < 22), "black").when((chroma < NEUTRAL) & (l > 85), "white").when(chroma < NEUTRAL, "gray").when(l < 12, "black")
+        out = out.when((h >= 12) & (h < 55) & (l < 60) & (chroma < 60), "brown")
+        for limit, group in HUES:
+            out = out.when((h < limit) & (l > 70) & (chroma < 45), "pink").when(h < limit, group) if group == "red" else out.when(h < limit, group)
+        return out.otherwise("red")
+
+    return _let(measures, r=r, g=g, b=b)
 
 
 def rgb(hex_: Column) -> tuple[Column, Column, Column]:

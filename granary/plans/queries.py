@@ -642,11 +642,16 @@ LAB = f"""SELECT hex, round(116 * fy - 16, 4) AS l, round(500 * (fx - fy), 4) AS
   SELECT hex, {', '.join(f"CASE WHEN {n} <= 0.04045 THEN {n} / 12.92 ELSE pow(({n} + 0.055) / 1.055, 2.4) END AS {n}" for n in 'rgb')} FROM (SELECT DISTINCT hex, {', '.join(f"{_channel(i)} / 255.0::DOUBLE AS {n}" for n, i in zip('rgb', (1, 3, 5), strict=True))} FROM color))))"""
 
 
+def _hexes(c):
+    """The stored colours, once each, dealt to all cores: few bytes, but much to compute."""
+    h = c.color.select("hex").distinct()
+    return h.repartition(h.sparkSession.sparkContext.defaultParallelism, "hex")
+
+
 @query(LAB)
 def lab_values(c):
-    h = c.color.select("hex").distinct()
-    l, a, b = colour.lab(*colour.rgb(F.col("hex")))
-    return h.select("hex", F.round(l, 4).alias("l"), F.round(a, 4).alias("a"), F.round(b, 4).alias("b"))
+    v = _hexes(c).select("hex", colour.lab_struct(*colour.rgb(F.col("hex"))).alias("v"))
+    return v.select("hex", *[F.round(f"v.{x}", 4).alias(x) for x in "lab"])
 
 
 BUCKET = f"""SELECT hex, CASE WHEN chroma < 12 AND l < 22 THEN 'black' WHEN chroma < 12 AND l > 85 THEN 'white' WHEN chroma < 12 THEN 'gray' WHEN l < 12 THEN 'black' WHEN h >= 12 AND h < 55 AND l < 60 AND chroma < 60 THEN 'brown'
@@ -658,7 +663,7 @@ BUCKET = f"""SELECT hex, CASE WHEN chroma < 12 AND l < 22 THEN 'black' WHEN chro
 @query(BUCKET)
 def lab_bucket(c):
     """The colour group of every stored colour."""
-    return c.color.select("hex").distinct().select("hex", colour.bucket(*colour.rgb(F.col("hex"))).alias("bucket"))
+    return _hexes(c).select("hex", colour.bucket(*colour.rgb(F.col("hex"))).alias("bucket"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_transform(range(9), lambda i: '0123456789bcdefghjkmnpqrstuvwxyz'[1 + CAST(list_sum(list_transform(range(5), lambda k:
