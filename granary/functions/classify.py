@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import patterns as pat
 from granary.functions import people as who
+from granary.session import materialize
 
 #: Least score and share of a verdict, score below which a model would be asked, weights, caps.
 MIN_SCORE, MIN_SHARE, ESCALATE_BELOW = 6.0, 0.34, 14.0
@@ -100,26 +101,28 @@ def lexicon(spark, vocabulary=VOCABULARY) -> DataFrame:
 def lexicon_scores(docs: DataFrame, lex: DataFrame, *, key: str = "file_id", longest: int = 5, scan: int | None = None) -> DataFrame:
     """(key, axis, category, place, score) of docs(key, name, ext, text).
 
-    A word meets the broadcast vocabulary as the head of terms, and only where it is one are the
-    words behind it put together, up to ``longest``, and compared. Other
+    Only words that are the heads of terms become rows, with the words behind them, up to
+    ``longest``, which are put together and compared with the broadcast vocabulary. Other
     characters are tokens of their own, so only white space may stand inside a term; the few
     terms with other characters are counted as they stand. Whole texts count, or their first ``scan`` characters.
     """
     low = F.lower(pat.scanned(F.col("text"), scan))
     toks = F.regexp_extract_all(low, F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0))
     w = [f"w{i}" for i in range(1, longest + 1)]
-    t = docs.select(key, toks.alias("t"))
-    ahead = F.arrays_zip(F.col("t").alias("w1"), *[F.slice("t", i, F.size("t")).alias(f"w{i}") for i in range(2, longest + 1)])
-    runs = t.select(key, F.inline(ahead)).toDF(key, *w).filter(F.col("w1").isNotNull())
     plain = F.col("term").rlike(r"(?U)^[\w\s]*$")
     terms = lex.filter("kind = 'term'").select("term", "axis", "category", "place", "weight")
     words = F.split("term", r"\s+")
     heads = F.broadcast(terms.filter(plain).withColumn("n", F.size(words)).withColumn("w1", F.get(words, F.lit(0))))
+    first = [r["w1"] for r in terms.filter(plain).select(F.get(words, F.lit(0)).alias("w1")).distinct().collect()]  # words of the vocabulary, which is broadcast too
+    at = F.filter(F.transform("t", lambda x, i: F.when(x.isin(first), i)), lambda i: i.isNotNull())
+    ahead = F.transform(at, lambda i: F.slice("t", i + 1, longest))
+    runs = docs.select(key, toks.alias("t")).select(key, F.explode(ahead).alias("a")).select(key, *[F.get("a", F.lit(i)).alias(x) for i, x in enumerate(w)])
     whole = F.element_at(F.array(*[F.concat_ws(" ", *w[:n]) for n in range(1, longest + 1)]), F.least("n", F.lit(longest)))
     found = runs.join(heads, "w1").filter((F.col("n") <= longest) & (F.get(F.array(*w), F.col("n") - 1).isNotNull()) & (whole == F.col("term")))
     hit = found.groupBy(key, "axis", "category", "place", "term", "weight").agg(F.count("*").alias("n"))
     odd = docs.select(key, low.alias("low")).crossJoin(F.broadcast(terms.filter(~plain)))
     n = F.regexp_count("low", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("term"), F.lit(r"\E(?!\w)"))).cast("long")
+    odd = odd.filter(F.contains("low", "term"))  # a search for bytes, before a pattern is compiled
     hit = hit.unionByName(odd.withColumn("n", n).filter("n > 0").drop("low"))
     words = hit.select(key, "axis", "category", "place", (F.col("weight") * F.least("n", F.lit(TERM_CAP))).alias("score"))
     cues = docs.select(key, F.lower("name").alias("name")).join(F.broadcast(lex.filter("kind = 'cue'")), F.contains(F.col("name"), F.col("term"))).select(key, "axis", "category", "place", F.col("weight").alias("score"))
@@ -154,21 +157,21 @@ def decide(scores: DataFrame, *, key: str = "file_id", min_score: float = MIN_SC
 
 def inspect(docs: DataFrame, vocabulary=VOCABULARY, *, key: str = "file_id") -> DataFrame:
     """One verdict per document of docs(key, name, rel_path, ext, media_type, text, meta map, captured_at, created_at, modified_at)."""
-    found = docs.select("*", pat.hits(F.col("text"), F.col("name")).alias("hits"))
+    text = F.col("text")
+    found = docs.select(key, "name", "ext", "media_type", "meta", "captured_at", "created_at", "modified_at", pat.hits(text, F.col("name")).alias("hits"), pat.dates(text).alias("dates"), who.people(text).alias("people"), who.organisations(text).alias("entities"))
+    found = materialize(found, "verdict-evidence")  # without texts, which are read for it once and for the vocabulary once
     scores = lexicon_scores(docs, lexicon(docs.sparkSession, vocabulary), key=key).unionByName(votes(found, key=key))
-    d = decide(scores, key=key)
-    kind, topic = (d.filter(F.col("axis") == a).select(key, F.col("label").alias(a), F.col("score").alias(f"{a}_score"), F.col("others").alias(f"{a}_others")) for a in ("doctype", "topic"))
+    on = lambda a: F.max(F.when(F.col("axis") == a, F.struct(F.col("label").alias(a), F.col("score").alias(f"{a}_score"), F.col("others").alias(f"{a}_others")))).alias(a)
+    labels = decide(scores, key=key).groupBy(key).agg(on("doctype"), on("topic")).select(key, "doctype.*", "topic.*")
     fallback = F.when(F.col("media_type") == "image", "photo").when(F.col("media_type").isin("video", "audio"), "recording")
-    dates = pat.dates(F.col("text"))
-    out = found.withColumn("dates", dates).join(kind, key, "left").join(topic, key, "left")
     event = pat.event_date(F.col("dates"), F.col("captured_at"), F.col("created_at"), F.col("name"), F.col("modified_at"))
     by = who.author(F.col("meta"), F.col("name"), F.col("people"))
-    out = out.withColumn("people", who.people(F.col("text"))).withColumn("event", event).withColumn("by", by)
+    out = found.join(labels, key, "left").withColumn("event", event).withColumn("by", by)
     doctype = F.coalesce("doctype", fallback)
     return out.select(
         key, doctype.alias("doctype"), F.coalesce("doctype_score", F.when(doctype.isNotNull(), MIN_SCORE).otherwise(0.0)).alias("doctype_score"), "topic", F.coalesce("topic_score", F.lit(0.0)).alias("topic_score"), "topic_others",
         F.col("by.name").alias("author"), F.col("by.source").alias("author_source"), F.col("event.at").alias("event_at"), F.col("event.source").alias("event_source"), pat.years(F.col("dates"), F.col("event.at")).alias("years"),
-        who.organisations(F.col("text")).alias("entities"), F.transform("hits", lambda h: h["name"]).alias("patterns"), "hits", (doctype.isNull() | (F.coalesce("topic_score", F.lit(0.0)) < ESCALATE_BELOW)).alias("escalate"),
+        "entities", F.transform("hits", lambda h: h["name"]).alias("patterns"), "hits", (doctype.isNull() | (F.coalesce("topic_score", F.lit(0.0)) < ESCALATE_BELOW)).alias("escalate"),
         reasoning(doctype, F.col("topic"), F.col("hits"), F.col("by.source"), F.coalesce(F.nullif(F.lower("ext"), F.lit("")), "media_type")).alias("reasoning"), F.transform("people", lambda p: p["name"]).alias("people"),
     )
 

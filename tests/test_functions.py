@@ -183,3 +183,14 @@ def test_a_colour_is_computed_once_for_its_group(spark):
     got = rows.select("hex", colour.bucket(*colour.rgb(F.col("hex"))).alias("bucket"))
     assert [r["bucket"] for r in got.collect()] == ["red", "gray", "red", "blue"]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("conv(") <= 3
+
+
+def test_a_verdict_reads_its_texts_once_for_evidence_and_once_for_words(spark):
+    docs = spark.createDataFrame([(1, "a.txt", "txt", "document", "Invoice number 7, amount due; the INVOICE is net 30 days, see https://a.example")], "file_id long, name string, ext string, media_type string, text string")
+    none = F.lit(None).cast("long")
+    docs = docs.withColumns({"meta": F.create_map().cast("map<string,string>"), "captured_at": none, "created_at": none, "modified_at": none})
+    got = classify.inspect(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\w+|[^\w\s]+") == 1 and "arrays_zip" not in plan  # words are split in one branch, and only heads of terms become rows
+    row = got.first()
+    assert row["doctype"] == "invoice" and row["patterns"] == ["amount-due"]
