@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -150,10 +152,11 @@ def leases(events: DataFrame, *, lease_ms: int = 600_000, late: str = "1 hour")
         ids, ats, workers, whats = held
         waiting = list(zip(ats, ids, workers, whats, strict=True))
         for pdf in parts:
-            waiting += [(int(a), int(i), None if w is None else str(w), str(x)) for a, i, w, x in zip(pdf["at"], pdf["id"], pdf["worker"], pdf["what"], strict=True)]
+            each = (pdf[c].tolist() for c in ("at", "id", "worker", "what"))  # plain values, not one boxed at a time
+            waiting += [(int(a), int(i), None if w is None else str(w), str(x)) for a, i, w, x in zip(*each, strict=True)]
         mark, rows = state.getCurrentWatermarkMs(), []
-        waiting.sort(key=lambda e: (e[0], e[1]))
-        ripe = [e for e in waiting if e[0] < mark]
+        waiting.sort(key=itemgetter(0, 1))
+        ripe = waiting[: bisect_left(waiting, mark, key=itemgetter(0))]
 
         def expire(now: int) -> None:
             nonlocal status, owner, until
@@ -175,8 +178,8 @@ def leases(events: DataFrame, *, lease_ms: int = 600_000, late: str = "1 hour")
         if timers:
             state.setTimeoutTimestamp(max(min(timers), mark + 1))
         if rows:
-            out = pd.DataFrame(rows, columns=["file", "id", "at", "worker", "outcome"])
-            yield out.astype({"id": "Int64", "at": "int64"})
+            _, ids, ats, workers, outcomes = zip(*rows, strict=True)
+            yield pd.DataFrame({"file": key[0], "id": pd.array(ids, dtype="Int64"), "at": pd.array(ats, dtype="int64"), "worker": workers, "outcome": outcomes})
 
     known = F.col("what").isin("queue", "claim", "fail", "done")
     e = events.filter("file IS NOT NULL AND ts IS NOT NULL AND what IS NOT NULL").withWatermark("ts", late)
