@@ -5,7 +5,8 @@ A folder holds one sub-folder for each segment:
 * ``postings/bucket=…``: term, key, tf, len, words (the numbers of the words it stands in). The bucket is a
   hash of a term's first two letters, so a term and all terms with one prefix lie in one folder. Each
   task writes the postings of its share of the texts as a file in each bucket, sorted by term, so that Parquet's
-  statistics skip the pages of other terms; only texts are shuffled, never postings.
+  statistics skip the pages of other terms; only texts are shuffled, never postings. A task orders the terms of its share
+  before it makes rows of them, so Spark's sort of the rows finds them in order.
 * ``postings/bucket=-1``: a row without a term for each document, with its key and len, written in the same pass.
 * ``gone``: keys that the segment takes out of older segments, with the length they had.
 * ``meta``: one row with totals, written last; a segment without it was not committed and is not read.
@@ -16,6 +17,7 @@ Searches read postings and totals only, never a text.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -36,6 +38,8 @@ MOST_GONE = 1_000_000
 #: Tokens whose postings a merge sorts in one task, about those of a share; texts that are split at once.
 SHARE_TOKENS = SHARE // 6
 TEXTS = 1000
+#: Bytes of distinct keys up to which a file names each key once; a merge puts the keys of many shares into a file.
+KEYS = 16 << 20
 #: Stands for the characters between two terms of a word.
 MARK = "\x01"
 
@@ -43,47 +47,75 @@ _META = "segment long, keys long, tokens long, gone_keys long, gone_tokens long,
 
 
 def _bucket(term: Column) -> Column:
-    """The folder of a term; rows without one, which stand for documents, have a folder of their own."""
-    return F.when(term.isNull(), -1).otherwise(F.pmod(F.xxhash64(F.left(term, F.lit(LEAD))), F.lit(BUCKETS))).cast("int")
+    """The folder of a term, for searches; ``_buckets`` has the same for the terms of a task."""
+    return F.pmod(F.crc32(F.left(term, F.lit(LEAD)).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def _buckets(terms: pa.Array) -> np.ndarray:
+    lead = pc.utf8_slice_codeunits(terms, 0, LEAD).dictionary_encode()
+    return np.array([zlib.crc32(x.encode()) % BUCKETS for x in lead.dictionary.to_pylist()], "int32")[lead.indices.to_numpy()]
 
 
 def _grouped(key: pa.Array, text: pa.Array, docs: bool) -> Iterator[pa.Table]:
-    """The postings of some texts, whose words are parted by blanks and the terms of a word by marks."""
-    words = pc.split_pattern(text, " ")
+    """The postings of some texts, whose words are parted by white space and the terms of a word by marks.
+
+    They come in order of their buckets and terms; ``docs`` adds the bucket, and first the rows of the documents.
+    """
+    words = pc.ascii_split_whitespace(text)
     runs = pc.split_pattern(words.flatten(), MARK)
     some = pc.not_equal(runs.flatten(), "")
     term = runs.flatten().filter(some).dictionary_encode()
     code, word = term.indices.to_numpy(), pc.list_parent_indices(runs).filter(some).to_numpy()
     doc = pc.list_parent_indices(words).to_numpy()[word]
     size = np.bincount(doc, minlength=len(key))
-    group = doc.astype("int64") * len(term.dictionary) + code
+    bucket = _buckets(term.dictionary)
+    by_place = pc.sort_indices(pa.table([pa.array(bucket), term.dictionary], names=["bucket", "term"]), [("bucket", "ascending"), ("term", "ascending")]).to_numpy()
+    place = np.empty(len(by_place), "int64")
+    place[by_place] = np.arange(len(by_place))
+    group = place[code] * len(key) + doc
     order = np.argsort(group, kind="stable")  # in order of the words
     first = np.flatnonzero(np.diff(group[order], prepend=-1))
     ends = np.append(first, len(order))
     at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((word - words.offsets.to_numpy()[doc])[order], pa.int32()))
-    names, one = ["term", "key", "tf", "len", "words"], order[first]
-    yield pa.table([term.dictionary.take(pa.array(code[one])), key.take(pa.array(doc[one])), pa.array(np.diff(ends), pa.int64()), pa.array(size[doc[one]], pa.int64()), at], names=names)
+    names, one = ["term", "key", "tf", "len", "words", *["bucket"] * docs], order[first]
     if docs:
         n, none = len(key), pa.array(np.zeros(len(key) + 1), pa.int32())
-        yield pa.table([pa.nulls(n, pa.string()), key, pa.array(np.zeros(n), pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(none, pa.array([], pa.int32()))], names=names)
+        yield pa.table([pa.nulls(n, pa.string()), key, pa.array(np.zeros(n), pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(none, pa.array([], pa.int32())), pa.array(np.full(n, -1), pa.int32())], names=names)
+    found = [term.dictionary.take(pa.array(code[one])), key.take(pa.array(doc[one])), pa.array(np.diff(ends), pa.int64()), pa.array(size[doc[one]], pa.int64()), at]
+    yield pa.table([*found, *[pa.array(bucket[code[one]])] * docs], names=names)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], texts: int, held: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of batches, so many texts or bytes at once."""
+    kept, rows, size = [], 0, 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, TEXTS):
+            kept.append(b := batch.slice(i, TEXTS))
+            rows, size = rows + b.num_rows, size + b.get_total_buffer_size() * b.num_rows // batch.num_rows
+            if rows >= texts or size >= held:
+                t = pa.Table.from_batches(kept).combine_chunks()
+                yield tuple(t.column(k).chunk(0) for k in (0, 1))
+                kept, rows, size = [], 0, 0
+    if kept:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        yield tuple(t.column(k).chunk(0) for k in (0, 1))
 
 
 def postings_of(blocks: DataFrame, key: str = "key", body: str = "body", *, docs: bool = False) -> DataFrame:
     """(term, key, tf, len, words): a row for each term of each block, with the numbers of the words, from 0, that hold it.
 
     A block is one row, so its terms are grouped where it stands, without a shuffle. The text is folded and its letters
-    are told from other characters on the JVM, once for a whole text; Arrow splits it. ``docs`` adds a row without a term for each block.
+    are told from other characters on the JVM, once for a whole text; Arrow splits it. ``docs`` adds a row without a term for each
+    block and the bucket of each row, and all texts of a task up to two shares come in order of buckets and terms.
     """
     marked = F.regexp_replace(folded(F.trim(F.coalesce(body, F.lit("")))), r"[^\p{L}\p{N}\s]+", MARK)
-    parted = F.regexp_replace(marked, r"\s+", " ")
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, TEXTS):
-                for t in _grouped(b.column(0).slice(i, TEXTS), b.column(1).slice(i, TEXTS), docs):
-                    yield from t.to_batches(max_chunksize=100_000)
+        for keys, texts in _pieces(batches, 1 << 30 if docs else TEXTS, 2 * SHARE):
+            for t in _grouped(keys, texts, docs):
+                yield from t.to_batches(max_chunksize=100_000)
 
-    return blocks.select(F.col(key).cast("string").alias("key"), parted.alias("parted")).mapInArrow(group, "term string, key string, tf long, len long, words array<int>")
+    return blocks.select(F.col(key).cast("string").alias("key"), marked.alias("marked")).mapInArrow(group, "term string, key string, tf long, len long, words array<int>" + ", bucket int" * docs)
 
 
 class TextIndex:
@@ -132,8 +164,7 @@ class TextIndex:
         return out.filter("bucket >= 0") if what == "postings" else out
 
     def _write_postings(self, postings: DataFrame, n: int) -> None:
-        dealt = postings.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term")
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{n}/postings")
+        postings.sortWithinPartitions("bucket", "term").write.option("parquet.dictionary.page.size", KEYS).partitionBy("bucket").parquet(f"{self.path}/{n}/postings")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         """Texts in shares whose postings a task sorts in memory."""
@@ -170,7 +201,7 @@ class TextIndex:
         known = list(self.segments())
         n = self._next()
         wanted = keys.select(F.col(key).cast("string").alias("key"))
-        self._write_postings(postings_of(self.spark.createDataFrame([], "key string, body string")), n)
+        self._write_postings(postings_of(self.spark.createDataFrame([], "key string, body string"), docs=True), n)
         self._live(self._read("docs", known)).join(wanted, "key", "left_semi").select("key", "len").write.parquet(f"{self.path}/{n}/gone")
         self._commit(n)
 
@@ -180,9 +211,10 @@ class TextIndex:
         if len(known) < 2:
             return
         n = self._next()
-        # files of a segment are read many to a task, so that there are as many new ones as in a segment of as many texts
-        shares = self._shares(sum(self.segments()[x]["tokens"] for x in known), SHARE_TOKENS)
-        self._write_postings(self._live(self._read("all", known)).drop("segment", "bucket").coalesce(shares), n)
+        # files are read many to a task, the same number of splits each, so that a task sorts at most what it does for a share of texts
+        rows, shares = self._read("all", known), self._shares(sum(self.segments()[x]["tokens"] for x in known), SHARE_TOKENS)
+        splits = rows.rdd.getNumPartitions()
+        self._write_postings(self._live(rows).drop("segment").coalesce(math.ceil(splits / max(splits // shares, 1))), n)
         self._read("gone", []).select("key", "len").write.parquet(f"{self.path}/{n}/gone")
         self._commit(n, known)
         for old in known:

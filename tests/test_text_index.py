@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import selection
-from granary.operators.text_index import TextIndex, postings_of, snippets
+from granary.operators.text_index import TextIndex, _bucket, postings_of, snippets
 from granary.plans.catalog import Catalog
 from granary.session import scratch
 
@@ -107,6 +109,28 @@ def test_a_text_is_split_in_one_pass_for_postings_and_documents(spark, index):
     assert not index._fs(index.path)[0].exists(index._fs(f"{index.path}/1/docs")[1])  # no second pass wrote them
 
 
+def test_a_task_makes_postings_in_order_of_buckets_and_terms(spark):
+    texts = {f"k{i}": f" über x \u65e5\u672c\u8a9e \u00dfa b\U0001d7d8 word{i % 7} a-b{i}\tend" for i in range(2500)}
+    got = postings_of(_blocks(spark, texts).coalesce(1), "asset_id", docs=True).withColumn("same", F.coalesce(F.col("bucket") == _bucket(F.col("term")), F.lit(True)))
+    rows = got.collect()
+    at = [(r["bucket"], (r["term"] or "").encode()) for r in rows]
+    assert at == sorted(at) and all(r["same"] for r in rows)
+    assert [r["key"] for r in rows if r["bucket"] == -1] == list(texts)
+    assert {(r["term"], r["key"]): r["words"] for r in rows if r["term"] is not None} == _brute(texts)
+
+
+def test_a_merged_file_names_each_key_once(spark, index):
+    many = spark.range(60000).select(F.md5(F.col("id").cast("string")).alias("asset_id"), F.when(F.col("id") < 1000, " ".join(f"coa{i}" for i in range(30))).otherwise("").alias("first"))
+    blocks = many.select("asset_id", F.concat_ws(" ", "first", F.lit("cob coc cod coe cof cog")).alias("body"))
+    index.add(blocks.filter("asset_id < '8'"))
+    index.add(blocks.filter("asset_id >= '8'"))
+    index.merge()
+    files = [f.removeprefix("file://") for f in index.postings().inputFiles() if "bucket=-1/" not in f]
+    held = [pq.read_metadata(f).row_group(g).column(1) for f in files for g in range(pq.read_metadata(f).num_row_groups)]
+    assert {c.path_in_schema for c in held} == {"key"} and sum(c.num_values for c in held) == 390000
+    assert sum(c.total_uncompressed_size for c in held) < 390000 * 36 / 3
+
+
 def test_snippets_mark_the_words_of_the_index(spark, index):
     texts = {"a": "Zero one two Thén, four five six seven then nine ten eleven twelve thirteen fourteen", "b": "then", "c": "no"}
     index.add(_blocks(spark, texts))
