@@ -7,7 +7,7 @@ A folder holds one sub-folder for each segment:
   task writes the postings of its share of the texts as a file in each bucket, sorted by term, so that Parquet's
   statistics skip the pages of other terms; only texts are shuffled, never postings. A task orders the terms of its share
   before it makes rows of them, so Spark's sort of the rows finds them in order.
-* ``postings/bucket=-1``: a row without a term for each document, with its key and len, written in the same pass.
+* ``postings/bucket=-1``: a row without a term for each document, with its key and len (null for a null text), written in the same pass.
 * ``gone``: keys that the segment takes out of older segments, with the length they had.
 * ``meta``: one row with totals, written last; a segment without it was not committed and is not read.
 
@@ -43,7 +43,7 @@ KEYS = 16 << 20
 #: Stands for the characters between two terms of a word.
 MARK = "\x01"
 
-_META = "segment long, keys long, tokens long, gone_keys long, gone_tokens long, replaces array<long>"
+_META = "segment long, keys long, texts long, tokens long, gone_keys long, gone_texts long, gone_tokens long, replaces array<long>"
 
 
 def _bucket(term: Column) -> Column:
@@ -80,7 +80,7 @@ def _grouped(key: pa.Array, text: pa.Array, docs: bool) -> Iterator[pa.Table]:
     names, one = ["term", "key", "tf", "len", "words", *["bucket"] * docs], order[first]
     if docs:
         n, none = len(key), pa.array(np.zeros(len(key) + 1), pa.int32())
-        yield pa.table([pa.nulls(n, pa.string()), key, pa.array(np.zeros(n), pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(none, pa.array([], pa.int32())), pa.array(np.full(n, -1), pa.int32())], names=names)
+        yield pa.table([pa.nulls(n, pa.string()), key, pa.array(np.zeros(n), pa.int64()), pa.array(size, pa.int64(), mask=text.is_null().to_numpy(zero_copy_only=False)), pa.ListArray.from_arrays(none, pa.array([], pa.int32())), pa.array(np.full(n, -1), pa.int32())], names=names)
     found = [term.dictionary.take(pa.array(code[one])), key.take(pa.array(doc[one])), pa.array(np.diff(ends), pa.int64()), pa.array(size[doc[one]], pa.int64()), at]
     yield pa.table([*found, *[pa.array(bucket[code[one]])] * docs], names=names)
 
@@ -108,7 +108,7 @@ def postings_of(blocks: DataFrame, key: str = "key", body: str = "body", *, docs
     are told from other characters on the JVM, once for a whole text; Arrow splits it. ``docs`` adds a row without a term for each
     block and the bucket of each row, and all texts of a task up to two shares come in order of buckets and terms.
     """
-    marked = F.regexp_replace(folded(F.trim(F.coalesce(body, F.lit("")))), r"[^\p{L}\p{N}\s]+", MARK)
+    marked = F.regexp_replace(folded(F.trim(body)), r"[^\p{L}\p{N}\s]+", MARK)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _pieces(batches, 1 << 30 if docs else TEXTS, 2 * SHARE):
@@ -147,9 +147,9 @@ class TextIndex:
         return 1 + max((int(s.getPath().getName()) for s in (fs.globStatus(at) or [])), default=0)
 
     def _commit(self, n: int, replaces: Sequence[int] = ()) -> None:
-        docs = self._read("docs", [n]).agg(F.count("*").alias("keys"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
-        gone = self._read("gone", [n]).agg(F.count("*").alias("gone_keys"), F.coalesce(F.sum("len"), F.lit(0)).alias("gone_tokens"))
-        one = docs.crossJoin(gone).select(F.lit(n).cast("long").alias("segment"), "keys", "tokens", "gone_keys", "gone_tokens", F.array(*[F.lit(x).cast("long") for x in replaces]).cast("array<long>").alias("replaces"))
+        held = lambda of: [F.count("*").alias(f"{of}keys"), F.count("len").alias(f"{of}texts"), F.coalesce(F.sum("len"), F.lit(0)).alias(f"{of}tokens")]
+        docs, gone = self._read("docs", [n]).agg(*held("")), self._read("gone", [n]).agg(*held("gone_"))
+        one = docs.crossJoin(gone).select(F.lit(n).cast("long").alias("segment"), *docs.columns, *gone.columns, F.array(*[F.lit(x).cast("long") for x in replaces]).cast("array<long>").alias("replaces"))
         one.coalesce(1).write.parquet(f"{self.path}/{n}/meta")
         self._meta = None
 
@@ -164,7 +164,7 @@ class TextIndex:
         return out.filter("bucket >= 0") if what == "postings" else out
 
     def _write_postings(self, postings: DataFrame, n: int) -> None:
-        postings.sortWithinPartitions("bucket", "term").write.option("parquet.dictionary.page.size", KEYS).partitionBy("bucket").parquet(f"{self.path}/{n}/postings")
+        postings.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").option("parquet.dictionary.page.size", KEYS).partitionBy("bucket").parquet(f"{self.path}/{n}/postings")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         """Texts in shares whose postings a task sorts in memory."""
@@ -186,12 +186,16 @@ class TextIndex:
 
     # --- changes
 
-    def add(self, blocks: DataFrame, key: str = "asset_id", body: str = "body") -> None:
-        """Add texts, one row for each key; keys that are already there are replaced. Null texts hold nothing."""
+    def add(self, blocks: DataFrame, key: str = "asset_id", body: str = "body", *, copies: bool = False) -> None:
+        """Add texts, one row for each key; keys that are already there are replaced. Null texts hold nothing.
+
+        With ``copies`` a key may have many rows with the same text, which count once: the shuffle that deals the texts brings
+        them together, so they need not be told apart, and shuffled, before.
+        """
         known = list(self.segments())
         n = self._next()
-        rows = blocks.select(F.col(key).cast("string").alias("key"), F.coalesce(body, F.lit("")).alias("body"))
-        self._write_postings(postings_of(self._dealt(rows), docs=True), n)
+        rows = self._dealt(blocks.select(F.col(key).cast("string").alias("key"), F.col(body).alias("body")))
+        self._write_postings(postings_of(rows.dropDuplicates(["key"]) if copies else rows, docs=True), n)
         new = self._read("docs", [n]).select("key")
         self._live(self._read("docs", known)).join(new, "key", "left_semi").select("key", "len").write.parquet(f"{self.path}/{n}/gone")
         self._commit(n)
@@ -228,6 +232,11 @@ class TextIndex:
         m = self.segments().values()
         return sum(x["keys"] - x["gone_keys"] for x in m), sum(x["tokens"] - x["gone_tokens"] for x in m)
 
+    def _mean(self) -> float:
+        """Tokens of a live text; null texts are none, as in an average of SQL."""
+        n = sum(x["texts"] - x["gone_texts"] for x in self.segments().values())
+        return self.totals()[1] / max(n, 1)
+
     def postings(self, terms: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:
         """(key, term, tf, len, words): live postings, of some terms, of all terms with a prefix, or all."""
         rows = self._read("postings", list(self.segments()))
@@ -252,11 +261,11 @@ class TextIndex:
 
     def bm25(self, terms: Sequence[str], *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(key, score, words): documents that hold every term, their score, and the words that hold the terms."""
-        n, total = self.totals()
+        n, _ = self.totals()
         hits = self.postings(terms)
         df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row for each term
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(total / max(n, 1))))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(self._mean())))
         found = hits.join(F.broadcast(df), "term").groupBy("key").agg(F.sum(part).alias("score"), F.count("*").alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
         return found.filter(F.col("found") == self._distinct(terms)).drop("found")
 

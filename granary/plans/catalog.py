@@ -184,11 +184,15 @@ class Projected(Catalog):
 
         return self._once("asset_tag", make)
 
+    @property
+    def _texts(self) -> DataFrame:
+        """The text of each row of documents under the id of its content; copies are not taken out."""
+        return table(self.spark, self.sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("asset_id"), F.col("text").alias("body"))
+
     @property
     def text_block(self) -> DataFrame:
         def make():
-            d = table(self.spark, self.sf_dir, "documents")
-            return d.select(F.md5(F.col("text").cast("binary")).alias("asset_id"), F.lit("text").alias("source"), F.lit(0).alias("ord"), F.col("text").alias("body")).repartition(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), "asset_id").dropDuplicates(["asset_id"])
+            return self._texts.select("asset_id", F.lit("text").alias("source"), F.lit(0).alias("ord"), "body").repartition(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), "asset_id").dropDuplicates(["asset_id"])
 
         return self._once("text_block", make)
 
@@ -197,7 +201,7 @@ class Projected(Catalog):
         key = (*self._of, "text_index")
         if key not in self._written:
             index = TextIndex(self.spark, scratch(self.spark, "catalog-text-index"))
-            index.add(self.text_block)
+            index.add(self._texts, copies=True)  # not from text_block, which would be written and shuffled for it
             self._written[key] = index
         return self._written[key]
 

@@ -9,9 +9,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import text as tx
 from granary.operators import selection
 from granary.operators.text_index import TextIndex, _bucket, postings_of, snippets
-from granary.plans.catalog import Catalog
+from granary.plans.catalog import Catalog, Projected
+from granary.plans.queries import bm25_scan, bm25_search
 from granary.session import scratch
 
 
@@ -147,3 +149,32 @@ def test_catalogues_with_and_without_an_index_find_the_same_files(spark, index):
     for held in (None, index):
         c = Catalog(files, blocks, tags, blocks, blocks, held)
         assert sorted(r["file_id"] for r in selection.matching(c, c.indexed, "alpha").collect()) == [1, 2, 3]
+
+
+def _scores(df, key="key"):
+    return {r[key]: round(r["score"], 9) for r in df.collect()}
+
+
+def test_copies_count_once_and_null_texts_have_no_length(spark, index):
+    texts = {"a": "one two one", "b": "one", "c": None, "d": " ", "e": "two three four one five", "f": None}
+    blocks = _blocks(spark, texts)
+    index.add(blocks.unionByName(blocks).unionByName(blocks.filter("asset_id < 'c'")), copies=True)
+    assert _held(index) == _brute(texts) and index.totals() == (6, 9)
+    assert _scores(index.bm25(["one"])) == _scores(tx.bm25(blocks, ["one"]), "asset_id")  # the mean of four lengths
+    index.delete(spark.createDataFrame([("c",), ("b",)], "asset_id string"))
+    assert _scores(index.bm25(["one"])) == _scores(tx.bm25(blocks.filter("asset_id NOT IN ('b', 'c')"), ["one"]), "asset_id")
+    index.merge()
+    assert _scores(index.bm25(["one"])) == _scores(tx.bm25(blocks.filter("asset_id NOT IN ('b', 'c')"), ["one"]), "asset_id")
+
+
+def test_the_index_of_a_catalogue_needs_no_text_blocks(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else " ".join(["then", "and", "more"][: i % 4] + [f"w{i % 7}"]), "en", "s", 1) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    c = Projected(spark, str(tmp_path))
+    got = _scores(bm25_search(c), "asset_id")
+    made = {k[-1] for k in Projected._written if k[:-1] == c._of}
+    assert got and "text_index" in made and "text_block" not in made  # each text was shuffled once, and written nowhere
+    assert got == _scores(bm25_scan(c), "asset_id")
+    file = next(f for f in c.text_index.postings().inputFiles()).removeprefix("file://")
+    assert pq.read_metadata(file).row_group(0).column(0).compression == "ZSTD"
