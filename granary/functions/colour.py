@@ -66,10 +66,13 @@ def hue(r: Column, g: Column, b: Column) -> Column:
     return F.when(hi - lo < 1e-9 * 255, 0.0).otherwise(F.pmod(h, F.lit(360.0)))
 
 
-def bucket(r: Column, g: Column, b: Column) -> Column:
-    """The name of one of twelve colour groups of an sRGB colour."""
+def bucket(r: Column, g: Column, b: Column, digits: int | None = None) -> Column:
+    """The name of one of twelve colour groups of an sRGB colour; with ``digits``, as its CIELAB axes rounded to so many decimals tell."""
+    def axis(m, x):
+        return m["lab"][x] if digits is None else F.round(m["lab"][x], digits)
+
     def measures(v):
-        return _let(lambda m: _let(name, l=m["lab"]["l"], chroma=F.hypot(m["lab"]["a"], m["lab"]["b"]), h=m["h"]), lab=lab_struct(v["r"], v["g"], v["b"]), h=hue(v["r"].cast("double"), v["g"].cast("double"), v["b"].cast("double")))
+        return _let(lambda m: _let(name, l=axis(m, "l"), chroma=F.hypot(axis(m, "a"), axis(m, "b")), h=m["h"]), lab=lab_struct(v["r"], v["g"], v["b"]), h=hue(v["r"].cast("double"), v["g"].cast("double"), v["b"].cast("double")))
 
     def name(v):
         l, chroma, h = v["l"], v["chroma"], v["h"]

@@ -662,8 +662,8 @@ BUCKET = f"""SELECT hex, CASE WHEN chroma < 12 AND l < 22 THEN 'black' WHEN chro
 
 @query(BUCKET)
 def lab_bucket(c):
-    """The colour group of every stored colour."""
-    return _hexes(c).select("hex", colour.bucket(*colour.rgb(F.col("hex"))).alias("bucket"))
+    """The colour group of every stored colour, by the axes that ``lab_values`` gives; a content without text has no colour."""
+    return _hexes(c).filter("hex IS NOT NULL").select("hex", colour.bucket(*colour.rgb(F.col("hex")), digits=4).alias("bucket"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_transform(range(9), lambda i: '0123456789bcdefghjkmnpqrstuvwxyz'[1 + CAST(list_sum(list_transform(range(5), lambda k:

@@ -8,11 +8,13 @@ import random
 import re
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import classify, colour, identity, patterns, people, text
 from granary.operators import digest
+from granary.plans import queries
 
 INVOICE = """INVOICE
 Invoice number: INV-2024-0042
@@ -194,3 +196,17 @@ def test_a_verdict_reads_its_texts_once_for_evidence_and_once_for_words(spark):
     assert plan.count(r"(?U)\w+|[^\w\s]+") == 1 and "arrays_zip" not in plan  # words are split in one branch, and only heads of terms become rows
     row = got.first()
     assert row["doctype"] == "invoice" and row["patterns"] == ["amount-due"]
+
+
+def test_colour_groups_go_by_rounded_axes(spark, tmp_path):
+    """Contents that hold aeac96, 1a3836 and dcdef5, whose chroma is on the other side of 12 when its axes are rounded, and one without text."""
+    texts = ["colour 2161560", "colour 3322004", "colour 7692211", "plain", None]
+    spark.createDataFrame([(i, t, "en", "src1", 10) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = {n: {r["hex"]: tuple(r)[1:] for r in queries.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("lab_bucket", "lab_values")}
+    assert got == {n: {r[0]: r[1:] for r in con.execute(queries.ORACLE_SQL[n]).fetchall()} for n in got}
+    assert [got["lab_bucket"][h] for h in ("aeac96", "1a3836", "dcdef5")] == [("gray",), ("black",), ("blue",)]
+    assert None not in got["lab_bucket"] and None in got["lab_values"]
